@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -89,12 +90,33 @@ def to_number(df: DataFrame, name: str, drop: Sequence[str] = ()) -> Column:
     return F.lit(None).cast("double")
 
 
+def format_shape(fmt: str) -> str:
+    """Regular expression of the texts a date format can read at all."""
+    shape = ""
+    for run in re.findall(r"(y+|M+|d+|.)", fmt):
+        if run[0] == "y":
+            shape += r"\d{4}"
+        elif run[0] == "M" and len(run) > 2:
+            shape += "[A-Za-z]{3}" if len(run) == 3 else "[A-Za-z]+"
+        elif run[0] in "Md":
+            shape += r"\d{1,2}"
+        else:
+            shape += re.escape(run)
+    return f"^{shape}$"
+
+
 def parse_date(column: Column, formats: Sequence[str] | None = None) -> Column:
-    """Date text as a zone-less timestamp; the first format that reads it wins."""
+    """Date text as a zone-less timestamp; the first format that reads it wins.
+
+    A text is handed to a parser only if its shape fits, since failing parsers are
+    slow. Month names may be in any case.
+    """
     cleaned = strip(column)
     attempts = [F.when(cleaned.rlike(ISO_DATE_PATTERN), cleaned.try_cast("timestamp_ntz"))]
     for fmt in DATE_FORMATS if formats is None else formats:
-        attempts.append(F.try_to_date(cleaned, fmt).cast("timestamp_ntz"))
+        words = F.initcap(cleaned) if "MMM" in fmt else cleaned
+        parsed = F.try_to_date(words, fmt).cast("timestamp_ntz")
+        attempts.append(F.when(cleaned.rlike(format_shape(fmt)), parsed))
     return F.coalesce(*attempts)
 
 

@@ -20,7 +20,6 @@ from ..functions.columns import (
 from ..functions.predicates import contains, equals
 
 KEY = TEMP + "key"
-PRESENT = TEMP + "present"
 
 
 def broadcast_checked(df: DataFrame, max_rows: int | None) -> DataFrame:
@@ -162,8 +161,8 @@ def reconcile(
     """Merge two tables and tell for each row on which side it was found.
 
     ``_merge`` is ``both``, ``left_only`` or ``right_only``. An outer merge is built
-    as a left join plus the unmatched right rows: a full outer join cannot be split
-    when one key holds much of the data, these two can.
+    from the inner join and the unmatched rows of each side: unlike an outer join,
+    each of these can be split when one key holds much of either table.
     """
     if how not in ("inner", "left", "right", "outer"):
         raise ValueError(f"Unsupported join type: {how}")
@@ -177,40 +176,37 @@ def reconcile(
     left_names, right_names = _merged_names(left.columns, right.columns, shared, suffixes)
     a = left.toDF(*left_names).withColumn(KEY, key(left_names[left.columns.index(left_on)]))
     b = right.toDF(*right_names).withColumn(KEY, key(right_names[right.columns.index(right_on)]))
-    kept_right = [c for c in right_names if c != shared]
+    right_names = [c for c in right_names if c != shared]
     test = _key_test(null_keys_match)
 
-    def shaped(joined: DataFrame, has_left: bool, has_right: bool, merge: Column) -> DataFrame:
+    def part(joined: DataFrame, sides: str, merge: str) -> DataFrame:
+        """The merged columns, NULL where they belong to a missing side."""
         cols = []
         for c in left_names:
-            if has_left:
-                cols.append(qualified("l", c))
-            elif c == shared:
-                cols.append(qualified("r", c))
-            else:
-                cols.append(F.lit(None).cast(a.schema[c].dataType).alias(c))
-        for c in kept_right:
-            kind = b.schema[c].dataType
-            cols.append(qualified("r", c) if has_right else F.lit(None).cast(kind).alias(c))
-        return joined.select(*cols, merge.alias("_merge"))
-
-    marked = b.withColumn(PRESENT, F.lit(True))
-    if how == "inner":
-        joined = a.alias("l").join(b.alias("r"), test, "inner")
-        return shaped(joined, True, True, F.lit("both"))
-    right_only = None
+            side = "l" if "l" in sides else "r" if c == shared else None
+            cols.append(_cell(a, side, c))
+        cols += [_cell(b, "r" if "r" in sides else None, c) for c in right_names]
+        return joined.select(*cols, F.lit(merge).alias("_merge"))
+
+    def unmatched(side: str) -> DataFrame:
+        # The other side's distinct keys are enough to tell what has no partner.
+        rows, other = (a, b) if side == "l" else (b, a)
+        names = (side, "r" if side == "l" else "l")
+        keys = other.select(ref(KEY)).distinct()
+        return rows.alias(names[0]).join(keys.alias(names[1]), test, "left_anti")
+
+    out = part(a.alias("l").join(b.alias("r"), test, "inner"), "lr", "both")
+    if how in ("left", "outer"):
+        out = out.unionByName(part(unmatched("l"), "l", "left_only"))
     if how in ("right", "outer"):
-        # Distinct keys of the other side are enough to tell what is unmatched.
-        other = a.select(ref(KEY)).distinct()
-        unmatched = b.alias("r").join(other.alias("l"), test, "left_anti")
-        right_only = shaped(unmatched, False, True, F.lit("right_only"))
-    if how == "right":
-        joined = a.alias("l").join(b.alias("r"), test, "inner")
-        return shaped(joined, True, True, F.lit("both")).unionByName(right_only)
-    joined = a.alias("l").join(marked.alias("r"), test, "left")
-    merge = F.when(qualified("r", PRESENT), F.lit("both")).otherwise(F.lit("left_only"))
-    left_part = shaped(joined, True, True, merge)
-    return left_part if how == "left" else left_part.unionByName(right_only)
+        out = out.unionByName(part(unmatched("r"), "r", "right_only"))
+    return out
+
+
+def _cell(df: DataFrame, side: str | None, name: str) -> Column:
+    if side is None:
+        return F.lit(None).cast(df.schema[name].dataType).alias(name)
+    return qualified(side, name)
 
 
 def reconcile_counts(

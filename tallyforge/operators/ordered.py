@@ -9,40 +9,45 @@ gives every range its starting offset.
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import TEMP, as_list, null_safe_equal, qualified, ref, require_columns
+from ..functions.columns import TEMP, as_list, ref, require_columns
 
 RANGE = TEMP + "range"
-LOCAL = TEMP + "local"
 BEFORE = TEMP + "before"
-GROUP_TOTAL = TEMP + "group_total"
+IS_ROW = TEMP + "is_row"
+STEP = TEMP + "step"
 
+CHECKPOINT_SETTING = "spark.checkpoint.dir"
 
-def durable(df: DataFrame) -> DataFrame:
-    """Checkpoint ``df`` in the folder the session names for it.
 
-    The rows are then read back from shared storage, so later steps survive the
-    loss of executors and see one fixed assignment of rows to ranges.
-    """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder:
-            if not context.master.startswith("local"):
-                raise ValueError("Set spark.checkpoint.dir to a shared folder.")
-            folder = tempfile.mkdtemp(prefix="tallyforge-")
-        context.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The shared folder the session names; a private one in local mode only."""
+    folder = spark.conf.get(CHECKPOINT_SETTING, None) or spark.sparkContext.getCheckpointDir()
+    if folder:
+        return folder.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError(f"Set {CHECKPOINT_SETTING} to a shared folder.")
+    folder = tempfile.mkdtemp(prefix="tallyforge-")
+    spark.sparkContext.setCheckpointDir(folder)
+    return folder
 
 
-def _ranged(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
-    placed = [ref(k).asc_nulls_first() for k in keys] + list(order)
-    return durable(df.repartitionByRange(*placed).withColumn(RANGE, F.spark_partition_id()))
+def durable(df: DataFrame) -> DataFrame:
+    """Write ``df`` below the checkpoint folder and read it back.
+
+    Later steps then start from shared storage, survive the loss of executors and
+    see one fixed assignment of rows to ranges. Columns are stored under plain
+    names, so any header is fine.
+    """
+    path = f"{checkpoint_folder(df.sparkSession)}/tallyforge/{uuid.uuid4().hex}"
+    stored = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+    stored.write.parquet(path)
+    return df.sparkSession.read.schema(stored.schema).parquet(path).toDF(*df.columns)
 
 
 def prefix_sum(
@@ -60,37 +65,38 @@ def prefix_sum(
     """
     keys = as_list(keys)
     require_columns(df, value, keys)
-    ranged = _ranged(df, keys, order)
-    local = Window.partitionBy(*[ref(k) for k in keys], ref(RANGE)).orderBy(*order)
-    running = ranged.withColumn(
-        LOCAL, F.sum(ref(value)).over(local.rowsBetween(Window.unboundedPreceding, 0))
-    )
+    group = [ref(k) for k in keys]
+    placed = [g.asc_nulls_first() for g in group] + list(order)
+    ranged = durable(df.repartitionByRange(*placed).withColumn(RANGE, F.spark_partition_id()))
 
     # One row per (group, range): as many as there are groups plus ranges.
-    totals = ranged.groupBy(*[ref(k) for k in keys], ref(RANGE)).agg(
-        F.sum(ref(value)).alias(LOCAL)
-    )
-    group = Window.partitionBy(*[ref(k) for k in keys])
-    earlier = group.orderBy(ref(RANGE)).rowsBetween(Window.unboundedPreceding, -1)
+    totals = ranged.groupBy(*group, ref(RANGE)).agg(F.sum(ref(value)).alias(STEP))
+    earlier = Window.partitionBy(*group).orderBy(ref(RANGE))
+    before = F.sum(STEP).over(earlier.rowsBetween(Window.unboundedPreceding, -1))
     zero = F.lit(0).cast(df.schema[value].dataType)
     offsets = totals.select(
-        *[ref(k) for k in keys],
+        *group,
         ref(RANGE),
-        F.coalesce(F.sum(LOCAL).over(earlier), zero).alias(BEFORE),
-        F.sum(LOCAL).over(group).alias(GROUP_TOTAL),
+        F.coalesce(before, zero).alias(STEP),
+        F.sum(STEP).over(Window.partitionBy(*group)).alias(BEFORE),
+        F.lit(False).alias(IS_ROW),
     )
 
-    names = [*keys, RANGE]
-    joined = running.alias("r").join(
-        offsets.alias("o"),
-        null_safe_equal([qualified("r", n) for n in names], [qualified("o", n) for n in names]),
+    # The offset leads the rows of its range, so one shuffle serves both.
+    rows = ranged.withColumns(
+        {STEP: F.coalesce(ref(value), zero), BEFORE: F.lit(None), IS_ROW: F.lit(True)}
+    )
+    led = rows.unionByName(offsets, allowMissingColumns=True)
+    local = (
+        Window.partitionBy(*group, ref(RANGE))
+        .orderBy(ref(IS_ROW).asc(), *order)
+        .rowsBetween(Window.unboundedPreceding, 0)
     )
-    extra = [qualified("o", GROUP_TOTAL).alias(group_total)] if group_total else []
-    return joined.select(
-        *[qualified("r", n) for n in df.columns],
-        (qualified("o", BEFORE) + F.coalesce(qualified("r", LOCAL), zero)).alias(output),
-        *extra,
+    extra = [F.first(ref(BEFORE)).over(local).alias(group_total)] if group_total else []
+    summed = led.select(
+        *[ref(c) for c in df.columns], ref(IS_ROW), F.sum(ref(STEP)).over(local).alias(output), *extra
     )
+    return summed.filter(ref(IS_ROW)).drop(IS_ROW)
 
 
 def row_index(df: DataFrame, order: Sequence[Column], output: str) -> DataFrame:

@@ -38,16 +38,23 @@ def _union(parts: Sequence[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-def _finding(df: DataFrame, kind: str, subject, value, severity) -> DataFrame:
+def _finding_rows(df: DataFrame, *findings: tuple) -> DataFrame:
+    """(kind, subject, value, severity) rows out of each row, read once; a NULL value
+    means the finding does not apply."""
+
     def column(x):
         return F.lit(x) if isinstance(x, str) or x is None else x
 
-    return df.select(
-        F.lit(kind).alias("kind"),
-        column(subject).cast("string").alias("subject"),
-        value.cast("double").alias("value"),
-        column(severity).alias("severity"),
-    )
+    entries = [
+        F.struct(
+            F.lit(kind).alias("kind"),
+            column(subject).cast("string").alias("subject"),
+            value.cast("double").alias("value"),
+            column(severity).alias("severity"),
+        )
+        for kind, subject, value, severity in findings
+    ]
+    return df.select(F.inline(F.array(*entries))).filter(F.col("value").isNotNull())
 
 
 def table_size(df: DataFrame) -> DataFrame:
@@ -76,19 +83,21 @@ def analyze(
     and a concentration warning; decline of the leader; key figures per column.
     """
     require_columns(df, measure, category, date)
-    size = table_size(df)
-    dups = duplicate_row_count(df)
     repeated, missing = F.col("duplicate_rows"), F.col("missing_cells")
     parts = [
-        _finding(size, "rows", None, F.col("rows"), "info"),
-        _finding(size, "columns", None, F.col("columns"), "info"),
-        _finding(dups, "duplicate_rows", None, repeated,
-                 F.when(repeated > 0, "alert").otherwise("info")),
-        _finding(dups.filter(repeated > 0), "clean_duplicates", None, repeated, "recommendation"),
-        _finding(size, "missing_cells", None, missing,
-                 F.when(missing > 0, "alert").otherwise("info")),
-        _finding(size, "missing_pct", None, F.col("missing_pct"), "info"),
-    ]
+        _finding_rows(
+            table_size(df),
+            ("rows", None, F.col("rows"), "info"),
+            ("columns", None, F.col("columns"), "info"),
+            ("missing_cells", None, missing, F.when(missing > 0, "alert").otherwise("info")),
+            ("missing_pct", None, F.col("missing_pct"), "info"),
+        ),
+        _finding_rows(
+            duplicate_row_count(df),
+            ("duplicate_rows", None, repeated, F.when(repeated > 0, "alert").otherwise("info")),
+            ("clean_duplicates", None, F.when(repeated > 0, repeated), "recommendation"),
+        ),
+    ]
     names = numeric_columns(df)[:8]
     figures = key_metrics(df, names if measure in names else [*names, measure], accuracy=accuracy)
     stats = F.array(
@@ -109,17 +118,23 @@ def analyze(
         leader = with_share(sums, "total", "share").orderBy(
             F.col("total").desc_nulls_last(), ref(category).asc_nulls_last()
         ).limit(1)
-        concentrated = leader.filter(F.col("share") > CONCENTRATION_PCT)
-        parts += [
-            _finding(leader, "top_category", ref(category), F.col("total"), "info"),
-            _finding(leader, "top_share", ref(category), F.round("share", 2), "info"),
-            _finding(concentrated, "concentration", ref(category), F.round("share", 2), "recommendation"),
-        ]
+        share = F.round("share", 2)
+        parts.append(
+            _finding_rows(
+                leader,
+                ("top_category", ref(category), F.col("total"), "info"),
+                ("top_share", ref(category), share, "info"),
+                ("concentration", ref(category),
+                 F.when(F.col("share") > CONCENTRATION_PCT, share), "recommendation"),
+            )
+        )
         if date is not None:
             falling = segment_decline(df, date, category, measure).filter(
                 F.col("leading") & F.col("declined")
             )
-            parts.append(_finding(falling, "decline", ref(category), F.col("change_pct"), "alert"))
+            parts.append(
+                _finding_rows(falling, ("decline", ref(category), F.col("change_pct"), "alert"))
+            )
     return _union(parts)
 
 
@@ -264,14 +279,21 @@ def findings(
     keys = as_list(group_by)
     size = df.agg(F.count(F.lit(1)).alias("rows"))
     checked = quality_issues(df) if issues is None else issues
-    flagged = checked.agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 0)
+    flagged = checked.agg(F.count(F.lit(1)).alias("n"))
     leader = summarize(df, keys, measure, {metric: metric}, 1)
+    count = F.when(F.col("n") > 0, F.col("n"))
     return _union(
         [
-            _finding(size, "rows", None, F.col("rows"), "info"),
-            _finding(size, "columns", None, F.lit(len(df.columns)), "info"),
-            _finding(flagged, "quality_issues", None, F.col("n"), "alert"),
-            _finding(flagged, "clean_first", None, F.col("n"), "recommendation"),
-            _finding(leader, "leading_segment", ref(keys[0]), ref(metric), "info"),
+            _finding_rows(
+                size,
+                ("rows", None, F.col("rows"), "info"),
+                ("columns", None, F.lit(len(df.columns)), "info"),
+            ),
+            _finding_rows(
+                flagged,
+                ("quality_issues", None, count, "alert"),
+                ("clean_first", None, count, "recommendation"),
+            ),
+            _finding_rows(leader, ("leading_segment", ref(keys[0]), ref(metric), "info")),
         ]
     )
