@@ -386,12 +386,26 @@ def key_metrics(
     if not names:
         raise ValueError("No numeric columns.")
     require_columns(df, names)
-    long = long_numbers(df, names).filter(ref(VALUE).isNotNull())
-    return group_metrics(
-        long, ["column"], ref(VALUE),
-        {"total": "sum", "average": "average", "median": "median", "min": "min", "max": "max"},
-        accuracy=accuracy,
-    )
+    wide = df.agg(
+        *[
+            F.struct(
+                F.lit(n).alias("column"),
+                F.coalesce(F.sum(x), F.lit(0.0)).alias("total"),
+                F.avg(x).alias("average"),
+                F.min(x).alias("min"),
+                F.max(x).alias("max"),
+                F.count(x).alias("n"),
+            ).alias(f"c{i}")
+            for i, (n, x) in enumerate((n, to_number(df, n)) for n in names)
+        ]
+    )
+    figures = wide.select(F.inline(F.array(*wide.columns))).filter(F.col("n") > 0)
+    medians = percentiles(
+        long_numbers(df, names), VALUE, [0.5], ["median"], ["column"], accuracy=accuracy
+    )
+    return figures.join(medians, "column", "left").select(
+        "column", "total", "average", "median", "min", "max"
+    )
 
 
 def descriptive(df: DataFrame, measure: str, accuracy: int | None = None) -> DataFrame:

@@ -19,6 +19,7 @@ from ..functions.columns import TEMP, as_list, ref, require_columns
 
 RANGE = TEMP + "range"
 BEFORE = TEMP + "before"
+TOTAL = TEMP + "total"
 IS_ROW = TEMP + "is_row"
 STEP = TEMP + "step"
 
@@ -50,61 +51,96 @@ def durable(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(stored.schema).parquet(path).toDF(*df.columns)
 
 
-def prefix_sum(
-    df: DataFrame,
-    value: str,
-    order: Sequence[Column],
-    output: str,
-    keys: str | Sequence[str] | None = None,
-    group_total: str | None = None,
-) -> DataFrame:
-    """Add ``output`` = running sum of ``value`` in ``order`` (within ``keys``).
+def _ranges(
+    df: DataFrame, value: str, order: Sequence[Column], keys: Sequence[str]
+) -> tuple[DataFrame, DataFrame]:
+    """``df`` laid out by ``keys`` and ``order`` in numbered ranges, and per
+    (keys, range) its sum, what comes before it and the total of the group.
 
-    ``order`` must be total: together with ``keys`` it identifies a row.
-    ``group_total`` names an optional column for the sum over the whole group.
+    The second frame has as many rows as there are groups plus ranges.
     """
-    keys = as_list(keys)
-    require_columns(df, value, keys)
     group = [ref(k) for k in keys]
     placed = [g.asc_nulls_first() for g in group] + list(order)
     ranged = durable(df.repartitionByRange(*placed).withColumn(RANGE, F.spark_partition_id()))
-
-    # One row per (group, range): as many as there are groups plus ranges.
-    totals = ranged.groupBy(*group, ref(RANGE)).agg(F.sum(ref(value)).alias(STEP))
+    sums = ranged.groupBy(*group, ref(RANGE)).agg(F.sum(ref(value)).alias(STEP))
     earlier = Window.partitionBy(*group).orderBy(ref(RANGE))
     before = F.sum(STEP).over(earlier.rowsBetween(Window.unboundedPreceding, -1))
-    zero = F.lit(0).cast(df.schema[value].dataType)
-    offsets = totals.select(
+    offsets = sums.select(
         *group,
         ref(RANGE),
-        F.coalesce(before, zero).alias(STEP),
-        F.sum(STEP).over(Window.partitionBy(*group)).alias(BEFORE),
-        F.lit(False).alias(IS_ROW),
+        ref(STEP),
+        F.coalesce(before, _zero(df, value)).alias(BEFORE),
+        F.sum(STEP).over(Window.partitionBy(*group)).alias(TOTAL),
     )
+    return ranged, offsets
+
+
+def _zero(df: DataFrame, value: str) -> Column:
+    return F.lit(0).cast(df.schema[value].dataType)
 
-    # The offset leads the rows of its range, so one shuffle serves both.
+
+def _running(
+    ranged: DataFrame,
+    offsets: DataFrame,
+    value: str,
+    order: Sequence[Column],
+    output: str,
+    keys: Sequence[str],
+    group_total: str | None,
+) -> DataFrame:
+    """Running sums from ranges and their offsets.
+
+    The offset leads the rows of its range, so one shuffle serves both.
+    """
+    lead = offsets.select(
+        *[ref(k) for k in keys], ref(RANGE), ref(BEFORE).alias(STEP), ref(TOTAL),
+        F.lit(False).alias(IS_ROW),
+    )
     rows = ranged.withColumns(
-        {STEP: F.coalesce(ref(value), zero), BEFORE: F.lit(None), IS_ROW: F.lit(True)}
+        {STEP: F.coalesce(ref(value), _zero(ranged, value)), TOTAL: F.lit(None), IS_ROW: F.lit(True)}
     )
-    led = rows.unionByName(offsets, allowMissingColumns=True)
     local = (
-        Window.partitionBy(*group, ref(RANGE))
+        Window.partitionBy(*[ref(k) for k in keys], ref(RANGE))
         .orderBy(ref(IS_ROW).asc(), *order)
         .rowsBetween(Window.unboundedPreceding, 0)
     )
-    extra = [F.first(ref(BEFORE)).over(local).alias(group_total)] if group_total else []
-    summed = led.select(
-        *[ref(c) for c in df.columns], ref(IS_ROW), F.sum(ref(STEP)).over(local).alias(output), *extra
+    extra = [F.first(ref(TOTAL)).over(local).alias(group_total)] if group_total else []
+    kept = [c for c in ranged.columns if c != RANGE]
+    summed = rows.unionByName(lead, allowMissingColumns=True).select(
+        *[ref(c) for c in kept], ref(IS_ROW), F.sum(ref(STEP)).over(local).alias(output), *extra
     )
     return summed.filter(ref(IS_ROW)).drop(IS_ROW)
 
 
+def prefix_sum(
+    df: DataFrame,
+    value: str,
+    order: Sequence[Column],
+    output: str,
+    keys: str | Sequence[str] | None = None,
+    group_total: str | None = None,
+) -> DataFrame:
+    """Add ``output`` = running sum of ``value`` in ``order`` (within ``keys``).
+
+    ``order`` must be total: together with ``keys`` it identifies a row.
+    ``group_total`` names an optional column for the sum over the whole group.
+    """
+    keys = as_list(keys)
+    require_columns(df, value, keys)
+    ranged, offsets = _ranges(df, value, order, keys)
+    return _running(ranged, offsets, value, order, output, keys, group_total)
+
+
 def row_index(df: DataFrame, order: Sequence[Column], output: str) -> DataFrame:
     """Add the 1-based position of each row in a total order."""
     one = TEMP + "one"
     return prefix_sum(df.withColumn(one, F.lit(1).cast("bigint")), one, order, output).drop(one)
 
 
+# Distinct values whose counts one task holds; ranking is faster beyond that.
+SMALL_HISTOGRAM = 20_000
+
+
 def percentiles(
     df: DataFrame,
     value: str,
@@ -113,48 +149,91 @@ def percentiles(
     keys: str | Sequence[str] | None = None,
     frequency: str | None = None,
     accuracy: int | None = None,
+    small: int = SMALL_HISTOGRAM,
 ) -> DataFrame:
     """Interpolated percentiles of ``value`` per group, NULLs left out.
 
-    Exact by default: equal values are counted before the shuffle, and the
-    ranked counts are built by :func:`prefix_sum`, so a group holding most of the
-    rows is still worked on by many tasks. ``accuracy`` switches to the bounded
-    sketch of ``percentile_approx``. Groups without values give no row, except
-    that an ungrouped call always returns one.
+    Exact by default: equal values are counted before the shuffle. If the column
+    is known to have at most about ``small`` distinct values, each group's counts
+    fit one task; otherwise they are ranked by :func:`prefix_sum`, so a group
+    holding most of the rows is still worked on by many tasks. ``accuracy``
+    switches to the bounded sketch of ``percentile_approx``. Groups without values
+    give no row, except that an ungrouped call always returns one.
     """
     keys = as_list(keys)
     require_columns(df, value, keys, frequency)
     if len(probabilities) != len(outputs):
         raise ValueError("One output name per probability is needed.")
     present = df.filter(ref(value).isNotNull())
-    cols = [ref(k) for k in keys]
-    weight = F.sum(ref(frequency)) if frequency else F.count(F.lit(1))
+    group = [ref(k) for k in keys]
 
     if accuracy is not None:
         if frequency:
             raise ValueError("'accuracy' and 'frequency' exclude each other.")
-        return present.groupBy(*cols).agg(
+        return present.groupBy(*group).agg(
             *[
                 F.percentile_approx(ref(value), p, accuracy).cast("double").alias(o)
                 for p, o in zip(probabilities, outputs)
             ]
         )
 
-    count, rank, total = TEMP + "count", TEMP + "rank", TEMP + "total"
-    histogram = present.groupBy(*cols, ref(value)).agg(weight.cast("bigint").alias(count))
-    ranked = prefix_sum(
-        histogram, count, [ref(value).asc()], rank, keys=keys, group_total=total
-    )
+    count = TEMP + "count"
+    weight = F.sum(ref(frequency)) if frequency else F.count(F.lit(1))
+    histogram = present.groupBy(*group, ref(value)).agg(weight.cast("bigint").alias(count))
+    if _distinct_estimate(present, value) <= small:
+        return histogram.groupBy(*group).agg(
+            *[
+                F.percentile(ref(value), F.lit(float(p)), ref(count)).alias(o)
+                for p, o in zip(probabilities, outputs)
+            ]
+        )
+    return _ranked_percentiles(histogram, value, count, probabilities, outputs, keys)
+
+
+def _distinct_estimate(df: DataFrame, value: str) -> int:
+    """About how many values a column has: one pass, one number to the driver."""
+    return df.agg(F.approx_count_distinct(ref(value))).first()[0]
+
+
+def _ranked_percentiles(
+    histogram: DataFrame,
+    value: str,
+    count: str,
+    probabilities: Sequence[float],
+    outputs: Sequence[str],
+    keys: Sequence[str],
+) -> DataFrame:
+    """Percentiles from value counts, by the place each value takes in its group.
+
+    Only the ranges holding a wanted place are summed row by row; which these are
+    is known from the offsets, a list no longer than the number of ranges.
+    """
+    order = [ref(value).asc()]
+    ranged, offsets = _ranges(histogram, count, order, keys)
+
+    def places(p: float) -> tuple[Column, Column, Column]:
+        place = F.lit(float(p)) * (ref(TOTAL) - 1)
+        return place, F.floor(place), F.ceil(place)
+
+    def within(place: Column, start: Column, end: Column) -> Column:
+        return (start <= place) & (place < end)
+
+    inside = F.lit(False)
+    for p in probabilities:
+        for place in places(p)[1:]:
+            inside = inside | within(place, ref(BEFORE), ref(BEFORE) + ref(STEP))
+    numbers = [r[0] for r in offsets.filter(inside).select(ref(RANGE)).distinct().collect()]
+    used = ref(RANGE).isin(numbers)
 
+    rank = TEMP + "rank"
+    ranked = _running(ranged.filter(used), offsets.filter(used), count, order, rank, keys, TOTAL)
     picks, wanted = [], F.lit(False)
     for p, output in zip(probabilities, outputs):
-        place = F.lit(float(p)) * (ref(total) - 1)
-        low, high = F.floor(place), F.ceil(place)
-        holds_low = (ref(rank) - ref(count) <= low) & (low < ref(rank))
-        holds_high = (ref(rank) - ref(count) <= high) & (high < ref(rank))
+        place, low, high = places(p)
+        holds_low = within(low, ref(rank) - ref(count), ref(rank))
+        holds_high = within(high, ref(rank) - ref(count), ref(rank))
         wanted = wanted | holds_low | holds_high
         lower = F.max(F.when(holds_low, ref(value).cast("double")))
         upper = F.max(F.when(holds_high, ref(value).cast("double")))
-        share = F.max(place - low)
-        picks.append((lower + (upper - lower) * share).alias(output))
-    return ranked.filter(wanted).groupBy(*cols).agg(*picks)
+        picks.append((lower + (upper - lower) * F.max(place - low)).alias(output))
+    return ranked.filter(wanted).groupBy(*[ref(k) for k in keys]).agg(*picks)

@@ -107,16 +107,22 @@ def column_facts(
     dated = [c for c in df.columns if is_string(df, c) or is_temporal(df, c)]
     v, n = F.col("value"), F.col("count")
     is_text, may_be_date = F.col("column").isin(textual), F.col("column").isin(dated)
+    # Text of a numeric column needs no checking.
+    typed = F.when(F.col("column").isin(numeric_columns(df)), v.try_cast("double"))
+
+    def number(*marks: str) -> Column:
+        return F.coalesce(typed, F.when(is_text, parse_number(without(v, marks))))
+
     s = strip(v)
     digits = F.length(F.regexp_replace(v, r"\D", ""))
     tested = counts.select(
         "column", "value", "count",
         s.alias("s"),
         F.lower(s).alias("low"),
-        parse_number(without(v, NUMBER_MARKS)).alias("loose"),
-        parse_number(without(v, [",", "%"])).alias("num"),
-        F.when(is_text, parse_number(without(v, [","]))).alias("plain"),
-        parse_number(v).alias("strict"),
+        number(*NUMBER_MARKS).alias("loose"),
+        number(",", "%").alias("num"),
+        number(",").alias("plain"),
+        number().alias("strict"),
         F.when(may_be_date, parse_date(v, formats)).alias("day"),
         (is_text & s.rlike(EMAIL)).alias("email"),
         (is_text & v.rlike(EMAIL)).alias("valid_email"),

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import ref
+from .ordered import durable
 
 # Weights of name and content.
 SAME_NAME, PART_OF_NAME, SHARED_ID_NAME = 0.55, 0.35, 0.40
@@ -34,6 +35,9 @@ def id_boost(left: str, right: str) -> float:
     return ID_BOOST if marked else 0.0
 
 
+BITS = 63  # columns per mask
+
+
 def _column_values(df: DataFrame, first_id: int) -> DataFrame:
     """(column id, value) of every filled cell, values as text."""
     names = [str(first_id + i) for i in range(len(df.columns))]
@@ -42,6 +46,34 @@ def _column_values(df: DataFrame, first_id: int) -> DataFrame:
     return long.select(F.col("id").cast("int").alias("id"), "value")
 
 
+def _is_set(mask: str):
+    return lambda place: F.getbit(F.col(mask), place) == 1
+
+
+def _shifted(block: int):
+    return lambda place: place + block * BITS
+
+
+def _holder_counts(values: DataFrame, columns: int) -> DataFrame:
+    """(ids, n): sets of columns and how many values occur in exactly these.
+
+    A value's set is a bit mask per 63 columns, merged before the shuffle.
+    """
+    blocks = range((columns + BITS - 1) // BITS)
+    bit = F.expr(f"shiftleft(bigint(1), id % {BITS})")
+    block = F.floor(F.col("id") / BITS)
+    masks = [f"m{b}" for b in blocks]
+    holders = values.groupBy("value").agg(
+        *[F.bit_or(F.when(block == b, bit).otherwise(F.lit(0).cast("bigint"))).alias(f"m{b}") for b in blocks]
+    )
+    sets = holders.groupBy(*masks).agg(F.count(F.lit(1)).alias("n"))
+    places = F.sequence(F.lit(0), F.lit(BITS - 1))
+    members = [
+        F.transform(F.filter(places, _is_set(m)), _shifted(b)) for b, m in zip(blocks, masks)
+    ]
+    return sets.select(F.concat(*members).alias("ids"), "n")
+
+
 def detect_relationships(
     tables: Sequence[tuple[str, DataFrame]],
     min_confidence: float = MIN_CONFIDENCE,
@@ -60,11 +92,8 @@ def detect_relationships(
     for position, (name, df) in enumerate(tables):
         parts.append(_column_values(df, len(columns)))
         columns.extend((position, name, c) for c in df.columns)
-    values = reduce(DataFrame.unionByName, parts).distinct()
-
-    # At most one entry per column and value is left, so the sets stay short.
-    holders = values.groupBy("value").agg(F.sort_array(F.collect_set("id")).alias("ids"))
-    sets = holders.groupBy("ids").agg(F.count(F.lit(1)).alias("n"))
+    # Few rows: one per set of columns that share values.
+    sets = durable(_holder_counts(reduce(DataFrame.unionByName, parts), len(columns)))
     sizes = (
         sets.select(F.explode("ids").alias("id"), "n").groupBy("id").agg(F.sum("n").alias("size"))
     )
