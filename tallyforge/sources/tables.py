@@ -96,7 +96,7 @@ def infer_types(df: DataFrame) -> DataFrame:
 
 def _encoding(spark: SparkSession, path: str | list[str]) -> str:
     """UTF-8 unless a line holds bytes that are not, then Latin-1."""
-    broken = spark.read.text(path).filter(F.col("value").contains("�")).limit(1)
+    broken = spark.read.text(path).filter(~F.is_valid_utf8("value")).limit(1)
     return "ISO-8859-1" if broken.count() else "UTF-8"
 
 
