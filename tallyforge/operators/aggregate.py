@@ -88,9 +88,12 @@ def group_metrics(
     middle = percentiles(work, VALUE, [0.5], [medians[0]], keys, accuracy=accuracy)
     for extra in medians[1:]:
         middle = middle.withColumn(extra, ref(medians[0]))
-    counted = TEMP + "n"
+    if not keys:
+        m = middle.select(F.struct(*[ref(o) for o in medians]).alias("m")).scalar()
+        row = work.agg(F.count(F.lit(1)).alias(TEMP + "n"), *aggs)
+        return row.select(*[m[o].alias(o) if o in medians else ref(o) for o in metrics])
     base = work.groupBy(*[ref(k) for k in keys]).agg(
-        F.count(F.lit(1)).alias(counted), *aggs
+        F.count(F.lit(1)).alias(TEMP + "n"), *aggs
     )
     joined = base.alias("b").join(
         middle.alias("m"),

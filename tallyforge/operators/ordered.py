@@ -90,7 +90,8 @@ def _running(
 ) -> DataFrame:
     """Running sums from ranges and their offsets.
 
-    The offset leads the rows of its range, so one shuffle serves both.
+    ``order`` must put the offset before the rows of its range; the offset row has
+    NULL in every other column. One shuffle then serves both.
     """
     lead = offsets.select(
         *[ref(k) for k in keys], ref(RANGE), ref(BEFORE).alias(STEP), ref(TOTAL),
@@ -101,7 +102,7 @@ def _running(
     )
     local = (
         Window.partitionBy(*[ref(k) for k in keys], ref(RANGE))
-        .orderBy(ref(IS_ROW).asc(), *order)
+        .orderBy(*order)
         .rowsBetween(Window.unboundedPreceding, 0)
     )
     extra = [F.first(ref(TOTAL)).over(local).alias(group_total)] if group_total else []
@@ -128,7 +129,8 @@ def prefix_sum(
     keys = as_list(keys)
     require_columns(df, value, keys)
     ranged, offsets = _ranges(df, value, order, keys)
-    return _running(ranged, offsets, value, order, output, keys, group_total)
+    led = [ref(IS_ROW).asc(), *order]
+    return _running(ranged, offsets, value, led, output, keys, group_total)
 
 
 def row_index(df: DataFrame, order: Sequence[Column], output: str) -> DataFrame:
@@ -137,8 +139,8 @@ def row_index(df: DataFrame, order: Sequence[Column], output: str) -> DataFrame:
     return prefix_sum(df.withColumn(one, F.lit(1).cast("bigint")), one, order, output).drop(one)
 
 
-# Distinct values whose counts one task holds; ranking is faster beyond that.
-SMALL_HISTOGRAM = 20_000
+# Distinct values one task may sort; beyond that they are spread over ranges.
+ONE_TASK_VALUES = 2_000_000
 
 
 def percentiles(
@@ -149,16 +151,17 @@ def percentiles(
     keys: str | Sequence[str] | None = None,
     frequency: str | None = None,
     accuracy: int | None = None,
-    small: int = SMALL_HISTOGRAM,
+    one_task: int = ONE_TASK_VALUES,
 ) -> DataFrame:
     """Interpolated percentiles of ``value`` per group, NULLs left out.
 
-    Exact by default: equal values are counted before the shuffle. If the column
-    is known to have at most about ``small`` distinct values, each group's counts
-    fit one task; otherwise they are ranked by :func:`prefix_sum`, so a group
-    holding most of the rows is still worked on by many tasks. ``accuracy``
-    switches to the bounded sketch of ``percentile_approx``. Groups without values
-    give no row, except that an ungrouped call always returns one.
+    Exact by default: equal values are counted before the shuffle and the counts
+    summed in order of the values. A column estimated to have at most ``one_task``
+    distinct values is summed by one task per group; otherwise ranges of values
+    are summed apart, so a group holding most of the rows is still worked on by
+    many tasks. ``accuracy`` switches to the bounded sketch of
+    ``percentile_approx``. Groups without values give no row, except that an
+    ungrouped call always returns one.
     """
     keys = as_list(keys)
     require_columns(df, value, keys, frequency)
@@ -180,14 +183,18 @@ def percentiles(
     count = TEMP + "count"
     weight = F.sum(ref(frequency)) if frequency else F.count(F.lit(1))
     histogram = present.groupBy(*group, ref(value)).agg(weight.cast("bigint").alias(count))
-    if _distinct_estimate(present, value) <= small:
-        return histogram.groupBy(*group).agg(
-            *[
-                F.percentile(ref(value), F.lit(float(p)), ref(count)).alias(o)
-                for p, o in zip(probabilities, outputs)
-            ]
+    if _distinct_estimate(present, value) <= one_task:
+        ranged = histogram.withColumn(RANGE, F.lit(0))
+        offsets = (
+            histogram.groupBy(*group)
+            .agg(F.sum(count).alias(TOTAL))
+            .withColumns({RANGE: F.lit(0), BEFORE: F.lit(0).cast("bigint")})
         )
-    return _ranked_percentiles(histogram, value, count, probabilities, outputs, keys)
+    else:
+        ranged, offsets = _ranges(histogram, count, [ref(value).asc()], keys)
+        needed = _ranges_holding(offsets, probabilities)
+        ranged, offsets = ranged.filter(needed), offsets.filter(needed)
+    return _picked(ranged, offsets, value, count, probabilities, outputs, keys)
 
 
 def _distinct_estimate(df: DataFrame, value: str) -> int:
@@ -195,43 +202,49 @@ def _distinct_estimate(df: DataFrame, value: str) -> int:
     return df.agg(F.approx_count_distinct(ref(value))).first()[0]
 
 
-def _ranked_percentiles(
-    histogram: DataFrame,
-    value: str,
-    count: str,
-    probabilities: Sequence[float],
-    outputs: Sequence[str],
-    keys: Sequence[str],
-) -> DataFrame:
-    """Percentiles from value counts, by the place each value takes in its group.
+def _places(p: float) -> tuple[Column, Column, Column]:
+    """Exact 0-based place of a percentile, and the whole places around it."""
+    place = F.lit(float(p)) * (ref(TOTAL) - 1)
+    return place, F.floor(place), F.ceil(place)
 
-    Only the ranges holding a wanted place are summed row by row; which these are
-    is known from the offsets, a list no longer than the number of ranges.
-    """
-    order = [ref(value).asc()]
-    ranged, offsets = _ranges(histogram, count, order, keys)
 
-    def places(p: float) -> tuple[Column, Column, Column]:
-        place = F.lit(float(p)) * (ref(TOTAL) - 1)
-        return place, F.floor(place), F.ceil(place)
+def _within(place: Column, start: Column, end: Column) -> Column:
+    return (start <= place) & (place < end)
+
 
-    def within(place: Column, start: Column, end: Column) -> Column:
-        return (start <= place) & (place < end)
+def _ranges_holding(offsets: DataFrame, probabilities: Sequence[float]) -> Column:
+    """Test for the ranges that hold a wanted place of some group.
 
+    Reads the range numbers, at most one per range, so that all other files of the
+    laid-out table are skipped.
+    """
     inside = F.lit(False)
     for p in probabilities:
-        for place in places(p)[1:]:
-            inside = inside | within(place, ref(BEFORE), ref(BEFORE) + ref(STEP))
-    numbers = [r[0] for r in offsets.filter(inside).select(ref(RANGE)).distinct().collect()]
-    used = ref(RANGE).isin(numbers)
+        for place in _places(p)[1:]:
+            inside = inside | _within(place, ref(BEFORE), ref(BEFORE) + ref(STEP))
+    numbers = offsets.filter(inside).select(ref(RANGE)).distinct().collect()
+    return ref(RANGE).isin([r[0] for r in numbers])
+
 
+def _picked(
+    ranged: DataFrame,
+    offsets: DataFrame,
+    value: str,
+    count: str,
+    probabilities: Sequence[float],
+    outputs: Sequence[str],
+    keys: Sequence[str],
+) -> DataFrame:
+    """The values at the wanted places, interpolated."""
     rank = TEMP + "rank"
-    ranked = _running(ranged.filter(used), offsets.filter(used), count, order, rank, keys, TOTAL)
+    # Counted values are never NULL, so the offset comes first.
+    order = [ref(value).asc_nulls_first()]
+    ranked = _running(ranged, offsets, count, order, rank, keys, TOTAL)
     picks, wanted = [], F.lit(False)
     for p, output in zip(probabilities, outputs):
-        place, low, high = places(p)
-        holds_low = within(low, ref(rank) - ref(count), ref(rank))
-        holds_high = within(high, ref(rank) - ref(count), ref(rank))
+        place, low, high = _places(p)
+        holds_low = _within(low, ref(rank) - ref(count), ref(rank))
+        holds_high = _within(high, ref(rank) - ref(count), ref(rank))
         wanted = wanted | holds_low | holds_high
         lower = F.max(F.when(holds_low, ref(value).cast("double")))
         upper = F.max(F.when(holds_high, ref(value).cast("double")))
