@@ -8,11 +8,20 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tallyforge.operators.ordered import percentiles, prefix_sum, row_index
+from tallyforge.operators.ordered import RANGE, _ranges, percentiles, prefix_sum, row_index
 
 from helpers import rows
 
 
+@pytest.fixture(scope="module", autouse=True)
+def several_ranges(spark):
+    """Keep small data from being coalesced into a single range."""
+    setting = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(setting, "false")
+    yield
+    spark.conf.unset(setting)
+
+
 @pytest.fixture(scope="module")
 def skewed(spark):
     rng = random.Random(3)
@@ -21,6 +30,13 @@ def skewed(spark):
     return data, spark.createDataFrame(data, "k string, i int, v int")
 
 
+def test_rows_lie_in_several_ranges(skewed):
+    _, df = skewed
+    ranged, _ = _ranges(df, "v", [F.col("i").asc()], ["k"])
+    assert ranged.select(RANGE).distinct().count() == 4
+    assert ranged.filter("k = 'hot'").select(RANGE).distinct().count() > 1
+
+
 def test_prefix_sum_over_everything(skewed):
     data, df = skewed
     got = prefix_sum(df, "v", [F.col("v").desc(), F.col("i").asc()], "run").collect()
