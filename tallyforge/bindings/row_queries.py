@@ -113,6 +113,17 @@ BINDINGS["math_expr"] = (
 )
 
 
+def math_total(spark, d):
+    out = rows.math_expression(table(spark, d, "lineitem"), "l_extendedprice", "-", "l_tax", "net")
+    return rounded(rows.column_total(out, "net"), "total")
+
+
+BINDINGS["math_total"] = (
+    math_total,
+    "SELECT round(sum(l_extendedprice - l_tax), 2) AS total FROM lineitem",
+)
+
+
 def if_flag(spark, d):
     flagged = rows.logical_flag(table(spark, d, "orders"), "o_totalprice", ">", 250000, "Large", "Small", "size")
     return flagged.select("o_orderkey", "size")

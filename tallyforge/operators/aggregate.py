@@ -336,9 +336,8 @@ def pivot(
     kept = df.filter(_all_present([*rows, *columns]))
     value = to_number(df, measure)
     if not columns:
-        return group_metrics(kept, rows, value, {metric: name}, accuracy=accuracy).na.fill(
-            0, [metric]
-        )
+        out = group_metrics(kept, rows, value, {metric: name}, accuracy=accuracy)
+        return out.withColumn(metric, F.coalesce(ref(metric), F.lit(0)))
 
     labels = list(values) if values is not None else pivot_values(kept, columns, max_columns)
     key = TEMP + "cell"
@@ -350,7 +349,10 @@ def pivot(
     table = cells.groupBy(*[ref(r) for r in rows]).pivot(key, labels).agg(
         F.first(ref(VALUE), ignorenulls=True)
     )
-    return table.na.fill(0, labels)
+    empty = F.lit(0)
+    return table.select(
+        *[ref(r) for r in rows], *[F.coalesce(ref(v), empty).alias(v) for v in labels]
+    )
 
 
 def kpis(

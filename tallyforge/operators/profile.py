@@ -76,9 +76,14 @@ def _kind(df: DataFrame, name: str) -> str:
 
 
 def column_list(df: DataFrame) -> DataFrame:
-    """(position, column, kind) of every column: schema only."""
-    rows = [(i, c, _kind(df, c)) for i, c in enumerate(df.columns)]
-    return df.sparkSession.createDataFrame(rows, "position int, column string, kind string")
+    """(position, column, kind) of every column: schema only, in one partition."""
+    entries = [
+        F.struct(
+            F.lit(i).alias("position"), F.lit(c).alias("column"), F.lit(_kind(df, c)).alias("kind")
+        )
+        for i, c in enumerate(df.columns)
+    ]
+    return df.sparkSession.range(0, 1, 1, 1).select(F.inline(F.array(*entries)))
 
 
 def value_counts(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:

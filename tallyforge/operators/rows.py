@@ -88,6 +88,11 @@ def math_expression(
     return df.withColumn(result_name, math_column(a, op, b))
 
 
+def column_total(df: DataFrame, name: str = "Result") -> DataFrame:
+    """One row: sum of a computed column."""
+    return df.agg(F.coalesce(F.sum(to_number(df, name)), F.lit(0.0)).alias("total"))
+
+
 def logical_flag(
     df: DataFrame,
     column: str,

@@ -103,6 +103,8 @@ def test_pivot(shop):
     one = a.pivot(shop, None, "product", "revenue", "count", values=["Tea", "Milk"])
     assert rows(one, "Tea", "Milk") == [(2, 0)]
     assert pairs(a.pivot(shop, None, None, "revenue", "max")) == {"max": 300.0}
+    dotted = a.pivot(shop, "product", "cost", "revenue").filter("product = 'Cake'")
+    assert dotted.select("`20.0`", "`60.0`").first() == (50.0, 0.0)
     with pytest.raises(ValueError, match="more than 2"):
         a.pivot(shop, "product", "region", "revenue", max_columns=2)
 
