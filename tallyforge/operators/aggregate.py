@@ -430,9 +430,11 @@ def descriptive(df: DataFrame, measure: str, accuracy: int | None = None) -> Dat
         F.coalesce(finite(F.stddev_samp(x)), F.lit(0.0)).alias("std"),
         F.coalesce(finite(F.var_samp(x)), F.lit(0.0)).alias("variance"),
     )
-    stats = base.select(
-        "count", "mean", q["median"].alias("median"), "min", "max", "std", "variance",
-        q["q1"].alias("q1"), q["q3"].alias("q3"), (F.col("max") - F.col("min")).alias("range"),
+    # A column first, so that the subquery is planned once.
+    stats = base.withColumn("q", q).select(
+        "count", "mean", F.col("q.median").alias("median"), "min", "max", "std", "variance",
+        F.col("q.q1").alias("q1"), F.col("q.q3").alias("q3"),
+        (F.col("max") - F.col("min")).alias("range"),
     )
     return key_values(stats, "statistic", "value")
 

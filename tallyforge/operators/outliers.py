@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.coerce import to_number
-from ..functions.columns import TEMP, ref, require_columns
+from ..functions.columns import TEMP, is_numeric, ref, require_columns
 from .ordered import percentiles
 
 V = TEMP + "v"
@@ -22,14 +22,16 @@ def fences(df: DataFrame, measure: str, method: str = "iqr", accuracy: int | Non
     base = work.agg(
         F.count(ref(V)).alias("n"), F.avg(ref(V)).alias("mean"), F.stddev_samp(ref(V)).alias("std")
     )
+    # A column first, so that the subquery is planned once.
+    base = base.withColumn("q", q)
     if method == "iqr":
-        spread = 1.5 * (q["q3"] - q["q1"])
-        low, high = q["q1"] - spread, q["q3"] + spread
+        spread = 1.5 * (F.col("q.q3") - F.col("q.q1"))
+        low, high = F.col("q.q1") - spread, F.col("q.q3") + spread
     else:
         # A constant column has no fences.
         spread = F.when(F.col("std") > 0, 3 * F.col("std"))
         low, high = F.col("mean") - spread, F.col("mean") + spread
-    return base.select("n", q["median"].alias("median"), low.alias("low"), high.alias("high"))
+    return base.select("n", F.col("q.median").alias("median"), low.alias("low"), high.alias("high"))
 
 
 def outliers(
@@ -38,19 +40,23 @@ def outliers(
     """Rows outside the expected range, with that range and a severity.
 
     High means more than five times the median in size (or a zero median). Fewer
-    than four values give no outliers. The fences are a one-row scalar subquery.
+    than four values give no outliers. The four numbers of the fences are read
+    first: as constants they let the file scan skip whatever lies inside.
     """
     require_columns(df, measure)
-    names = ("n", "median", "low", "high")
-    f = fences(df, measure, method, accuracy).select(F.struct(*names).alias("f")).scalar()
+    found = fences(df, measure, method, accuracy).first()
+    fenced = found.n >= 4 and found.low is not None
+    low, high, median = (F.lit(x).cast("double") for x in (found.low, found.high, found.median))
+    rows = df if fenced else df.limit(0)
+    if is_numeric(df, measure):
+        rows = rows.filter((ref(measure) < low) | (ref(measure) > high))
     v = ref(V)
-    rows = df.withColumn(V, to_number(df, measure))
-    hits = rows.filter((f["n"] >= 4) & ((v < f["low"]) | (v > f["high"])))
-    large = (f["median"] == 0) | (F.abs(v) > 5 * F.abs(f["median"]))
+    hits = rows.withColumn(V, to_number(df, measure)).filter((v < low) | (v > high))
+    large = (median == 0) | (F.abs(v) > 5 * F.abs(median))
     return hits.select(
         *[ref(c) for c in df.columns],
-        f["low"].alias("expected_low"),
-        f["high"].alias("expected_high"),
-        F.format_string("%,.2f – %,.2f", f["low"], f["high"]).alias("expected_range"),
+        low.alias("expected_low"),
+        high.alias("expected_high"),
+        F.format_string("%,.2f – %,.2f", low, high).alias("expected_range"),
         F.when(large, "high").otherwise("medium").alias("severity"),
     )

@@ -99,3 +99,13 @@ def test_outliers(spark):
     assert [x.severity for x in o.outliers(zero, "v").collect()] == ["high"]
     with pytest.raises(ValueError):
         o.outliers(df, "v", "magic")
+
+
+def test_outlier_bounds_reach_the_scan(spark, tmp_path):
+    path = str(tmp_path / "v")
+    spark.range(100).selectExpr("cast(id as double) v").unionByName(
+        spark.sql("SELECT 1e6D v UNION ALL SELECT double('NaN')")
+    ).write.parquet(path)
+    hits = o.outliers(spark.read.parquet(path), "v")
+    assert [x.v for x in hits.collect()] == [1e6]
+    assert "Or(LessThan(v," in plan(hits)
