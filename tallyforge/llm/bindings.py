@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..sources.tables import read_table
-from . import simhash
+from .common import LOWER, UPPER
+from . import linededup, simhash
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -16,6 +18,25 @@ def op3_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, folder, "documents"))
 
 
+def op5_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    kept = linededup.drop_repeated_lines(table(spark, folder, "documents"))
+    digest = F.sha2(F.coalesce("text", F.lit("")), 256)
+    return kept.select("doc_id", "n_lines", "n_dropped", digest.alias("kept_sha256"))
+
+
+BLANKS_SQL = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+LOWER_SQL = f"translate({{x}}, '{UPPER}', '{LOWER}')"
+
+LINE_DEDUP = f"""
+WITH cut AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents),
+lines AS (SELECT doc_id, unnest(parts) AS line, generate_subscripts(parts, 1) AS pos FROM cut),
+keyed AS (SELECT *, {LOWER_SQL.format(x=f"trim(line, {BLANKS_SQL})")} AS k FROM lines),
+firsts AS (SELECT k, min(doc_id) AS f FROM keyed WHERE length(k) >= 10 GROUP BY k HAVING count(DISTINCT doc_id) > 1)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE f <> doc_id) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE f IS NULL OR f = doc_id), '')) AS kept_sha256
+FROM keyed LEFT JOIN firsts USING (k) GROUP BY doc_id"""
+
 BINDINGS = {
     "op3_simhash": (op3_simhash, None),
+    "op5_line_dedup": (op5_line_dedup, LINE_DEDUP),
 }
