@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import read_table
 from .common import LOWER, UPPER
-from . import linededup, simhash
+from . import bpe, linededup, mixture, simhash
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -36,7 +37,49 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE f <> doc_id) AS n_dro
        sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE f IS NULL OR f = doc_id), '')) AS kept_sha256
 FROM keyed LEFT JOIN firsts USING (k) GROUP BY doc_id"""
 
+def op9_mix(spark: SparkSession, folder: str) -> DataFrame:
+    plan = mixture.mix_plan(table(spark, folder, "documents"))
+    return plan.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+
+
+MIX = r"""
+WITH sized AS (
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size,
+         coalesce(CAST(doc_id AS varchar), md5(text), '') AS k FROM documents),
+sources AS (SELECT source, CAST(sum(size) AS bigint) AS n FROM sized GROUP BY source),
+weighed AS (SELECT *, [5, 2, 1][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3] AS w,
+                   row_number() OVER (ORDER BY source NULLS LAST) AS nr FROM sources),
+ranked AS (SELECT *, row_number() OVER (ORDER BY 2.0 * n / w, nr) AS pos FROM weighed),
+levels AS (
+  SELECT *, (1.5 * sum(n) OVER () - coalesce(sum(2.0 * n) OVER (ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+            / sum(w) OVER (ORDER BY pos ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM ranked),
+open AS (SELECT min_by(level, pos) AS level, min(pos) AS pos FROM levels WHERE CAST(level AS double) * w <= 2.0 * n),
+rates AS (
+  SELECT source, n, CAST(CASE WHEN pos >= (SELECT pos FROM open) THEN CAST((SELECT level FROM open) AS double) * w
+                              ELSE 2.0 * n END AS double) AS target FROM levels),
+taken AS (
+  SELECT doc_id, size, n AS source_size, target, CASE WHEN n = 0 THEN 0 ELSE least(target / n, 2) END AS rate,
+         CAST(CAST('0x' || substr(md5('mix:' || k), 1, 13) AS bigint) AS double) / pow(16, 13) AS chance
+  FROM sized JOIN rates ON sized.source IS NOT DISTINCT FROM rates.source)
+SELECT doc_id, size, source_size, target,
+       size * CAST(floor(rate) + CASE WHEN chance < rate - floor(rate) THEN 1 ELSE 0 END AS bigint) AS taken FROM taken"""
+
+
+def op10_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    coded = bpe.encode(table(spark, folder, "documents").select("doc_id", "text"), path)
+    both = coded.select("doc_id", "ids", bpe.decoded(F.col("ids"), path).alias("decoded"))
+    return both.select(
+        "doc_id",
+        (F.length("ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 BINDINGS = {
     "op3_simhash": (op3_simhash, None),
     "op5_line_dedup": (op5_line_dedup, LINE_DEDUP),
+    "op9_mix": (op9_mix, MIX),
+    "op10_bpe": (op10_bpe, None),
 }
