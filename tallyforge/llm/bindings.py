@@ -8,13 +8,19 @@ from pyspark.sql import functions as F
 
 from ..sources.tables import read_table
 from .common import LOWER, UPPER
-from . import bpe, linededup, mixture, simhash
+from . import bpe, cotrain, linededup, mixture, simhash
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return read_table(spark, f"{folder}/{name}.parquet")
 
 
+def op1_quality(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    scored = cotrain.score(docs, cotrain.fit(docs, table(spark, folder, "labels")))
+    return scored.select("doc_id", "text_score", "page_score", "score", "kept")
+
+
 def op3_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, folder, "documents"))
 
@@ -78,6 +84,7 @@ def op10_bpe(spark: SparkSession, folder: str) -> DataFrame:
 
 
 BINDINGS = {
+    "op1_quality": (op1_quality, None),
     "op3_simhash": (op3_simhash, None),
     "op5_line_dedup": (op5_line_dedup, LINE_DEDUP),
     "op9_mix": (op9_mix, MIX),
