@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..sources.tables import read_table
 from .common import LOWER, UPPER
-from . import bpe, cotrain, linededup, mixture, simhash
+from . import bpe, cotrain, linededup, mixture, rules, simhash
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -21,6 +21,44 @@ def op1_quality(spark: SparkSession, folder: str) -> DataFrame:
     return scored.select("doc_id", "text_score", "page_score", "score", "kept")
 
 
+def op2_rules(spark: SparkSession, folder: str) -> DataFrame:
+    base = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    docs = rules.with_measures(table(spark, folder, "documents").select("doc_id", "text"), base)
+    known = {name: F.col(name) for name in base}
+    failed = [rule.fails(known) for rule in rules.BASE_RULES]
+    judged = rules.cascade(docs, known=known)
+    return judged.select("doc_id", *base, (failed[0] | failed[1]).alias("base_failed"), "kept")
+
+
+RULES = r"""
+WITH cut AS (
+  SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+         [x FOR x IN string_split(coalesce(text, ''), chr(10)) IF regexp_matches(x, '[^\x20\x09-\x0D]')] AS lines
+  FROM documents),
+windows AS (
+  SELECT doc_id, pos, [w[pos], w[pos + 1], w[pos + 2], w[pos + 3], w[pos + 4]] AS five
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS pos FROM cut)),
+twice AS (SELECT doc_id, pos FROM windows QUALIFY count(*) OVER (PARTITION BY doc_id, five) > 1),
+covered AS (
+  SELECT doc_id, count(DISTINCT at_word) AS n FROM (SELECT doc_id, unnest(range(pos, pos + 5)) AS at_word FROM twice)
+  GROUP BY doc_id),
+base AS (
+  SELECT doc_id, CAST(len(w) AS bigint) AS n_words,
+         CAST(length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g')) AS bigint) AS word_chars,
+         CAST(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS bigint) AS n_symbols,
+         CAST(len(lines) - len(list_distinct(lines)) AS bigint) AS n_dup_lines,
+         CAST(coalesce(n, 0) AS bigint) AS n_repeat_words, len(lines) AS n_lines,
+         len([i FOR i IN range(2, len(w) + 1) IF w[i] = w[i - 1]]) AS n_stutters,
+         length(regexp_replace(text, '[^\p{Lu}]', '', 'g')) AS n_capitals
+  FROM cut LEFT JOIN covered USING (doc_id)),
+judged AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM base)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT (base_failed OR 10 * n_symbols > n_words OR word_chars < 2 * n_words OR word_chars > 20 * n_words
+            OR (n_dup_lines >= 3 AND 10 * n_dup_lines > 3 * n_lines)
+            OR 5 * n_stutters > n_words OR 10 * n_capitals > 4 * word_chars) AS kept
+FROM judged"""
+
+
 def op3_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, folder, "documents"))
 
@@ -85,6 +123,7 @@ def op10_bpe(spark: SparkSession, folder: str) -> DataFrame:
 
 BINDINGS = {
     "op1_quality": (op1_quality, None),
+    "op2_rules": (op2_rules, RULES),
     "op3_simhash": (op3_simhash, None),
     "op5_line_dedup": (op5_line_dedup, LINE_DEDUP),
     "op9_mix": (op9_mix, MIX),
