@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..sources.tables import read_table
 from .common import LOWER, UPPER
-from . import bpe, cotrain, linededup, mixture, rules, simhash
+from . import bpe, cotrain, linededup, mixture, rules, simhash, urls
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -81,6 +81,32 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE f <> doc_id) AS n_dro
        sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE f IS NULL OR f = doc_id), '')) AS kept_sha256
 FROM keyed LEFT JOIN firsts USING (k) GROUP BY doc_id"""
 
+URL_RULES = (
+    urls.UrlRule("block", "net", "/"),
+    urls.UrlRule("allow", "example.net", "/en/"),
+    urls.UrlRule("block", "example.com", "/de/"),
+    urls.UrlRule("allow", "org", "/fr/"),
+)
+
+
+def op6_urls(spark: SparkSession, folder: str) -> DataFrame:
+    judged = urls.judge_urls(table(spark, folder, "pages").select("page_id", "url"), URL_RULES)
+    return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
+URLS = f"""
+WITH rules AS (
+  SELECT unnest({[r.host for r in URL_RULES]}) AS h, unnest({[r.path for r in URL_RULES]}) AS p,
+         unnest({[r.verdict for r in URL_RULES]}) AS v),
+parts AS (
+  SELECT page_id, {LOWER_SQL.format(x="coalesce(regexp_extract(url, '://([^/?#]*)', 1), '')")} AS host,
+         coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') AS path FROM pages)
+SELECT page_id, host, path,
+       (SELECT arg_max(h || p, length(h || p)) FROM rules WHERE (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p)) AS rule,
+       coalesce((SELECT arg_max(v, length(h || p)) FROM rules WHERE (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p)), 'allow') AS verdict
+FROM parts"""
+
+
 def op9_mix(spark: SparkSession, folder: str) -> DataFrame:
     plan = mixture.mix_plan(table(spark, folder, "documents"))
     return plan.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
@@ -126,6 +152,7 @@ BINDINGS = {
     "op2_rules": (op2_rules, RULES),
     "op3_simhash": (op3_simhash, None),
     "op5_line_dedup": (op5_line_dedup, LINE_DEDUP),
+    "op6_urls": (op6_urls, URLS),
     "op9_mix": (op9_mix, MIX),
     "op10_bpe": (op10_bpe, None),
 }
