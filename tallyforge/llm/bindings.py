@@ -137,9 +137,8 @@ SELECT doc_id, size, source_size, target,
 
 def op10_bpe(spark: SparkSession, folder: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.json")
-    coded = bpe.encode(table(spark, folder, "documents").select("doc_id", "text"), path)
-    both = coded.select("doc_id", "ids", bpe.decoded(F.col("ids"), path).alias("decoded"))
-    return both.select(
+    coded = bpe.encode(table(spark, folder, "documents").select("doc_id", "text"), path, round_trip=True)
+    return coded.select(
         "doc_id",
         (F.length("ids") / 4).cast("long").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.ordered import durable
-from .common import need
+from .common import mapped, need
 
 #: Code points up to which a text is encoded in one go.
 LEAF = 1 << 15
@@ -127,32 +127,50 @@ def concatenate(parts: list[np.ndarray], coder: tiktoken.Encoding) -> np.ndarray
     return parts[0]
 
 
-def _coded(path: str):
-    @F.arrow_udf(returnType=T.BinaryType())
+def decode_ids(ids: np.ndarray, coder: tiktoken.Encoding) -> str:
+    return coder.decode_bytes(ids.tolist()).decode("utf-8", "replace")
+
+
+CODED = T.StructType([T.StructField("ids", T.BinaryType()), T.StructField("decoded", T.StringType())])
+
+
+def _struct(columns: list[pa.Array]) -> pa.Array:
+    return pa.StructArray.from_arrays(columns, names=CODED.names)
+
+
+def _results(ids: np.ndarray, coder: tiktoken.Encoding, back: bool) -> tuple[bytes, str | None]:
+    return ids.tobytes(), decode_ids(ids, coder) if back else None
+
+
+def _coded(path: str, back: bool):
+    @F.arrow_udf(returnType=CODED)
     def encode(text: pa.Array) -> pa.Array:
         coder = codec(path)
-        return pa.array((encode_leaf(t or "", coder).tobytes() for t in text.to_pylist()), pa.binary())
+        return _struct(mapped(text, lambda t: _results(encode_leaf(t or "", coder), coder, back), pa.binary(), pa.string()))
 
-    return encode.asNondeterministic()  # else the optimizer encodes anew for each use of the ids
+    return encode.asNondeterministic()  # else the optimizer encodes anew for each use of the result
 
 
 def _leaved(path: str, leaf: int):
     @F.arrow_udf(returnType=T.ArrayType(T.StringType()))
     def cut(text: pa.Array) -> pa.Array:
         special = sorted(codec(path).special_tokens_set)
-        return pa.array((leaves(t or "", special, leaf) for t in text.to_pylist()), pa.list_(pa.string()))
+        return mapped(text, lambda t: (leaves(t or "", special, leaf),), pa.list_(pa.string()))[0]
 
     return cut
 
 
-def _concatenated(path: str):
-    @F.arrow_udf(returnType=T.BinaryType())
+def _concatenated(path: str, back: bool):
+    @F.arrow_udf(returnType=CODED)
     def tree(parts: pa.Array) -> pa.Array:
         coder = codec(path)
-        rows = ([np.frombuffer(p, "<u4") for p in row] for row in parts.to_pylist())
-        return pa.array((concatenate(row, coder).tobytes() for row in rows), pa.binary())
 
-    return tree
+        def whole(row: list[bytes]) -> tuple[bytes, str | None]:
+            return _results(concatenate([np.frombuffer(p, "<u4") for p in row], coder), coder, back)
+
+        return _struct(mapped(parts, whole, pa.binary(), pa.string()))
+
+    return tree.asNondeterministic()
 
 
 def decoded(ids: Column, path: str) -> Column:
@@ -161,30 +179,34 @@ def decoded(ids: Column, path: str) -> Column:
     @F.arrow_udf(returnType=T.StringType())
     def decode(ids: pa.Array) -> pa.Array:
         coder = codec(path)
-        values = (None if v is None else coder.decode_bytes(np.frombuffer(v, "<u4").tolist()) for v in ids.to_pylist())
-        return pa.array((None if v is None else v.decode("utf-8", "replace") for v in values), pa.string())
+        return mapped(ids, lambda v: (None if v is None else decode_ids(np.frombuffer(v, "<u4"), coder),), pa.string())[0]
 
     return decode(ids)
 
 
-def encode(docs: DataFrame, path: str, text_column: str = "text", leaf: int = LEAF) -> DataFrame:
+def encode(
+    docs: DataFrame, path: str, text_column: str = "text", leaf: int = LEAF, round_trip: bool = False
+) -> DataFrame:
     """``docs`` with ``ids``: the ids of each whole text as little-endian unsigned 32-bit numbers.
 
     They are those of the tokenizers library for the file at ``path``, which all executors
     must be able to read: no special tokens are added, and those that stand in a text are
-    recognised. A NULL text is empty and has no ids. Any column called ids is replaced.
+    recognised. With ``round_trip`` the ids are decoded again into a column ``decoded``. A
+    NULL text is empty and has no ids. Columns of these names are replaced.
     Texts of more than ``leaf`` code points are stored once, with a number for each row,
     and their parts are spread over the tasks; repeated rows and ids do no harm.
     """
     need(docs, text_column)
-    names = [c for c in docs.columns if c != "ids"]
+    made = ["ids", "decoded"] if round_trip else ["ids"]
+    names = [c for c in docs.columns if c not in made]
     size = F.coalesce(F.length(text_column), F.lit(0))
-    short = docs.filter(size <= leaf).select(*names, _coded(path)(F.col(text_column)).alias("ids"))
+    short = docs.filter(size <= leaf).select(*names, _coded(path, round_trip)(F.col(text_column)).alias("__coded"))
     long = docs.filter(size > leaf).select(*names, F.monotonically_increasing_id().alias("__row"))
     long = durable(long)
     parts = long.select("__row", F.posexplode(_leaved(path, leaf)(F.col(text_column))).alias("__part", "__text"))
-    spread = parts.repartition("__row", "__part").select("__row", "__part", _coded(path)(F.col("__text")).alias("__ids"))
+    spread = parts.repartition("__row", "__part").select("__row", "__part", _coded(path, False)(F.col("__text"))["ids"].alias("__ids"))
     ordered = spread.groupBy("__row").agg(F.sort_array(F.collect_list(F.struct("__part", "__ids"))).alias("__parts"))
-    whole = ordered.select(F.col("__row").alias("__of"), _concatenated(path)(F.col("__parts.__ids")).alias("ids"))
-    joined = long.join(whole, F.col("__row") == F.col("__of"))
-    return short.unionByName(joined.select(*names, "ids"))
+    tree = _concatenated(path, round_trip)(F.col("__parts.__ids"))
+    whole = ordered.select(F.col("__row").alias("__of"), tree.alias("__coded"))
+    joined = long.join(whole, F.col("__row") == F.col("__of")).select(*names, "__coded")
+    return short.unionByName(joined).select(*names, *(f"__coded.{c}" for c in made))

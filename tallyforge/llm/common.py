@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -52,3 +52,17 @@ def need(df: DataFrame, *names: str) -> None:
 def signed(value: int) -> int:
     """An unsigned 64-bit number as the long with the same bits."""
     return value - (1 << 64) if value >> 63 else value
+
+
+#: Rows that are turned into Python values at a time; an Arrow batch may hold many more.
+SLICE = 200
+
+
+def mapped(column: pa.Array, make: Callable, *kinds: pa.DataType) -> list[pa.Array]:
+    """``make`` of each value, which gives a tuple with a value for each of ``kinds``; one array for each."""
+    parts: list[list[pa.Array]] = [[pa.array([], kind)] for kind in kinds]
+    for start in range(0, len(column), SLICE):
+        made = list(zip(*map(make, column.slice(start, SLICE).to_pylist()), strict=True))
+        for part, values, kind in zip(parts, made, kinds, strict=True):
+            part.append(pa.array(values, kind))
+    return [pa.concat_arrays(part) for part in parts]
