@@ -8,13 +8,17 @@ from pyspark.sql import functions as F
 
 from ..sources.tables import read_table
 from .common import LOWER, UPPER
-from . import bpe, cotrain, linededup, mixture, rules, simhash, urls
+from . import bpe, cotrain, licenses, linededup, mixture, rules, simhash, urls
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return read_table(spark, f"{folder}/{name}.parquet")
 
 
+BLANKS_SQL = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+LOWER_SQL = f"translate({{x}}, '{UPPER}', '{LOWER}')"
+
+
 def op1_quality(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     scored = cotrain.score(docs, cotrain.fit(docs, table(spark, folder, "labels")))
@@ -63,15 +67,59 @@ def op3_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, folder, "documents"))
 
 
+def op4_licenses(spark: SparkSession, folder: str) -> DataFrame:
+    found = licenses.scan_licenses(table(spark, folder, "documents").select("doc_id", "text"))
+    base, own = F.col("places.label"), F.col("lines.template")
+    joined = F.array_join(F.array_sort(F.array_distinct(base)), ",")
+    labels = F.array_join(F.array_sort(F.array_distinct(F.concat(base, own))), ",")
+    best = F.coalesce(F.array_max("lines.containment"), F.lit(0.0))
+    return found.select(
+        "doc_id",
+        "n_words",
+        F.size("places").cast("long").alias("n_base"),
+        F.array_min("places.word").alias("first_word"),
+        F.array_max("places.word").alias("last_word"),
+        joined.alias("base_labels"),
+        labels.alias("labels"),
+        F.when(F.size("places") > 0, 1.0).otherwise(best).alias("score"),
+    )
+
+
+TEMPLATE_ROWS = ", ".join(f"('{name}', '{text}')" for name, text in licenses.TEMPLATES.items())
+PHRASE_ROWS = ", ".join(f"({len(phrase.split())}, {phrase.split()}, '{label}')" for phrase, label in licenses.PHRASES.items())
+PLAIN_WORDS = r"regexp_extract_all({x}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+LICENSES = f"""
+WITH low AS (SELECT doc_id, {LOWER_SQL.format(x="coalesce(text, '')")} AS t FROM documents),
+words AS (SELECT doc_id, {PLAIN_WORDS.format(x="t")} AS w FROM low),
+phrases(size, words, label) AS (VALUES {PHRASE_ROWS}),
+spots AS (SELECT doc_id, unnest(range(len(w))) AS pos, w FROM words),
+places AS (SELECT doc_id, pos, label FROM spots JOIN phrases ON w[pos + 1] = words[1] AND w[pos + 1 : pos + size] = words),
+base AS (
+  SELECT doc_id, count(*) AS n, min(pos) AS a, max(pos) AS b, string_agg(DISTINCT label, ',' ORDER BY label) AS labels
+  FROM places GROUP BY doc_id),
+templates AS (
+  SELECT name, list_distinct({PLAIN_WORDS.format(x=LOWER_SQL.format(x="body"))}) AS tw FROM (VALUES {TEMPLATE_ROWS}) AS v(name, body)),
+lines AS (SELECT doc_id, list_distinct({PLAIN_WORDS.format(x="line")}) AS lw FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM low)),
+found AS (
+  SELECT doc_id, name, len(list_intersect(tw, lw)) / len(tw) AS share FROM lines, templates
+  WHERE len(list_intersect(tw, lw)) >= 0.8 * len(tw)),
+best AS (SELECT doc_id, max(share) AS share FROM found GROUP BY doc_id),
+named AS (
+  SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels
+  FROM (SELECT doc_id, label FROM places UNION ALL SELECT doc_id, name FROM found) GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS bigint) AS n_words, coalesce(n, 0) AS n_base, a AS first_word, b AS last_word,
+       coalesce(base.labels, '') AS base_labels, coalesce(named.labels, '') AS labels,
+       CASE WHEN n > 0 THEN 1.0 ELSE coalesce(share, 0) END AS score
+FROM words LEFT JOIN base USING (doc_id) LEFT JOIN named USING (doc_id) LEFT JOIN best USING (doc_id)"""
+
+
 def op5_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     kept = linededup.drop_repeated_lines(table(spark, folder, "documents"))
     digest = F.sha2(F.coalesce("text", F.lit("")), 256)
     return kept.select("doc_id", "n_lines", "n_dropped", digest.alias("kept_sha256"))
 
 
-BLANKS_SQL = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
-LOWER_SQL = f"translate({{x}}, '{UPPER}', '{LOWER}')"
-
 LINE_DEDUP = f"""
 WITH cut AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents),
 lines AS (SELECT doc_id, unnest(parts) AS line, generate_subscripts(parts, 1) AS pos FROM cut),
@@ -150,6 +198,7 @@ BINDINGS = {
     "op1_quality": (op1_quality, None),
     "op2_rules": (op2_rules, RULES),
     "op3_simhash": (op3_simhash, None),
+    "op4_licenses": (op4_licenses, LICENSES),
     "op5_line_dedup": (op5_line_dedup, LINE_DEDUP),
     "op6_urls": (op6_urls, URLS),
     "op9_mix": (op9_mix, MIX),
