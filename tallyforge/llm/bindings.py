@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..sources.tables import read_table
 from .common import LOWER, UPPER
-from . import bpe, cotrain, licenses, linededup, mixture, rules, simhash, urls
+from . import bpe, cotrain, licenses, linededup, mixture, passages, rules, simhash, urls
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -129,6 +129,11 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE f <> doc_id) AS n_dro
        sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE f IS NULL OR f = doc_id), '')) AS kept_sha256
 FROM keyed LEFT JOIN firsts USING (k) GROUP BY doc_id"""
 
+def op7_passages(spark: SparkSession, folder: str) -> DataFrame:
+    found = passages.repeated_passages(table(spark, folder, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "start", "end", "n_words", F.col("kept_ids").alias("kept_doc_ids"))
+
+
 URL_RULES = (
     urls.UrlRule("block", "net", "/"),
     urls.UrlRule("allow", "example.net", "/en/"),
@@ -201,6 +206,7 @@ BINDINGS = {
     "op4_licenses": (op4_licenses, LICENSES),
     "op5_line_dedup": (op5_line_dedup, LINE_DEDUP),
     "op6_urls": (op6_urls, URLS),
+    "op7_passages": (op7_passages, None),
     "op9_mix": (op9_mix, MIX),
     "op10_bpe": (op10_bpe, None),
 }
