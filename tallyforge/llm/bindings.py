@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..sources.tables import read_table
 from .common import LOWER, UPPER
-from . import bpe, cotrain, licenses, linededup, mixture, passages, rules, simhash, urls
+from . import bpe, cotrain, licenses, linededup, mixture, passages, rules, simhash, spots, urls
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -160,6 +160,10 @@ SELECT page_id, host, path,
 FROM parts"""
 
 
+def op8_spots(spark: SparkSession, folder: str) -> DataFrame:
+    return spots.compare_edited(table(spark, folder, "documents"))
+
+
 def op9_mix(spark: SparkSession, folder: str) -> DataFrame:
     plan = mixture.mix_plan(table(spark, folder, "documents"))
     return plan.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
@@ -207,6 +211,7 @@ BINDINGS = {
     "op5_line_dedup": (op5_line_dedup, LINE_DEDUP),
     "op6_urls": (op6_urls, URLS),
     "op7_passages": (op7_passages, None),
+    "op8_spots": (op8_spots, None),
     "op9_mix": (op9_mix, MIX),
     "op10_bpe": (op10_bpe, None),
 }
