@@ -34,7 +34,6 @@ def lookup_join(spark, d):
     customer = table(spark, d, "customer").select("c_custkey", "c_nationkey")
     return joins.lookup_join(
         customer, table(spark, d, "nation"), "c_nationkey", ["n_name", "n_regionkey"], "n_nationkey",
-        broadcast_rows=1000,
     )
 
 

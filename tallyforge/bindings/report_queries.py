@@ -137,7 +137,7 @@ PARTS = "parts AS (SELECT p_name, p_brand, p_type, p_retailprice FROM part)"
 
 def dashboard_inventory(spark, d):
     parts = table(spark, d, "part").select("p_name", "p_brand", "p_type", "p_retailprice")
-    return rounded(templates.stock_dashboard(parts, "p_retailprice", None, "p_brand", "p_type"), "value")
+    return rounded(templates.report("stock_dashboard", parts, "p_retailprice", None, "p_brand", "p_type"), "value")
 
 
 BINDINGS["dashboard_inventory"] = (
@@ -275,9 +275,10 @@ BINDINGS["findings"] = (
 
 
 # Templates ------------------------------------------------------------------------
-def _ranked(source: str, key: str, measure: str, n: int, direction: str, name: str, ctes: str = "") -> str:
+def _ranked(source: str, key: str, measure: str, n: int | None, direction: str, name: str, ctes: str = "") -> str:
+    limit = "" if n is None else f"LIMIT {n}"
     return f"""{f"WITH {ctes}" if ctes else ""} SELECT {key}, round(sum({measure}), 2) AS {name}
-       FROM {source} GROUP BY 1 ORDER BY sum({measure}) {direction}, 1 LIMIT {n}"""
+       FROM {source} GROUP BY 1 ORDER BY sum({measure}) {direction}, 1 {limit}"""
 
 
 def _join(spark, d, left, right, on_left, on_right):
@@ -286,8 +287,8 @@ def _join(spark, d, left, right, on_left, on_right):
 
 BINDINGS["tpl_sales_dashboard"] = (
     lambda spark, d: rounded(
-        templates.sales_dashboard(
-            sales(spark, d), "o_totalprice", "o_orderdate", "c_mktsegment", "o_orderpriority"
+        templates.report(
+            "sales_dashboard", sales(spark, d), "o_totalprice", "o_orderdate", "c_mktsegment", "o_orderpriority"
         ),
         "value",
     ),
@@ -300,37 +301,37 @@ BINDINGS["tpl_sales_dashboard"] = (
 
 BINDINGS["tpl_sales_person"] = (
     lambda spark, d: rounded(
-        templates.salesperson_performance(
-            _join(spark, d, "lineitem", "supplier", "l_suppkey", "s_suppkey"), "s_name", "l_extendedprice"
+        templates.report(
+            "salesperson_performance", _join(spark, d, "lineitem", "supplier", "l_suppkey", "s_suppkey"), "s_name", "l_extendedprice"
         ),
         "sum",
     ),
-    _ranked("lineitem JOIN supplier ON l_suppkey = s_suppkey", "s_name", "l_extendedprice", 20, "DESC", "sum"),
+    _ranked("lineitem JOIN supplier ON l_suppkey = s_suppkey", "s_name", "l_extendedprice", None, "DESC", "sum"),
 )
 
 BINDINGS["tpl_sales_product"] = (
     lambda spark, d: rounded(
-        templates.product_performance(
-            _join(spark, d, "lineitem", "part", "l_partkey", "p_partkey"), "p_brand", "l_extendedprice"
+        templates.report(
+            "product_performance", _join(spark, d, "lineitem", "part", "l_partkey", "p_partkey"), "p_brand", "l_extendedprice"
         ),
         "sum",
     ),
-    _ranked("lineitem JOIN part ON l_partkey = p_partkey", "p_brand", "l_extendedprice", 15, "DESC", "sum"),
+    _ranked("lineitem JOIN part ON l_partkey = p_partkey", "p_brand", "l_extendedprice", None, "DESC", "sum"),
 )
 
 BINDINGS["tpl_sales_customer"] = (
     lambda spark, d: rounded(
-        templates.customer_analysis(
-            _join(spark, d, "orders", "customer", "o_custkey", "c_custkey"), "c_name", "o_totalprice"
+        templates.report(
+            "customer_analysis", _join(spark, d, "orders", "customer", "o_custkey", "c_custkey"), "c_name", "o_totalprice"
         ),
         "sum",
     ),
-    _ranked("orders JOIN customer ON o_custkey = c_custkey", "c_name", "o_totalprice", 20, "DESC", "sum"),
+    _ranked("orders JOIN customer ON o_custkey = c_custkey", "c_name", "o_totalprice", None, "DESC", "sum"),
 )
 
 BINDINGS["tpl_sales_trend"] = (
     lambda spark, d: rounded(
-        templates.monthly_trend(table(spark, d, "lineitem"), "l_shipdate", "l_extendedprice"),
+        templates.report("monthly_trend", table(spark, d, "lineitem"), "l_shipdate", "l_extendedprice"),
         "l_extendedprice",
     ),
     f"WITH {growth_sql('lineitem', 'l_shipdate', 'l_extendedprice', 'month')} SELECT * FROM growth",
@@ -338,27 +339,27 @@ BINDINGS["tpl_sales_trend"] = (
 
 BINDINGS["tpl_inventory_stock"] = (dashboard_inventory, BINDINGS["dashboard_inventory"][1])
 
-for _name, _template in (("low", templates.low_stock), ("dead", templates.dead_stock)):
+for _name, _template in (("low", "low_stock"), ("dead", "dead_stock")):
     BINDINGS[f"tpl_inventory_{_name}"] = (
         lambda spark, d, run=_template: rounded(
-            run(table(spark, d, "lineitem"), "l_partkey", "l_quantity"), "l_quantity"
+            templates.report(run, table(spark, d, "lineitem"), "l_partkey", "l_quantity"), "l_quantity"
         ),
-        _ranked("lineitem", "l_partkey", "l_quantity", 15, "ASC", "l_quantity"),
+        _ranked("lineitem", "l_partkey", "l_quantity", None, "ASC", "l_quantity"),
     )
 
 BINDINGS["tpl_finance_expense"] = (
     lambda spark, d: rounded(
-        templates.expense_analysis(
-            _join(spark, d, "lineitem", "part", "l_partkey", "p_partkey"), "p_type", "l_extendedprice"
+        templates.report(
+            "expense_analysis", _join(spark, d, "lineitem", "part", "l_partkey", "p_partkey"), "p_type", "l_extendedprice"
         ),
         "sum",
     ),
-    _ranked("lineitem JOIN part ON l_partkey = p_partkey", "p_type", "l_extendedprice", 20, "DESC", "sum"),
+    _ranked("lineitem JOIN part ON l_partkey = p_partkey", "p_type", "l_extendedprice", None, "DESC", "sum"),
 )
 
 BINDINGS["tpl_finance_variance"] = (
     lambda spark, d: rounded(
-        templates.variance_analysis(lines(spark, d), "revenue", "cost").select(
+        templates.report("variance_analysis", lines(spark, d), "revenue", "cost").select(
             "l_orderkey", "l_linenumber", "variance", "variance_pct"
         ),
         "variance", digits=4,
@@ -367,23 +368,23 @@ BINDINGS["tpl_finance_variance"] = (
 )
 
 BINDINGS["tpl_finance_pnl"] = (
-    lambda spark, d: rounded(templates.pnl_summary(lines(spark, d), "revenue", "cost"), "value"),
+    lambda spark, d: rounded(templates.report("pnl_summary", lines(spark, d), "revenue", "cost"), "value"),
     PNL_SQL,
 )
 
 BINDINGS["tpl_hr_employee"] = (
     lambda spark, d: rounded(
-        templates.employee_performance(table(spark, d, "supplier"), "s_name", "s_acctbal"), "sum"
+        templates.report("employee_performance", table(spark, d, "supplier"), "s_name", "s_acctbal"), "sum"
     ),
-    _ranked("supplier", "s_name", "s_acctbal", 20, "DESC", "sum"),
+    _ranked("supplier", "s_name", "s_acctbal", None, "DESC", "sum"),
 )
 
 _EVENTS = "ev AS (SELECT event_id, event_type, value FROM events)"
 
 BINDINGS["tpl_hr_attendance"] = (
     lambda spark, d: rounded(
-        templates.attendance_summary(
-            table(spark, d, "events").select("event_id", "event_type", "value"), "value", "event_type"
+        templates.report(
+            "attendance_summary", table(spark, d, "events").select("event_id", "event_type", "value"), "value", "event_type"
         ),
         "value",
     ),
@@ -395,8 +396,8 @@ _LEADS = "leads AS (SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders)"
 
 BINDINGS["tpl_crm_leads"] = (
     lambda spark, d: rounded(
-        templates.lead_analysis(
-            table(spark, d, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice"),
+        templates.report(
+            "lead_analysis", table(spark, d, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice"),
             "o_totalprice", "o_orderstatus",
         ),
         "value",
@@ -408,14 +409,14 @@ BINDINGS["tpl_crm_leads"] = (
 
 BINDINGS["tpl_crm_pipeline"] = (
     lambda spark, d: rounded(
-        templates.pipeline_analysis(table(spark, d, "orders"), "o_orderstatus", "o_totalprice"), "sum"
+        templates.report("pipeline_analysis", table(spark, d, "orders"), "o_orderstatus", "o_totalprice"), "sum"
     ),
-    _ranked("orders", "o_orderstatus", "o_totalprice", 20, "DESC", "sum"),
+    _ranked("orders", "o_orderstatus", "o_totalprice", None, "DESC", "sum"),
 )
 
 BINDINGS["tpl_ecommerce_orders"] = (
     lambda spark, d: rounded(
-        templates.order_analysis(sales(spark, d), "o_totalprice", "o_orderdate", "c_mktsegment"), "value"
+        templates.report("order_analysis", sales(spark, d), "o_totalprice", "o_orderdate", "c_mktsegment"), "value"
     ),
     dashboard_sql(
         SALES, "sales", "o_totalprice", "o_orderdate",
@@ -425,15 +426,15 @@ BINDINGS["tpl_ecommerce_orders"] = (
 
 BINDINGS["tpl_ecommerce_sku"] = (
     lambda spark, d: rounded(
-        templates.sku_performance(table(spark, d, "part"), "p_name", "p_retailprice"), "sum"
+        templates.report("sku_performance", table(spark, d, "part"), "p_name", "p_retailprice"), "sum"
     ),
-    _ranked("part", "p_name", "p_retailprice", 20, "DESC", "sum"),
+    _ranked("part", "p_name", "p_retailprice", None, "DESC", "sum"),
 )
 
 
 def tpl_ecommerce_returns(spark, d):
     returned = lines(spark, d).filter(F.col("l_returnflag") == "R")
-    return templates.returns_overview(returned, "discount")
+    return templates.report("returns_overview", returned, "discount")
 
 
 BINDINGS["tpl_ecommerce_returns"] = (

@@ -108,3 +108,35 @@ def key_values(row: DataFrame, key: str, value: str, names: Sequence[str] | None
         F.struct(F.lit(n).alias(key), ref(n).cast("double").alias(value)) for n in names
     ]
     return row.select(F.inline(F.array(*pairs)))
+
+
+def numbered(names: Sequence[str]) -> list[str]:
+    """Names with repeats numbered. Names differing only in case count as repeats, since
+    Spark resolves columns without regard to case."""
+    used: set[str] = set()
+    seen: dict[str, int] = {}
+    out = []
+    for base in names:
+        key, name = base.lower(), base
+        seen[key] = seen.get(key, 0) + 1
+        if seen[key] > 1:
+            name = f"{base}_{seen[key]}"
+        while name.lower() in used:
+            seen[key] += 1
+            name = f"{base}_{seen[key]}"
+        used.add(name.lower())
+        out.append(name)
+    return out
+
+
+def header_names(names: Sequence[str | None]) -> list[str]:
+    """Usable column names: stripped, blanks named by position, repeats numbered."""
+    bare = ["" if raw is None else str(raw).strip() for raw in names]
+    unnamed = (f"Column_{i + 1}" for i in range(len(bare)))
+    return numbered([u if not n or n.startswith("Unnamed") else n for n, u in zip(bare, unnamed)])
+
+
+def raw_value(df: DataFrame, name: str) -> Column:
+    """A column as it is, but NaN as NULL."""
+    floating = isinstance(df.schema[name].dataType, (T.DoubleType, T.FloatType))
+    return F.when(~F.isnan(ref(name)), ref(name)) if floating else ref(name)

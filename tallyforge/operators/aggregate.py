@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -12,17 +13,17 @@ from ..functions.columns import (
     TEMP,
     as_list,
     key_values,
-    null_safe_equal,
+    numbered,
     numeric_columns,
     order_keys,
-    qualified,
+    raw_value,
     ref,
     require_columns,
 )
 from ..functions.predicates import criteria, flag
-from .ordered import percentiles
+from .ordered import with_percentiles
 
-VALUE = TEMP + "value"
+VALUE, RAW = TEMP + "value", TEMP + "raw"
 
 # Accepted spellings of each metric.
 METRIC_NAMES = {
@@ -73,37 +74,31 @@ def group_metrics(
     metrics: Mapping[str, str],
     approx: bool = False,
     accuracy: int | None = None,
+    raw: Column | None = None,
 ) -> DataFrame:
     """``keys`` plus one column per ``{output: metric}``; NULL keys form a group.
 
-    Medians come from :func:`percentiles` and are joined back on the keys.
+    Distinct values are counted in ``raw``, the value before it was read as a number.
     """
-    work = df.select(*[ref(k) for k in keys], value.alias(VALUE))
-    plain = {o: m for o, m in metrics.items() if canonical_metric(m) != "median"}
-    medians = [o for o in metrics if o not in plain]
-    aggs = [metric_column(m, ref(VALUE), approx).alias(o) for o, m in plain.items()]
+    if clash := {k.lower() for k in keys} & {o.lower() for o in metrics}:
+        raise ValueError(f"Outputs named like keys: {', '.join(sorted(clash))}")
+    raw = value if raw is None else raw
+    work = df.select(*[ref(k) for k in keys], value.alias(VALUE), raw.alias(RAW))
+    aggs, medians = {}, []
+    for output, metric in metrics.items():
+        name = canonical_metric(metric)
+        if name == "median":
+            medians.append(output)
+        else:
+            aggs[output] = metric_column(metric, ref(RAW if name == "distinct_count" else VALUE), approx)
+    if accuracy is not None:
+        aggs |= {o: F.percentile_approx(ref(VALUE), 0.5, accuracy).cast("double") for o in medians}
+        medians = []
     if not medians:
-        return work.groupBy(*[ref(k) for k in keys]).agg(*aggs)
-
-    middle = percentiles(work, VALUE, [0.5], [medians[0]], keys, accuracy=accuracy)
-    for extra in medians[1:]:
-        middle = middle.withColumn(extra, ref(medians[0]))
-    if not keys:
-        m = middle.select(F.struct(*[ref(o) for o in medians]).alias("m")).scalar()
-        row = work.agg(F.count(F.lit(1)).alias(TEMP + "n"), *aggs)
-        return row.select(*[m[o].alias(o) if o in medians else ref(o) for o in metrics])
-    base = work.groupBy(*[ref(k) for k in keys]).agg(
-        F.count(F.lit(1)).alias(TEMP + "n"), *aggs
-    )
-    joined = base.alias("b").join(
-        middle.alias("m"),
-        null_safe_equal([qualified("b", k) for k in keys], [qualified("m", k) for k in keys]),
-        "left",
-    )
-    return joined.select(
-        *[qualified("b", k) for k in keys],
-        *[qualified("m" if o in medians else "b", o) for o in metrics],
-    )
+        return work.groupBy(*[ref(k) for k in keys]).agg(*[aggs[o].alias(o) for o in metrics])
+    middle = medians[0]
+    out = with_percentiles(work, VALUE, [0.5], [middle], keys, aggs)
+    return out.select(*[ref(k) for k in keys], *[ref(middle if o in medians else o).alias(o) for o in metrics])
 
 
 def aggregate(
@@ -111,7 +106,9 @@ def aggregate(
 ) -> DataFrame:
     """(metric, value) rows over the readable numbers of one column; nothing → 0."""
     names = as_list(metrics)
-    wide = group_metrics(df, [], to_number(df, measure), {n: n for n in names}, accuracy=accuracy)
+    wide = group_metrics(
+        df, [], to_number(df, measure), {n: n for n in names}, accuracy=accuracy, raw=raw_value(df, measure)
+    )
     filled = wide.select(
         *[F.coalesce(ref(n).cast("double"), F.lit(0.0)).alias(n) for n in names]
     )
@@ -135,7 +132,7 @@ def summarize(
     outputs = (
         dict(metrics) if isinstance(metrics, Mapping) else {m: m for m in as_list(metrics)}
     )
-    out = group_metrics(df, keys, to_number(df, measure), outputs, approx, accuracy)
+    out = group_metrics(df, keys, to_number(df, measure), outputs, approx, accuracy, raw_value(df, measure))
     if sort or top_n:
         first = next(iter(outputs))
         out = out.orderBy(*order_keys([first], ascending), *order_keys(keys))
@@ -285,24 +282,17 @@ def conditional_board(
     return key_values(df.agg(*aggs), "name", "value", list(cases))
 
 
-def pivot_values(df: DataFrame, columns: Sequence[str], max_columns: int = 10000) -> list[str]:
-    """Labels of the columns a pivot will have; more than ``max_columns`` is an error.
+def pivot_values(df: DataFrame, columns: Sequence[str], max_columns: int = 10000) -> list[tuple[str, ...]]:
+    """Keys, as text, that a pivot has a column for, in order; more than ``max_columns`` is an error.
 
     Column names are schema, so they are read here; at most ``max_columns + 1``
-    short labels come to the driver.
+    short rows come to the driver.
     """
-    label = _pivot_label(columns)
-    found = (
-        df.filter(_all_present(columns)).select(label.alias("v")).distinct()
-        .limit(max_columns + 1).collect()
-    )
+    texts = [ref(c).cast("string") for c in columns]
+    found = df.filter(_all_present(columns)).select(*texts).distinct().limit(max_columns + 1).collect()
     if len(found) > max_columns:
         raise ValueError(f"The pivot would have more than {max_columns} columns.")
-    return sorted(r["v"] for r in found)
-
-
-def _pivot_label(columns: Sequence[str]) -> Column:
-    return F.concat_ws("_", *[ref(c).cast("string") for c in columns])
+    return sorted(map(tuple, found), key=lambda key: ("_".join(key), key))
 
 
 def _all_present(names: Sequence[str]) -> Column:
@@ -318,41 +308,47 @@ def pivot(
     columns: str | Sequence[str] | None,
     measure: str,
     metric: str = "sum",
-    values: Sequence[str] | None = None,
+    values: Sequence[str] | Sequence[Sequence] | None = None,
     max_columns: int = 10000,
     accuracy: int | None = None,
 ) -> DataFrame:
     """Cross-tabulation; empty cells are 0 and NULL keys are left out.
 
-    ``values`` gives the column labels and saves the pass that looks for them.
+    Cells belong to the key columns themselves, and a cell's column is named after its
+    keys, joined by ``_``; a name that is taken already (ignoring case) gets a number.
+    ``values`` gives the keys (a tuple each, or a value if there is one column) and saves
+    the pass that looks for them.
     """
     rows, columns = as_list(rows), as_list(columns)
     require_columns(df, rows, columns, measure)
-    name = canonical_metric(metric)
-    if name in ("variance", "distinct_count"):
-        name = "sum"
+    canonical_metric(metric)
     if not rows and not columns:
         return aggregate(df, measure, metric, accuracy)
     kept = df.filter(_all_present([*rows, *columns]))
-    value = to_number(df, measure)
+    value, raw = to_number(df, measure), raw_value(df, measure)
     if not columns:
-        out = group_metrics(kept, rows, value, {metric: name}, accuracy=accuracy)
-        return out.withColumn(metric, F.coalesce(ref(metric), F.lit(0)))
-
-    labels = list(values) if values is not None else pivot_values(kept, columns, max_columns)
-    key = TEMP + "cell"
-    cells = group_metrics(
-        kept.withColumn(key, _pivot_label(columns)), [*rows, key], value,
-        {VALUE: name}, accuracy=accuracy,
-    )
-    # Cells are unique per (row, label) by now, so picking one value is enough.
-    table = cells.groupBy(*[ref(r) for r in rows]).pivot(key, labels).agg(
-        F.first(ref(VALUE), ignorenulls=True)
-    )
-    empty = F.lit(0)
-    return table.select(
-        *[ref(r) for r in rows], *[F.coalesce(ref(v), empty).alias(v) for v in labels]
-    )
+        out = group_metrics(kept, rows, value, {VALUE: metric}, accuracy=accuracy, raw=raw)
+        name = numbered([*rows, metric])[-1]
+        return out.select(*map(ref, rows), F.coalesce(ref(VALUE), F.lit(0)).alias(name))
+
+    if values is None:
+        keys = pivot_values(kept, columns, max_columns)
+    else:
+        keys = [tuple(map(str, v)) if isinstance(v, (list, tuple)) else (str(v),) for v in values]
+    names = numbered([*rows, *map("_".join, keys)])[len(rows) :]
+    cells = group_metrics(kept, [*rows, *columns], value, {VALUE: metric}, accuracy=accuracy, raw=raw)
+    texts = [json.dumps(k, ensure_ascii=False, separators=(",", ":")) for k in keys]
+    cell = TEMP + "cell"
+    keyed = cells.withColumn(cell, _key_text([ref(c).cast("string") for c in columns]))
+    # Cells are unique per row and key by now, so picking one value is enough.
+    table = keyed.groupBy(*map(ref, rows)).pivot(cell, texts).agg(F.first(ref(VALUE), ignorenulls=True))
+    table = table.toDF(*rows, *names)
+    return table.select(*map(ref, rows), *[F.coalesce(ref(n), F.lit(0)).alias(n) for n in names])
+
+
+def _key_text(parts: Sequence[Column]) -> Column:
+    """The values of a key as one text that tells them apart, as ``json.dumps`` writes it."""
+    return F.to_json(F.array(*parts))
 
 
 def kpis(
@@ -360,10 +356,10 @@ def kpis(
 ) -> DataFrame:
     """(kpi, value): record count, then total and average per measure.
 
-    Without ``measures`` the first four numeric columns are used. ``health`` is a
+    Without ``measures`` all numeric columns are used. ``health`` is a
     one-row frame with a ``score`` column.
     """
-    names = as_list(measures) or numeric_columns(df)[:4]
+    names = as_list(measures) or numeric_columns(df)
     aggs = [F.count(F.lit(1)).cast("double").alias("Records")]
     for n in names:
         x = to_number(df, n)
@@ -383,57 +379,44 @@ def long_numbers(df: DataFrame, names: Sequence[str], drop: Sequence[str] = ())
     return wide.unpivot([], [ref(n) for n in names], "column", VALUE)
 
 
-def key_metrics(
-    df: DataFrame, columns: Sequence[str] | None = None, limit: int = 8, accuracy: int | None = None
-) -> DataFrame:
-    """total, average, median, min, max of the first ``limit`` numeric columns."""
-    names = list(columns) if columns is not None else numeric_columns(df)[:limit]
+def key_metrics(df: DataFrame, columns: Sequence[str] | None = None, accuracy: int | None = None) -> DataFrame:
+    """total, average, median, min, max of the numeric columns, or of those named."""
+    names = list(columns) if columns is not None else numeric_columns(df)
     if not names:
         raise ValueError("No numeric columns.")
     require_columns(df, names)
-    wide = df.agg(
-        *[
-            F.struct(
-                F.lit(n).alias("column"),
-                F.coalesce(F.sum(x), F.lit(0.0)).alias("total"),
-                F.avg(x).alias("average"),
-                F.min(x).alias("min"),
-                F.max(x).alias("max"),
-                F.count(x).alias("n"),
-            ).alias(f"c{i}")
-            for i, (n, x) in enumerate((n, to_number(df, n)) for n in names)
-        ]
-    )
-    figures = wide.select(F.inline(F.array(*wide.columns))).filter(F.col("n") > 0)
-    medians = percentiles(
-        long_numbers(df, names), VALUE, [0.5], ["median"], ["column"], accuracy=accuracy
-    )
-    return figures.join(medians, "column", "left").select(
-        "column", "total", "average", "median", "min", "max"
-    )
+    x = ref(VALUE)
+    aggs = {"total": F.sum(x), "average": F.avg(x), "min": F.min(x), "max": F.max(x), "n": F.count(x)}
+    long = long_numbers(df, names)
+    if accuracy is not None:
+        aggs["median"] = F.percentile_approx(x, 0.5, accuracy).cast("double")
+        figures = long.groupBy("column").agg(*[c.alias(n) for n, c in aggs.items()])
+    else:
+        figures = with_percentiles(long, VALUE, [0.5], ["median"], ["column"], aggs, few_groups=True)
+    return figures.filter(F.col("n") > 0).select("column", "total", "average", "median", "min", "max")
 
 
 def descriptive(df: DataFrame, measure: str, accuracy: int | None = None) -> DataFrame:
     """(statistic, value): count, mean, median, min, max, sample std and variance,
     quartiles, range. One value alone has no spread (0)."""
     work = df.select(to_number(df, measure).alias(VALUE))
-    quartiles = percentiles(
-        work, VALUE, [0.25, 0.5, 0.75], ["q1", "median", "q3"], accuracy=accuracy
-    )
-    q = quartiles.select(F.struct("q1", "median", "q3").alias("q")).scalar()
     x = ref(VALUE)
-    base = work.agg(
-        F.count(x).alias("count"),
-        F.avg(x).alias("mean"),
-        F.min(x).alias("min"),
-        F.max(x).alias("max"),
-        F.coalesce(finite(F.stddev_samp(x)), F.lit(0.0)).alias("std"),
-        F.coalesce(finite(F.var_samp(x)), F.lit(0.0)).alias("variance"),
-    )
-    # A column first, so that the subquery is planned once.
-    stats = base.withColumn("q", q).select(
-        "count", "mean", F.col("q.median").alias("median"), "min", "max", "std", "variance",
-        F.col("q.q1").alias("q1"), F.col("q.q3").alias("q3"),
+    aggs = {
+        "count": F.count(x),
+        "mean": F.avg(x),
+        "min": F.min(x),
+        "max": F.max(x),
+        "std": F.coalesce(finite(F.stddev_samp(x)), F.lit(0.0)),
+        "variance": F.coalesce(finite(F.var_samp(x)), F.lit(0.0)),
+    }
+    places, quartiles = [0.25, 0.5, 0.75], ["q1", "median", "q3"]
+    if accuracy is not None:
+        sketched = [F.percentile_approx(x, p, accuracy).cast("double").alias(q) for p, q in zip(places, quartiles)]
+        figures = work.agg(*[c.alias(n) for n, c in aggs.items()], *sketched)
+    else:
+        figures = with_percentiles(work, VALUE, places, quartiles, aggs=aggs)
+    stats = figures.select(
+        "count", "mean", "median", "min", "max", "std", "variance", "q1", "q3",
         (F.col("max") - F.col("min")).alias("range"),
     )
     return key_values(stats, "statistic", "value")
@@ -524,8 +507,9 @@ def derived_measures(
             # Rows lacking either side have no profit.
             out = F.coalesce(F.sum(ref(TEMP + "revenue") - ref(TEMP + "cost")), F.lit(0.0))
         elif n == "profit_margin":
-            margin = F.sum(ref(TEMP + "revenue") - ref(TEMP + "cost"))
-            out = F.try_divide(margin, total("revenue"))
+            # Of rows with both sides only.
+            both = F.when(ref(TEMP + "cost").isNotNull(), ref(TEMP + "revenue"))
+            out = F.try_divide(F.sum(both - ref(TEMP + "cost")), F.coalesce(F.sum(both), F.lit(0.0)))
         elif n == "aov":
             out = F.try_divide(total("revenue"), F.count(F.lit(1)).cast("double"))
         elif n == "discount_pct":

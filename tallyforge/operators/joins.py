@@ -22,18 +22,6 @@ from ..functions.predicates import contains, equals
 KEY = TEMP + "key"
 
 
-def broadcast_checked(df: DataFrame, max_rows: int | None) -> DataFrame:
-    """Hint a broadcast only after counting that ``df`` has at most ``max_rows`` rows.
-
-    Without a bound, or beyond it, the choice stays with the optimizer, which
-    compares sizes itself.
-    """
-    if max_rows is None:
-        return df
-    small = df.limit(max_rows + 1).count() <= max_rows
-    return F.broadcast(df) if small else df
-
-
 def xlookup(
     df: DataFrame, value: object, lookup_column: str, return_column: str, exact: bool = True
 ) -> DataFrame:
@@ -105,7 +93,6 @@ def lookup_join(
     table_on: str | None = None,
     order_by: str | Sequence[str] | None = None,
     normalized: bool = False,
-    broadcast_rows: int | None = None,
 ) -> DataFrame:
     """Every row of ``df`` with columns of its first match in ``table``."""
     right_on = table_on or on
@@ -114,9 +101,7 @@ def lookup_join(
     require_columns(table, right_on, return_columns, order)
     keyed = table.withColumn(KEY, norm_text(ref(right_on)) if normalized else ref(right_on))
     keyed = keyed.filter(ref(KEY).isNotNull())
-    firsts = broadcast_checked(
-        first_per_key(keyed, [KEY], list(return_columns), order), broadcast_rows
-    )
+    firsts = first_per_key(keyed, [KEY], list(return_columns), order)
     left = df.withColumn(KEY, norm_text(ref(on)) if normalized else ref(on))
     joined = left.alias("l").join(
         firsts.alias("r"), qualified("l", KEY) == qualified("r", KEY), "left"
@@ -133,14 +118,22 @@ def lookup_join(
 def _merged_names(
     left: Sequence[str], right: Sequence[str], shared_key: str | None, suffixes: tuple[str, str]
 ) -> tuple[list[str], list[str]]:
-    """Output names of both sides; only columns found on both sides get suffixes."""
+    """Output names of both sides; only columns found on both sides get suffixes, and a
+    name that is then taken gets its suffix once more."""
     common = {c.lower() for c in left} & {c.lower() for c in right}
     if shared_key:
         common.discard(shared_key.lower())
-    return (
-        [c + suffixes[0] if c.lower() in common else c for c in left],
-        [c + suffixes[1] if c.lower() in common else c for c in right],
-    )
+    taken = {c.lower() for c in [*left, *right] if c.lower() not in common} | {"_merge"}
+    sides = []
+    for names, suffix in zip((left, right), suffixes):
+        own = []
+        for c in names:
+            if c.lower() in common:
+                c = _free_name(c + suffix, taken, suffix or "_")
+                taken.add(c.lower())
+            own.append(c)
+        sides.append(own)
+    return sides[0], sides[1]
 
 
 def _key_test(null_keys_match: bool) -> Column:
@@ -154,13 +147,15 @@ def reconcile(
     left_on: str,
     right_on: str,
     how: str = "outer",
-    null_keys_match: bool = True,
+    null_keys_match: bool = False,
     suffixes: tuple[str, str] = ("_left", "_right"),
     normalized: bool = False,
 ) -> DataFrame:
     """Merge two tables and tell for each row on which side it was found.
 
-    ``_merge`` is ``both``, ``left_only`` or ``right_only``. An outer merge is built
+    ``_merge`` is ``both``, ``left_only`` or ``right_only``. Rows without a key have no
+    partner unless ``null_keys_match``, which pairs each with all on the other side. An
+    outer merge is built
     from the inner join and the unmatched rows of each side: unlike an outer join,
     each of these can be split when one key holds much of either table.
     """
@@ -264,6 +259,7 @@ def match_datasets(
     output_mode: str = "matching_only",
     other_key: str | None = None,
     normalized: bool = False,
+    null_keys_match: bool = False,
 ) -> DataFrame:
     """Rows of two tables put together on one key.
 
@@ -271,7 +267,7 @@ def match_datasets(
     ``full`` (everything).
     """
     right_on = other_key or matching_key(other, key)
-    options = {"suffixes": ("", "_right"), "normalized": normalized}
+    options = {"suffixes": ("", "_right"), "normalized": normalized, "null_keys_match": null_keys_match}
     if output_mode == "matching_only":
         return reconcile(df, other, key, right_on, "inner", **options).drop("_merge")
     if output_mode == "full":
@@ -279,8 +275,8 @@ def match_datasets(
     if output_mode != "non_matching":
         raise ValueError(f"Unsupported output mode: {output_mode}")
     # Only keys decide, so each side meets the other's distinct keys, no pair is built.
-    lone_left = find_unmatched(df, other, key, right_on, True, normalized)
-    lone_right = find_unmatched(other, df, right_on, key, True, normalized)
+    lone_left = find_unmatched(df, other, key, right_on, null_keys_match, normalized)
+    lone_right = find_unmatched(other, df, right_on, key, null_keys_match, normalized)
     left_side = reconcile(lone_left, other.limit(0), key, right_on, "left", **options)
     right_side = reconcile(df.limit(0), lone_right, key, right_on, "right", **options)
     return left_side.unionByName(right_side)

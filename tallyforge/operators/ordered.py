@@ -10,12 +10,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import TEMP, as_list, ref, require_columns
+from ..functions.columns import TEMP, as_list, null_safe_equal, qualified, ref, require_columns
 
 RANGE = TEMP + "range"
 BEFORE = TEMP + "before"
@@ -26,16 +26,21 @@ STEP = TEMP + "step"
 CHECKPOINT_SETTING = "spark.checkpoint.dir"
 
 
+_own_folders: dict[str, str] = {}
+
+
 def checkpoint_folder(spark: SparkSession) -> str:
-    """The shared folder the session names; a private one in local mode only."""
+    """The shared folder the session names; in local mode, where one machine is all there is, a private
+    one for the application if it names none."""
     folder = spark.conf.get(CHECKPOINT_SETTING, None) or spark.sparkContext.getCheckpointDir()
     if folder:
         return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    context = spark.sparkContext
+    if not context.master.startswith("local") or context.master.startswith("local-cluster"):
         raise ValueError(f"Set {CHECKPOINT_SETTING} to a shared folder.")
-    folder = tempfile.mkdtemp(prefix="tallyforge-")
-    spark.sparkContext.setCheckpointDir(folder)
-    return folder
+    if context.applicationId not in _own_folders:
+        _own_folders[context.applicationId] = tempfile.mkdtemp(prefix="tallyforge-")
+    return _own_folders[context.applicationId]
 
 
 def durable(df: DataFrame) -> DataFrame:
@@ -139,8 +144,89 @@ def row_index(df: DataFrame, order: Sequence[Column], output: str) -> DataFrame:
     return prefix_sum(df.withColumn(one, F.lit(1).cast("bigint")), one, order, output).drop(one)
 
 
-# Distinct values one task may sort; beyond that they are spread over ranges.
-ONE_TASK_VALUES = 2_000_000
+#: Size of the sketch that brackets a percentile, and how far the bracket reaches on both sides:
+#: the sketch errs by one part in SKETCH at most.
+SKETCH = 10_000
+MARGIN = 2 / SKETCH
+
+EDGES, FACTS, COUNT = TEMP + "edges", TEMP + "facts", TEMP + "count"
+LEAST, MOST, RANK = TEMP + "least", TEMP + "most", TEMP + "rank"
+
+
+def with_percentiles(
+    df: DataFrame,
+    value: str,
+    probabilities: Sequence[float],
+    outputs: Sequence[str],
+    keys: str | Sequence[str] | None = None,
+    aggs: Mapping[str, Column] | None = None,
+    few_groups: bool = False,
+) -> DataFrame:
+    """``keys``, the aggregates ``aggs`` and exact interpolated percentiles per group.
+
+    One pass computes the aggregates and sketches a bracket around each wanted place.
+    The second pass counts the values inside the brackets one by one and all others in
+    lumps between them, so that little is left to order, and checks by the counts that
+    every place lies inside its bracket. Groups without values have NULL percentiles.
+    Say ``few_groups`` only if their number is bounded by the schema.
+    """
+    keys, aggs = as_list(keys), dict(aggs or {})
+    require_columns(df, value, keys)
+    if len(probabilities) != len(outputs):
+        raise ValueError("One output name per probability is needed.")
+    group = [ref(k) for k in keys]
+    edges = [min(max(p + m, 0.0), 1.0) for p in probabilities for m in (-MARGIN, MARGIN)]
+    sketch = F.percentile_approx(ref(value), F.array(*map(F.lit, edges)), SKETCH)
+    facts = F.struct(sketch.alias(EDGES), *[c.alias(n) for n, c in aggs.items()])
+    first = df.groupBy(*group).agg(facts.alias(FACTS))
+    pairs = null_safe_equal([qualified("a", k) for k in keys], [qualified("b", k) for k in keys]) if keys else None
+    if keys:
+        side = F.broadcast(first) if few_groups else first
+        bracketed = df.alias("a").join(side.alias("b"), pairs).select(
+            *[qualified("a", k) for k in keys], qualified("a", value), qualified("b", FACTS)[EDGES].alias(EDGES)
+        )
+    else:
+        bracketed = df.select(value, first.select(F.col(FACTS)[EDGES]).scalar().alias(EDGES))
+    v, inside, passed = ref(value), F.lit(False), F.lit(0)
+    for i in range(len(probabilities)):
+        low, high = F.get(ref(EDGES), F.lit(2 * i)), F.get(ref(EDGES), F.lit(2 * i + 1))
+        inside = inside | ((low <= v) & (v <= high))
+        passed = passed + (v > high).cast("int")
+    lumps = bracketed.select(*group, v, passed.alias(RANGE), F.when(inside, v).alias(STEP))
+    cells = lumps.groupBy(*group, ref(RANGE), ref(STEP)).agg(
+        F.count(v).alias(COUNT), F.min(v).alias(LEAST), F.max(v).alias(MOST)
+    )
+    all_of = Window.partitionBy(*group)
+    ranked = cells.withColumns({
+        RANK: F.sum(COUNT).over(all_of.orderBy(ref(LEAST).asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)),
+        TOTAL: F.sum(COUNT).over(all_of),
+    })
+    start = ref(RANK) - ref(COUNT)
+
+    def at(place: Column) -> Column:
+        """The value at a place, for the cell that holds it."""
+        outside = F.raise_error(F.lit("A percentile lies outside its bracket")).cast("double")
+        found = F.when((place == start) | (ref(LEAST) == ref(MOST)), ref(LEAST).cast("double"))
+        found = found.when(place == ref(RANK) - 1, ref(MOST).cast("double")).otherwise(outside)
+        return F.max(F.when(_within(place, start, ref(RANK)), found))
+
+    picks = []
+    for p, output in zip(probabilities, outputs):
+        place, low, high = _places(p)
+        picks.append((at(low) + (at(high) - at(low)) * F.max(place - low)).alias(output))
+    picked = ranked.groupBy(*group).agg(*picks)
+    if not keys:
+        if not aggs:
+            return picked
+        one = first.select(F.col(FACTS)).scalar()
+        return picked.withColumn(FACTS, one).select(*[F.col(FACTS)[n].alias(n) for n in aggs], *map(ref, outputs))
+    if not aggs:
+        return picked
+    return first.alias("a").join(picked.alias("b"), pairs).select(
+        *[qualified("a", k) for k in keys],
+        *[qualified("a", FACTS)[n].alias(n) for n in aggs],
+        *[qualified("b", o) for o in outputs],
+    )
 
 
 def percentiles(
@@ -151,17 +237,14 @@ def percentiles(
     keys: str | Sequence[str] | None = None,
     frequency: str | None = None,
     accuracy: int | None = None,
-    one_task: int = ONE_TASK_VALUES,
+    few_groups: bool = False,
 ) -> DataFrame:
     """Interpolated percentiles of ``value`` per group, NULLs left out.
 
-    Exact by default: equal values are counted before the shuffle and the counts
-    summed in order of the values. A column estimated to have at most ``one_task``
-    distinct values is summed by one task per group; otherwise ranges of values
-    are summed apart, so a group holding most of the rows is still worked on by
-    many tasks. ``accuracy`` switches to the bounded sketch of
-    ``percentile_approx``. Groups without values give no row, except that an
-    ungrouped call always returns one.
+    Exact by default, see :func:`with_percentiles`. Values with a ``frequency`` column
+    are laid out in ranges instead, as a sketch knows no frequencies. ``accuracy``
+    switches to the bounded sketch of ``percentile_approx``. Groups without values give
+    no row, except that an ungrouped call always returns one.
     """
     keys = as_list(keys)
     require_columns(df, value, keys, frequency)
@@ -179,27 +262,14 @@ def percentiles(
                 for p, o in zip(probabilities, outputs)
             ]
         )
-
-    count = TEMP + "count"
-    weight = F.sum(ref(frequency)) if frequency else F.count(F.lit(1))
-    histogram = present.groupBy(*group, ref(value)).agg(weight.cast("bigint").alias(count))
-    if _distinct_estimate(present, value) <= one_task:
-        ranged = histogram.withColumn(RANGE, F.lit(0))
-        offsets = (
-            histogram.groupBy(*group)
-            .agg(F.sum(count).alias(TOTAL))
-            .withColumns({RANGE: F.lit(0), BEFORE: F.lit(0).cast("bigint")})
-        )
-    else:
-        ranged, offsets = _ranges(histogram, count, [ref(value).asc()], keys)
-        needed = _ranges_holding(offsets, probabilities)
-        ranged, offsets = ranged.filter(needed), offsets.filter(needed)
-    return _picked(ranged, offsets, value, count, probabilities, outputs, keys)
-
-
-def _distinct_estimate(df: DataFrame, value: str) -> int:
-    """About how many values a column has: one pass, one number to the driver."""
-    return df.agg(F.approx_count_distinct(ref(value))).first()[0]
+    if frequency is None:
+        return with_percentiles(present, value, probabilities, outputs, keys, few_groups=few_groups)
+
+    histogram = present.groupBy(*group, ref(value)).agg(F.sum(ref(frequency)).cast("bigint").alias(COUNT))
+    ranged, offsets = _ranges(histogram, COUNT, [ref(value).asc()], keys)
+    needed = _ranges_holding(offsets, probabilities)
+    ranged, offsets = ranged.filter(needed), offsets.filter(needed)
+    return _picked(ranged, offsets, value, COUNT, probabilities, outputs, keys)
 
 
 def _places(p: float) -> tuple[Column, Column, Column]:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.coerce import to_number
 from ..functions.columns import TEMP, is_numeric, ref, require_columns
-from .ordered import percentiles
+from .ordered import with_percentiles
 
 V = TEMP + "v"
 
@@ -17,21 +17,22 @@ def fences(df: DataFrame, measure: str, method: str = "iqr", accuracy: int | Non
     if method not in ("iqr", "zscore"):
         raise ValueError(f"Unsupported outlier method: {method}")
     work = df.select(to_number(df, measure).alias(V))
-    quartiles = percentiles(work, V, [0.25, 0.5, 0.75], ["q1", "median", "q3"], accuracy=accuracy)
-    q = quartiles.select(F.struct("q1", "median", "q3").alias("q")).scalar()
-    base = work.agg(
-        F.count(ref(V)).alias("n"), F.avg(ref(V)).alias("mean"), F.stddev_samp(ref(V)).alias("std")
-    )
-    # A column first, so that the subquery is planned once.
-    base = base.withColumn("q", q)
+    x = ref(V)
+    aggs = {"n": F.count(x), "mean": F.avg(x), "std": F.stddev_samp(x)}
+    places = {"q1": 0.25, "median": 0.5, "q3": 0.75} if method == "iqr" else {"median": 0.5}
+    if accuracy is None:
+        base = with_percentiles(work, V, list(places.values()), list(places), aggs=aggs)
+    else:
+        aggs |= {q: F.percentile_approx(x, p, accuracy).cast("double") for q, p in places.items()}
+        base = work.agg(*[c.alias(name) for name, c in aggs.items()])
     if method == "iqr":
-        spread = 1.5 * (F.col("q.q3") - F.col("q.q1"))
-        low, high = F.col("q.q1") - spread, F.col("q.q3") + spread
+        spread = 1.5 * (F.col("q3") - F.col("q1"))
+        low, high = F.col("q1") - spread, F.col("q3") + spread
     else:
         # A constant column has no fences.
         spread = F.when(F.col("std") > 0, 3 * F.col("std"))
         low, high = F.col("mean") - spread, F.col("mean") + spread
-    return base.select("n", F.col("q.median").alias("median"), low.alias("low"), high.alias("high"))
+    return base.select("n", "median", low.alias("low"), high.alias("high"))
 
 
 def outliers(

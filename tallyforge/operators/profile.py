@@ -62,7 +62,6 @@ ROLE_NAMES = {
 NUMERIC_TYPES = ("number", "integer", "decimal", "currency", "percentage")
 DATE_TYPES = ("date", "datetime")
 
-CASE_VALUES = 50  # columns with more values are not tested for capitalisation
 
 
 def _kind(df: DataFrame, name: str) -> str:
@@ -379,12 +378,10 @@ def missing_summary(df: DataFrame) -> DataFrame:
 
 
 def inconsistent_case(described: DataFrame, counts: DataFrame) -> DataFrame:
-    """(column, n_case): values of short text columns spelled with varying case."""
-    short = described.filter(
-        (F.col("kind") == "text") & F.col("unique_count").between(1, CASE_VALUES)
-    ).select("column")
-    # At most CASE_VALUES values per column are left after this join.
-    spelled = counts.filter(F.col("value").isNotNull()).join(F.broadcast(short), "column", "left_semi")
+    """(column, n_case): values of text columns spelled with varying case."""
+    texts = described.filter(F.col("kind") == "text").select("column")
+    # One row per column of the table.
+    spelled = counts.filter(F.col("value").isNotNull()).join(F.broadcast(texts), "column", "left_semi")
     variants = spelled.groupBy("column", F.lower("value").alias("low")).agg(
         F.count(F.lit(1)).alias("spellings")
     )
@@ -544,7 +541,7 @@ def semantic_model(df: DataFrame, counts: DataFrame | None = None) -> DataFrame:
 def find_problems(df: DataFrame, measure: str | None = None) -> DataFrame:
     """(issue, column, count): rows in duplicate groups, missing cells, outliers.
 
-    Outliers are looked for in ``measure``, or in the first numeric column.
+    Outliers are looked for in ``measure``, or in every numeric column.
     """
     label = F.lit(None).cast("string")
     in_groups = repeated_keys(df, df.columns).agg(
@@ -553,8 +550,7 @@ def find_problems(df: DataFrame, measure: str | None = None) -> DataFrame:
     parts = in_groups.select(F.lit("duplicate_rows").alias("issue"), label.alias("column"), "count")
     gaps = missing_summary(df).select(F.lit("missing").alias("issue"), "column", F.col("missing").alias("count"))
     parts = parts.unionByName(gaps)
-    target = measure or next(iter(numeric_columns(df)), None)
-    if target is not None:
+    for target in [measure] if measure else numeric_columns(df):
         hits = outliers(df.select(ref(target)), target).agg(F.count(F.lit(1)).alias("count"))
         parts = parts.unionByName(
             hits.select(F.lit("outlier").alias("issue"), F.lit(target).alias("column"), "count")

@@ -38,9 +38,9 @@ def top_n(
 
 
 def chart_series(
-    df: DataFrame, category: str, measure: str, metric: str = "sum", n: int = 10
+    df: DataFrame, category: str, measure: str, metric: str = "sum", n: int | None = 10
 ) -> DataFrame:
-    """(category, metric) points of the n largest categories."""
+    """(category, metric) points of the n largest categories, or of all."""
     return summarize(df, category, measure, {metric: metric}, n)
 
 
@@ -113,7 +113,7 @@ def top_rows(
 
 
 def top_labels(
-    df: DataFrame, column: str, label: str, n: int = 10, ascending: bool = False
+    df: DataFrame, column: str, label: str, n: int | None = 10, ascending: bool = False
 ) -> DataFrame:
-    """Sums per label, then the n largest (or smallest)."""
+    """Sums per label, then the n largest (or smallest), or all."""
     return summarize(df, label, column, {column: "sum"}, n, ascending)

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from functools import reduce
+from itertools import combinations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import ref
-from .ordered import durable
 
 # Weights of name and content.
 SAME_NAME, PART_OF_NAME, SHARED_ID_NAME = 0.55, 0.35, 0.40
@@ -17,31 +17,44 @@ OVERLAP_WEIGHT, ID_BOOST = 0.55, 0.10
 MIN_OVERLAP, STRONG_NAME, MIN_CONFIDENCE = 0.05, 0.50, 0.70
 
 
+# Words that mark a column as a key.
+KEY_WORDS = ("id", "code", "sku")
+
+
+def _stem(name: str) -> str:
+    return name.replace("id", "")
+
+
+#: What two names, in lower case without blanks, may have in common; the first that holds counts.
+#: Every test is the same for either order of the names.
+NAME_RULES = (
+    (SAME_NAME, lambda pair: len(set(pair)) == 1),
+    (PART_OF_NAME, lambda pair: any(n in m for n, m in (pair, pair[::-1]))),
+    (
+        SHARED_ID_NAME,
+        lambda pair: all(n.endswith("id") for n in pair) and any(_stem(n) in m for n, m in (pair, pair[::-1])),
+    ),
+)
+
+
 def name_score(left: str, right: str) -> float:
-    a, b = left.lower().replace(" ", ""), right.lower().replace(" ", "")
-    if a == b:
-        return SAME_NAME
-    if a in b or b in a:
-        return PART_OF_NAME
-    both_ids = a.endswith("id") and b.endswith("id")
-    if both_ids and (a.replace("id", "") in b or b.replace("id", "") in a):
-        return SHARED_ID_NAME
-    return 0.0
+    """What the names alone say for a relation."""
+    pair = tuple(name.lower().replace(" ", "") for name in (left, right))
+    return next((weight for weight, holds in NAME_RULES if holds(pair)), 0.0)
 
 
 def id_boost(left: str, right: str) -> float:
-    a, b = left.lower(), right.lower()
-    marked = any(word in name for word in ("id", "code") for name in (a, b)) or "sku" in a
-    return ID_BOOST if marked else 0.0
+    """Something more if either name is marked as a key."""
+    return ID_BOOST if any(word in name.lower() for word in KEY_WORDS for name in (left, right)) else 0.0
 
 
 BITS = 63  # columns per mask
 
 
-def _column_values(df: DataFrame, first_id: int) -> DataFrame:
-    """(column id, value) of every filled cell, values as text."""
-    names = [str(first_id + i) for i in range(len(df.columns))]
-    texts = df.select(*[ref(c).cast("string").alias(n) for c, n in zip(df.columns, names)])
+def _column_values(df: DataFrame, ids: Mapping[str, int]) -> DataFrame:
+    """(column id, value) of every filled cell of the given columns, values as text."""
+    names = [str(i) for i in ids.values()]
+    texts = df.select(*[ref(c).cast("string").alias(n) for c, n in zip(ids, names)])
     long = texts.unpivot([], names, "id", "value").filter(F.col("value").isNotNull())
     return long.select(F.col("id").cast("int").alias("id"), "value")
 
@@ -77,49 +90,51 @@ def _holder_counts(values: DataFrame, columns: int) -> DataFrame:
 def detect_relationships(
     tables: Sequence[tuple[str, DataFrame]],
     min_confidence: float = MIN_CONFIDENCE,
-    top: int | None = 20,
+    top: int | None = None,
 ) -> DataFrame:
     """Column pairs of different tables, scored by name and by shared values.
 
-    All distinct values are compared. Each value is reduced to the set of columns
-    it occurs in and equal sets are counted, so pairs are formed between columns
-    only, never between rows.
+    Pairs whose names cannot reach ``min_confidence`` even with all values shared are
+    dropped first, and only columns left in some pair are read. All their distinct values
+    are compared: each value is reduced to the set of columns it occurs in and equal sets
+    are counted, so pairs are formed between columns only, never between rows.
     """
     if len(tables) < 2:
         raise ValueError("At least two tables are needed.")
     spark = tables[0][1].sparkSession
-    columns, parts = [], []
-    for position, (name, df) in enumerate(tables):
-        parts.append(_column_values(df, len(columns)))
-        columns.extend((position, name, c) for c in df.columns)
-    # Few rows: one per set of columns that share values.
-    sets = durable(_holder_counts(reduce(DataFrame.unionByName, parts), len(columns)))
-    sizes = (
-        sets.select(F.explode("ids").alias("id"), "n").groupBy("id").agg(F.sum("n").alias("size"))
-    )
-    shared = (
-        sets.select(F.explode("ids").alias("left_id"), "ids", "n")
-        .select("left_id", F.explode("ids").alias("right_id"), "n")
-        .filter(F.col("left_id") < F.col("right_id"))
-        .groupBy("left_id", "right_id")
-        .agg(F.sum("n").alias("common"))
-    )
-
+    columns = [(position, name, c) for position, (name, df) in enumerate(tables) for c in df.columns]
     # One row per pair of columns: schema, not data.
     pairs = [
-        (i, j, lt, lc, rt, rc, name_score(lc, rc), id_boost(lc, rc))
-        for i, (lp, lt, lc) in enumerate(columns)
-        for j, (rp, rt, rc) in enumerate(columns)
-        if lp < rp
+        (i, j, *left[1:], *right[1:], name_score(left[2], right[2]), id_boost(left[2], right[2]))
+        for (i, left), (j, right) in combinations(enumerate(columns), 2)
+        if left[0] != right[0]
     ]
+    pairs = [p for p in pairs if p[6] + OVERLAP_WEIGHT + p[7] >= min_confidence]
     schema = (
         "left_id int, right_id int, left_table string, left_column string, "
         "right_table string, right_column string, name_score double, boost double"
     )
+    wanted = {i for p in pairs for i in p[:2]}
+    parts = []
+    for position, (_, df) in enumerate(tables):
+        ids = {c: i for i, (at, _, c) in enumerate(columns) if at == position and i in wanted}
+        parts += [_column_values(df, ids)] if ids else []
+    values = reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], "id int, value string")
+    sets = _holder_counts(values, len(columns))
+    # A column shares all its values with itself, which gives its size.
+    common = (
+        sets.select(F.explode("ids").alias("left_id"), "ids", "n")
+        .select("left_id", F.explode("ids").alias("right_id"), "n")
+        .filter(F.col("left_id") <= F.col("right_id"))
+        .groupBy("left_id", "right_id")
+        .agg(F.sum("n").alias("common"))
+    )
+    sizes = common.filter("left_id = right_id")
+    shared = common.filter("left_id < right_id")
     sized = (
         spark.createDataFrame(pairs, schema)
-        .join(sizes.select(F.col("id").alias("left_id"), F.col("size").alias("left_size")), "left_id", "left")
-        .join(sizes.select(F.col("id").alias("right_id"), F.col("size").alias("right_size")), "right_id", "left")
+        .join(sizes.select("left_id", F.col("common").alias("left_size")), "left_id", "left")
+        .join(sizes.select("right_id", F.col("common").alias("right_size")), "right_id", "left")
         .join(shared, ["left_id", "right_id"], "left")
     )
     overlap = F.coalesce(F.col("common"), F.lit(0)) / F.least("left_size", "right_size")

@@ -20,9 +20,6 @@ from ..functions.columns import (
 from ..functions.predicates import combined_filter, criteria, equals, flag, predicate
 from .ordered import row_index
 
-# Rows a sorted page may reach into before positions are computed range by range.
-SHALLOW_PAGE = 100_000
-
 
 def filter_rows(
     df: DataFrame, column: str, op: str, value: object, regex: bool = True
@@ -207,12 +204,18 @@ def search_filter(
     return df.filter(any_true([flag(h) for h in hits]))
 
 
+def _page_size(size: int) -> int:
+    if int(size) < 1:
+        raise ValueError("A page has at least one row.")
+    return int(size)
+
+
 def search_total(
     df: DataFrame, search: str, columns: Sequence[str] | None = None, page_size: int = 50
 ) -> DataFrame:
     """One row: number of rows found and of pages they fill."""
     found = search_filter(df, search, columns).agg(F.count(F.lit(1)).alias("total_rows"))
-    size = max(1, min(int(page_size), 200))
+    size = _page_size(page_size)
     return found.withColumn(
         "total_pages", F.greatest(F.ceil(F.col("total_rows") / F.lit(size)), F.lit(1)).cast("bigint")
     )
@@ -227,19 +230,20 @@ def search_rows(
     offset: int = 0,
     limit: int = 50,
     regex: bool = False,
+    deep: bool = False,
 ) -> DataFrame:
     """One page of the sorted rows that contain the text in any shown column.
 
-    Shallow pages are a plain top-k. A page far into the order would make every
-    task keep all rows before it, so there the rows are numbered range by range.
+    A page is a plain top-k, for which every task keeps all rows before it. With
+    ``deep`` the rows are numbered range by range instead, for pages far into the order.
     """
     names = list(columns) if columns is not None else df.columns
     require_columns(df, names, sort_by)
-    size = max(1, min(int(limit), 200))
+    size = _page_size(limit)
     found = search_filter(df.select(*[ref(c) for c in names]), search, names, regex)
     rest = [c for c in names if c != sort_by and is_sortable(found, c)]
     order = [*order_keys([sort_by] if sort_by else [], ascending), *order_keys(rest)]
-    if offset + size <= SHALLOW_PAGE:
+    if not deep:
         return found.orderBy(*order).offset(offset).limit(size)
     position = TEMP + "position"
     # Equal rows are interchangeable, but each needs a place of its own.

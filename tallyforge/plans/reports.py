@@ -98,7 +98,7 @@ def analyze(
             ("clean_duplicates", None, F.when(repeated > 0, repeated), "recommendation"),
         ),
     ]
-    names = numeric_columns(df)[:8]
+    names = numeric_columns(df)
     figures = key_metrics(df, names if measure in names else [*names, measure], accuracy=accuracy)
     stats = F.array(
         *[F.struct(F.lit(s).alias("stat"), F.col(s).alias("value"))

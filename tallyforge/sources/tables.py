@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.coerce import ISO_DATE_PATTERN, parse_number, strip
-from ..functions.columns import ref, string_columns
+from ..functions.columns import header_names, ref, string_columns
 
 # Cell texts that mean "no value".
 NULL_TEXTS = (
@@ -20,31 +20,6 @@ NULL_TEXTS = (
 WHOLE_PATTERN = r"^[+-]?\d{1,18}$"
 
 
-def header_names(names: Sequence[str | None]) -> list[str]:
-    """Usable column names: stripped, blanks named by position, repeats numbered.
-
-    Names differing only in case count as repeats, since Spark resolves columns
-    without regard to case.
-    """
-    used: set[str] = set()
-    seen: dict[str, int] = {}
-    out = []
-    for i, raw in enumerate(names):
-        base = "" if raw is None else str(raw).strip()
-        if not base or base.startswith("Unnamed"):
-            base = f"Column_{i + 1}"
-        key, name = base.lower(), base
-        seen[key] = seen.get(key, 0) + 1
-        if seen[key] > 1:
-            name = f"{base}_{seen[key]}"
-        while name.lower() in used:
-            seen[key] += 1
-            name = f"{base}_{seen[key]}"
-        used.add(name.lower())
-        out.append(name)
-    return out
-
-
 def normalize_headers(df: DataFrame) -> DataFrame:
     return df.toDF(*header_names(df.columns))
 
@@ -106,14 +81,19 @@ def read_csv(
     schema: T.StructType | str | None = None,
     encoding: str | None = None,
     separator: str = ",",
+    multi_line: bool = True,
 ) -> DataFrame:
     """CSV or text file with a header line.
 
     Without ``schema`` types are inferred in one pass; without ``encoding`` another
-    pass looks for non-UTF-8 bytes. Give both for large inputs.
+    pass looks for non-UTF-8 bytes. Give both for large inputs. Quoted cells may hold
+    line breaks, so each file is read by one task; say ``multi_line=False`` for large
+    files in which every line is a record, and Spark splits them.
     """
     encoding = encoding or _encoding(spark, path)
-    options = {"encoding": encoding, "sep": separator, "quote": '"', "escape": '"'}
+    options = {
+        "encoding": encoding, "sep": separator, "quote": '"', "escape": '"', "multiLine": multi_line,
+    }
     if schema is not None:
         typed = spark.read.options(**options).option("header", True).schema(schema).csv(path)
         return nan_to_null(normalize_headers(typed))

@@ -175,3 +175,41 @@ def test_pnl_and_variance(shop):
     rows_ = {r.id: (r.variance, r.variance_pct) for r in s.variance_rows(shop, "revenue", "cost").collect()}
     assert rows_["S-1"] == (40.0, 66.67) and rows_["S-7"] == (None, None)
     assert s.variance_total(shop, "revenue", "cost").first()[0] == 405.0
+
+
+def test_pivot_computes_what_it_names(spark):
+    df = spark.createDataFrame([("a", 5, "u"), ("a", 9, "v"), ("b", 3, "u"), ("b", 3, "u")], "k string, x int, t string")
+    assert pairs(a.pivot(df, "k", None, "x", "variance")) == {"a": 4.0, "b": 0.0}
+    assert pairs(a.pivot(df, "k", None, "t", "distinct_count")) == {"a": 2, "b": 1}
+    assert rows(a.pivot(df, None, "k", "x", "variance"), "a", "b") == [(4.0, 0.0)]
+
+
+def test_pivot_keeps_keys_apart(spark):
+    df = spark.createDataFrame(
+        [("r", "a_b", "c", 1), ("r", "a", "b_c", 10), ("r", "x", "y", 2), ("r", "X", "y", 4), ("r", "q", 'o"\\é', 8)],
+        "x_y string, k string, l string, v int",
+    )
+    out = a.pivot(df, "x_y", ["k", "l"], "v")
+    assert len(set(c.lower() for c in out.columns)) == len(out.columns) == 6
+    assert sorted(out.first()[1:]) == [1.0, 2.0, 4.0, 8.0, 10.0]
+    assert rows(a.pivot(df, "x_y", "k", "v", values=["q", "x"]), "q", "x") == [(8.0, 2.0)]
+
+
+def test_text_is_counted_by_distinct_values(spark):
+    df = spark.createDataFrame([("n", "Ann"), ("n", "Bob"), ("s", "Ann"), ("s", None)], "region string, name string")
+    assert pairs(a.summarize(df, "region", "name", "distinct_count")) == {"n": 2, "s": 1}
+    with pytest.raises(ValueError):
+        a.summarize(df, "region", "name", {"region": "count"})
+
+
+def test_key_metrics_of_many_columns(spark):
+    df = spark.range(5).selectExpr(*[f"id * {i} AS c{i}" for i in range(1, 12)])
+    figures = {r["column"]: r for r in a.key_metrics(df).collect()}
+    assert len(figures) == 11 and figures["c11"]["median"] == 22.0
+    assert len(pairs(a.kpis(df))) == 23
+
+
+def test_margin_of_rows_with_both_sides(spark):
+    df = spark.createDataFrame([(100.0, 60.0), (100.0, None)], "revenue double, cost double")
+    got = a.derived_measures(df, {"revenue": "revenue", "cost": "cost"}, ["profit_margin"]).first()
+    assert got.profit_margin == pytest.approx(0.4)

@@ -64,29 +64,27 @@ def test_row_index(skewed):
     assert {r.i: r["at"] for r in got} == {i: len(data) - i for _, i, _ in data}
 
 
-@pytest.mark.parametrize("one_task", [0, 10_000])
-def test_percentiles_match_numpy(skewed, one_task):
+def test_percentiles_match_numpy(skewed):
     data, df = skewed
     probs = [0.0, 0.25, 0.5, 0.9, 1.0]
     names = ["p0", "p1", "p2", "p3", "p4"]
-    got = percentiles(df, "v", probs, names, ["k"], one_task=one_task).collect()
+    got = percentiles(df, "v", probs, names, ["k"]).collect()
     groups = {}
     for k, _, v in data:
         groups.setdefault(k, []).append(v)
     assert len(got) == len(groups)
     for r in got:
         assert [r[n] for n in names] == pytest.approx(list(np.quantile(groups[r.k], probs)))
-    overall = percentiles(df, "v", probs, names, one_task=one_task).first()
+    overall = percentiles(df, "v", probs, names).first()
     assert [overall[n] for n in names] == pytest.approx(list(np.quantile([v for _, _, v in data], probs)))
 
 
-@pytest.mark.parametrize("one_task", [0, 10_000])
-def test_percentiles_weighted_and_empty(spark, one_task):
+def test_percentiles_weighted_and_empty(spark):
     df = spark.createDataFrame([(1.0, 3), (2.0, 1), (None, 9)], "v double, n long")
-    assert percentiles(df, "v", [0.5], ["m"], frequency="n", one_task=one_task).first().m == 1.0
-    none = percentiles(df.filter("v > 5"), "v", [0.5], ["m"], one_task=one_task).collect()
+    assert percentiles(df, "v", [0.5], ["m"], frequency="n").first().m == 1.0
+    none = percentiles(df.filter("v > 5"), "v", [0.5], ["m"]).collect()
     assert [r.m for r in none] == [None]
-    assert percentiles(df.filter("v > 5"), "v", [0.5], ["m"], ["n"], one_task=one_task).collect() == []
+    assert percentiles(df.filter("v > 5"), "v", [0.5], ["m"], ["n"]).collect() == []
 
 
 def test_sketch(skewed):

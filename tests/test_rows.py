@@ -63,19 +63,25 @@ def test_sort_puts_nulls_last(shop):
     assert r.limit_rows(shop, "0") is shop and r.limit_rows(shop, "2").count() == 2
 
 
-def test_search_pages(shop, monkeypatch):
+def test_search_pages(shop):
     columns = ["id", "region", "product"]
     assert rows(r.search_total(shop, "TEA", columns)) == [(3, 1)]
     shallow = [x.id for x in r.search_rows(shop, "e", columns, "id", False, 1, 3).collect()]
     assert shallow == ["S-6", "S-5", "S-4"]
-    monkeypatch.setattr(r, "SHALLOW_PAGE", 0)
-    deep = [x.id for x in r.search_rows(shop, "e", columns, "id", False, 1, 3).collect()]
+    deep = [x.id for x in r.search_rows(shop, "e", columns, "id", False, 1, 3, deep=True).collect()]
     assert deep == shallow
     assert r.search_rows(shop, "t.a", columns, regex=True).count() == 3
     assert r.search_rows(shop, "t.a", columns).count() == 0
 
 
-def test_deep_page_keeps_equal_rows(spark, monkeypatch):
-    monkeypatch.setattr(r, "SHALLOW_PAGE", 0)
+def test_deep_page_keeps_equal_rows(spark):
     df = spark.createDataFrame([("a",)] * 5 + [("b",)], "x string")
-    assert [x.x for x in r.search_rows(df, "", offset=3, limit=3).collect()] == ["a", "a", "b"]
+    assert [x.x for x in r.search_rows(df, "", offset=3, limit=3, deep=True).collect()] == ["a", "a", "b"]
+
+
+def test_page_size_is_taken_as_asked(spark):
+    df = spark.range(1000).withColumnRenamed("id", "x")
+    assert r.search_rows(df, limit=500).count() == 500
+    assert rows(r.search_total(df, "", page_size=400)) == [(1000, 3)]
+    with pytest.raises(ValueError):
+        r.search_rows(df, limit=0)

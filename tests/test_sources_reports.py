@@ -110,11 +110,11 @@ def test_findings(shop):
 
 
 def test_templates(shop):
-    assert templates.salesperson_performance(shop, "product", "revenue").count() == 3
-    assert templates.low_stock(shop, "product", "units").first()["product"] == "Cake"
-    assert templates.pnl_summary(shop, "revenue", "cost").count() == 4
-    assert templates.monthly_trend(shop, "day", "revenue").count() == 4
-    assert {(r.issue, r["column"]) for r in templates.returns_overview(shop, "revenue").collect()} == {
+    assert templates.report("salesperson_performance", shop, "product", "revenue").count() == 3
+    assert templates.report("low_stock", shop, "product", "units").first()["product"] == "Cake"
+    assert templates.report("pnl_summary", shop, "revenue", "cost").count() == 4
+    assert templates.report("monthly_trend", shop, "day", "revenue").count() == 4
+    assert {(r.issue, r["column"]) for r in templates.report("returns_overview", shop, "revenue").collect()} == {
         ("missing", "region"), ("missing", "units"), ("missing", "revenue"), ("outlier", "revenue")
     }
 
@@ -123,7 +123,8 @@ def test_entry_contract(spark):
     import __spark_entry__ as entry
 
     assert entry.entry(spark).count() > 0
-    assert set(entry.oracle_sql()) == set(entry.queries())
+    assert set(entry.oracle_sql()) <= set(entry.queries())
+    assert set(entry.BINDINGS) <= set(entry.oracle_sql())
 
 
 def test_no_python_in_plans(spark, shop):
@@ -132,3 +133,18 @@ def test_no_python_in_plans(spark, shop):
     for df in (reports.analyze(shop, "revenue", "product", "day"), reports.findings(shop, "revenue", "product")):
         text = plan(df)
         assert "PythonUDF" not in text and "BatchEvalPython" not in text and "ArrowEval" not in text
+
+
+def test_csv_keeps_quoted_line_breaks(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('id,note,amount\n1,"two\nlines",5\n2,plain,6\n')
+    df = t.read_csv(spark, str(tmp_path / "a.csv"))
+    assert sorted((r.id, r.note, r.amount) for r in df.collect()) == [(1, "two\nlines", 5), (2, "plain", 6)]
+    assert t.read_csv(spark, str(tmp_path / "a.csv"), multi_line=False).count() == 3
+
+
+def test_templates_return_all_groups(spark):
+    df = spark.range(50).selectExpr("id AS person", "id * 2 AS pay")
+    assert templates.report("employee_performance", df, "person", "pay").count() == 50
+    assert templates.report("employee_performance", df, "person", "pay", n=3).count() == 3
+    with pytest.raises(ValueError):
+        templates.report("none", df)
