@@ -2,7 +2,15 @@
 
 from __future__ import annotations
 
-from . import aggregate_queries, join_queries, quality_queries, ranking_queries, report_queries, row_queries
+from . import (
+    aggregate_queries,
+    branch_queries,
+    join_queries,
+    quality_queries,
+    ranking_queries,
+    report_queries,
+    row_queries,
+)
 
 MODULES = (
     row_queries,
@@ -11,6 +19,7 @@ MODULES = (
     join_queries,
     quality_queries,
     report_queries,
+    branch_queries,
 )
 
 BINDINGS = {name: bound for module in MODULES for name, bound in module.BINDINGS.items()}

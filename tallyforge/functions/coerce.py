@@ -31,6 +31,11 @@ NUMBER_PATTERN = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
 
 ISO_DATE_PATTERN = r"^\d{4}-\d{1,2}-\d{1,2}([ T]\d{1,2}:\d{2}(:\d{2}(\.\d+)?)?)?$"
 
+# A date and time with a zone: UTC or an offset in hours and minutes.
+ZONED_PATTERN = r"^(\d{4}-\d{1,2}-\d{1,2}[ T]\d{1,2}:\d{2}(?::\d{2}(?:\.\d+)?)?) ?(?:[Zz]|([+-])(\d{2}):?(\d{2})?)$"
+
+MONTH_PATTERN = r"^\d{4}-\d{1,2}$"
+
 # Tried after ISO text, month before day where the text leaves it open.
 DATE_FORMATS = (
     "yyyy/M/d",
@@ -105,14 +110,31 @@ def format_shape(fmt: str) -> str:
     return f"^{shape}$"
 
 
+def _zoned(cleaned: Column) -> Column:
+    """Text with a zone as the time it is in UTC."""
+    local, sign, hours, minutes = (F.regexp_extract(cleaned, ZONED_PATTERN, i) for i in range(1, 5))
+    ahead = 60 * F.coalesce(hours.try_cast("int"), F.lit(0)) + F.coalesce(minutes.try_cast("int"), F.lit(0))
+    shift = F.when(sign == "-", ahead).otherwise(-ahead)
+    zero = F.lit(0)
+    moved = local.try_cast("timestamp_ntz") + F.make_dt_interval(zero, zero, shift, zero.cast("decimal(18,6)"))
+    return F.when(cleaned.rlike(ZONED_PATTERN), moved)
+
+
 def parse_date(column: Column, formats: Sequence[str] | None = None) -> Column:
     """Date text as a zone-less timestamp; the first format that reads it wins.
 
+    ISO text comes first, with a zone (read as UTC) or without, then a year and month.
+
     A text is handed to a parser only if its shape fits, since failing parsers are
     slow. Month names may be in any case.
     """
     cleaned = strip(column)
-    attempts = [F.when(cleaned.rlike(ISO_DATE_PATTERN), cleaned.try_cast("timestamp_ntz"))]
+    month = F.concat(cleaned, F.lit("-01")).try_cast("timestamp_ntz")
+    attempts = [
+        F.when(cleaned.rlike(ISO_DATE_PATTERN), cleaned.try_cast("timestamp_ntz")),
+        F.when(cleaned.rlike(MONTH_PATTERN), month),
+        _zoned(cleaned),
+    ]
     for fmt in DATE_FORMATS if formats is None else formats:
         words = F.initcap(cleaned) if "MMM" in fmt else cleaned
         parsed = F.try_to_date(words, fmt).cast("timestamp_ntz")

@@ -141,5 +141,5 @@ def export_result(
     for name, df in tables.items():
         writer = df.write.mode(mode).format(fmt)
         if fmt == "csv":
-            writer = writer.option("header", True)
+            writer = writer.options(header=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
         writer.save(f"{path.rstrip('/')}/{name}")

@@ -135,3 +135,10 @@ def test_period_labels(spark):
     ]
     with pytest.raises(ValueError, match="grain"):
         periods.canonical_grain("century")
+
+
+def test_dates_with_zones_and_months(spark):
+    texts = ["2024-01-01T00:00:00Z", "2024-03-01T10:00:00+02:00", "2024-03-01 10:00-0530", "2024-01", "2024-13", "2024-01-01T00:00+xx"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = [str(r[0]) for r in df.orderBy("i").select(coerce.parse_date(F.col("t"))).collect()]
+    assert got == ["2024-01-01 00:00:00", "2024-03-01 08:00:00", "2024-03-01 15:30:00", "2024-01-01 00:00:00", "None", "None"]
