@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.ordered import durable
+from . import blocks
 from .common import need, signed, texts, word_pieces
 from .components import components
 
@@ -34,9 +35,6 @@ PARTS = (2, 3, 4)
 #: Cost of a comparison, if a row that is shuffled and grouped costs 1.
 PAIR_COST = 1 / 200
 
-#: Limits of the number of fingerprints that are compared in one go; larger buckets are split.
-BLOCK_LEAST, BLOCK_MOST = 256, 8192
-
 
 def _votes(data: bytes) -> tuple[np.ndarray, int]:
     """How many shingle hashes set each bit, and the number of shingles."""
@@ -189,22 +187,6 @@ def _probes(distinct: DataFrame, parts: list[Part]) -> DataFrame:
     return distinct.select("fp", F.inline(F.concat(*used))).select("part", "key", "fp")
 
 
-def _blocks(probes: DataFrame) -> DataFrame:
-    """Add ``one`` and ``two``: buckets over the block size are cut into blocks, and a fingerprint goes to
-    every pair of blocks with its own, so that any two of a bucket still meet."""
-    spark = probes.sparkSession
-    sizes = durable(probes.groupBy("part", "key").agg(F.count("*").alias("n")).filter(f"n > {BLOCK_LEAST}"))
-    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    block = min(max(probes.count() // (2 * tasks), BLOCK_LEAST), BLOCK_MOST)
-    large = sizes.select("part", "key", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
-    own = F.pmod(F.xxhash64("fp"), F.coalesce("blocks", F.lit(1))).cast("int")
-    dealt = probes.join(large, ["part", "key"], "left").withColumn("own", own)
-    other = F.explode(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1))
-    return dealt.select("*", other.alias("other")).select(
-        "part", "key", F.least("own", "other").alias("one"), F.greatest("own", "other").alias("two"), "fp"
-    )
-
-
 def _close(a: np.ndarray, b) -> np.ndarray:
     return np.bitwise_count((a ^ b).view(np.uint64)) <= DISTANCE
 
@@ -275,8 +257,8 @@ def fingerprint_links(distinct: DataFrame) -> DataFrame:
     them together, never all pairs.
     """
     probes = durable(_probes(distinct, plan_parts(distinct)))
-    group = ["part", "key", "one", "two"]
-    dealt = _blocks(probes).repartition(*group).sortWithinPartitions(*group)
+    group = ["part", "key", *blocks.PAIR]
+    dealt = blocks.paired_blocks(probes, ["part", "key"], "fp").repartition(*group).sortWithinPartitions(*group)
     return dealt.select(*group, "fp").mapInArrow(_verify, "a long, b long")
 
 

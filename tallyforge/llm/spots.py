@@ -10,6 +10,8 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import groupby
+from math import log
 
 import pyarrow as pa
 import xxhash
@@ -17,7 +19,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.ordered import durable
+from . import blocks
 from .common import mapped, need, word_pieces
+from .components import components
 
 CHAIN = 2
 
@@ -43,6 +47,9 @@ _WORDS = bytes(
     b + 32 if 65 <= b <= 90 else b if b >= 128 or 97 <= b <= 122 or 48 <= b <= 57 else 32 for b in range(256)
 )
 
+#: Fingerprints as alike as this are near-duplicates.
+THRESHOLD = 0.8
+
 #: Hex digits of a spot's hash in a fingerprint.
 DIGITS = 8
 
@@ -163,3 +170,71 @@ def compare_edited(docs: DataFrame, id_column: str = "doc_id", text_column: str
     kind = docs.schema[id_column].dataType.simpleString()
     found = sorted_rows.select("bucket", "helper", "id", "text").mapInArrow(_compared, f"id long, {COMPARED}")
     return found.select(F.col("id").cast(kind).alias(id_column), *(c.split()[0] for c in COMPARED.split(", ")))
+
+
+# --- near-duplicates ------------------------------------------------------------------
+
+
+def _linked(threshold: float):
+    """Links within groups of (sizes, nodes, sets); groups come one after the other."""
+
+    def links(group: list[tuple[int, frozenset]]) -> Iterator[tuple[int, int]]:
+        # What is reached once is not compared again, so alike members give one link each.
+        left = sorted(group, key=lambda m: (len(m[1]), m[0]))
+        while left:
+            front = [left.pop(0)]
+            while front and left:
+                node, own = front.pop()
+                hits = {n for n, other in left if likeness(own, other, threshold) >= threshold}
+                front += [m for m in left if m[0] in hits]
+                left = [m for m in left if m[0] not in hits]
+                yield from ((node, hit) for hit in hits)
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns), strict=True))
+        for _, group in groupby(rows, key=lambda row: row[:4]):
+            members = {node: frozenset(tokens) for *_, node, tokens in group}
+            found = list(links(list(members.items()))) if len(members) > 1 else []
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], names=["a", "b"])
+
+    return verify
+
+
+def near_duplicates(
+    docs: DataFrame, threshold: float = THRESHOLD, id_column: str = "doc_id", text_column: str = "text"
+) -> DataFrame:
+    """Per row of ``docs`` its id, ``fingerprint`` and ``component_id``, the smallest id that can be reached over
+    pairs whose fingerprints are at least ``threshold`` alike.
+
+    Equal fingerprints are one set. Sets are partitioned by length so that sets that can be
+    alike lie in the same partition or the next. In a partition, sets meet under the rarest
+    of their spots, as many as must share one, and are compared with the length bound first.
+    NULL ids and texts are treated as in ``simhash.near_duplicates``.
+    """
+    need(docs, id_column, text_column)
+    rows = docs.select(F.col(id_column).alias("id"), fingerprints(F.col(text_column)).alias("fingerprint"))
+    rows = durable(rows)
+    numbers = F.expr(f"transform(sequence(0, int(length(fingerprint) / {DIGITS}) - 1), i -> bigint(conv(substring(fingerprint, i * {DIGITS} + 1, {DIGITS}), 16, 10)))")
+    distinct = rows.groupBy("fingerprint").agg(F.min("id").alias("first"))
+    distinct = durable(distinct.select("*", F.monotonically_increasing_id().alias("node"), numbers.alias("tokens")))
+    each = distinct.select("node", F.explode("tokens").alias("token"))
+    counts = durable(each.groupBy("token").agg(F.count("*").alias("uses")))
+    own = F.sort_array(F.collect_list(F.struct("uses", "token")))
+    ranked = durable(each.join(counts.filter("uses > 1"), "token").groupBy("node").agg(own.alias("common")))
+    # Spots of a single text are the rarest and match nothing: they only take up room in the prefix.
+    size = F.size("tokens")
+    room = size - F.ceil(F.lit(threshold) * size - F.lit(1e-9)).cast("int") + 1 - (size - F.size("common"))
+    part = F.floor(F.log(size.cast("double")) / log(1 / threshold) + F.lit(1e-9)).cast("int")
+    kept = distinct.join(ranked, "node").filter(room > 0)
+    keyed = kept.select("node", "tokens", part.alias("part"), F.explode(F.slice("common", F.lit(1), room)["token"]).alias("token"))
+    placed = durable(keyed.select("token", F.explode(F.array(F.col("part"), F.col("part") + 1)).alias("part"), "node", "tokens"))
+    group = ["token", "part", *blocks.PAIR]
+    dealt = blocks.paired_blocks(placed, ["token", "part"], "node").repartition(*group).sortWithinPartitions(*group)
+    found = durable(dealt.select(*group, "node", "tokens").mapInArrow(_linked(threshold), "a long, b long"))
+    roots = durable(components(found))
+    rooted = distinct.join(roots.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left")
+    rooted = durable(rooted.select("fingerprint", "first", F.coalesce("root", "node").alias("root")))
+    names = durable(rooted.groupBy("root").agg(F.min("first").alias("component_id")))
+    named = durable(rooted.join(names, "root").select("fingerprint", "component_id"))
+    return rows.join(named, "fingerprint").select(F.col("id").alias(id_column), "fingerprint", "component_id")
