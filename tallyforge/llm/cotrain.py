@@ -41,32 +41,39 @@ HELD_OUT = 4
 #: Scores are counted in so many bins to calibrate them, so the counts are small however many documents there are.
 BINS, EDGE = 2000, 20.0
 
-_RUNS = [(re.compile(rb"[a-z]+"), b"a"), (re.compile(rb"[A-Z]+"), b"A"), (re.compile(rb"[0-9]+"), b"0"), (re.compile(rb"[\x80-\xff]+"), b"u")]
+_SHIFT = TEXT_SPACE.bit_length() - 1
+_RUN = re.compile(rb"([aA0u])\1+")
+_SIGNS = bytes(
+    ord("u") if b >= 128 else ord("0") if 48 <= b <= 57 else ord("A") if 65 <= b <= 90 else ord("a") if 97 <= b <= 122 else b
+    for b in range(256)
+)
 
 
 def _shape(word: bytes) -> bytes:
     """A word with runs of letters and digits cut to one sign each: ``The,`` is ``Aa,``."""
-    for run, sign in _RUNS:
-        word = run.sub(sign, word)
-    return word[-6:]
+    if word.isalpha() and word.islower():
+        return b"a"
+    return _RUN.sub(rb"\1", word.translate(_SIGNS))[-6:]
 
 
-class _Words:
-    """Features of words, remembered as they recur; forgets all at ``most`` words to stay small."""
+class _Words(dict):
+    """Features of words, as one number for the word and its shape, remembered as words recur.
+    Forgets all at ``most`` words to stay small."""
 
-    def __init__(self, most: int = 200_000):
-        self.most, self.known = most, {}
+    most = 250_000
 
-    def __call__(self, word: bytes) -> tuple[int, int]:
-        got = self.known.get(word)
-        if got is None:
-            if len(self.known) >= self.most:
-                self.known.clear()
-            shape = xxhash.xxh64_intdigest(_shape(word)) % TEXT_SPACE
-            got = self.known[word] = (xxhash.xxh64_intdigest(word.lower(), 1) % TEXT_SPACE, shape)
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= self.most:
+            self.clear()
+        shape = xxhash.xxh32_intdigest(_shape(word)) % TEXT_SPACE
+        got = self[word] = (xxhash.xxh32_intdigest(word.lower(), 1) % TEXT_SPACE) << _SHIFT | shape
         return got
 
 
+#: One for each worker process.
+_WORDS = _Words()
+
+
 def _kind(byte: int) -> int:
     sign = bytes([byte])
     if sign.isspace():
@@ -88,21 +95,22 @@ def _page(marks: Sequence[str]) -> np.ndarray:
     return np.unique(np.array([xxhash.xxh64_intdigest(m.encode()) % PAGE_SPACE for m in marks], np.uint16))
 
 
-def features(data: bytes, metadata: Sequence, words: _Words) -> tuple[np.ndarray, np.ndarray]:
+def features(data: bytes, metadata: Sequence) -> tuple[np.ndarray, np.ndarray]:
     """Features of the text view and of the page view, as distinct numbers."""
-    found, distinct, n_words, same, last = [], set(), 0, 0, None
+    found, distinct, n_words, same, last = np.zeros(TEXT_SPACE, bool), set(), 0, 0, -1
     for piece in word_pieces(data):
         if not piece:
             continue
-        own = [words(w) for w in piece]
-        pairs = np.array(own, np.int64)
-        follow = (pairs[:-1, 1] * 31 + pairs[1:, 1]) % TEXT_SPACE
-        found.append(np.unique(np.concatenate([pairs.reshape(-1), follow])))
-        distinct.update(own)
+        own = np.fromiter(map(_WORDS.__getitem__, piece), np.int64, len(piece))
+        words, shapes = own >> _SHIFT, own & (TEXT_SPACE - 1)
+        found[words] = True
+        found[shapes] = True
+        found[(shapes[:-1] * 31 + shapes[1:]) & (TEXT_SPACE - 1)] = True
+        distinct.update(piece)
         n_words += len(piece)
-        same += int((pairs[1:, 0] == pairs[:-1, 0]).sum()) + (last == own[0])
-        last = own[-1]
-    text = np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
+        same += int(np.count_nonzero(words[1:] == words[:-1])) + int(last == words[0])
+        last = words[-1]
+    text = np.flatnonzero(found)
     kinds = data.translate(KINDS)
     visible = max(len(kinds) - kinds.count(b" "), 1)
     lines = data.count(b"\n") + 1
@@ -113,6 +121,19 @@ def features(data: bytes, metadata: Sequence, words: _Words) -> tuple[np.ndarray
     return text.astype(np.uint16), _page(marks)
 
 
+def packed(found: np.ndarray) -> bytes:
+    """Rising numbers as the gaps between them, a byte each; a zero byte stands for 255 to be added to the gap."""
+    gaps = np.diff(found.astype(np.int64), prepend=-1) - 1
+    out = np.zeros(len(gaps) + int((gaps // 255).sum()), np.uint8)
+    out[np.cumsum(gaps // 255 + 1) - 1] = gaps % 255 + 1
+    return out.tobytes()
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    gaps = np.frombuffer(data, np.uint8)
+    return (np.cumsum(np.where(gaps == 0, 255, gaps), dtype=np.int64) - 1)[gaps != 0]
+
+
 # --- models ------------------------------------------------------------------------
 
 
@@ -180,9 +201,9 @@ def _featured(metadata: int):
 
     @F.arrow_udf(returnType=kind)
     def look(text: pa.Array, *meta: pa.Array) -> pa.Array:
-        words, values = _Words(), list(zip(*(m.to_pylist() for m in meta[:metadata]), strict=True)) or [()] * len(text)
-        rows = [features(data, own, words) for data, own in zip(texts(text), values, strict=True)]
-        columns = [pa.array([r[i].tobytes() for r in rows], pa.binary()) for i in (0, 1)]
+        values = list(zip(*(m.to_pylist() for m in meta[:metadata]), strict=True)) or [()] * len(text)
+        rows = [features(data, own) for data, own in zip(texts(text), values, strict=True)]
+        columns = [pa.array([packed(r[i]) for r in rows], pa.binary()) for i in (0, 1)]
         return pa.StructArray.from_arrays(columns, names=["text", "page"])
 
     return look
@@ -190,7 +211,7 @@ def _featured(metadata: int):
 
 def _rows(batch: pa.RecordBatch):
     for text, page, y in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-        yield np.frombuffer(text, np.uint16), np.frombuffer(page, np.uint16), y
+        yield unpacked(text), unpacked(page), y
 
 
 def _counted(frame: DataFrame, marks) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -322,10 +343,10 @@ def score(
 
     @F.arrow_udf(returnType=kind)
     def judge(text: pa.Array, *meta: pa.Array) -> pa.Array:
-        words, rows = _Words(), []
+        rows = []
         values = list(zip(*(m.to_pylist() for m in meta[:-1]), strict=True)) or [()] * len(text)
         for data, own in zip(texts(text), values, strict=True):
-            a, b, both = model.together(*features(data, own, words))
+            a, b, both = model.together(*features(data, own))
             rows.append((sigmoid(a), sigmoid(b), sigmoid(model.slope * both + model.offset)))
         return pa.StructArray.from_arrays([pa.array([r[i] for r in rows], pa.float64()) for i in range(3)], names=names)
 

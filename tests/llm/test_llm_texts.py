@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tallyforge.llm import bpe, cotrain, licenses, linededup, mixture, passages, rules, simhash, spots, urls
+from tallyforge.llm import blocks, bpe, cotrain, licenses, linededup, mixture, passages, rules, simhash, spots, urls
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -144,8 +144,8 @@ def test_allocation_is_the_cheapest():
 
 
 def test_large_buckets_are_split_without_losing_links(spark, monkeypatch):
-    monkeypatch.setattr(simhash, "BLOCK_LEAST", 16)
-    monkeypatch.setattr(simhash, "BLOCK_MOST", 16)
+    monkeypatch.setattr(blocks, "BLOCK_LEAST", 16)
+    monkeypatch.setattr(blocks, "BLOCK_MOST", 16)
     rnd = random.Random(9)
     base = rnd.getrandbits(64)
     near = {base ^ (1 << a) ^ (1 << b) for a in range(0, 64, 3) for b in range(1, 64, 5)}
@@ -548,3 +548,43 @@ def test_urls_without_rules_or_pages(spark):
     assert [r.rule for r in urls.judge_urls(pages, rule).collect()] == ["net/"]
     with pytest.raises(ValueError):
         urls.judge_urls(pages, [urls.UrlRule("block", "net", "x")])
+
+
+def test_packed_features_come_back():
+    rnd = random.Random(8)
+    for n in (0, 1, 5, 300):
+        found = np.array(sorted(rnd.sample(range(cotrain.TEXT_SPACE), n)), np.int64)
+        assert cotrain.unpacked(cotrain.packed(found)).tolist() == found.tolist()
+    edges = np.array([0, 254, 255, 256, 765, 8191])
+    assert cotrain.unpacked(cotrain.packed(edges)).tolist() == edges.tolist()
+
+
+def test_spot_classes_are_those_of_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(blocks, "BLOCK_LEAST", 8)
+    monkeypatch.setattr(blocks, "BLOCK_MOST", 8)
+    rnd, rows = random.Random(21), []
+    for family in range(4):
+        base = prose(900 + family, 160).split()
+        for k in range(14):
+            words = list(base)
+            for _ in range(k % 5):
+                words[rnd.randrange(len(words))] = f"new{rnd.randrange(999)}"
+            rows.append((100 * family + k, " ".join(words[: len(words) - k])))
+    rows += [(900, None), (901, ""), (None, rows[0][1]), (902, rows[0][1])]
+    got = {(r.doc_id, r.component_id) for r in spots.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    sets = [(id_, spots.spots(text or "")) for id_, text in rows]
+    label = list(range(len(sets)))
+    changed = True
+    while changed:
+        changed = False
+        for i, (_, a) in enumerate(sets):
+            for j, (_, b) in enumerate(sets):
+                if label[i] != label[j] and spots.likeness(a, b) >= 0.8:
+                    label[i] = label[j] = min(label[i], label[j])
+                    changed = True
+    least = {}
+    for (id_, _), at in zip(sets, label, strict=True):
+        if id_ is not None:
+            least[at] = min(id_, least.get(at, id_))
+    assert got == {(id_, least[at]) for (id_, _), at in zip(sets, label, strict=True)}
+    assert len(set(least.values())) > 4
