@@ -51,7 +51,11 @@ def period_growth(df: DataFrame, date: str, measure: str, grain: str = "month")
 
     The window is not partitioned, but it sees one row per calendar period.
     """
-    sums = _by_period(df, date, measure, grain)
+    return growth_series(_by_period(df, date, measure, grain), measure, grain)
+
+
+def growth_series(sums: DataFrame, measure: str, grain: str = "month") -> DataFrame:
+    """(Period, measure, growth_pct), given a sum for each period's start."""
     previous = F.lag(ref(measure)).over(Window.orderBy(ref(START)))
     return sums.select(
         label_of_start(ref(START), grain).alias("Period"),
@@ -62,7 +66,10 @@ def period_growth(df: DataFrame, date: str, measure: str, grain: str = "month")
 
 def latest_growth(df: DataFrame, date: str, measure: str, grain: str = "month") -> DataFrame:
     """One row: growth between the last two periods, NULL with fewer than two."""
-    series = period_growth(df, date, measure, grain)
+    return latest_of(period_growth(df, date, measure, grain))
+
+
+def latest_of(series: DataFrame) -> DataFrame:
     return series.agg(
         F.max("Period").alias("period"),
         F.max_by("growth_pct", "Period").alias("growth_pct"),

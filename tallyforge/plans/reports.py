@@ -8,8 +8,9 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.coerce import to_number
-from ..functions.columns import as_list, numeric_columns, ref, require_columns
+from ..functions.coerce import to_date, to_number
+from ..functions.columns import TEMP, as_list, numeric_columns, order_keys, ref, require_columns
+from ..functions.periods import period_start
 from ..operators.aggregate import (
     aggregate,
     descriptive,
@@ -22,7 +23,7 @@ from ..operators.duplicates import duplicate_row_count
 from ..operators.outliers import outliers
 from ..operators.profile import quality_issues
 from ..operators.ranking import pareto, top_n
-from ..operators.timeseries import latest_growth, period_growth, segment_decline
+from ..operators.timeseries import START, growth_series, latest_of, period_growth, segment_decline
 
 CONCENTRATION_PCT = 30.0
 
@@ -174,36 +175,67 @@ def dashboard(
     if kind not in DASHBOARDS:
         raise ValueError(f"Unknown dashboard: {kind}")
     require_columns(df, measure, date, product, region, category)
-    x = to_number(df, measure)
-    total = F.coalesce(F.sum(x), F.lit(0.0))
-    rows = F.count(F.lit(1)).cast("double")
+    panels = {"top_products": product, "by_region": region, "by_category": category}
+    keys = {panel: ref(column) for panel, column in panels.items() if column is not None}
+    if date is not None:
+        keys[START] = period_start(to_date(df, date), "month")
+    sums = _sums_by_each(df.select(to_number(df, measure).alias(AMOUNT), *[c.alias(k) for k, c in keys.items()]), list(keys))
+    rows = F.coalesce(F.max("rows"), F.lit(0)).cast("double")
     cards = {
-        "Revenue" if kind == "sales" else "Total": total,
-        "Average": F.coalesce(F.avg(x), F.lit(0.0)),
+        "Revenue" if kind == "sales" else "Total": F.coalesce(F.max("total"), F.lit(0.0)),
+        "Average": F.coalesce(F.max("mean"), F.lit(0.0)),
         "Records": rows,
     }
     if kind == "sales" or any("order" in c.lower() for c in df.columns):
         cards["Orders"] = rows
-        cards["AOV"] = F.try_divide(F.sum(x), rows)
-    wide = df.agg(*[c.alias(n) for n, c in cards.items()])
+        cards["AOV"] = F.try_divide(F.max("total"), rows)
+    wide = sums(None).agg(*[c.alias(n) for n, c in cards.items()])
     pairs = F.array(
         *[F.struct(F.lit(n).alias("label"), ref(n).alias("value")) for n in cards]
     )
     long = wide.select(F.inline(pairs)).filter(F.col("value").isNotNull())
     parts = [_panel(long, "kpi", F.col("label"), F.col("value"))]
+    filled = F.coalesce(F.col("total"), F.lit(0.0)).alias("total")
     if date is not None:
-        trend = period_growth(df, date, measure)
-        parts.append(_panel(trend, "trend", F.col("Period"), ref(measure)))
-        growth = latest_growth(df, date, measure).filter(F.col("growth_pct").isNotNull())
+        # Told by the start and the count together, so that this test stays behind the shared shuffle too.
+        dated = F.concat_ws(" ", "rows", ref(START).cast("string")).contains(" ")
+        trend = growth_series(sums(START).filter(dated).select(ref(START), filled), "total")
+        parts.append(_panel(trend, "trend", F.col("Period"), F.col("total")))
+        growth = latest_of(trend).filter(F.col("growth_pct").isNotNull())
         parts.append(_panel(growth, "kpi", F.lit("MoM Growth %"), F.col("growth_pct")))
-    panels = {"top_products": product, "by_region": region, "by_category": category}
-    for panel, column in panels.items():
-        if column is not None:
-            largest = summarize(df, column, measure, {"total": "sum"}, top)
-            parts.append(_panel(largest, panel, ref(column), F.col("total")))
+    for panel in panels:
+        if panel in keys:
+            largest = sums(panel).select(ref(panel), filled).orderBy(*order_keys(["total"], False), *order_keys([panel]))
+            parts.append(_panel(largest.limit(top), panel, ref(panel), F.col("total")))
     return _union(parts)
 
 
+AMOUNT = TEMP + "amount"
+
+
+def _sums_by_each(df: DataFrame, keys: Sequence[str]):
+    """Totals of the amount over all rows and by each key, in one pass over ``df``.
+
+    The result gives the frame for a key (None: all rows). These frames share one
+    aggregation: which rows a frame takes is told by a column that is only known after
+    it, so the choice does not move into the scan and the shuffle is used again.
+    """
+    x, kinds = ref(AMOUNT), {k: df.schema[k].dataType for k in keys}
+    sets = [
+        F.struct(F.lit(at).alias("set"), *[(ref(k) if k == key else F.lit(None).cast(kinds[k])).alias(k) for k in keys])
+        for at, key in enumerate([None, *keys])
+    ]
+    each = df.select(x, F.inline(F.array(*sets)))
+    aggs = [F.sum(x).alias("total"), F.avg(x).alias("mean"), F.count(F.lit(1)).alias("rows")]
+    table = each.groupBy("set", *map(ref, keys)).agg(*aggs)
+
+    def frame(key: str | None) -> DataFrame:
+        known = (F.col("rows") > 0) | (F.col("mean") > F.col("total"))  # always true, but needs all aggregates
+        return table.filter(F.when(known, F.col("set")) == [None, *keys].index(key))
+
+    return frame
+
+
 def board(
     df: DataFrame,
     measure: str,

@@ -148,3 +148,13 @@ def test_templates_return_all_groups(spark):
     assert templates.report("employee_performance", df, "person", "pay", n=3).count() == 3
     with pytest.raises(ValueError):
         templates.report("none", df)
+
+
+def test_dashboard_reads_its_input_once(spark, shop, tmp_path):
+    shop.write.parquet(str(tmp_path / "shop"))
+    df = reports.dashboard(spark.read.parquet(str(tmp_path / "shop")), "revenue", "day", "product", "region", "product")
+    df.collect()
+    final = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert final.count("FileScan") == 1 and "ReusedExchange" in final
+    empty = reports.dashboard(shop.limit(0), "revenue", "day", "product").collect()
+    assert {(r.label, r.value) for r in empty} >= {("Revenue", 0.0), ("Records", 0.0)}
