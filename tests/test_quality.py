@@ -164,3 +164,10 @@ def test_nan_counts_as_missing(spark):
     df = spark.createDataFrame([(float("nan"),), (2.0,)], "x double")
     assert pairs(p.missing_summary(df)) == {"x": 1}
     assert p.profile_columns(df).first().null_count == 1
+
+
+def test_capitalisation_is_checked_whatever_the_number_of_values(spark):
+    for n in (41, 61, 400):
+        df = spark.createDataFrame([(f"value {i}",) for i in range(n)] + [("VALUE 1",)], "t string")
+        found = {(r.issue, r["count"]) for r in p.quality_issues(df).collect()}
+        assert ("capitalization", 1) in found
