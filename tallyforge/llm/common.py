@@ -14,6 +14,11 @@ BLANKS = " \t\n\x0b\x0c\r"
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
+#: A-Z lowered, ASCII but letters and digits made blank: splitting then gives words without punctuation.
+PLAIN = bytes(
+    b + 32 if 65 <= b <= 90 else b if b >= 128 or 97 <= b <= 122 or 48 <= b <= 57 else 32 for b in range(256)
+)
+
 _BLANK = re.compile(rb"[ \t-\r]")
 PIECE = 1 << 20
 

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import need, texts, word_pieces
+from .common import PLAIN, need, texts, word_pieces
 
 THRESHOLD = 0.8
 
@@ -41,14 +41,9 @@ TEMPLATES = {
 #: Templates go to every task, so their text is bounded.
 MOST_TEMPLATE_BYTES = 1 << 20
 
-#: A-Z lowered; all of ASCII but letters and digits parts words.
-_WORDS = bytes(
-    b + 32 if 65 <= b <= 90 else b if b >= 128 or 97 <= b <= 122 or 48 <= b <= 57 else 32 for b in range(256)
-)
-
 
 def words_of(data: bytes) -> list[bytes]:
-    return data.translate(_WORDS).split()
+    return data.translate(PLAIN).split()
 
 
 @dataclass(frozen=True)
@@ -129,7 +124,7 @@ def scan(data: bytes, index: Index) -> tuple[int, list, list]:
     reach = max((len(p) for p, _ in index.phrases), default=1) - 1
     places, found, total, carry, seen = [], [], 0, [], False
     wanted = index.prefixes.keys()
-    for piece in word_pieces(data.translate(_WORDS)):
+    for piece in word_pieces(data.translate(PLAIN)):
         words = carry + piece
         places.extend(_places(words, index, total - len(carry), len(carry)))
         seen = seen or not wanted.isdisjoint(piece)
@@ -138,7 +133,7 @@ def scan(data: bytes, index: Index) -> tuple[int, list, list]:
         at = 0
         for number, line in enumerate(data.split(b"\n")):
             n, distinct = 0, set()
-            for piece in word_pieces(line.translate(_WORDS)):
+            for piece in word_pieces(line.translate(PLAIN)):
                 n += len(piece)
                 distinct.update(piece)
             found.extend((name, number, at, n, share) for name, share in index.matches(distinct))
@@ -153,7 +148,7 @@ def word_counts(docs: DataFrame, words: set[bytes], text_column: str = "text") -
         sums: Counter[bytes] = Counter()
         for batch in batches:
             for data in texts(batch.column(0)):
-                for piece in word_pieces(data.translate(_WORDS)):
+                for piece in word_pieces(data.translate(PLAIN)):
                     sums.update(w for w in piece if w in words)
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.binary()), pa.array(list(sums.values()), pa.int64())], names=["word", "n"])
 

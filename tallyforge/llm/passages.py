@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.ordered import durable
-from .common import need
+from .common import PLAIN, need
 
 #: Runs of fewer words are left: short sentences repeat by chance. A passage that begins and ends within
 #: sentences loses up to two of them to what surrounds it.
@@ -30,11 +30,6 @@ SENTENCE_WORDS = 4
 
 SENTENCE = re.compile(r"[^.!?\n]+[.!?]*|\n")
 
-#: A-Z lowered, ASCII but letters and digits made blank.
-_PLAIN = bytes(
-    b + 32 if 65 <= b <= 90 else b if b >= 128 or 97 <= b <= 122 or 48 <= b <= 57 else 32 for b in range(256)
-)
-
 #: Units that a task gathers before it hands them on.
 FLUSH = 50_000
 
@@ -46,7 +41,7 @@ def units(text: str):
     """
     words, start, end = [], 0, 0
     for found in SENTENCE.finditer(text):
-        own = found.group().encode().translate(_PLAIN).split()
+        own = found.group().encode().translate(PLAIN).split()
         if own:
             start = start if words else found.start()
             words, end = words + own, found.end()

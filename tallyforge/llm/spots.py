@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from ..operators.ordered import durable
 from . import blocks
-from .common import mapped, need, word_pieces
+from .common import PLAIN, mapped, need, word_pieces
 from .components import components
 
 CHAIN = 2
@@ -42,11 +42,6 @@ STOPWORDS = ANCHORS | frozenset(
     "no al lo se su sus más pero como o para este esta estos son fue ha han ser".encode().split()
 )
 
-#: A-Z lowered; all of ASCII but letters and digits parts words.
-_WORDS = bytes(
-    b + 32 if 65 <= b <= 90 else b if b >= 128 or 97 <= b <= 122 or 48 <= b <= 57 else 32 for b in range(256)
-)
-
 #: Fingerprints as alike as this are near-duplicates.
 THRESHOLD = 0.8
 
@@ -57,7 +52,7 @@ DIGITS = 8
 def spots(text: str) -> frozenset[int]:
     """Hashes of the spots of a text. One without any has a single one, of all its words in order,
     so that equal texts agree and others do not."""
-    data = text.encode().translate(_WORDS)
+    data = text.encode().translate(PLAIN)
     found, content, waiting = set(), [], []
     for piece in word_pieces(data):
         for word in piece:
