@@ -108,12 +108,13 @@ BINDINGS["match_only"] = (
 
 def match_non(spark, d):
     orders, ordered = _order_keys(spark, d)
-    return joins.match_datasets(orders, ordered, "o_orderkey", "non_matching", "l_orderkey").drop("_merge")
+    return joins.match_datasets(orders, ordered, "o_orderkey", "non_matching", "l_orderkey")
 
 
 BINDINGS["match_non"] = (
     match_non,
-    """SELECT o_orderkey, o_custkey, l_orderkey
+    """SELECT o_orderkey, o_custkey, l_orderkey,
+              CASE WHEN l_orderkey IS NULL THEN 'left_only' ELSE 'right_only' END AS _merge
        FROM orders FULL JOIN (SELECT DISTINCT l_orderkey FROM lineitem) ON o_orderkey = l_orderkey
        WHERE o_orderkey IS NULL OR l_orderkey IS NULL""",
 )
@@ -132,12 +133,12 @@ def match_normalized(spark, d):
     shouted = customer.groupBy(
         F.concat(F.lit(" "), F.lower("c_mktsegment"), F.lit("\t")).alias("segment")
     ).agg(F.count(F.lit(1)).alias("members"))
-    return joins.match_normalized(customer, shouted, "c_mktsegment", "segment").drop("segment", "_merge")
+    return joins.match_normalized(customer, shouted, "c_mktsegment", "segment")
 
 
 BINDINGS["match_normalized"] = (
     match_normalized,
-    """SELECT c_custkey, c_mktsegment, members FROM customer
+    """SELECT c_custkey, c_mktsegment, concat(' ', segment, chr(9)) AS segment, members, 'both' AS _merge FROM customer
        JOIN (SELECT lower(c_mktsegment) AS segment, count(*) AS members FROM customer GROUP BY 1)
          ON lower(trim(c_mktsegment)) = segment""",
 )

@@ -132,11 +132,11 @@ BINDINGS["dashboard_sales"] = (
     ),
 )
 
-PARTS = "parts AS (SELECT p_name, p_brand, p_type, p_retailprice FROM part)"
+PARTS = "parts AS (SELECT * FROM part)"
 
 
 def dashboard_inventory(spark, d):
-    parts = table(spark, d, "part").select("p_name", "p_brand", "p_type", "p_retailprice")
+    parts = table(spark, d, "part")
     return rounded(templates.report("stock_dashboard", parts, "p_retailprice", None, "p_brand", "p_type"), "value")
 
 
@@ -379,31 +379,28 @@ BINDINGS["tpl_hr_employee"] = (
     _ranked("supplier", "s_name", "s_acctbal", None, "DESC", "sum"),
 )
 
-_EVENTS = "ev AS (SELECT event_id, event_type, value FROM events)"
+EVENT_NUMBERS, EVENT_COLUMNS = ("event_id", "user_id", "value"), 6
 
 BINDINGS["tpl_hr_attendance"] = (
     lambda spark, d: rounded(
         templates.report(
-            "attendance_summary", table(spark, d, "events").select("event_id", "event_type", "value"), "value", "event_type"
+            "attendance_summary", table(spark, d, "events"), "value", "event_type"
         ),
         "value",
     ),
-    f"""WITH {_EVENTS}, {findings_sql("ev", ("event_id", "value"), "value", "event_type", 3, False)}
+    f"""WITH {findings_sql("events", EVENT_NUMBERS, "value", "event_type", EVENT_COLUMNS, False)}
         SELECT kind, subject, round(value, 2) AS value, severity FROM f""",
 )
 
-_LEADS = "leads AS (SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders)"
-
 BINDINGS["tpl_crm_leads"] = (
     lambda spark, d: rounded(
         templates.report(
-            "lead_analysis", table(spark, d, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice"),
-            "o_totalprice", "o_orderstatus",
+            "lead_analysis", table(spark, d, "orders"), "o_totalprice", "o_orderstatus"
         ),
         "value",
     ),
-    f"""WITH {_LEADS},
-        {findings_sql("leads", ("o_orderkey", "o_totalprice"), "o_totalprice", "o_orderstatus", 3, False)}
+    f"""WITH
+        {findings_sql("orders", ("o_orderkey", "o_custkey", "o_totalprice"), "o_totalprice", "o_orderstatus", 6, False)}
         SELECT kind, subject, round(value, 2) AS value, severity FROM f""",
 )
 
