@@ -634,3 +634,11 @@ def test_pipeline_drops_copies_with_edited_words(spark):
     rows = [(i, t, "en", "a", len(t)) for i, t in enumerate([base, *far, prose(78, 400)])]
     kept = corpus_pipeline.drop_near_duplicates(spark, spark.createDataFrame(rows, SCHEMA), "")
     assert sorted(r.doc_id for r in kept.collect()) == [0, len(far) + 1]
+
+
+def test_pipeline_drops_rows_not_ids(spark):
+    a, b, c, d = (prose(s, 60) for s in (81, 82, 83, 84))
+    rows = [(1, a), (2, a), (2, b), (3, c), (3, c), (3, c), (None, a), (None, d), (None, d), (5, None), (6, "")]
+    docs = spark.createDataFrame([(i, t, "en", "a", 0) for i, t in rows], SCHEMA).repartition(3)
+    kept = corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()
+    assert by_id(kept, "doc_id", "text") == sorted([(1, a), (2, b), (3, c), (None, d), (5, None)], key=repr)
