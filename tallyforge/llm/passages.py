@@ -4,7 +4,8 @@ Lines are cut at the ends of sentences that are not very short, so that a passag
 wherever in a line it begins; shorter sentences stay with what follows.
 Each unit is normalised and hashed; digests are grouped over all documents, and the
 document with the smallest id keeps its unit. In the others, units that repeat an earlier
-one are joined to runs, and runs of ``MIN_WORDS`` words or more are passages to remove.
+one are joined to runs. Runs are carried on word by word at both ends against the document that
+keeps their units, and those of ``MIN_WORDS`` words or more then are passages to remove.
 """
 
 from __future__ import annotations
@@ -21,8 +22,7 @@ from pyspark.sql import types as T
 from ..operators.ordered import durable
 from .common import PLAIN, need
 
-#: Runs of fewer words are left: short sentences repeat by chance. A passage that begins and ends within
-#: sentences loses up to two of them to what surrounds it.
+#: Passages of fewer words are left: short sentences repeat by chance.
 MIN_WORDS = 25
 
 #: Sentences of fewer words do not end a unit.
@@ -75,6 +75,86 @@ def _cut(batches):
             yield _batch(rows, kind)
 
 
+WORDS = re.compile(r"[0-9A-Za-z\x80-\U0010ffff]+")
+
+EXTENDED = T.StructType([T.StructField("chars", T.LongType()), T.StructField("words", T.LongType())])
+
+
+def extension(own: str, kept: str, whole: bool, back: bool) -> tuple[int, int]:
+    """How many code points and words at the end (``back``) or beginning of ``own`` have the words of ``kept``.
+
+    If ``kept`` is not ``whole``, its outermost word may be cut and counts for nothing.
+    """
+    mine, theirs = (list(WORDS.finditer(x)) for x in (own, kept))
+    if back:
+        mine, theirs = mine[::-1], theirs[::-1]
+    n = 0
+    for a, b in zip(mine, theirs if whole else theirs[:-1], strict=False):
+        if a.group().encode().translate(PLAIN) != b.group().encode().translate(PLAIN):
+            break
+        n += 1
+    if not n:
+        return 0, 0
+    return (len(own) - mine[n - 1].start() if back else mine[n - 1].end()), n
+
+
+def _extensions(back: bool):
+    @F.arrow_udf(returnType=EXTENDED)
+    def extend(own: pa.Array, kept: pa.Array, whole: pa.Array) -> pa.Array:
+        rows = zip(own.to_pylist(), kept.to_pylist(), whole.to_pylist(), strict=True)
+        found = [extension(a or "", b or "", bool(w), back) for a, b, w in rows]
+        columns = [pa.array([f[i] for f in found], pa.int64()) for i in (0, 1)]
+        return pa.StructArray.from_arrays(columns, names=EXTENDED.names)
+
+    return extend
+
+
+#: Code points of the kept document that are looked at beyond twice those between a run and the next.
+MARGIN = 64
+
+
+def _extended(runs: DataFrame, plain: DataFrame) -> DataFrame:
+    """``runs`` carried on at both ends as far as the kept document has the same words; those that then
+    touch or overlap are one."""
+    order = Window.partitionBy("id", "version").orderBy("start")
+    spaced = runs.select(
+        "*", F.coalesce(F.lag("end").over(order), F.lit(0)).alias("low"), F.lead("start").over(order).alias("high")
+    )
+    texts = plain.dropDuplicates(["id", "version"])
+    part = lambda a, b: F.substring("text", (a + 1).cast("int"), F.greatest(b - a, F.lit(0)).cast("int"))
+    start, end, length = F.col("start"), F.col("end"), F.length("text").cast("long")
+    own = durable(
+        spaced.join(texts, ["id", "version"]).select(
+            *runs.columns, part(F.col("low"), start).alias("before"), part(end, F.coalesce("high", length)).alias("after")
+        )
+    )
+    kept = texts.select(F.col("id").alias("of"), F.col("version").alias("of_version"), "text")
+    for side, at, back in (("before", "head", True), ("after", "tail", False)):
+        here, reach = F.col(f"{at}.place"), 2 * F.length(side).cast("long") + MARGIN
+        compared = (F.col("of") == F.col(f"{at}.id")) & (F.col("of_version") == F.col(f"{at}.version"))
+        compared &= (F.col("of") < F.col("id")) | (F.col("of_version") == F.col("version"))
+        a, b = (F.greatest(here - reach, F.lit(0)), here) if back else (here, F.least(here + reach, length))
+        whole = (a == 0) if back else (b == length)
+        joined = own.join(kept, compared, "left").select(*own.columns, part(a, b).alias("there"), whole.alias("whole"))
+        more = _extensions(back)(F.col(side), F.col("there"), F.col("whole"))
+        own = durable(joined.withColumn(f"{side}_more", more).drop(side, "there", "whole"))
+    wide = own.select(
+        "id", "version", (start - F.col("before_more.chars")).alias("start"), (end + F.col("after_more.chars")).alias("end"),
+        (F.col("n_words") + F.col("before_more.words") + F.col("after_more.words")).alias("n_words"), "kept_ids",
+    )
+    reached = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    fresh = F.sum(F.when(F.col("start") <= F.col("reached"), 0).otherwise(1)).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    merged = wide.withColumn("reached", reached).withColumn("run", fresh).groupBy("id", "version", "run")
+    joint = merged.agg(
+        F.min("start").alias("start"), F.max("end").alias("end"), F.sum("n_words").alias("n_words"), F.count("*").alias("n"),
+        F.sort_array(F.array_distinct(F.flatten(F.collect_list("kept_ids")))).alias("kept_ids"),
+    )
+    single = joint.filter("n = 1").select("id", "version", "start", "end", "n_words", "kept_ids")
+    span = F.regexp_count(part(start, end), F.lit(r"[0-9A-Za-z\x{80}-\x{10ffff}]+")).cast("long")
+    several = joint.filter("n > 1").join(texts, ["id", "version"])
+    return single.unionByName(several.select("id", "version", "start", "end", span.alias("n_words"), "kept_ids"))
+
+
 def repeated_passages(
     docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", min_words: int = MIN_WORDS
 ) -> DataFrame:
@@ -92,19 +172,22 @@ def repeated_passages(
     kind = docs.schema[id_column].dataType.simpleString()
     made = f"id {kind}, version long, unit long, h long, g long, start long, end long, words long, again boolean"
     cut = durable(plain.mapInArrow(_cut, made))
-    firsts = cut.groupBy("h", "g").agg(F.min("id").alias("first"), F.max("id").alias("last"), F.max("again").alias("within"))
-    firsts = durable(firsts.filter("first < last OR within").select("h", "g", "first"))
-    repeats = cut.join(firsts, ["h", "g"]).filter("id > first OR again")
-    repeats = repeats.select("id", "version", "unit", "start", "end", "words", "first").distinct()
+    kept = F.min(F.struct("id", "version", "start", "end")).alias("kept")
+    firsts = cut.groupBy("h", "g").agg(kept, F.max("id").alias("last"), F.max("again").alias("within"))
+    firsts = durable(firsts.filter("kept.id < last OR within").select("h", "g", "kept"))
+    repeats = cut.join(firsts, ["h", "g"]).filter("id > kept.id OR again")
+    repeats = repeats.select("id", "version", "unit", "start", "end", "words", "kept").distinct()
     document = Window.partitionBy("id", "version").orderBy("unit")
     runs = repeats.withColumn("run", F.col("unit") - F.row_number().over(document)).groupBy("id", "version", "run")
     whole = runs.agg(
         F.min("start").alias("start"),
         F.max("end").alias("end"),
         F.sum("words").alias("n_words"),
-        F.sort_array(F.collect_set("first")).alias("kept_ids"),
+        F.sort_array(F.collect_set("kept.id")).alias("kept_ids"),
+        F.min_by(F.struct("kept.id", "kept.version", F.col("kept.start").alias("place")), "unit").alias("head"),
+        F.max_by(F.struct("kept.id", "kept.version", F.col("kept.end").alias("place")), "unit").alias("tail"),
     )
-    return whole.filter(F.col("n_words") >= min_words).drop("run")
+    return _extended(durable(whole.drop("run")), plain).filter(F.col("n_words") >= min_words)
 
 
 KEPT = T.StructType([T.StructField("text", T.StringType()), T.StructField("n_removed", T.LongType())])

@@ -642,3 +642,14 @@ def test_pipeline_drops_rows_not_ids(spark):
     docs = spark.createDataFrame([(i, t, "en", "a", 0) for i, t in rows], SCHEMA).repartition(3)
     kept = corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()
     assert by_id(kept, "doc_id", "text") == sorted([(1, a), (2, b), (3, c), (None, d), (5, None)], key=repr)
+
+
+def test_passages_reach_into_cut_sentences(spark):
+    words = prose(91, 60).replace(".", "").replace(",", "").split()
+    shared = " ".join(words[:22]) + ". " + " ".join(words[22:36]) + ". " + " ".join(words[36:58])
+    rows = [(1, "Alpha was " + shared + " omega."), (2, "Beta had é " + shared + " and more.")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    (found,) = passages.repeated_passages(docs).collect()
+    assert rows[1][1][found.start : found.end].strip() == shared and (found.id, found.n_words) == (2, 58)
+    kept = {r.doc_id: r.text.split() for r in passages.drop_repeated_passages(docs).collect()}
+    assert kept == {1: rows[0][1].split(), 2: "Beta had é and more.".split()}
