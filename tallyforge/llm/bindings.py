@@ -7,8 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import read_table
-from .common import LOWER, UPPER
-from . import bpe, cotrain, licenses, linededup, mixture, passages, rules, simhash, spots, urls
+from .common import LOWER, UPPER, lower_ascii
+from . import bpe, cotrain, decontaminate, licenses, linededup, merkle, mixture, passages, rules, simhash, spelling, spots, urls
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -203,6 +203,146 @@ def op10_bpe(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+MANIFEST_COLUMNS = ("doc_id", "source", "lang", "n_chars", "text")
+
+
+def op11_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    changed = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    values = [lower_ascii(F.col(c)) if c == "text" else F.col(c) for c in MANIFEST_COLUMNS]
+    docs = docs.withColumn("tampered", F.when(changed, merkle.leaf_of(values)))
+    found = merkle.manifest(docs, MANIFEST_COLUMNS, keep=["tampered"])
+    made = merkle.folded(F.col("path"), F.coalesce("tampered", "leaf"))
+    folded = found.select("doc_id", "leaf", "subroot", "root", merkle.proof(F.col("path")).alias("proof_sha256"), made.alias("folded_root"))
+    return folded.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+#: crc32 in DuckDB, bit by bit: a byte is taken in, then the register is shifted eight times.
+CRC32_SQL = """xor(list_reduce(list_prepend(4294967295::bigint, flatten([
+    [b::bigint, -1, -1, -1, -1, -1, -1, -1, -1] FOR b IN [ascii(c) FOR c IN string_split({x}, '')]])),
+    lambda r, b: CASE WHEN b >= 0 THEN xor(r, b) WHEN r % 2 = 1 THEN xor(r >> 1, 3988292384) ELSE r >> 1 END), 4294967295)"""
+
+
+def _marked_sql(column: str) -> str:
+    value = f"CAST({column} AS varchar)"
+    return f"coalesce(CAST(strlen({value}) AS varchar) || ':' || {value}, '-')"
+
+
+LEAF_SQL = " || ".join(map(_marked_sql, MANIFEST_COLUMNS))
+
+MANIFEST = f"""
+WITH RECURSIVE
+leaves AS (
+  SELECT doc_id, source, sha256({LEAF_SQL}) AS leaf,
+         CASE WHEN {CRC32_SQL.format(x="CAST(doc_id AS varchar)")} % 5 = 0
+              THEN sha256({LEAF_SQL.replace("CAST(text AS varchar)", LOWER_SQL.format(x="text"))}) END AS tampered,
+         row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS pos, count(*) OVER (PARTITION BY source) AS n
+  FROM documents),
+up(lvl, source, pos, n, d) AS (
+  SELECT 0, source, pos, n, leaf FROM leaves UNION ALL
+  SELECT lvl + 1, source, pos // 16, (n + 15) // 16, sha256(string_agg(d, '' ORDER BY pos))
+  FROM up WHERE n > 1 GROUP BY lvl, source, pos // 16, n),
+subroots AS (
+  SELECT source, d, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS pos, count(*) OVER () AS n FROM up WHERE n = 1),
+top(lvl, pos, n, d) AS (
+  SELECT 0, pos, n, d FROM subroots UNION ALL
+  SELECT lvl + 1, pos // 16, (n + 15) // 16, sha256(string_agg(d, '' ORDER BY pos)) FROM top WHERE n > 1 GROUP BY lvl, pos // 16, n),
+heights AS (SELECT source, max(lvl) AS height FROM up GROUP BY source),
+steps AS (
+  SELECT l.doc_id, u.lvl,
+         coalesce(string_agg(u.d, '' ORDER BY u.pos) FILTER (u.pos < l.pos // (16 ** u.lvl)::bigint), '') AS l,
+         coalesce(string_agg(u.d, '' ORDER BY u.pos) FILTER (u.pos > l.pos // (16 ** u.lvl)::bigint), '') AS r
+  FROM leaves l JOIN up u ON u.source IS NOT DISTINCT FROM l.source AND u.n > 1 AND u.pos // 16 = l.pos // (16 ** (u.lvl + 1))::bigint
+  GROUP BY l.doc_id, u.lvl
+  UNION ALL
+  SELECT l.doc_id, h.height + t.lvl,
+         coalesce(string_agg(t.d, '' ORDER BY t.pos) FILTER (t.pos < s.pos // (16 ** t.lvl)::bigint), ''),
+         coalesce(string_agg(t.d, '' ORDER BY t.pos) FILTER (t.pos > s.pos // (16 ** t.lvl)::bigint), '')
+  FROM leaves l JOIN subroots s ON s.source IS NOT DISTINCT FROM l.source JOIN heights h ON h.source IS NOT DISTINCT FROM l.source
+       JOIN top t ON t.n > 1 AND t.pos // 16 = s.pos // (16 ** (t.lvl + 1))::bigint
+  GROUP BY l.doc_id, h.height, t.lvl),
+proofs AS (SELECT doc_id, max(lvl) AS last, sha256(string_agg(l || r, '' ORDER BY lvl)) AS proof FROM steps GROUP BY doc_id),
+folds(doc_id, lvl, d) AS (
+  SELECT doc_id, 0, coalesce(tampered, leaf) FROM leaves UNION ALL
+  SELECT f.doc_id, f.lvl + 1, sha256(s.l || f.d || s.r) FROM folds f JOIN steps s ON s.doc_id = f.doc_id AND s.lvl = f.lvl)
+SELECT l.doc_id, leaf, s.d AS subroot, t.d AS root, coalesce(proof, sha256('')) AS proof_sha256, f.d AS folded_root, f.d = t.d AS verified
+FROM leaves l JOIN subroots s ON s.source IS NOT DISTINCT FROM l.source, (SELECT d FROM top WHERE n = 1) t,
+     (SELECT doc_id, max_by(d, lvl) AS d FROM folds GROUP BY doc_id) f LEFT JOIN proofs p ON p.doc_id = f.doc_id
+WHERE f.doc_id = l.doc_id"""
+
+
+def op12_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    found = decontaminate.find_items(docs, table(spark, folder, "benchmark"))
+    hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, span: n + span["end"] - span["start"])
+    return found.select(
+        "doc_id", "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (hit > 0).alias("contaminated"),
+    )
+
+
+DECONTAMINATION = f"""
+WITH words AS (SELECT doc_id, {PLAIN_WORDS.format(x=LOWER_SQL.format(x="coalesce(text, '')"))} AS w FROM documents),
+item_words AS (SELECT item_id, {PLAIN_WORDS.format(x=LOWER_SQL.format(x="coalesce(text, '')"))} AS w FROM benchmark),
+windows AS (
+  SELECT DISTINCT item_id, least(len(w), 10) AS size, w[pos + 1 : pos + least(len(w), 10)] AS win
+  FROM (SELECT item_id, w, unnest(range(greatest(len(w) - 9, least(len(w), 1)))) AS pos FROM item_words)),
+spots AS (
+  SELECT doc_id, pos, size, w[pos + 1 : pos + size] AS win
+  FROM (SELECT doc_id, w, size, unnest(range(len(w) - size + 1)) AS pos FROM words, (SELECT DISTINCT size FROM windows))),
+found AS (SELECT doc_id, pos, size, item_id FROM spots JOIN windows USING (size, win)),
+hit AS (SELECT doc_id, count(DISTINCT at_word) AS n FROM (SELECT doc_id, unnest(range(pos, pos + size)) AS at_word FROM found) GROUP BY doc_id),
+named AS (
+  SELECT doc_id, count(*) AS n, string_agg(item, ',' ORDER BY item) AS items
+  FROM (SELECT DISTINCT doc_id, CAST(item_id AS varchar) AS item FROM found) GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS bigint) AS n_words, coalesce(hit.n, 0) AS n_hit, coalesce(named.n, 0) AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256, coalesce(hit.n, 0) > 0 AS contaminated
+FROM words LEFT JOIN hit USING (doc_id) LEFT JOIN named USING (doc_id)"""
+
+SLIPS = 199
+
+
+def op13_spelling(spark: SparkSession, folder: str) -> DataFrame:
+    runs = spelling.runs(table(spark, folder, "documents")).filter(F.length("word") >= spelling.LEAST_LENGTH)
+    h, size = F.crc32(F.concat(F.col("id").cast("string"), F.lit(":"), F.col("word"))), F.length("word")
+    at = (h % size).cast("int")
+    slipped = F.concat(F.substr("word", F.lit(1), at), F.substr(F.col("word"), at + 2))
+    words = runs.select(F.when(h % SLIPS == 0, slipped).otherwise(F.col("word")).alias("word"))
+    return spelling.group_variants(spelling.counted(words))
+
+
+SPELLING = rf"""
+WITH RECURSIVE runs AS (
+  SELECT doc_id, {LOWER_SQL.format(x="unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+'))")} AS r FROM documents),
+each AS (SELECT doc_id, r, length(r) AS size, count(*) AS k FROM runs WHERE length(r) >= 6 GROUP BY doc_id, r),
+coded AS (SELECT *, encode(CAST(doc_id AS varchar) || ':' || r) AS bytes FROM each),
+hashed AS (
+  SELECT *, xor(list_reduce(list_prepend(4294967295::bigint, flatten([
+      [('0x' || substr(hex(bytes), 2 * i + 1, 2))::bigint, -1, -1, -1, -1, -1, -1, -1, -1] FOR i IN range(octet_length(bytes))])),
+      lambda c, b: CASE WHEN b >= 0 THEN xor(c, b) WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END), 4294967295) AS h
+  FROM coded),
+slipped AS (SELECT k, CASE WHEN h % {SLIPS} = 0 THEN r[1 : h % size] || r[h % size + 2 :] ELSE r END AS word FROM hashed),
+words AS (
+  SELECT word, CAST(sum(k) AS bigint) AS n FROM slipped WHERE length(word) >= 6 GROUP BY word HAVING sum(k) >= 5),
+cuts AS (SELECT word, n, length(word) AS size, i, word[1 : i] || word[i + 2 :] AS rest
+         FROM (SELECT word, n, unnest(range(length(word))) AS i FROM words)),
+near AS (
+  SELECT a.word, a.n, b.word AS other, b.n AS m FROM cuts a JOIN cuts b ON a.i = b.i AND a.size = b.size AND a.rest = b.rest AND a.word <> b.word
+  UNION SELECT c.word, c.n, w.word, w.n FROM cuts c JOIN words w ON w.word = c.rest
+  UNION SELECT w.word, w.n, c.word, c.n FROM cuts c JOIN words w ON w.word = c.rest),
+best AS (
+  SELECT word, n, count(*) AS n_near, first(other ORDER BY m DESC, other) AS other, max(m) AS m FROM near GROUP BY word, n),
+forms AS (
+  SELECT words.word, words.n, coalesce(n_near, 0) AS n_near, CASE WHEN m >= 5 * words.n THEN other END AS form,
+         CASE WHEN m >= 5 * words.n THEN m END AS form_n
+  FROM words LEFT JOIN best USING (word)),
+walk(word, at_word) AS (
+  SELECT word, word FROM forms UNION ALL
+  SELECT walk.word, forms.form FROM walk JOIN forms ON forms.word = walk.at_word WHERE forms.form IS NOT NULL),
+ends AS (SELECT walk.word, at_word AS root FROM walk JOIN forms ON forms.word = at_word WHERE form IS NULL)
+SELECT word, form, root, n, n_near, form_n FROM forms JOIN ends USING (word)"""
+
+
 BINDINGS = {
     "op1_quality": (op1_quality, None),
     "op2_rules": (op2_rules, RULES),
@@ -214,4 +354,7 @@ BINDINGS = {
     "op8_spots": (op8_spots, None),
     "op9_mix": (op9_mix, MIX),
     "op10_bpe": (op10_bpe, None),
+    "op11_manifest": (op11_manifest, MANIFEST),
+    "op12_decontamination": (op12_decontamination, DECONTAMINATION),
+    "op13_spelling": (op13_spelling, SPELLING),
 }

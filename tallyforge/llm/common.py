@@ -54,6 +54,14 @@ def need(df: DataFrame, *names: str) -> None:
         raise ValueError(f"Missing columns: {', '.join(missing)}")
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have, by appending underscores; case does not count."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def signed(value: int) -> int:
     """An unsigned 64-bit number as the long with the same bits."""
     return value - (1 << 64) if value >> 63 else value
