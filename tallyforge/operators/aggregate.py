@@ -21,7 +21,7 @@ from ..functions.columns import (
     require_columns,
 )
 from ..functions.predicates import criteria, flag
-from .ordered import with_percentiles
+from .ordered import exact_percentiles, with_percentiles
 
 VALUE, RAW = TEMP + "value", TEMP + "raw"
 
@@ -373,27 +373,26 @@ def kpis(
     )
 
 
-def long_numbers(df: DataFrame, names: Sequence[str], drop: Sequence[str] = ()) -> DataFrame:
-    """(column, value) rows of the given columns read as numbers."""
-    wide = df.select(*[to_number(df, n, drop).alias(n) for n in names])
-    return wide.unpivot([], [ref(n) for n in names], "column", VALUE)
-
-
 def key_metrics(df: DataFrame, columns: Sequence[str] | None = None, accuracy: int | None = None) -> DataFrame:
-    """total, average, median, min, max of the numeric columns, or of those named."""
+    """total, average, median, min, max of the numeric columns, or of those named; columns without values are left out.
+
+    All columns are aggregated side by side, medians as in :func:`exact_percentiles`.
+    """
     names = list(columns) if columns is not None else numeric_columns(df)
     if not names:
         raise ValueError("No numeric columns.")
     require_columns(df, names)
-    x = ref(VALUE)
-    aggs = {"total": F.sum(x), "average": F.avg(x), "min": F.min(x), "max": F.max(x), "n": F.count(x)}
-    long = long_numbers(df, names)
+    wide = df.select(*[to_number(df, n).alias(f"v{i}") for i, n in enumerate(names)])
+    plain = {"total": F.sum, "average": F.avg, "min": F.min, "max": F.max, "n": F.count}
+    aggs = {f"{kind}{i}": make(f"v{i}") for i in range(len(names)) for kind, make in plain.items()}
     if accuracy is not None:
-        aggs["median"] = F.percentile_approx(x, 0.5, accuracy).cast("double")
-        figures = long.groupBy("column").agg(*[c.alias(n) for n, c in aggs.items()])
+        aggs |= {f"median{i}": F.percentile_approx(f"v{i}", 0.5, accuracy).cast("double") for i in range(len(names))}
+        figures = wide.agg(*[c.alias(n) for n, c in aggs.items()])
     else:
-        figures = with_percentiles(long, VALUE, [0.5], ["median"], ["column"], aggs, few_groups=True)
-    return figures.filter(F.col("n") > 0).select("column", "total", "average", "median", "min", "max")
+        figures = exact_percentiles(wide, [(f"v{i}", 0.5, f"median{i}") for i in range(len(names))], aggs)
+    kinds = ("total", "average", "median", "min", "max", "n")
+    each = [F.struct(F.lit(n).alias("column"), *[F.col(f"{k}{i}").alias(k) for k in kinds]) for i, n in enumerate(names)]
+    return figures.select(F.inline(F.array(*each))).filter("n > 0").drop("n")
 
 
 def descriptive(df: DataFrame, measure: str, accuracy: int | None = None) -> DataFrame:

@@ -11,6 +11,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
+from math import ceil, floor
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -153,6 +155,123 @@ EDGES, FACTS, COUNT = TEMP + "edges", TEMP + "facts", TEMP + "count"
 LEAST, MOST, RANK = TEMP + "least", TEMP + "most", TEMP + "rank"
 
 
+#: Values strictly inside a bracket up to which they are gathered in one row; more are bracketed again.
+RESIDUE = 20_000
+
+#: Parts that a pass over a bracket cuts it into.
+GRID = 500
+
+
+@dataclass(frozen=True)
+class Bracket:
+    """Where a percentile of a column lies: at or between two of its values. ``inside`` bounds the values
+    strictly between them."""
+
+    low: float
+    high: float
+    inside: float
+
+    def counts(self, x: Column) -> list[Column]:
+        """How many values lie below, at the lower and at the upper end, and the test for those between."""
+        at_high = F.count_if(x == self.high) if self.high > self.low else F.lit(0).cast("bigint")
+        return [F.count_if(x < self.low), F.count_if(x == self.low), at_high, (x > self.low) & (x < self.high)]
+
+
+def _narrowed(df: DataFrame, open_: Mapping[str, tuple[Column, Bracket, float, float]]) -> dict[str, Bracket]:
+    """Brackets a few parts of ``GRID`` wide around the two places of each output, from one pass over ``df``."""
+    steps = F.array(*(F.lit(i / GRID) for i in range(GRID + 1)))
+    facts = {}
+    for output, (x, bracket, _, _) in open_.items():
+        below, at_low, _, between = bracket.counts(x)
+        grid = F.percentile_approx(F.when(between, x), steps, SKETCH)
+        facts[output] = F.struct((below + at_low).alias("before"), F.count_if(between).alias("n"), grid.alias("grid"))
+    row = df.agg(*[f.alias(o) for o, f in facts.items()]).first()
+    found = {}
+    for output, (_, bracket, first, last) in open_.items():
+        before, n, grid = row[output]
+        low, high, reach = bracket.low, bracket.high, n
+        if n:
+            left, right = ((place - before) / n * GRID for place in (first, last))
+            low = grid[int(left) - 2] if left >= 2 else low
+            high = grid[int(right) + 3] if right < GRID - 3 else high
+            reach = n * 8 / GRID
+        found[output] = Bracket(low, high, reach)
+    return found
+
+
+def exact_percentiles(
+    df: DataFrame, wanted: Sequence[tuple[str, float, str]], aggs: Mapping[str, Column] | None = None
+) -> DataFrame:
+    """One row: the aggregates ``aggs`` of ``df`` and, for each (column, probability, output) of ``wanted``, the
+    interpolated percentile as a double; NULL for a column without values. NULLs are left out.
+
+    All columns are worked on side by side. One pass sketches brackets for all places at once. The last pass counts
+    what lies below a bracket and at its ends, and gathers the values strictly between them, which tells the value
+    at any place inside; the counts prove that the place is there. Values that recur very often become ends of a
+    bracket, so that a bracket holds a share of the rows that depends on the sketch alone. Where that may be more
+    than ``RESIDUE`` values, further passes narrow the brackets first, each by a factor of ``GRID`` / 8: what one row
+    gathers is bounded, whatever the size of ``df``. No row is shuffled or sorted.
+
+    The first passes run while the plan is built and bring one row of numbers to the driver.
+    """
+    aggs = dict(aggs or {})
+    columns = list(dict.fromkeys(c for c, _, _ in wanted))
+    require_columns(df, columns)
+    x = {c: ref(c).cast("double") for c in columns}
+    edges = {c: sorted({min(max(p + m, 0.0), 1.0) for w, p, _ in wanted if w == c for m in (-MARGIN, MARGIN)}) for c in columns}
+    sketches = [
+        F.struct(F.count(x[c]).alias("n"), F.percentile_approx(x[c], F.array(*map(F.lit, edges[c])), SKETCH).alias("edges")).alias(f"c{i}")
+        for i, c in enumerate(columns)
+    ]
+    seen = dict(zip(columns, df.agg(*sketches).first() if columns else []))
+    brackets, places = {}, {}
+    for c, p, output in wanted:
+        n, found = seen[c]
+        if n:
+            low, high = (found[edges[c].index(min(max(p + m, 0.0), 1.0))] for m in (-MARGIN, MARGIN))
+            places[output] = p * (n - 1)
+            brackets[output] = Bracket(low, high, n * 2 * (MARGIN + 1 / SKETCH))
+    column_of = {output: x[c] for c, _, output in wanted}
+    while open_ := {
+        o: (column_of[o], b, floor(places[o]), ceil(places[o])) for o, b in brackets.items() if b.high > b.low and b.inside > RESIDUE
+    }:
+        brackets |= _narrowed(df, open_)
+
+    cells = {}
+    for output, bracket in brackets.items():
+        value = column_of[output]
+        below, at_low, at_high, between = bracket.counts(value)
+        inside = F.sort_array(F.collect_list(F.when(between, value)))
+        cells[output] = F.struct(
+            below.alias("below"), at_low.alias("at_low"), at_high.alias("at_high"), inside.alias("inside"),
+            F.max(F.when(value < bracket.low, value)).alias("last_below"), F.min(F.when(value > bracket.high, value)).alias("first_above"),
+        )
+    counted = [cell.alias(f"{TEMP}p{i}") for i, cell in enumerate(cells.values())]
+    gathered = df.agg(*[c.alias(n) for n, c in aggs.items()], *counted) if aggs or counted else df.sparkSession.range(1)
+    picks = []
+    for _, _, output in wanted:
+        if output not in brackets:
+            picks.append(F.lit(None).cast("double").alias(output))
+            continue
+        cell, bracket, place = F.col(f"{TEMP}p{list(cells).index(output)}"), brackets[output], places[output]
+        low, high = (_value_at(cell, bracket, at) for at in (floor(place), ceil(place)))
+        picks.append((low + (high - low) * F.lit(place - floor(place))).alias(output))
+    return gathered.select(*map(ref, aggs), *picks)
+
+
+def _value_at(cell: Column, bracket: Bracket, place: int) -> Column:
+    """The value at a place (from 0) of the whole column, given what was counted for its bracket."""
+    at = F.lit(place) - cell["below"]
+    inner = at - cell["at_low"]
+    outside = F.raise_error(F.lit("A percentile lies outside its bracket")).cast("double")
+    found = F.when((at >= 0) & (inner < 0), F.lit(bracket.low))
+    found = found.when((inner >= 0) & (inner < F.size(cell["inside"])), F.get(cell["inside"], inner.cast("int")))
+    top = inner - F.size(cell["inside"])
+    found = found.when((top >= 0) & (top < cell["at_high"]), F.lit(bracket.high))
+    # A percentile between two values may have one of them right outside.
+    return found.when(at == -1, cell["last_below"]).when(top == cell["at_high"], cell["first_above"]).otherwise(outside)
+
+
 def with_percentiles(
     df: DataFrame,
     value: str,
@@ -160,33 +279,29 @@ def with_percentiles(
     outputs: Sequence[str],
     keys: str | Sequence[str] | None = None,
     aggs: Mapping[str, Column] | None = None,
-    few_groups: bool = False,
 ) -> DataFrame:
     """``keys``, the aggregates ``aggs`` and exact interpolated percentiles per group.
 
-    One pass computes the aggregates and sketches a bracket around each wanted place.
+    Without keys see :func:`exact_percentiles`. With them, one pass computes the aggregates and sketches a bracket around each wanted place.
     The second pass counts the values inside the brackets one by one and all others in
     lumps between them, so that little is left to order, and checks by the counts that
     every place lies inside its bracket. Groups without values have NULL percentiles.
-    Say ``few_groups`` only if their number is bounded by the schema.
     """
     keys, aggs = as_list(keys), dict(aggs or {})
     require_columns(df, value, keys)
     if len(probabilities) != len(outputs):
         raise ValueError("One output name per probability is needed.")
+    if not keys:
+        return exact_percentiles(df, [(value, p, o) for p, o in zip(probabilities, outputs)], aggs)
     group = [ref(k) for k in keys]
     edges = [min(max(p + m, 0.0), 1.0) for p in probabilities for m in (-MARGIN, MARGIN)]
     sketch = F.percentile_approx(ref(value), F.array(*map(F.lit, edges)), SKETCH)
     facts = F.struct(sketch.alias(EDGES), *[c.alias(n) for n, c in aggs.items()])
     first = df.groupBy(*group).agg(facts.alias(FACTS))
-    pairs = null_safe_equal([qualified("a", k) for k in keys], [qualified("b", k) for k in keys]) if keys else None
-    if keys:
-        side = F.broadcast(first) if few_groups else first
-        bracketed = df.alias("a").join(side.alias("b"), pairs).select(
-            *[qualified("a", k) for k in keys], qualified("a", value), qualified("b", FACTS)[EDGES].alias(EDGES)
-        )
-    else:
-        bracketed = df.select(value, first.select(F.col(FACTS)[EDGES]).scalar().alias(EDGES))
+    pairs = null_safe_equal([qualified("a", k) for k in keys], [qualified("b", k) for k in keys])
+    bracketed = df.alias("a").join(first.alias("b"), pairs).select(
+        *[qualified("a", k) for k in keys], qualified("a", value), qualified("b", FACTS)[EDGES].alias(EDGES)
+    )
     v, inside, passed = ref(value), F.lit(False), F.lit(0)
     for i in range(len(probabilities)):
         low, high = F.get(ref(EDGES), F.lit(2 * i)), F.get(ref(EDGES), F.lit(2 * i + 1))
@@ -215,11 +330,6 @@ def with_percentiles(
         place, low, high = _places(p)
         picks.append((at(low) + (at(high) - at(low)) * F.max(place - low)).alias(output))
     picked = ranked.groupBy(*group).agg(*picks)
-    if not keys:
-        if not aggs:
-            return picked
-        one = first.select(F.col(FACTS)).scalar()
-        return picked.withColumn(FACTS, one).select(*[F.col(FACTS)[n].alias(n) for n in aggs], *map(ref, outputs))
     if not aggs:
         return picked
     return first.alias("a").join(picked.alias("b"), pairs).select(
@@ -237,7 +347,6 @@ def percentiles(
     keys: str | Sequence[str] | None = None,
     frequency: str | None = None,
     accuracy: int | None = None,
-    few_groups: bool = False,
 ) -> DataFrame:
     """Interpolated percentiles of ``value`` per group, NULLs left out.
 
@@ -263,7 +372,7 @@ def percentiles(
             ]
         )
     if frequency is None:
-        return with_percentiles(present, value, probabilities, outputs, keys, few_groups=few_groups)
+        return with_percentiles(present, value, probabilities, outputs, keys)
 
     histogram = present.groupBy(*group, ref(value)).agg(F.sum(ref(frequency)).cast("bigint").alias(COUNT))
     ranged, offsets = _ranges(histogram, COUNT, [ref(value).asc()], keys)

@@ -5,12 +5,15 @@ from __future__ import annotations
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from tallyforge.operators import ordered
+from tallyforge.operators.aggregate import key_metrics
 from tallyforge.operators.ordered import RANGE, _ranges, percentiles, prefix_sum, row_index
 
-from helpers import rows
+from helpers import plan, rows
 
 
 @pytest.fixture(scope="module", autouse=True)
@@ -96,3 +99,35 @@ def test_sketch(skewed):
 def test_columns_with_odd_names(spark):
     df = spark.createDataFrame([(1, 2), (2, 3)], "`a b.c` int, `x,y` int")
     assert rows(prefix_sum(df, "x,y", [F.col("`a b.c`").asc()], "run")) == [(1, 2, 2), (2, 3, 5)]
+
+
+def test_a_bracket_is_narrowed_until_few_values_are_left(spark, monkeypatch):
+    monkeypatch.setattr(ordered, "RESIDUE", 3)
+    rng = np.random.default_rng(5)
+    n = 200_000
+    wide = {
+        "even": np.arange(n, dtype=float),
+        "hot": np.where(rng.random(n) < 0.4, 7.0, rng.normal(7, 3, n)),
+        "few": rng.integers(0, 3, n).astype(float),
+        "heavy": rng.pareto(0.5, n),
+    }
+    df = spark.createDataFrame(pd.DataFrame(wide)).repartition(8)
+    passes = []
+    narrowed = ordered._narrowed
+    monkeypatch.setattr(ordered, "_narrowed", lambda df, open_: passes.append(1) or narrowed(df, open_))
+    probs = (0.0, 0.1, 0.25, 0.5, 0.99, 1.0)
+    wanted = [(c, p, f"{c}{p}") for c in wide for p in probs]
+    got = ordered.exact_percentiles(df, wanted, {"n": F.count("*")}).first()
+    assert got["n"] == n and passes
+    for c, p, output in wanted:
+        assert got[output] == pytest.approx(np.quantile(wide[c], p)), output
+
+
+def test_percentiles_of_columns_need_two_scans_and_no_row_is_shuffled(spark, tmp_path):
+    spark.range(0, 5000, 1, 4).selectExpr("id a", "id % 7 b", "double(id) c", "cast(null as int) d").write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    out = key_metrics(df)
+    text = plan(out)
+    assert text.count("FileScan") == 1  # the other scan ran for the brackets
+    assert "Expand" not in text and "Window" not in text and "hashpartitioning" not in text
+    assert rows(out, "column", "median") == [("a", 2499.5), ("b", 3.0), ("c", 2499.5)]
