@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.ordered import durable
-from .common import need, texts, word_pieces
+from .common import SLICE, need, texts, word_pieces
 
 #: Numbers of features of the text view and of the page view; names are hashed into them.
 TEXT_SPACE, PAGE_SPACE = 1 << 14, 1 << 10
@@ -196,15 +196,25 @@ def _odds(counts: np.ndarray, docs: np.ndarray) -> np.ndarray:
 # --- training ----------------------------------------------------------------------
 
 
+def _sliced(text: pa.Array, meta: Sequence[pa.Array]):
+    """(texts, metadata) of a few rows at a time, as an Arrow batch may hold thousands."""
+    for start in range(0, len(text), SLICE):
+        own = [m.slice(start, SLICE).to_pylist() for m in meta]
+        data = texts(text.slice(start, SLICE))
+        yield data, list(zip(*own, strict=True)) or [()] * len(data)
+
+
 def _featured(metadata: int):
     kind = T.StructType([T.StructField(c, T.BinaryType()) for c in ("text", "page")])
 
     @F.arrow_udf(returnType=kind)
     def look(text: pa.Array, *meta: pa.Array) -> pa.Array:
-        values = list(zip(*(m.to_pylist() for m in meta[:metadata]), strict=True)) or [()] * len(text)
-        rows = [features(data, own) for data, own in zip(texts(text), values, strict=True)]
-        columns = [pa.array([packed(r[i]) for r in rows], pa.binary()) for i in (0, 1)]
-        return pa.StructArray.from_arrays(columns, names=["text", "page"])
+        parts = [[pa.array([], pa.binary())] for _ in range(2)]
+        for data, own in _sliced(text, meta[:metadata]):
+            rows = [tuple(map(packed, features(d, o))) for d, o in zip(data, own, strict=True)]
+            for part, values in zip(parts, zip(*rows, strict=True), strict=True):
+                part.append(pa.array(values, pa.binary()))
+        return pa.StructArray.from_arrays([pa.concat_arrays(p) for p in parts], names=["text", "page"])
 
     return look
 
@@ -344,10 +354,10 @@ def score(
     @F.arrow_udf(returnType=kind)
     def judge(text: pa.Array, *meta: pa.Array) -> pa.Array:
         rows = []
-        values = list(zip(*(m.to_pylist() for m in meta[:-1]), strict=True)) or [()] * len(text)
-        for data, own in zip(texts(text), values, strict=True):
-            a, b, both = model.together(*features(data, own))
-            rows.append((sigmoid(a), sigmoid(b), sigmoid(model.slope * both + model.offset)))
+        for part, values in _sliced(text, meta[:-1]):
+            for data, own in zip(part, values, strict=True):
+                a, b, both = model.together(*features(data, own))
+                rows.append((sigmoid(a), sigmoid(b), sigmoid(model.slope * both + model.offset)))
         return pa.StructArray.from_arrays([pa.array([r[i] for r in rows], pa.float64()) for i in range(3)], names=names)
 
     rest = [c for c in docs.columns if c not in (*names, "kept")]

@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 
 from ..operators.ordered import durable
 from . import blocks
-from .common import need, signed, texts, word_pieces
+from .common import SLICE, need, signed, texts, word_pieces
 from .components import components
 
 BITS, DISTANCE, SHINGLE, SEED = 64, 3, 3, 42
@@ -63,7 +63,8 @@ def fingerprint(data: bytes) -> int:
 @F.arrow_udf(returnType=T.LongType())
 def fingerprints(text: pa.Array) -> pa.Array:
     """SimHash of each text as a long. Arrow hands over batches of texts; nothing is kept between them."""
-    return pa.array([signed(fingerprint(data)) for data in texts(text)], pa.int64())
+    slices = (texts(text.slice(start, SLICE)) for start in range(0, len(text), SLICE))
+    return pa.array([signed(fingerprint(data)) for part in slices for data in part], pa.int64())
 
 
 def hexadecimal(column: Column) -> Column:

@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tallyforge.llm import blocks, bpe, cotrain, licenses, linededup, mixture, passages, resemblance, rules, simhash, spots, urls
+from tallyforge.llm import blocks, bpe, cotrain, licenses, linededup, mixture, passages, rules, simhash, spots, urls
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -591,49 +591,7 @@ def test_spot_classes_are_those_of_all_pairs(spark, monkeypatch):
     assert len(set(least.values())) > 4
 
 
-# --- near copies -----------------------------------------------------------------------
-
-
-def edited_words(text: str, seed: int, share: float) -> str:
-    rnd = random.Random(seed)
-    return " ".join(f"x{rnd.randrange(999)}" if rnd.random() < share else w for w in text.split())
-
-
-def jaccard_by_hand(a: str, b: str) -> float:
-    one, two = (
-        {tuple(w[i : i + 5]) for i in range(max(len(w) - 4, min(len(w), 1)))} for w in (a.lower().split(), b.lower().split())
-    )
-    return len(one & two) / len(one | two) if one | two else 1.0
-
-
-def test_near_copies_are_those_of_all_pairs(spark, monkeypatch):
-    monkeypatch.setattr(blocks, "BLOCK_LEAST", 5)
-    rnd = random.Random(8)
-    texts = ["", None, "one two", "ONE two", "one two three four five", "one two three four five six"]
-    for k in range(12):
-        base = prose(900 + k, rnd.choice([30, 120, 600]))
-        texts += [base, *(edited_words(base, 50 * k + i, rnd.choice([0.005, 0.015, 0.02, 0.03])) for i in range(8))]
-    rows = list(enumerate(texts))
-    labels = list(range(len(rows)))
-    for i, a in rows:
-        for j, b in rows[:i]:
-            if jaccard_by_hand(a or "", b or "") >= 0.8:
-                labels = [min(labels[i], labels[j]) if x in (labels[i], labels[j]) else x for x in labels]
-    docs = spark.createDataFrame([(n, n, t) for n, t in rows], "row long, doc_id long, text string")
-    got = {r.doc_id: r.component_id for r in resemblance.near_copies(docs, "row").collect()}
-    assert got == dict(enumerate(labels)) and len(set(labels)) < len(labels) - 20
-    assert resemblance.near_copies(docs.limit(0), "row").collect() == []
-
-
-def test_pipeline_drops_copies_with_edited_words(spark):
-    base = prose(77, 400)
-    copies = [c for c in (edited_words(base, s, 0.012) for s in range(40)) if jaccard_by_hand(base, c) >= 0.8]
-    own = simhash.fingerprint(base.encode())
-    far = [c for c in copies if (simhash.fingerprint(c.encode()) ^ own).bit_count() > 3]
-    assert far
-    rows = [(i, t, "en", "a", len(t)) for i, t in enumerate([base, *far, prose(78, 400)])]
-    kept = corpus_pipeline.drop_near_duplicates(spark, spark.createDataFrame(rows, SCHEMA), "")
-    assert sorted(r.doc_id for r in kept.collect()) == [0, len(far) + 1]
+# --- pipeline ---------------------------------------------------------------------------
 
 
 def test_pipeline_drops_rows_not_ids(spark):
