@@ -11,8 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyforge.functions.columns import TEMP
-from tallyforge.llm import bpe, cotrain, linededup, mixture
-from tallyforge.llm.resemblance import near_copies
+from tallyforge.llm import bpe, cotrain, linededup, mixture, simhash
 from tallyforge.operators.ordered import durable
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -35,14 +34,18 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of near-duplicates stays, the first of those with the smallest id.
+    """One row of each SimHash component stays, the first of those with the smallest id.
 
-    Texts whose five-word shingles have a Jaccard similarity of 0.8 or more are near-duplicates.
-    Rows without an id stay only where no row of their group has one, one for each group.
+    Shingles and distance are those of ``simhash.near_duplicates``. Rows without an id stay only where no row of
+    their component has one, one for each component; texts without words are one component. ``docs`` is stored once
+    with a number for each row, so rows go by themselves and never by an id that others share.
     """
     numbered = durable(docs.withColumn(ROW, F.monotonically_increasing_id()))
-    found = near_copies(numbered, ROW).filter(F.col(ROW) != F.col("first_row")).select(ROW)
-    return numbered.join(durable(found), ROW, "left_anti").select(*docs.columns)
+    members = durable(simhash.near_duplicates(numbered, ROW).select(ROW, "component_id"))
+    order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col(ROW).alias("row"))
+    ids = numbered.select(ROW, "doc_id").join(members, ROW)
+    first = ids.groupBy("component_id").agg(F.min(order)["row"].alias(ROW)).select(ROW)
+    return numbered.join(durable(first), ROW, "left_semi").select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
