@@ -6,6 +6,7 @@ from . import (
     aggregate_queries,
     branch_queries,
     join_queries,
+    profile_queries,
     quality_queries,
     ranking_queries,
     report_queries,
@@ -17,6 +18,7 @@ MODULES = (
     aggregate_queries,
     ranking_queries,
     join_queries,
+    profile_queries,
     quality_queries,
     report_queries,
     branch_queries,

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import cleaning, duplicates, profile
-from .common import DIRTY, NUMERIC_SQL, dirty_customer, number_sql, rounded, table
+from .common import DIRTY, NUMERIC_SQL, dirty_customer, number_sql
 
 BINDINGS = {}
 
@@ -182,11 +182,6 @@ BINDINGS["detect_types"] = (
         FROM sure""",
 )
 
-BINDINGS["detect_roles"] = (
-    lambda spark, d: profile.detect_roles(dirty_customer(spark, d)).select("column", "data_type", "role"),
-    f'{DESCRIBED} SELECT col AS "column", data_type, role FROM roles',
-)
-
 BINDINGS["semantic_model"] = (
     lambda spark, d: profile.semantic_model(dirty_customer(spark, d)),
     f"""{DESCRIBED}
@@ -200,48 +195,6 @@ BINDINGS["semantic_model"] = (
 )
 
 
-def profile_columns(spark, d):
-    out = profile.profile_columns(dirty_customer(spark, d))
-    out = out.drop("role_confidence", "suggested_uses")
-    return rounded(out, "sum", "average", "median", "std", digits=3)
-
-
-_AMOUNT = f"(SELECT {number_sql('amount_txt')} AS x FROM dirty)"
-_QTY = "(SELECT CAST(qty AS double) AS x FROM dirty)"
-
-
-def _stats(column: str, source: str) -> str:
-    return f"""SELECT '{column}' AS col, round(sum(x), 3) AS sum, round(avg(x), 3) AS average,
-       round(median(x), 3) AS median, min(x) AS min, max(x) AS max,
-       round(stddev_samp(x), 3) AS std FROM {source}"""
-
-
-def _samples(column: str) -> str:
-    return f"""SELECT '{column}' AS col, string_agg(v, ' | ' ORDER BY v) AS sample_values FROM
-       (SELECT DISTINCT CAST({column} AS varchar) AS v FROM dirty WHERE {column} IS NOT NULL ORDER BY v LIMIT 5)"""
-
-
-BINDINGS["profile_columns"] = (
-    profile_columns,
-    f"""{DESCRIBED},
-       stats AS ({_stats("amount_txt", _AMOUNT)} UNION ALL {_stats("qty", _QTY)}),
-       samples AS ({" UNION ALL ".join(_samples(c) for c in COLUMNS)}),
-       days AS (SELECT min(TRY_CAST(join_date AS timestamp)) AS a, max(TRY_CAST(join_date AS timestamp)) AS b,
-                       count(DISTINCT TRY_CAST(join_date AS timestamp)) AS n FROM dirty)
-       SELECT CAST(position AS integer) AS position, col AS "column", data_type,
-         round(CAST(conf AS double), 3) AS type_confidence, role, non_null, n_rows - non_null AS null_count,
-         round(100 * (n_rows - non_null) / n_rows, 2) AS null_pct, nuniq AS unique_count,
-         CASE WHEN data_type = 'date' THEN strftime(a, '%Y-%m-%dT%H:%M:%S') END AS min_date,
-         CASE WHEN data_type = 'date' THEN strftime(b, '%Y-%m-%dT%H:%M:%S') END AS max_date,
-         CASE WHEN data_type = 'date' THEN n END AS unique_dates,
-         CAST(CASE WHEN data_type = 'date' THEN date_diff('day', a, b) END AS integer) AS date_range_days,
-         CASE WHEN s.col IS NULL AND data_type <> 'date' THEN n_blank END AS blank_like,
-         CASE WHEN s.col IS NULL AND data_type <> 'date' THEN non_null - nuniq END AS duplicate_values,
-         sample_values, sum, average, median, min, max, std
-       FROM roles r LEFT JOIN stats s USING (col) LEFT JOIN samples USING (col), days""",
-)
-
-
 def _counted(c: str) -> str:
     return f"""SELECT '{c}' AS "column", CAST({c} AS varchar) AS value, count(*) AS count
        FROM dirty WHERE {c} IS NOT NULL GROUP BY 2"""
@@ -255,28 +208,6 @@ BINDINGS["top_values"] = (
        SELECT * FROM r WHERE rank <= 5""",
 )
 
-BINDINGS["profile_orders"] = (
-    lambda spark, d: rounded(
-        profile.profile_columns(table(spark, d, "orders").drop("o_orderdate")).select(
-            "column", "data_type", "role", "non_null", "unique_count", "min", "max", "median"
-        ),
-        "median", digits=3,
-    ),
-    """WITH f AS (
-         SELECT 'o_orderkey' AS "column", 'integer' AS data_type, 'measure' AS role, count(*) AS non_null,
-           count(DISTINCT o_orderkey) AS unique_count, CAST(min(o_orderkey) AS double) AS min,
-           CAST(max(o_orderkey) AS double) AS max, median(o_orderkey) AS median FROM orders
-         UNION ALL SELECT 'o_custkey', 'integer', 'measure', count(*), count(DISTINCT o_custkey),
-           min(o_custkey), max(o_custkey), median(o_custkey) FROM orders
-         UNION ALL SELECT 'o_orderstatus', 'category', 'status', count(*), count(DISTINCT o_orderstatus),
-           NULL, NULL, NULL FROM orders
-         UNION ALL SELECT 'o_totalprice', 'currency', 'measure', count(*), count(DISTINCT o_totalprice),
-           min(o_totalprice), max(o_totalprice), median(o_totalprice) FROM orders
-         UNION ALL SELECT 'o_orderpriority', 'category', 'dimension', count(*),
-           count(DISTINCT o_orderpriority), NULL, NULL, NULL FROM orders)
-       SELECT "column", data_type, role, non_null, unique_count, min, max, round(median, 3) AS median FROM f""",
-)
-
 BINDINGS["missing_summary"] = (
     lambda spark, d: profile.missing_summary(dirty_customer(spark, d)),
     f"""WITH {DIRTY} SELECT 'segment' AS "column", count(*) AS missing,

@@ -177,7 +177,7 @@ class Bracket:
         return [F.count_if(x < self.low), F.count_if(x == self.low), at_high, (x > self.low) & (x < self.high)]
 
 
-def _narrowed(df: DataFrame, open_: Mapping[str, tuple[Column, Bracket, float, float]]) -> dict[str, Bracket]:
+def narrowed(df: DataFrame, open_: Mapping[str, tuple[Column, Bracket, float, float]]) -> dict[str, Bracket]:
     """Brackets a few parts of ``GRID`` wide around the two places of each output, from one pass over ``df``."""
     steps = F.array(*(F.lit(i / GRID) for i in range(GRID + 1)))
     facts = {}
@@ -235,7 +235,7 @@ def exact_percentiles(
     while open_ := {
         o: (column_of[o], b, floor(places[o]), ceil(places[o])) for o, b in brackets.items() if b.high > b.low and b.inside > RESIDUE
     }:
-        brackets |= _narrowed(df, open_)
+        brackets |= narrowed(df, open_)
 
     cells = {}
     for output, bracket in brackets.items():

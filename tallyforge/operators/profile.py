@@ -1,18 +1,23 @@
 """Column profiles, types, roles, quality issues and a health score.
 
-Everything but the duplicate-row count derives from one frame: each distinct
-value of each column with the number of rows holding it. Pattern tests then run
-once per distinct value instead of once per row.
+A profile takes two passes. The first counts, per column, what can be told from each cell
+by itself, brackets the medians, and takes the smallest values of a few buckets, which
+bound the first values in text order. The second counts distinct values: cells are combined
+by value before the shuffle, and long texts travel as digests. Nothing is stored.
+
+What comes back has one row for each column of the table, which the driver holds. The
+functions below that take a table run these jobs while their plan is built.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
-from ..functions.coerce import clean_number, parse_date, parse_number, strip, without
+from ..functions.coerce import clean_number, parse_date, parse_number, strip, to_date, to_number, without
 from ..functions.columns import (
     is_boolean,
     is_numeric,
@@ -23,7 +28,7 @@ from ..functions.columns import (
     require_columns,
 )
 from .duplicates import duplicate_row_count, repeated_keys
-from .ordered import durable, percentiles
+from .ordered import MARGIN, RESIDUE, SKETCH, Bracket, narrowed
 from .outliers import outliers
 
 # Patterns on values ------------------------------------------------
@@ -74,104 +79,254 @@ def _kind(df: DataFrame, name: str) -> str:
     return "text" if is_string(df, name) else "other"
 
 
-def column_list(df: DataFrame) -> DataFrame:
-    """(position, column, kind) of every column: schema only, in one partition."""
-    entries = [
-        F.struct(
-            F.lit(i).alias("position"), F.lit(c).alias("column"), F.lit(_kind(df, c)).alias("kind")
-        )
-        for i, c in enumerate(df.columns)
-    ]
-    return df.sparkSession.range(0, 1, 1, 1).select(F.inline(F.array(*entries)))
-
-
 def value_counts(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """(column, value, count) with values as text; NULL is counted like a value.
 
     Counting starts before the shuffle, which then carries distinct values only.
-    The result is checkpointed because a profile reads it several times.
     """
     names = list(columns) if columns is not None else df.columns
     require_columns(df, names)
     texts = df.select(*[clean_number(df, c).cast("string").alias(c) for c in names])
     long = texts.unpivot([], [ref(c) for c in names], "column", "value")
-    return durable(long.groupBy("column", "value").agg(F.count(F.lit(1)).alias("count")))
+    return long.groupBy("column", "value").agg(F.count(F.lit(1)).alias("count"))
 
 
-def _weight(test: Column) -> Column:
-    return F.sum(F.when(test, F.col("count")).otherwise(0))
+#: Buckets of values by hash whose smallest members are kept, and how many sample values a profile shows.
+BUCKETS, SAMPLES = 12, 5
 
+#: Texts of more code points are counted by a digest of 128 bits and their length.
+LONG_TEXT = 64
+
+#: Numbers of cells that are counted apart from the column's own: days of dates, and values without case and blanks.
+DAY_CELLS, LOW_CELLS = 1_000_000, 2_000_000
+
+
+def _cell(df: DataFrame, position: int, name: str) -> Column:
+    """A cell with its text, and its number or day where the type of the column says it is one."""
+    value = clean_number(df, name)
+    number = value if is_numeric(df, name) else F.lit(None)
+    day = value if is_temporal(df, name) else F.lit(None)
+    return F.struct(
+        F.lit(position).alias("position"), value.cast("string").alias("text"), number.cast("double").alias("typed"),
+        day.cast("timestamp_ntz").alias("typed_day"), F.lit(is_string(df, name)).alias("textual"),
+    )
+
+
+def _read_number(*marks: str) -> Column:
+    return F.coalesce("typed", F.when(F.col("textual"), parse_number(without(F.col("text"), marks))))
 
-def column_facts(
-    df: DataFrame, counts: DataFrame | None = None, formats: Sequence[str] | None = None
-) -> DataFrame:
-    """One row per column: row counts, pattern counts and number/date extremes."""
-    counts = value_counts(df) if counts is None else counts
-    textual = [c for c in df.columns if is_string(df, c)]
-    dated = [c for c in df.columns if is_string(df, c) or is_temporal(df, c)]
-    v, n = F.col("value"), F.col("count")
-    is_text, may_be_date = F.col("column").isin(textual), F.col("column").isin(dated)
-    # Text of a numeric column needs no checking.
-    typed = F.when(F.col("column").isin(numeric_columns(df)), v.try_cast("double"))
-
-    def number(*marks: str) -> Column:
-        return F.coalesce(typed, F.when(is_text, parse_number(without(v, marks))))
 
+def _read_day(formats: Sequence[str] | None) -> Column:
+    return F.coalesce("typed_day", F.when(F.col("textual"), parse_date(F.col("text"), formats)))
+
+
+def _plain_facts(df: DataFrame, formats: Sequence[str] | None) -> list[Row]:
+    """What the first pass tells, one row per column that has a row."""
+    is_text, v = F.col("textual"), F.col("text")
     s = strip(v)
     digits = F.length(F.regexp_replace(v, r"\D", ""))
-    tested = counts.select(
-        "column", "value", "count",
+    cells = df.select(F.inline(F.array(*[_cell(df, i, c) for i, c in enumerate(df.columns)])))
+    tested = cells.select(
+        "position", "text", "textual",
         s.alias("s"),
-        F.lower(s).alias("low"),
-        number(*NUMBER_MARKS).alias("loose"),
-        number(",", "%").alias("num"),
-        number(",").alias("plain"),
-        number().alias("strict"),
-        F.when(may_be_date, parse_date(v, formats)).alias("day"),
+        F.lower(s).isin(*BOOLEAN_WORDS).alias("boolean"),
+        _read_number(*NUMBER_MARKS).alias("loose"),
+        _read_number(",", "%").alias("num"),
+        _read_number(",").alias("plain"),
+        _read_number().alias("strict"),
+        _read_day(formats).alias("day"),
         (is_text & s.rlike(EMAIL)).alias("email"),
         (is_text & v.rlike(EMAIL)).alias("valid_email"),
         (is_text & s.rlike(URL)).alias("url"),
         (is_text & ~s.rlike(ISO_DATE) & s.rlike(PHONE) & digits.between(7, 15)).alias("phone"),
+        F.pmod(F.hash("text"), F.lit(BUCKETS)).alias("bucket"),
     )
     day, loose, num = F.col("day"), F.col("loose"), F.col("num")
-    midnight = day == F.date_trunc("day", day).cast("timestamp_ntz")
-    found = tested.groupBy("column").agg(
-        F.sum(n).alias("rows"),
-        _weight(v.isNotNull()).alias("non_null"),
-        F.count(v).alias("unique_count"),
-        _weight(F.col("low").isin(*BOOLEAN_WORDS)).alias("n_boolean"),
-        # Compared with 4 only; the sketch is exact that low.
-        F.approx_count_distinct("low").alias("low_values"),
-        _weight(day.isNotNull()).alias("n_date"),
-        F.count_if(~midnight).alias("n_timed"),
-        _weight(F.col("email")).alias("n_email"),
-        _weight(F.col("valid_email")).alias("n_valid_email"),
-        _weight(F.col("url")).alias("n_url"),
-        _weight(F.col("phone")).alias("n_phone"),
-        _weight(loose.isNotNull()).alias("n_loose"),
-        _weight(loose.between(0, 1)).alias("n_unit"),
-        _weight(loose % 1 == 0).alias("n_whole"),
+    edges = F.array(F.lit(0.5 - MARGIN), F.lit(0.5 + MARGIN))
+    iso = "yyyy-MM-dd'T'HH:mm:ss"
+    found = tested.groupBy("position").agg(
+        F.count("*").alias("rows"),
+        F.count("text").alias("non_null"),
+        F.count_if("boolean").alias("n_boolean"),
+        F.count("day").alias("n_date"),
+        F.count_if(day != F.date_trunc("day", day).cast("timestamp_ntz")).alias("n_timed"),
+        F.count_if("email").alias("n_email"),
+        F.count_if("valid_email").alias("n_valid_email"),
+        F.count_if("url").alias("n_url"),
+        F.count_if("phone").alias("n_phone"),
+        F.count("loose").alias("n_loose"),
+        F.count_if(loose.between(0, 1)).alias("n_unit"),
+        F.count_if(loose % 1 == 0).alias("n_whole"),
         F.max(loose).alias("loose_max"),
-        _weight(num.isNotNull()).alias("n_number"),
-        _weight(F.col("plain").isNotNull()).alias("n_plain"),
-        _weight(F.col("strict") < 0).alias("n_negative"),
-        F.sum(num * n).alias("sum"),
+        F.count("num").alias("n_number"),
+        F.count("plain").alias("n_plain"),
+        F.count_if(F.col("strict") < 0).alias("n_negative"),
+        F.sum(num).alias("sum"),
+        F.avg(num).alias("average"),
         F.min(num).alias("min"),
         F.max(num).alias("max"),
-        F.min(day).alias("min_day"),
-        F.max(day).alias("max_day"),
-        F.count_distinct(day).alias("unique_dates"),
-        _weight(F.col("s") == "").alias("blank_like"),
-        _weight(v != F.col("s")).alias("n_spaced"),
+        F.stddev_samp(num).alias("std"),
+        F.percentile_approx(num, edges, SKETCH).alias("edges"),
+        F.date_format(F.min(day), iso).alias("min_date"),
+        F.date_format(F.max(day), iso).alias("max_date"),
+        F.datediff(F.max(day), F.min(day)).alias("date_range_days"),
+        F.count_if(F.col("s") == "").alias("blank_like"),
+        F.count_if(v != F.col("s")).alias("n_spaced"),
+        F.array(*[F.min(F.when(F.col("bucket") == b, v)) for b in range(BUCKETS)]).alias("smallest"),
     )
-    zeros = ["rows", "non_null", "unique_count", "unique_dates", "low_values"] + [
-        c for c in found.columns if c.startswith("n_") or c in ("blank_like",)
-    ]
-    # Joining from the column list keeps the columns of an empty table.
-    return (
-        column_list(df).join(found, "column", "left").na.fill(0, sorted(set(zeros)))
-        .withColumn("null_count", F.col("rows") - F.col("non_null"))
+    return found.collect()
+
+
+def _digest(text: Column) -> Column:
+    """A text itself, or for a long one its length and 128 bits of it."""
+    halves = (F.hex(F.xxhash64(text)), F.hex(F.xxhash64(text, F.lit(1))))
+    return F.when(F.length(text) > LONG_TEXT, F.concat_ws(":", F.length(text).cast("string"), *halves)).otherwise(text)
+
+
+def _median_brackets(df: DataFrame, plain: Sequence[Row]) -> dict[int, Bracket]:
+    """A bracket of each numeric column's median; passes over ``df`` narrow those that hold very many values."""
+    brackets = {
+        r.position: Bracket(*r.edges, r.n_number * 2 * (MARGIN + 1 / SKETCH)) for r in plain if r.n_number
+    }
+    n = {r.position: r.n_number for r in plain}
+    while wide := {p: b for p, b in brackets.items() if b.high > b.low and b.inside > RESIDUE}:
+        columns = {f"v{p}": to_number(df, df.columns[p], (",", "%")) for p in wide}
+        numbers = df.select(*[c.alias(o) for o, c in columns.items()])
+        open_ = {f"v{p}": (F.col(f"v{p}"), b, (n[p] - 1) // 2, n[p] // 2) for p, b in wide.items()}
+        brackets |= {int(o[1:]): b for o, b in narrowed(numbers, open_).items()}
+    return brackets
+
+
+def _distinct_facts(df: DataFrame, plain: Sequence[Row], formats: Sequence[str] | None) -> DataFrame:
+    """What the second pass tells: (position, unique_count, n_case, sample_values, median)."""
+    brackets = _median_brackets(df, plain)
+    bounds, cells = [], []
+    for r in plain:
+        name = df.columns[r.position]
+        first = sorted({v for v in r.smallest if v is not None})
+        bracket = brackets.get(r.position)
+        bounds.append((r.position, first[SAMPLES - 1] if len(first) >= SAMPLES else None, *((bracket.low, bracket.high) if bracket else (None, None))))
+        cells.append(_cell(df, r.position, name))
+        none, text = F.lit(None), clean_number(df, name).cast("string")
+        extra = []
+        if r.n_date:
+            day = to_date(df, name, formats).cast("timestamp_ntz")
+            extra.append((DAY_CELLS, day.cast("string")))
+        if r.n_boolean > 0.95 * r.non_null:
+            extra.append((LOW_CELLS, F.lower(strip(text))))
+        cells += [
+            F.struct(
+                F.lit(start + r.position).alias("position"), value.alias("text"), none.cast("double").alias("typed"),
+                none.cast("timestamp_ntz").alias("typed_day"), F.lit(False).alias("textual"),
+            )
+            for start, value in extra
+        ]
+    spark = df.sparkSession
+    # One row per column of the table.
+    bounds = F.broadcast(spark.createDataFrame(bounds, "position int, bound string, low double, high double"))
+    text = F.col("text")
+    kept = df.select(F.inline(F.array(*cells))).filter(text.isNotNull()).join(bounds, "position", "left")
+    keyed = kept.select(
+        "position", _digest(text).alias("value"), F.when(F.col("textual"), _digest(F.lower(text))).alias("lower"),
+        F.when(F.coalesce(text <= F.col("bound"), F.lit(True)) & (F.col("position") < DAY_CELLS), text).alias("sample"),
+        _read_number(",", "%").alias("num"), "low", "high",
+    )
+    # Sample, number and bracket follow from the value, so they make no further groups.
+    groups = keyed.groupBy("position", "lower", "value", "sample", "num", "low", "high").agg(F.count("*").alias("n"))
+
+    spelled = groups.groupBy("position", "lower").agg(F.count("*").alias("spellings"), F.sum("n").alias("n"))
+    counts = spelled.groupBy("position").agg(
+        F.sum("spellings").alias("unique_count"), F.count_if(F.expr("lower IS NOT NULL AND spellings > 1")).alias("n_case"), F.sum("n").alias("n")
+    )
+    place = F.row_number().over(Window.partitionBy("position").orderBy("sample"))
+    first = groups.filter(_counted("sample")).select("position", "sample", place.alias("place")).filter(F.col("place") <= SAMPLES)
+    samples = first.groupBy("position").agg(
+        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("place", "sample"))), lambda x: x["sample"]), " | ").alias("sample_values")
+    )
+    return counts.join(samples, "position", "left").join(_medians(groups), "position", "left")
+
+
+def _counted(name: str) -> Column:
+    """Test that a key of counted groups is not NULL. It names the count, or the optimizer would test before counting
+    and so count once for each test instead of reusing the groups."""
+    return F.when(F.col("n") > 0, F.col(name)).isNotNull()
+
+
+def _medians(groups: DataFrame) -> DataFrame:
+    """(position, median) from counted numbers and the bracket that holds the median."""
+    num, low, high, n = (F.col(c) for c in ("num", "low", "high", "n"))
+    between = (num > low) & (num < high)
+    inside = F.sort_array(F.collect_list(F.when(between, F.struct("num", "n"))))
+    cells = groups.filter(_counted("num") & _counted("low")).groupBy("position").agg(
+        F.first("low").alias("low"), F.first("high").alias("high"), F.sum("n").alias("n"),
+        F.coalesce(F.sum(F.when(num < low, n)), F.lit(0)).alias("below"),
+        F.coalesce(F.sum(F.when(num == low, n)), F.lit(0)).alias("at_low"),
+        F.coalesce(F.sum(F.when((num == high) & (high > low), n)), F.lit(0)).alias("at_high"),
+        F.max(F.when(num < low, num)).alias("last_below"), F.min(F.when(num > high, num)).alias("first_above"),
+        inside.alias("inside"),
     )
+    held = F.aggregate("inside", F.lit(0).cast("bigint"), lambda sum_, x: sum_ + x["n"])
+
+    def at(place: Column) -> Column:
+        start = place - F.col("below")
+        inner = start - F.col("at_low")
+        nothing = F.struct(F.lit(0).cast("bigint").alias("passed"), F.lit(None).cast("double").alias("found"))
+
+        def step(a: Column, x: Column) -> Column:
+            hit = (a["passed"] <= inner) & (inner < a["passed"] + x["n"])
+            return F.struct((a["passed"] + x["n"]).alias("passed"), F.when(hit, x["num"]).otherwise(a["found"]).alias("found"))
+
+        top = inner - held
+        outside = F.raise_error(F.lit("A median lies outside its bracket")).cast("double")
+        return (
+            F.when(start == -1, F.col("last_below")).when((start >= 0) & (inner < 0), low)
+            .when((inner >= 0) & (top < 0), F.aggregate("inside", nothing, step)["found"])
+            .when((top >= 0) & (top < F.col("at_high")), high).when(top == F.col("at_high"), F.col("first_above"))
+            .otherwise(outside)
+        )
+
+    first, last = F.floor((F.col("n") - 1) / 2), F.floor(F.col("n") / 2)
+    return cells.select("position", ((at(first) + at(last)) / 2).alias("median"))
+
+
+#: The facts about a column, in the order of ``column_facts``.
+FACTS = pa.schema(
+    [("position", pa.int32()), ("column", pa.string()), ("kind", pa.string()), ("sample_values", pa.string())]
+    + [(c, pa.int64()) for c in (
+        "rows", "non_null", "null_count", "unique_count", "unique_dates", "low_values", "n_case", "n_boolean", "n_date", "n_timed",
+        "n_email", "n_valid_email", "n_url", "n_phone", "n_loose", "n_unit", "n_whole", "n_number", "n_plain", "n_negative",
+        "blank_like", "n_spaced",
+    )]
+    + [(c, pa.float64()) for c in ("loose_max", "sum", "average", "median", "min", "max", "std")]
+    + [("min_date", pa.string()), ("max_date", pa.string()), ("date_range_days", pa.int32())]
+)
+
+
+def column_facts(df: DataFrame, formats: Sequence[str] | None = None) -> DataFrame:
+    """One row per column: row counts, pattern counts, distinct values, samples and number/date figures.
+
+    Runs the two passes of a profile; the rows are local.
+    """
+    plain = _plain_facts(df, formats) if df.columns else []
+    distinct = {r.position: r for r in _distinct_facts(df, plain, formats).collect()} if plain else {}
+    by_position = {r.position: r for r in plain}
+    rows = []
+    for i, name in enumerate(df.columns):
+        facts = {f.name: 0 for f in FACTS if pa.types.is_int64(f.type)}
+        facts |= {"position": i, "column": name, "kind": _kind(df, name)}
+        if i in by_position:
+            own = by_position[i].asDict()
+            facts |= {k: v for k, v in own.items() if k in FACTS.names}
+            facts["null_count"] = own["rows"] - own["non_null"]
+            if own["n_number"] and own["std"] is None:
+                facts["std"] = 0.0
+        if i in distinct:
+            facts |= {k: distinct[i][k] for k in ("unique_count", "n_case", "sample_values", "median")}
+        for start, output in ((DAY_CELLS, "unique_dates"), (LOW_CELLS, "low_values")):
+            if start + i in distinct:
+                facts[output] = distinct[start + i].unique_count
+        rows.append(facts)
+    return df.sparkSession.createDataFrame(pa.Table.from_pylist(rows, FACTS))
 
 
 def with_types(facts: DataFrame) -> DataFrame:
@@ -262,100 +417,57 @@ def with_roles(typed: DataFrame) -> DataFrame:
     )
 
 
-def described_columns(
-    df: DataFrame, counts: DataFrame | None = None, formats: Sequence[str] | None = None
-) -> DataFrame:
-    """Column facts with types and roles; checkpointed, one short row per column."""
-    return durable(with_roles(with_types(column_facts(df, counts, formats))))
+def described_columns(df: DataFrame, formats: Sequence[str] | None = None) -> DataFrame:
+    """Column facts with types and roles; several reports can share them as ``described``."""
+    return with_roles(with_types(column_facts(df, formats)))
 
 
-def detect_types(df: DataFrame, counts: DataFrame | None = None) -> DataFrame:
+def detect_types(df: DataFrame, described: DataFrame | None = None) -> DataFrame:
     """(column, data_type, confidence)."""
-    typed = with_types(column_facts(df, counts))
+    typed = with_types(column_facts(df)) if described is None else described
     return typed.select(
         "column", "data_type", F.round("type_confidence", 3).alias("type_confidence")
     )
 
 
-def detect_roles(df: DataFrame, counts: DataFrame | None = None) -> DataFrame:
+def detect_roles(df: DataFrame, described: DataFrame | None = None) -> DataFrame:
     """(column, data_type, role, confidence, suggested uses)."""
-    return with_roles(with_types(column_facts(df, counts))).select(
-        "column", "data_type", "role", "role_confidence", "suggested_uses"
-    )
-
-
-def _number_of(counts: DataFrame) -> DataFrame:
-    num = parse_number(without(F.col("value"), [",", "%"]))
-    return counts.select("column", num.alias("num"), "count").filter(F.col("num").isNotNull())
-
-
-def number_stats(described: DataFrame, counts: DataFrame) -> DataFrame:
-    """(column, sum, average, median, min, max, std) of the numeric columns."""
-    numeric = described.filter(
-        (F.col("data_type").isin(*NUMERIC_TYPES) | (F.col("kind") == "numeric"))
-        & (F.col("n_number") > 0)
-    )
-    means = numeric.select(
-        "column", "sum", "min", "max", "n_number",
-        (F.col("sum") / F.col("n_number")).alias("average"),
-    )
-    # One row per column of the table: bounded by the schema.
-    values = _number_of(counts).join(F.broadcast(means.select("column", "average")), "column")
-    spread = values.groupBy("column").agg(
-        F.sum(F.pow(F.col("num") - F.col("average"), 2) * F.col("count")).alias("squares")
-    )
-    medians = percentiles(values, "num", [0.5], ["median"], ["column"], frequency="count")
-    deviation = F.sqrt(F.try_divide(F.col("squares"), F.col("n_number") - 1))
-    return (
-        means.join(spread, "column", "left").join(medians, "column", "left")
-        .select("column", "sum", "average", "median", "min", "max",
-                F.coalesce(deviation, F.lit(0.0)).alias("std"))
-    )
-
-
-def sample_values(counts: DataFrame, n: int = 5) -> DataFrame:
-    """(column, sample_values): the first ``n`` distinct values in text order."""
-    present = counts.filter(F.col("value").isNotNull()).select("column", "value")
-    place = F.row_number().over(Window.partitionBy("column").orderBy("value"))
-    first = present.withColumn("rank", place).filter(F.col("rank") <= n)
-    ordered = F.sort_array(F.collect_list(F.struct("rank", "value")))
-    return first.groupBy("column").agg(
-        F.array_join(F.transform(ordered, lambda x: x["value"]), " | ").alias("sample_values")
-    )
+    found = described_columns(df) if described is None else described
+    return found.select("column", "data_type", "role", "role_confidence", "suggested_uses")
 
 
 def profile_columns(
-    df: DataFrame, counts: DataFrame | None = None, formats: Sequence[str] | None = None
+    df: DataFrame, described: DataFrame | None = None, formats: Sequence[str] | None = None
 ) -> DataFrame:
-    """One row per column: type, role, counts, samples and type-specific statistics."""
-    counts = value_counts(df) if counts is None else counts
-    described = described_columns(df, counts, formats)
-    stats = number_stats(described, counts)
+    """One row per column: type, role, counts, samples and type-specific statistics.
+
+    Sample values are the first ``SAMPLES`` distinct ones in text order.
+    """
+    described = described_columns(df, formats) if described is None else described
     is_number = F.col("data_type").isin(*NUMERIC_TYPES) | (F.col("kind") == "numeric")
     is_date = ~is_number & F.col("data_type").isin(*DATE_TYPES)
     other = ~is_number & ~is_date & (F.col("non_null") > 0)
-    base = described.select(
+    counted = is_number & (F.col("n_number") > 0)
+    return described.select(
         "position", "column", "data_type",
         F.round("type_confidence", 3).alias("type_confidence"),
         "role", "role_confidence", "suggested_uses", "non_null", "null_count",
         F.round(F.coalesce(F.try_divide(100 * F.col("null_count"), F.col("rows")), F.lit(0.0)), 2).alias("null_pct"),
         "unique_count",
-        F.when(is_date, F.date_format("min_day", "yyyy-MM-dd'T'HH:mm:ss")).alias("min_date"),
-        F.when(is_date, F.date_format("max_day", "yyyy-MM-dd'T'HH:mm:ss")).alias("max_date"),
-        F.when(is_date, F.col("unique_dates")).alias("unique_dates"),
-        F.when(is_date, F.datediff("max_day", "min_day")).alias("date_range_days"),
+        *[F.when(is_date, F.col(c)).alias(c) for c in ("min_date", "max_date", "unique_dates", "date_range_days")],
         F.when(other, F.col("blank_like")).alias("blank_like"),
         F.when(other, F.col("non_null") - F.col("unique_count")).alias("duplicate_values"),
+        "sample_values",
+        *[F.when(counted, F.col(c)).alias(c) for c in ("sum", "average", "median", "min", "max", "std")],
     )
-    return base.join(sample_values(counts), "column", "left").join(stats, "column", "left")
 
 
-def top_values(df: DataFrame, n: int = 5, counts: DataFrame | None = None) -> DataFrame:
+def top_values(df: DataFrame, n: int = 5) -> DataFrame:
     """(column, rank, value, count) of the most frequent values of each column.
 
     The rank test limits every task's rows per column before the shuffle.
     """
-    counts = value_counts(df) if counts is None else counts
+    counts = value_counts(df)
     order = Window.partitionBy("column").orderBy(F.col("count").desc(), F.col("value").asc())
     ranked = counts.filter(F.col("value").isNotNull()).withColumn("rank", F.row_number().over(order))
     return ranked.filter(F.col("rank") <= n).select("column", "rank", "value", "count")
@@ -377,32 +489,14 @@ def missing_summary(df: DataFrame) -> DataFrame:
     )
 
 
-def inconsistent_case(described: DataFrame, counts: DataFrame) -> DataFrame:
-    """(column, n_case): values of text columns spelled with varying case."""
-    texts = described.filter(F.col("kind") == "text").select("column")
-    # One row per column of the table.
-    spelled = counts.filter(F.col("value").isNotNull()).join(F.broadcast(texts), "column", "left_semi")
-    variants = spelled.groupBy("column", F.lower("value").alias("low")).agg(
-        F.count(F.lit(1)).alias("spellings")
-    )
-    return variants.filter(F.col("spellings") > 1).groupBy("column").agg(
-        F.count(F.lit(1)).alias("n_case")
-    )
-
-
 ISSUE_SCHEMA = ("severity", "category", "issue", "column", "count")
 
 
 def quality_issues(
-    df: DataFrame,
-    counts: DataFrame | None = None,
-    described: DataFrame | None = None,
-    number_threshold: float = 0.85,
+    df: DataFrame, described: DataFrame | None = None, number_threshold: float = 0.85
 ) -> DataFrame:
     """(severity, category, issue, column, count) of everything suspicious."""
-    counts = value_counts(df) if counts is None else counts
-    described = described_columns(df, counts) if described is None else described
-    facts = described.join(inconsistent_case(described, counts), "column", "left")
+    facts = described_columns(df) if described is None else described
     text = F.col("kind") == "text"
     identifier = (F.col("role") == "identifier") | (F.col("data_type") == "identifier")
     repeats = F.col("non_null") - F.col("unique_count")
@@ -476,13 +570,10 @@ def detect_issues(df: DataFrame, number_threshold: float = 0.80) -> DataFrame:
     return per_column.unionByName(rows)
 
 
-def health_score(
-    df: DataFrame, counts: DataFrame | None = None, described: DataFrame | None = None
-) -> DataFrame:
+def health_score(df: DataFrame, described: DataFrame | None = None) -> DataFrame:
     """One row: overall score 0-100 and its five components."""
-    counts = value_counts(df) if counts is None else counts
-    described = described_columns(df, counts) if described is None else described
-    issues = quality_issues(df, counts, described)
+    described = described_columns(df) if described is None else described
+    issues = quality_issues(df, described)
     hits = issues.agg(
         F.count_if((F.col("category") == "validity") | (F.col("severity") == "high")).alias("valid"),
         F.count_if(F.col("category").isin("consistency", "formatting")).alias("consistent"),
@@ -522,7 +613,7 @@ def health_score(
     )
 
 
-def semantic_model(df: DataFrame, counts: DataFrame | None = None) -> DataFrame:
+def semantic_model(df: DataFrame, described: DataFrame | None = None) -> DataFrame:
     """(list, column): which columns serve as measures, dimensions, dates and so on."""
     role, kind = F.col("role"), F.col("data_type")
     # What puts a column on each list; a column may be on several.
@@ -534,7 +625,7 @@ def semantic_model(df: DataFrame, counts: DataFrame | None = None) -> DataFrame:
         "contacts": (role == "contact") | kind.isin("email", "phone"),
     }
     entries = F.array(*[F.when(test, F.lit(name)) for name, test in lists.items()])
-    listed = detect_roles(df, counts).select(F.explode(entries).alias("list"), "column")
+    listed = detect_roles(df, described).select(F.explode(entries).alias("list"), "column")
     return listed.filter(F.col("list").isNotNull())
 
 

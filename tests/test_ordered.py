@@ -113,8 +113,8 @@ def test_a_bracket_is_narrowed_until_few_values_are_left(spark, monkeypatch):
     }
     df = spark.createDataFrame(pd.DataFrame(wide)).repartition(8)
     passes = []
-    narrowed = ordered._narrowed
-    monkeypatch.setattr(ordered, "_narrowed", lambda df, open_: passes.append(1) or narrowed(df, open_))
+    narrowed = ordered.narrowed
+    monkeypatch.setattr(ordered, "narrowed", lambda df, open_: passes.append(1) or narrowed(df, open_))
     probs = (0.0, 0.1, 0.25, 0.5, 0.99, 1.0)
     wanted = [(c, p, f"{c}{p}") for c in wide for p in probs]
     got = ordered.exact_percentiles(df, wanted, {"n": F.count("*")}).first()

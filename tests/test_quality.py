@@ -1,13 +1,15 @@
 from __future__ import annotations
 
 import datetime as dt
+import random
 
 import pytest
 
 from tallyforge.operators import cleaning as c
+from tallyforge.operators import ordered
 from tallyforge.operators import profile as p
 
-from helpers import pairs, rows
+from helpers import pairs, plan, rows
 
 
 @pytest.fixture(scope="module")
@@ -149,7 +151,7 @@ def test_health(messy):
     assert got.validity == 100 - 3 * 8  # one high, two validity issues
     assert got.consistency == 100 - 3 * 5
     assert 0 < got.score < 100
-    shared = p.value_counts(messy)
+    shared = p.described_columns(messy)
     assert p.health_score(messy, shared).first() == got
 
 
@@ -166,6 +168,37 @@ def test_nan_counts_as_missing(spark):
     assert p.profile_columns(df).first().null_count == 1
 
 
+def test_a_profile_reads_the_table_twice_and_stores_nothing(spark, tmp_path, monkeypatch):
+    rows_ = [(i, f"{'abcd' * 30 if i % 2 else 'ABCD' * 30} {i % 40}", i % 11 / 2, "yes" if i % 3 else "No ") for i in range(600)]
+    spark.createDataFrame(rows_, "n int, words string, x double, flag string").write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    first = p._plain_facts(df, None)
+    second = p._distinct_facts(df, first, None)
+    second.collect()
+    text = plan(second).split("+- == Initial Plan ==")[0]
+    assert text.count("FileScan") - text.count("ReusedExchange") <= 1
+    assert {r.position: r.unique_count for r in second.collect() if r.position < 4} == {0: 600, 1: 40, 2: 11, 3: 2}
+    got = {r["column"]: r for r in p.described_columns(df).collect()}
+    assert (got["words"].n_case, got["x"].median, got["flag"].low_values, got["flag"].data_type) == (0, 2.5, 2, "boolean")
+    assert got["n"].sample_values == "0 | 1 | 10 | 100 | 101"
+    monkeypatch.setattr(ordered, "durable", None)  # nothing is stored
+    assert p.profile_columns(df).count() == 4
+
+
+@pytest.mark.parametrize("residue", [1, 20_000])
+def test_medians_of_a_profile(spark, monkeypatch, residue):
+    monkeypatch.setattr(p, "RESIDUE", residue)
+    rng = random.Random(4)
+    columns = {
+        "a": [rng.gauss(0, 9) for _ in range(5001)], "b": [float(rng.randrange(3)) for _ in range(5001)],
+        "c": [7.0 if rng.random() < 0.6 else rng.random() for _ in range(5001)], "d": [float(i) for i in range(5001)],
+    }
+    df = spark.createDataFrame(list(zip(*columns.values())), "a double, b double, c double, d double").limit(5000).repartition(4)
+    got = {r["column"]: r.median for r in p.profile_columns(df.union(df)).collect()}
+    seen = df.toPandas()
+    assert got == {c: pytest.approx(seen[c].median()) for c in columns}
+
+
 def test_capitalisation_is_checked_whatever_the_number_of_values(spark):
     for n in (41, 61, 400):
         df = spark.createDataFrame([(f"value {i}",) for i in range(n)] + [("VALUE 1",)], "t string")
