@@ -160,44 +160,59 @@ BINDINGS["dup_any"] = (
                  count(*) OVER (PARTITION BY value) AS b FROM events) WHERE a > 1 OR b > 1""",
 )
 
-# Tables with speaking column names: (table, {column: name}).
-RELATED = (
-    ("customer", {"c_custkey": "customer_id", "c_nationkey": "nation_id", "c_mktsegment": "segment"}),
-    ("nation", {"n_nationkey": "nation_id", "n_name": "name", "n_regionkey": "region_id"}),
-    ("region", {"r_regionkey": "region_id", "r_name": "name"}),
-    ("orders", {"o_orderkey": "order_id", "o_custkey": "customer_id", "o_orderstatus": "status"}),
-    ("supplier", {"s_suppkey": "supplier_id", "s_name": "name", "s_nationkey": "nation_id"}),
-)
+#: Every column of every table, without the letter that the tables put before their columns.
+RELATED = {
+    "customer": ("c_custkey", "c_name", "c_nationkey", "c_mktsegment", "c_acctbal"),
+    "nation": ("n_nationkey", "n_name", "n_regionkey"),
+    "region": ("r_regionkey", "r_name"),
+    "supplier": ("s_suppkey", "s_name", "s_nationkey", "s_acctbal"),
+    "part": ("p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice"),
+    "orders": ("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"),
+    "lineitem": (
+        "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax",
+        "l_returnflag", "l_linestatus", "l_shipdate",
+    ),
+    "events": ("event_id", "ts", "user_id", "event_type", "value", "props"),
+    "documents": ("doc_id", "text", "lang", "source", "n_chars"),
+    "labels": ("doc_id", "quality", "toxic"),
+    "pages": ("page_id", "url", "html"),
+    "benchmark": ("item_id", "text"),
+    "conversations": ("conv_id", "turn", "role", "text"),
+}
+
+
+def _speaking(column: str) -> str:
+    return column[2:] if column[1] == "_" else column
 
 
 def related(spark, d):
-    tables = [
-        (name, table(spark, d, name).select(*[F.col(c).alias(n) for c, n in names.items()]))
-        for name, names in RELATED
-    ]
+    tables = []
+    for name, columns in RELATED.items():
+        df = table(spark, d, name)
+        tables.append((name, df.select(*[F.col(c).alias(_speaking(c)) for c in columns])))
     return relationships.detect_relationships(tables)
 
 
 _VALUES = "\nUNION ALL ".join(
-    f"SELECT DISTINCT {i} AS pos, '{t}' AS t, '{n}' AS c, CAST({c} AS varchar) AS v FROM {t}"
-    for i, (t, names) in enumerate(RELATED)
-    for c, n in names.items()
+    f"SELECT DISTINCT {i} AS pos, '{t}' AS t, '{_speaking(c)}' AS c, CAST({c} AS varchar) AS v FROM {t}"
+    for i, (t, columns) in enumerate(RELATED.items())
+    for c in columns
 )
 
+_KEYS = "['id', 'code', 'sku']"
+
 BINDINGS["relationships"] = (
     related,
     f"""WITH vals AS ({_VALUES}),
-       sizes AS (SELECT pos, t, c, count(*) AS n FROM vals GROUP BY 1, 2, 3),
+       sizes AS (SELECT pos, t, c, count(*) AS n, string_split(c, '_') AS w FROM vals GROUP BY 1, 2, 3),
        common AS (SELECT a.t AS lt, a.c AS lc, b.t AS rt, b.c AS rc, count(*) AS n
                   FROM vals a JOIN vals b ON a.v = b.v AND a.pos < b.pos GROUP BY 1, 2, 3, 4),
        pairs AS (SELECT a.t AS lt, a.c AS lc, b.t AS rt, b.c AS rc,
                    CASE WHEN a.c = b.c THEN 0.55
-                        WHEN contains(a.c, b.c) OR contains(b.c, a.c) THEN 0.35
-                        WHEN ends_with(a.c, 'id') AND ends_with(b.c, 'id')
-                             AND (contains(b.c, replace(a.c, 'id', '')) OR contains(a.c, replace(b.c, 'id', '')))
-                          THEN 0.4 ELSE 0.0 END AS name_score,
-                   CASE WHEN contains(a.c, 'id') OR contains(b.c, 'id') OR contains(a.c, 'code')
-                             OR contains(b.c, 'code') OR contains(a.c, 'sku') THEN 0.1 ELSE 0.0 END AS boost,
+                        WHEN NOT ((list_has_all(a.w, b.w) AND len(list_filter(b.w, lambda x: NOT list_contains({_KEYS}, x))) > 0)
+                               OR (list_has_all(b.w, a.w) AND len(list_filter(a.w, lambda x: NOT list_contains({_KEYS}, x))) > 0)) THEN 0.0
+                        WHEN list_contains({_KEYS}, a.w[-1]) AND list_contains({_KEYS}, b.w[-1]) THEN 0.4 ELSE 0.35 END AS name_score,
+                   CASE WHEN list_has_any(a.w, {_KEYS}) OR list_has_any(b.w, {_KEYS}) THEN 0.1 ELSE 0.0 END AS boost,
                    coalesce(m.n, 0) / least(a.n, b.n) AS overlap
                  FROM sizes a JOIN sizes b ON a.pos < b.pos
                  LEFT JOIN common m ON m.lt = a.t AND m.lc = a.c AND m.rt = b.t AND m.rc = b.c),
@@ -205,6 +220,6 @@ BINDINGS["relationships"] = (
                     ELSE least(1.0, CAST(name_score AS double) + CAST(0.55 AS double) * overlap
                                     + CAST(boost AS double)) END AS score FROM pairs)
        SELECT lt AS left_table, lc AS left_column, rt AS right_table, rc AS right_column,
-              CAST(round(score * 100) AS integer) AS confidence, 'suggested' AS status
-       FROM scored WHERE score >= 0.7 ORDER BY confidence DESC, 1, 2, 3, 4 LIMIT 20""",
+              CAST(round_even(score * 100, 0) AS integer) AS confidence, 'suggested' AS status
+       FROM scored WHERE score >= 0.7""",
 )

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 from functools import reduce
 from itertools import combinations
+from math import sqrt
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import ref
+from .ordered import durable
 
 # Weights of name and content.
 SAME_NAME, PART_OF_NAME, SHARED_ID_NAME = 0.55, 0.35, 0.40
@@ -18,34 +21,33 @@ MIN_OVERLAP, STRONG_NAME, MIN_CONFIDENCE = 0.05, 0.50, 0.70
 
 
 # Words that mark a column as a key.
-KEY_WORDS = ("id", "code", "sku")
+KEY_WORDS = frozenset(("id", "code", "sku"))
 
+_WORD = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+|[^\W\d_a-zA-Z]+")
 
-def _stem(name: str) -> str:
-    return name.replace("id", "")
 
-
-#: What two names, in lower case without blanks, may have in common; the first that holds counts.
-#: Every test is the same for either order of the names.
-NAME_RULES = (
-    (SAME_NAME, lambda pair: len(set(pair)) == 1),
-    (PART_OF_NAME, lambda pair: any(n in m for n, m in (pair, pair[::-1]))),
-    (
-        SHARED_ID_NAME,
-        lambda pair: all(n.endswith("id") for n in pair) and any(_stem(n) in m for n, m in (pair, pair[::-1])),
-    ),
-)
+def name_words(name: str) -> list[str]:
+    """The words of a column name in lower case: ``orderId``, ``order_id`` and ``Order ID`` have the same."""
+    return [word.lower() for word in _WORD.findall(name)]
 
 
 def name_score(left: str, right: str) -> float:
-    """What the names alone say for a relation."""
-    pair = tuple(name.lower().replace(" ", "") for name in (left, right))
-    return next((weight for weight, holds in NAME_RULES if holds(pair)), 0.0)
+    """What the names alone say for a relation.
+
+    Most if they have the same words, written together or apart. Less if all words of one are among the other's:
+    something more then if both are names of keys.
+    """
+    one, two = sorted((name_words(left), name_words(right)), key=len)
+    if not one or "".join(one) == "".join(two):
+        return SAME_NAME if one else 0.0
+    if not set(one) - KEY_WORDS or not set(one) <= set(two):
+        return 0.0
+    return SHARED_ID_NAME if one[-1] in KEY_WORDS and two[-1] in KEY_WORDS else PART_OF_NAME
 
 
 def id_boost(left: str, right: str) -> float:
-    """Something more if either name is marked as a key."""
-    return ID_BOOST if any(word in name.lower() for word in KEY_WORDS for name in (left, right)) else 0.0
+    """Something more if a word of either name marks a key."""
+    return ID_BOOST if KEY_WORDS & {*name_words(left), *name_words(right)} else 0.0
 
 
 BITS = 63  # columns per mask
@@ -87,6 +89,49 @@ def _holder_counts(values: DataFrame, columns: int) -> DataFrame:
     return sets.select(F.concat(*members).alias("ids"), "n")
 
 
+#: A sketch of a column keeps the hashes of up to 2 ** SKETCH_SIZE distinct values, half a megabyte; up to half as many
+#: distinct values it is exact.
+SKETCH_SIZE = 16
+
+#: Standard errors that an estimate of a large column may be off.
+SURE = 6
+
+
+def _sketched(tables: Sequence[tuple[str, DataFrame]], ids: Sequence[Mapping[str, int]]) -> DataFrame:
+    """(id, sketch) of the given columns of every table; one pass over each table, in which nothing is shuffled but
+    sketches."""
+    parts = []
+    for (_, df), own in zip(tables, ids, strict=True):
+        if own:
+            wide = df.agg(*[F.theta_sketch_agg(ref(c).cast("string"), SKETCH_SIZE).alias(f"s{i}") for c, i in own.items()])
+            rows = [F.struct(F.lit(i).alias("id"), F.col(f"s{i}").alias("sketch")) for i in own.values()]
+            parts.append(wide.select(F.inline(F.array(*rows))))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _estimates(sketches: DataFrame, pairs: Sequence[tuple[int, int]]) -> dict[tuple[int, int], tuple[int, int, int]]:
+    """Sizes and number of common values of pairs of columns, by their sketches. Both have a row for each pair at most."""
+    wanted = sketches.sparkSession.createDataFrame(pairs, "left_id int, right_id int")
+    left = sketches.select(F.col("id").alias("left_id"), F.col("sketch").alias("a"))
+    right = sketches.select(F.col("id").alias("right_id"), F.col("sketch").alias("b"))
+    both = wanted.join(left, "left_id").join(right, "right_id")
+    found = both.select(
+        "left_id", "right_id", F.theta_sketch_estimate("a").alias("n"), F.theta_sketch_estimate("b").alias("m"),
+        F.theta_sketch_estimate(F.theta_intersection("a", "b")).alias("common"),
+    )
+    return {(r.left_id, r.right_id): (r.n, r.m, r.common) for r in found.collect()}
+
+
+def most_overlap(n: int, m: int, common: int) -> float:
+    """The largest overlap that two columns can be taken to have, given what their sketches say."""
+    kept = min(1.0, 2 ** (SKETCH_SIZE - 1) / max(n, m, 1))  # share of the values that both sketches know
+    if kept == 1.0:
+        return common / max(min(n, m), 1)
+    reach = common + SURE * sqrt(common / kept) + SURE * SURE / kept
+    least = min(n, m) * max(1 - SURE / sqrt(2 ** (SKETCH_SIZE - 1)), 0.0)
+    return min(1.0, reach / least) if least else 1.0
+
+
 def detect_relationships(
     tables: Sequence[tuple[str, DataFrame]],
     min_confidence: float = MIN_CONFIDENCE,
@@ -94,10 +139,12 @@ def detect_relationships(
 ) -> DataFrame:
     """Column pairs of different tables, scored by name and by shared values.
 
-    Pairs whose names cannot reach ``min_confidence`` even with all values shared are
-    dropped first, and only columns left in some pair are read. All their distinct values
-    are compared: each value is reduced to the set of columns it occurs in and equal sets
-    are counted, so pairs are formed between columns only, never between rows.
+    Pairs whose names cannot reach ``min_confidence`` even with all values shared are dropped first, and only columns
+    left in some pair are read. One pass over each table makes mergeable sketches of them. For columns of up to
+    2 ** (SKETCH_SIZE - 1) distinct values these tell sizes and common values as they are; for larger ones they
+    bound the overlap, and pairs that stay below ``min_confidence`` go. Only values of the columns that are then left
+    are compared: each is reduced to the set of columns it occurs in and equal sets are counted, so pairs are formed
+    between columns only, never between rows. The passes over sketches run while the plan is built.
     """
     if len(tables) < 2:
         raise ValueError("At least two tables are needed.")
@@ -110,33 +157,43 @@ def detect_relationships(
         if left[0] != right[0]
     ]
     pairs = [p for p in pairs if p[6] + OVERLAP_WEIGHT + p[7] >= min_confidence]
+
+    def ids_of(wanted: set[int]) -> list[dict[str, int]]:
+        return [{c: i for i, (at, _, c) in enumerate(columns) if at == position and i in wanted} for position in range(len(tables))]
+
+    known, open_ = [], []
+    told = _estimates(durable(_sketched(tables, ids_of({i for p in pairs for i in p[:2]}))), [p[:2] for p in pairs]) if pairs else {}
+    for p in pairs:
+        n, m, common = told[p[:2]]
+        if max(n, m) <= 2 ** (SKETCH_SIZE - 1):
+            known.append((*p, n or None, m or None, common))
+        elif p[6] + OVERLAP_WEIGHT * most_overlap(n, m, common) + p[7] >= min_confidence:
+            open_.append(p)
+
     schema = (
         "left_id int, right_id int, left_table string, left_column string, "
         "right_table string, right_column string, name_score double, boost double"
     )
-    wanted = {i for p in pairs for i in p[:2]}
-    parts = []
-    for position, (_, df) in enumerate(tables):
-        ids = {c: i for i, (at, _, c) in enumerate(columns) if at == position and i in wanted}
-        parts += [_column_values(df, ids)] if ids else []
-    values = reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], "id int, value string")
-    sets = _holder_counts(values, len(columns))
-    # A column shares all its values with itself, which gives its size.
-    common = (
-        sets.select(F.explode("ids").alias("left_id"), "ids", "n")
-        .select("left_id", F.explode("ids").alias("right_id"), "n")
-        .filter(F.col("left_id") <= F.col("right_id"))
-        .groupBy("left_id", "right_id")
-        .agg(F.sum("n").alias("common"))
-    )
-    sizes = common.filter("left_id = right_id")
-    shared = common.filter("left_id < right_id")
-    sized = (
-        spark.createDataFrame(pairs, schema)
-        .join(sizes.select("left_id", F.col("common").alias("left_size")), "left_id", "left")
-        .join(sizes.select("right_id", F.col("common").alias("right_size")), "right_id", "left")
-        .join(shared, ["left_id", "right_id"], "left")
-    )
+    sized = spark.createDataFrame(known, schema + ", left_size long, right_size long, common long")
+    if open_:
+        parts = [_column_values(df, own) for (_, df), own in zip(tables, ids_of({i for p in open_ for i in p[:2]})) if own]
+        sets = _holder_counts(reduce(DataFrame.unionByName, parts), len(columns))
+        # A column shares all its values with itself, which gives its size.
+        common = (
+            sets.select(F.explode("ids").alias("left_id"), "ids", "n")
+            .select("left_id", F.explode("ids").alias("right_id"), "n")
+            .filter(F.col("left_id") <= F.col("right_id"))
+            .groupBy("left_id", "right_id")
+            .agg(F.sum("n").alias("common"))
+        )
+        sizes = common.filter("left_id = right_id")
+        counted = (
+            spark.createDataFrame(open_, schema)
+            .join(sizes.select("left_id", F.col("common").alias("left_size")), "left_id", "left")
+            .join(sizes.select("right_id", F.col("common").alias("right_size")), "right_id", "left")
+            .join(common.filter("left_id < right_id"), ["left_id", "right_id"], "left")
+        )
+        sized = sized.unionByName(counted)
     overlap = F.coalesce(F.col("common"), F.lit(0)) / F.least("left_size", "right_size")
     score = F.least(
         F.lit(1.0), F.col("name_score") + OVERLAP_WEIGHT * F.col("overlap") + F.col("boost")

@@ -113,11 +113,28 @@ def test_relationships(spark):
 
 
 def test_name_scores():
-    assert rel.name_score("Order ID", "orderid") == 0.55
-    assert rel.name_score("customer", "customer_id") == 0.35
-    assert rel.name_score("cust_id", "thecust_xid") == 0.4
-    assert rel.name_score("a", "b") == 0.0
-    assert rel.id_boost("sku", "x") == 0.1 and rel.id_boost("x", "sku") == 0.1
+    assert rel.name_words("orderID2_x Größe") == ["order", "id", "2", "x", "gr", "öß", "e"]
+    assert rel.name_score("Order ID", "orderid") == rel.name_score("OrderId", "order_id") == 0.55
+    assert rel.name_score("customer", "customer_id") == rel.name_score("customer_id", "customer") == 0.35
+    assert rel.name_score("cust_id", "old_cust_id") == 0.4
+    assert rel.name_score("id", "cust_id") == rel.name_score("a", "b") == rel.name_score("", "_") == 0.0
+    assert rel.name_score("cust", "custom") == 0.0  # no word of it
+    assert rel.id_boost("sku", "x") == 0.1 and rel.id_boost("x", "sku") == 0.1 and rel.id_boost("paid", "x") == 0.0
+
+
+@pytest.mark.parametrize("size", [16, 12])
+def test_relationships_by_sketch_or_by_values(spark, monkeypatch, size):
+    """With small sketches the large columns are left to the comparison of values, which gives the same."""
+    monkeypatch.setattr(rel, "SKETCH_SIZE", size)
+    compared = []
+    counts = rel._holder_counts
+    monkeypatch.setattr(rel, "_holder_counts", lambda values, n: compared.append({r.id for r in values.select("id").distinct().collect()}) or counts(values, n))
+    left = spark.range(4000).selectExpr("id user_id", "id + 9000000 other_id", "id % 3 kind")
+    right = spark.range(4000).selectExpr("id * 2 user_id", "id other_id", "id % 4 kind")
+    got = rel.detect_relationships([("left", left), ("right", right)]).collect()
+    assert [(r.left_column, r.right_column, r.confidence) for r in got] == [("kind", "kind", 100), ("user_id", "user_id", 92)]
+    # Columns 1 and 4 share nothing and are pruned in any case.
+    assert compared == ([] if size == 16 else [{0, 3}])
 
 
 def test_many_columns_span_several_masks(spark):
