@@ -44,8 +44,10 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     members = durable(simhash.near_duplicates(numbered, ROW).select(ROW, "component_id"))
     order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col(ROW).alias("row"))
     ids = numbered.select(ROW, "doc_id").join(members, ROW)
-    first = ids.groupBy("component_id").agg(F.min(order)["row"].alias(ROW)).select(ROW)
-    return numbered.join(durable(first), ROW, "left_semi").select(*docs.columns)
+    groups = ids.groupBy("component_id").agg(F.min(order)["row"].alias("first"), F.count("*").alias("n")).filter("n > 1")
+    # The rows that go are few, so texts seldom have to be shuffled to take them out.
+    gone = members.join(groups, "component_id").filter(F.col(ROW) != F.col("first")).select(ROW)
+    return numbered.join(durable(gone), ROW, "left_anti").select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
