@@ -219,15 +219,16 @@ def fence_sql(source: str, value: str, method: str = "iqr") -> str:
 
 def outlier_sql(method: str) -> str:
     return f"""WITH {fence_sql("events", "value", method)}
-       SELECT event_id, value, round(lo, 3) AS expected_low, round(hi, 3) AS expected_high,
+       SELECT events.*, round(lo, 3) AS expected_low, round(hi, 3) AS expected_high,
+              format('{{:,.2f}} – {{:,.2f}}', lo, hi) AS expected_range,
               CASE WHEN md = 0 OR abs(value) > 5 * abs(md) THEN 'high' ELSE 'medium' END AS severity
        FROM events, f WHERE n >= 4 AND (value < lo OR value > hi)"""
 
 
 def _outliers(method):
     def run(spark, d):
-        hits = out_ops.outliers(table(spark, d, "events").select("event_id", "value"), "value", method)
-        return rounded(hits.drop("expected_range"), "expected_low", "expected_high", digits=3)
+        hits = out_ops.outliers(table(spark, d, "events"), "value", method)
+        return rounded(hits, "expected_low", "expected_high", digits=3)
 
     return run
 

@@ -157,13 +157,18 @@ BOARD = {
 }
 
 
+def in_millions(board):
+    """A board with its variances in millions."""
+    return board.withColumn("value", F.when(F.col("label") == "variance", F.col("value") / 1e6).otherwise(F.col("value")))
+
+
 def dashboard_board(spark, d):
-    """All six frames; of the outliers, one row per severity."""
+    """All rows of all six frames; the variance in millions, as sums of squares differ in the last digits."""
     frames = reports.board(table(spark, d, "orders"), "o_totalprice", "o_custkey", "o_orderdate")
     parts = {name: (frames[name], *columns) for name, columns in BOARD.items()}
-    by_severity = frames["outliers"].groupBy("severity").agg(F.count(F.lit(1)).alias("n"))
-    parts["outliers"] = (by_severity, "severity", "n")
-    return rounded(reports.long_board(parts).filter("label <> 'variance'"), "value")
+    named = frames["outliers"].withColumn("label", F.concat_ws(" ", "severity", "o_orderkey", "expected_range"))
+    parts["outliers"] = (named, "label", "o_totalprice")
+    return rounded(in_millions(reports.long_board(parts)), "value")
 
 
 BINDINGS["dashboard_board"] = (
@@ -171,7 +176,8 @@ BINDINGS["dashboard_board"] = (
     f"""WITH {growth_sql("orders", "o_orderdate", "o_totalprice", "month")},
        {pareto_sql("orders", "o_custkey", "o_totalprice")},
        {fence_sql("orders", "o_totalprice")},
-       hits AS (SELECT CASE WHEN md = 0 OR abs(o_totalprice) > 5 * abs(md) THEN 'high' ELSE 'medium' END AS s
+       hits AS (SELECT concat_ws(' ', CASE WHEN md = 0 OR abs(o_totalprice) > 5 * abs(md) THEN 'high' ELSE 'medium' END, o_orderkey,
+                       format('{{:,.2f}} – {{:,.2f}}', lo, hi)) AS s, o_totalprice
                 FROM orders, f WHERE n >= 4 AND (o_totalprice < lo OR o_totalprice > hi)),
        best AS (SELECT o_custkey, sum(o_totalprice) AS v FROM orders GROUP BY 1 ORDER BY v DESC, 1 LIMIT 10),
        ends AS (SELECT min(o_totalprice) AS lo, max(o_totalprice) AS hi FROM orders)
@@ -181,7 +187,7 @@ BINDINGS["dashboard_board"] = (
        UNION ALL SELECT 'trend', "Period", o_totalprice FROM growth
        UNION ALL SELECT 'ranking', CAST(o_custkey AS varchar), round(v, 2) FROM best
        UNION ALL SELECT 'pareto', CAST(o_custkey AS varchar), cumulative_pct FROM pareto
-       UNION ALL SELECT 'outliers', s, count(*) FROM hits GROUP BY s
+       UNION ALL SELECT 'outliers', s, o_totalprice FROM hits
        UNION ALL SELECT 'descriptive', 'count', n FROM q
        UNION ALL SELECT 'descriptive', 'mean', round(m, 2) FROM q
        UNION ALL SELECT 'descriptive', 'median', round(md, 2) FROM q
@@ -189,6 +195,7 @@ BINDINGS["dashboard_board"] = (
        UNION ALL SELECT 'descriptive', 'max', hi FROM ends
        UNION ALL SELECT 'descriptive', 'range', round(hi - lo, 2) FROM ends
        UNION ALL SELECT 'descriptive', 'std', round(s, 2) FROM q
+       UNION ALL SELECT 'descriptive', 'variance', round(s * s / 1e6, 2) FROM q
        UNION ALL SELECT 'descriptive', 'q1', round(q1, 2) FROM q
        UNION ALL SELECT 'descriptive', 'q3', round(q3, 2) FROM q""",
 )
@@ -229,11 +236,15 @@ BINDINGS["task_compare"] = (
 
 BINDINGS["task_trend"] = (
     lambda spark, d: rounded(
-        _task(
-            "monthly_trend",
-            {"trend": ("Period", "growth_pct"), "descriptive": ("statistic", "value")},
-            date="o_orderdate",
-        )(spark, d).filter("label <> 'variance'"),
+        in_millions(
+            reports.long_board(
+                {
+                    name: (frame, *columns)
+                    for name, columns in {"trend": ("Period", "growth_pct"), "descriptive": ("statistic", "value")}.items()
+                    for frame in [reports.task_frames("monthly_trend", sales(spark, d), "o_totalprice", date="o_orderdate")[name]]
+                }
+            )
+        ),
         "value",
     ),
     f"""WITH {SALES}, {growth_sql("sales", "o_orderdate", "o_totalprice", "month")},
@@ -247,6 +258,7 @@ BINDINGS["task_trend"] = (
        UNION ALL SELECT 'descriptive', 'min', lo FROM q
        UNION ALL SELECT 'descriptive', 'max', hi FROM q
        UNION ALL SELECT 'descriptive', 'std', round(s, 2) FROM q
+       UNION ALL SELECT 'descriptive', 'variance', round(s * s / 1e6, 2) FROM q
        UNION ALL SELECT 'descriptive', 'q1', round(a, 2) FROM q
        UNION ALL SELECT 'descriptive', 'q3', round(b, 2) FROM q
        UNION ALL SELECT 'descriptive', 'range', round(hi - lo, 2) FROM q""",
@@ -337,14 +349,22 @@ BINDINGS["tpl_sales_trend"] = (
     f"WITH {growth_sql('lineitem', 'l_shipdate', 'l_extendedprice', 'month')} SELECT * FROM growth",
 )
 
-BINDINGS["tpl_inventory_stock"] = (dashboard_inventory, BINDINGS["dashboard_inventory"][1])
+BINDINGS["tpl_inventory_stock"] = (
+    lambda spark, d: rounded(
+        templates.report("stock_dashboard", table(spark, d, "lineitem"), "l_quantity", "l_shipdate", "l_partkey", "l_suppkey"), "value"
+    ),
+    dashboard_sql(
+        "stock AS (SELECT * FROM lineitem)", "stock", "l_quantity", "l_shipdate",
+        {"top_products": "l_partkey", "by_region": "l_suppkey", "by_category": "l_partkey"}, "Total", True,
+    ),
+)
 
-for _name, _template in (("low", "low_stock"), ("dead", "dead_stock")):
+for _name, _template, _key in (("low", "low_stock", "l_partkey"), ("dead", "dead_stock", "l_suppkey")):
     BINDINGS[f"tpl_inventory_{_name}"] = (
-        lambda spark, d, run=_template: rounded(
-            templates.report(run, table(spark, d, "lineitem"), "l_partkey", "l_quantity"), "l_quantity"
+        lambda spark, d, run=_template, key=_key: rounded(
+            templates.report(run, table(spark, d, "lineitem"), key, "l_quantity"), "l_quantity"
         ),
-        _ranked("lineitem", "l_partkey", "l_quantity", None, "ASC", "l_quantity"),
+        _ranked("lineitem", _key, "l_quantity", None, "ASC", "l_quantity"),
     )
 
 BINDINGS["tpl_finance_expense"] = (
