@@ -1,17 +1,18 @@
 """Removal of repeated passages by hashing the units of a text.
 
-Lines are cut at the ends of sentences that are not very short, so that a passage is found
-wherever in a line it begins; shorter sentences stay with what follows.
-Each unit is normalised and hashed; digests are grouped over all documents, and the
-document with the smallest id keeps its unit. In the others, units that repeat an earlier
-one are joined to runs. Runs are carried on word by word at both ends against the document that
-keeps their units, and those of ``MIN_WORDS`` words or more then are passages to remove.
+A text is cut into units of a few words where the words themselves say so: after two words
+whose joint hash is divisible by ``CUT_EVERY``, but not before ``LEAST_UNIT`` words and always
+after ``MOST_UNIT``. Copies of a passage then fall in step within a few words, wherever they
+begin and whatever their punctuation and line breaks are.
+
+Each unit is hashed; digests are grouped over all documents, and the document with the
+smallest id keeps its unit. In the others, units that an earlier document holds are joined
+to runs, and runs of ``MIN_WORDS`` words or more are passages to remove. Only digests, ids
+and places are shuffled, never text.
 """
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -19,140 +20,130 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators.ordered import durable
-from .common import PLAIN, need
+from .common import PLAIN, SLICE, free_name, need
 
-#: Passages of fewer words are left: short sentences repeat by chance.
+#: Runs of fewer words are left: a few words in a row recur by chance.
 MIN_WORDS = 25
 
-#: Sentences of fewer words do not end a unit.
-SENTENCE_WORDS = 4
+#: Words of a unit, least and most, and what the hash of two words must be divisible by to end one between them.
+LEAST_UNIT, MOST_UNIT, CUT_EVERY = 2, 10, 3
 
-SENTENCE = re.compile(r"[^.!?\n]+[.!?]*|\n")
+#: Bytes of text that are cut at a time, so that a huge text needs no huge lists, and units that a task gathers.
+PIECE, FLUSH = 1 << 20, 50_000
 
-#: Units that a task gathers before it hands them on.
-FLUSH = 50_000
+_ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
-def units(text: str):
-    """(digest, start, end, words) of each unit with a word; start and end are in code points.
+class _Hashes(dict):
+    """64-bit hashes of words, remembered as words recur. Forgets all at ``most`` words to stay small."""
 
-    The digest is of the words in lower case, joined by blanks. 128 bits stand for a unit.
-    """
-    words, start, end = [], 0, 0
-    for found in SENTENCE.finditer(text):
-        own = found.group().encode().translate(PLAIN).split()
-        if own:
-            start = start if words else found.start()
-            words, end = words + own, found.end()
-        if words and (len(own) >= SENTENCE_WORDS or found.group() == "\n"):
-            yield xxhash.xxh3_128_digest(b" ".join(words)), start, end, len(words)
-            words = []
-    if words:
-        yield xxhash.xxh3_128_digest(b" ".join(words)), start, end, len(words)
-
-
-def _batch(rows: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
-    ids, versions, numbers, found, starts, ends, words, again = zip(*rows, strict=True)
-    halves = np.frombuffer(b"".join(found), np.int64).reshape(-1, 2)
-    longs = [pa.array(x, pa.int64()) for x in (versions, numbers, starts, ends, words)]
-    arrays = [pa.array(ids, kind), *longs[:2], pa.array(halves[:, 0]), pa.array(halves[:, 1]), *longs[2:], pa.array(again)]
-    return pa.RecordBatch.from_arrays(arrays, names=["id", "version", "unit", "h", "g", "start", "end", "words", "again"])
+    most = 250_000
 
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= self.most:
+            self.clear()
+        got = self[word] = xxhash.xxh3_64_intdigest(word)
+        return got
 
-def _cut(batches):
-    for batch in batches:
-        kind, rows = batch.schema.field(0).type, []
-        for id_, version, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            seen = set()
-            for number, (digest, *rest) in enumerate(units(text)):
-                rows.append((id_, version, number, digest, *rest, digest in seen))
-                seen.add(digest)
-            if len(rows) >= FLUSH:
-                yield _batch(rows, kind)
-                rows = []
-        if rows:
-            yield _batch(rows, kind)
 
+#: One for each worker process.
+_HASHES = _Hashes()
 
-WORDS = re.compile(r"[0-9A-Za-z\x80-\U0010ffff]+")
 
-EXTENDED = T.StructType([T.StructField("chars", T.LongType()), T.StructField("words", T.LongType())])
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(31))) * _ODD
+    return x ^ (x >> np.uint64(29))
 
 
-def extension(own: str, kept: str, whole: bool, back: bool) -> tuple[int, int]:
-    """How many code points and words at the end (``back``) or beginning of ``own`` have the words of ``kept``.
+def _words(text: str):
+    """(hash, start, end) of the words of a text by pieces, as arrays; places are in code points."""
+    raw = text.encode()
+    data = raw.translate(PLAIN)
+    at = passed = 0
+    while at < len(data):
+        cut = data.find(b" ", at + PIECE)
+        stop = len(data) if cut < 0 else cut
+        part = data[at:stop]
+        words = part.split()
+        filled = np.frombuffer(part, np.uint8) != 32
+        edges = np.flatnonzero(np.diff(np.concatenate([[False], filled, [False]]).astype(np.int8)))
+        places = np.concatenate([[0], np.cumsum((np.frombuffer(raw, np.uint8, stop - at, at) & 0xC0) != 0x80)])
+        hashes = np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words))
+        yield hashes, passed + places[edges[::2]], passed + places[edges[1::2]]
+        at, passed = stop, passed + int(places[-1])
 
-    If ``kept`` is not ``whole``, its outermost word may be cut and counts for nothing.
-    """
-    mine, theirs = (list(WORDS.finditer(x)) for x in (own, kept))
-    if back:
-        mine, theirs = mine[::-1], theirs[::-1]
-    n = 0
-    for a, b in zip(mine, theirs if whole else theirs[:-1], strict=False):
-        if a.group().encode().translate(PLAIN) != b.group().encode().translate(PLAIN):
-            break
-        n += 1
-    if not n:
-        return 0, 0
-    return (len(own) - mine[n - 1].start() if back else mine[n - 1].end()), n
-
-
-def _extensions(back: bool):
-    @F.arrow_udf(returnType=EXTENDED)
-    def extend(own: pa.Array, kept: pa.Array, whole: pa.Array) -> pa.Array:
-        rows = zip(own.to_pylist(), kept.to_pylist(), whole.to_pylist(), strict=True)
-        found = [extension(a or "", b or "", bool(w), back) for a, b, w in rows]
-        columns = [pa.array([f[i] for f in found], pa.int64()) for i in (0, 1)]
-        return pa.StructArray.from_arrays(columns, names=EXTENDED.names)
-
-    return extend
-
-
-#: Code points of the kept document that are looked at beyond twice those between a run and the next.
-MARGIN = 64
-
-
-def _extended(runs: DataFrame, plain: DataFrame) -> DataFrame:
-    """``runs`` carried on at both ends as far as the kept document has the same words; those that then
-    touch or overlap are one."""
-    order = Window.partitionBy("id", "version").orderBy("start")
-    spaced = runs.select(
-        "*", F.coalesce(F.lag("end").over(order), F.lit(0)).alias("low"), F.lead("start").over(order).alias("high")
-    )
-    texts = plain.dropDuplicates(["id", "version"])
-    part = lambda a, b: F.substring("text", (a + 1).cast("int"), F.greatest(b - a, F.lit(0)).cast("int"))
-    start, end, length = F.col("start"), F.col("end"), F.length("text").cast("long")
-    own = durable(
-        spaced.join(texts, ["id", "version"]).select(
-            *runs.columns, part(F.col("low"), start).alias("before"), part(end, F.coalesce("high", length)).alias("after")
-        )
-    )
-    kept = texts.select(F.col("id").alias("of"), F.col("version").alias("of_version"), "text")
-    for side, at, back in (("before", "head", True), ("after", "tail", False)):
-        here, reach = F.col(f"{at}.place"), 2 * F.length(side).cast("long") + MARGIN
-        compared = (F.col("of") == F.col(f"{at}.id")) & (F.col("of_version") == F.col(f"{at}.version"))
-        compared &= (F.col("of") < F.col("id")) | (F.col("of_version") == F.col("version"))
-        a, b = (F.greatest(here - reach, F.lit(0)), here) if back else (here, F.least(here + reach, length))
-        whole = (a == 0) if back else (b == length)
-        joined = own.join(kept, compared, "left").select(*own.columns, part(a, b).alias("there"), whole.alias("whole"))
-        more = _extensions(back)(F.col(side), F.col("there"), F.col("whole"))
-        own = durable(joined.withColumn(f"{side}_more", more).drop(side, "there", "whole"))
-    wide = own.select(
-        "id", "version", (start - F.col("before_more.chars")).alias("start"), (end + F.col("after_more.chars")).alias("end"),
-        (F.col("n_words") + F.col("before_more.words") + F.col("after_more.words")).alias("n_words"), "kept_ids",
-    )
-    reached = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    fresh = F.sum(F.when(F.col("start") <= F.col("reached"), 0).otherwise(1)).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    merged = wide.withColumn("reached", reached).withColumn("run", fresh).groupBy("id", "version", "run")
-    joint = merged.agg(
-        F.min("start").alias("start"), F.max("end").alias("end"), F.sum("n_words").alias("n_words"), F.count("*").alias("n"),
-        F.sort_array(F.array_distinct(F.flatten(F.collect_list("kept_ids")))).alias("kept_ids"),
-    )
-    single = joint.filter("n = 1").select("id", "version", "start", "end", "n_words", "kept_ids")
-    span = F.regexp_count(part(start, end), F.lit(r"[0-9A-Za-z\x{80}-\x{10ffff}]+")).cast("long")
-    several = joint.filter("n > 1").join(texts, ["id", "version"])
-    return single.unionByName(several.select("id", "version", "start", "end", span.alias("n_words"), "kept_ids"))
+
+def _ends(hashes: np.ndarray, last: bool) -> list[int]:
+    """Where units end: each is the place after its last word. Words after the last end are still open."""
+    joint = _mixed(hashes[:-1] * _ODD + hashes[1:])
+    wanted = np.flatnonzero((joint % np.uint64(CUT_EVERY)) == 0) + 1  # a unit may end before this word
+    ends, start = [], 0
+    for end in [*wanted.tolist(), len(hashes)]:
+        while end - start > MOST_UNIT:
+            start += MOST_UNIT
+            ends.append(start)
+        if end - start >= LEAST_UNIT and end < len(hashes):
+            ends.append(end)
+            start = end
+    if last and start < len(hashes):
+        ends.append(len(hashes))
+    return ends
+
+
+def units(text: str):
+    """(digests, starts, ends, words) of the units of a text by pieces, as arrays; starts and ends are in code points."""
+    none = np.zeros(0, np.int64)
+    open_ = (none.astype(np.uint64), none, none)
+    pieces = _words(text)
+    now = next(pieces, None)
+    while now is not None:
+        following = next(pieces, None)
+        hashes, starts, ends = (np.concatenate(pair) for pair in zip(open_, now, strict=True))
+        cuts = np.array(_ends(hashes, following is None), np.int64)
+        if len(cuts):
+            firsts = np.concatenate([[0], cuts[:-1]])
+            sizes = cuts - firsts
+            inside = np.arange(cuts[-1]) - np.repeat(firsts, sizes)
+            digests = np.add.reduceat(_mixed(hashes[: cuts[-1]] + inside.astype(np.uint64) * _ODD), firsts)
+            yield digests.view(np.int64), starts[firsts], ends[cuts - 1], sizes
+            open_ = (hashes[cuts[-1] :], starts[cuts[-1] :], ends[cuts[-1] :])
+        else:
+            open_ = (hashes, starts, ends)
+        now = following
+
+
+def _gathered(kind: pa.DataType, rows: list[tuple]) -> pa.RecordBatch:
+    ids, versions, numbers, *arrays, again = zip(*rows, strict=True)
+    sizes = [len(a) for a in again]
+    named = {"id": pa.array(ids, kind).take(pa.array(np.repeat(np.arange(len(ids)), sizes)))}
+    named["version"] = pa.array(np.repeat(versions, sizes))
+    named["unit"] = pa.array(np.concatenate(numbers), pa.int32())
+    for name, parts in zip(("h", "start", "end", "words"), arrays, strict=True):
+        named[name] = pa.array(np.concatenate(parts), pa.int64())
+    named["again"] = pa.array(np.concatenate(again))
+    return pa.RecordBatch.from_arrays(list(named.values()), names=list(named))
+
+
+def _cut(batches):
+    """The units of every text, with their number in it and if they stood there before."""
+    for batch in batches:
+        kind = batch.schema.field(0).type
+        for low in range(0, batch.num_rows, SLICE):
+            rows, held = [], 0
+            for id_, version, text in zip(*(c.to_pylist() for c in batch.slice(low, SLICE).columns), strict=True):
+                seen, number = np.zeros(0, np.int64), 0
+                for digests, starts, ends, sizes in units(text):
+                    _, first = np.unique(digests, return_index=True)
+                    again = np.ones(len(digests), bool)
+                    again[first] = np.isin(digests[first], seen)
+                    seen = np.union1d(seen, digests)
+                    rows.append((id_, version, np.arange(number, number + len(digests), dtype=np.int32), digests, starts, ends, sizes, again))
+                    number, held = number + len(digests), held + len(digests)
+                    if held >= FLUSH:
+                        yield _gathered(kind, rows)
+                        rows, held = [], 0
+            if rows:
+                yield _gathered(kind, rows)
 
 
 def repeated_passages(
@@ -164,30 +155,30 @@ def repeated_passages(
     them; a document that repeats itself keeps its first occurrence. ``version`` tells
     apart different texts of one id (a hash of the text); rows with the same id are never
     compared with each other, and equal ones give their passages once. Rows with a NULL id
-    or text give none and count for no other.
+    or text give none and count for no other. Words are compared without case and ASCII punctuation; a passage is
+    found but for a part of a unit at each end, if what is left has ``min_words`` words. Other columns are not read.
+
+    Units are cut twice, once to group digests and once to find those that repeat, so nothing is stored. 64 bits
+    stand for a unit: a run needs several in a row, so a chance hit removes nothing by itself.
     """
     need(docs, id_column, text_column)
     plain = docs.select(F.col(id_column).alias("id"), F.col(text_column).cast("string").alias("text"))
     plain = plain.filter("id IS NOT NULL AND text IS NOT NULL").select("id", F.xxhash64("text").alias("version"), "text")
     kind = docs.schema[id_column].dataType.simpleString()
-    made = f"id {kind}, version long, unit long, h long, g long, start long, end long, words long, again boolean"
-    cut = durable(plain.mapInArrow(_cut, made))
-    kept = F.min(F.struct("id", "version", "start", "end")).alias("kept")
-    firsts = cut.groupBy("h", "g").agg(kept, F.max("id").alias("last"), F.max("again").alias("within"))
-    firsts = durable(firsts.filter("kept.id < last OR within").select("h", "g", "kept"))
-    repeats = cut.join(firsts, ["h", "g"]).filter("id > kept.id OR again")
-    repeats = repeats.select("id", "version", "unit", "start", "end", "words", "kept").distinct()
+    made = f"id {kind}, version long, unit int, h long, start long, end long, words long, again boolean"
+    cut = plain.mapInArrow(_cut, made)
+    firsts = cut.groupBy("h").agg(F.min("id").alias("kept"), F.max("id").alias("last"), F.max("again").alias("within"))
+    firsts = firsts.filter("kept < last OR within").select("h", "kept")
+    repeats = cut.join(firsts, "h").filter("id > kept OR again").drop("h", "again").distinct()
     document = Window.partitionBy("id", "version").orderBy("unit")
     runs = repeats.withColumn("run", F.col("unit") - F.row_number().over(document)).groupBy("id", "version", "run")
     whole = runs.agg(
         F.min("start").alias("start"),
         F.max("end").alias("end"),
         F.sum("words").alias("n_words"),
-        F.sort_array(F.collect_set("kept.id")).alias("kept_ids"),
-        F.min_by(F.struct("kept.id", "kept.version", F.col("kept.start").alias("place")), "unit").alias("head"),
-        F.max_by(F.struct("kept.id", "kept.version", F.col("kept.end").alias("place")), "unit").alias("tail"),
+        F.sort_array(F.collect_set("kept")).alias("kept_ids"),
     )
-    return _extended(durable(whole.drop("run")), plain).filter(F.col("n_words") >= min_words)
+    return whole.filter(F.col("n_words") >= min_words).drop("run")
 
 
 KEPT = T.StructType([T.StructField("text", T.StringType()), T.StructField("n_removed", T.LongType())])
@@ -212,13 +203,13 @@ def drop_repeated_passages(
     """``docs`` without repeated passages, with ``removed``: their places in the original text, as an
     array of (start, end, kept_ids), empty if there are none. A column of that name is replaced; NULL texts stay NULL."""
     found = repeated_passages(docs, id_column, text_column, min_words)
-    spans = F.sort_array(F.collect_list(F.struct("start", "end", "kept_ids"))).alias("__spans")
-    spans = durable(found.groupBy(F.col("id").alias("__id"), F.col("version").alias("__version")).agg(spans))
+    id_, version, own, made = (free_name(docs, n) for n in ("__id", "__version", "__spans", "__made"))
+    spans = F.sort_array(F.collect_list(F.struct("start", "end", "kept_ids"))).alias(own)
+    spans = found.groupBy(F.col("id").alias(id_), F.col("version").alias(version)).agg(spans)
     names = [c for c in docs.columns if c != "removed"]
     text = F.col(text_column).cast("string")
-    same = (F.col(id_column) == F.col("__id")) & (F.xxhash64(text) == F.col("__version"))
-    joined = docs.select(*names).join(spans, same, "left")
-    made = joined.withColumn("__made", _without(text, F.col("__spans")))
-    kept = [F.col("__made.text").alias(c) if c == text_column else F.col(c) for c in names]
-    nothing = F.array().cast("array<struct<start:long,end:long,kept_ids:array<long>>>")
-    return made.select(*kept, F.coalesce("__spans", nothing).alias("removed"))
+    same = (F.col(id_column) == F.col(id_)) & (F.xxhash64(text) == F.col(version))
+    joined = docs.select(*names).join(spans, same, "left").withColumn(made, _without(text, F.col(own)))
+    kept = [F.col(made)["text"].alias(c) if c == text_column else F.col(c) for c in names]
+    nothing = F.array().cast(spans.schema[own].dataType)
+    return joined.select(*kept, F.coalesce(own, nothing).alias("removed"))
