@@ -112,15 +112,20 @@ def units(text: str):
         now = following
 
 
+#: A unit's number in its text, its words and if it stood there before are shuffled as one number: the last bit tells
+#: the latter, the other bits below WORD_BITS the words.
+WORD_BITS = 8
+
+
 def _gathered(kind: pa.DataType, rows: list[tuple]) -> pa.RecordBatch:
     ids, versions, numbers, *arrays, again = zip(*rows, strict=True)
     sizes = [len(a) for a in again]
     named = {"id": pa.array(ids, kind).take(pa.array(np.repeat(np.arange(len(ids)), sizes)))}
     named["version"] = pa.array(np.repeat(versions, sizes))
-    named["unit"] = pa.array(np.concatenate(numbers), pa.int32())
-    for name, parts in zip(("h", "start", "end", "words"), arrays, strict=True):
-        named[name] = pa.array(np.concatenate(parts), pa.int64())
-    named["again"] = pa.array(np.concatenate(again))
+    h, start, end, words = (np.concatenate(parts) for parts in arrays)
+    place = np.concatenate(numbers) << WORD_BITS | words << 1 | np.concatenate(again)
+    for name, values in (("h", h), ("place", place), ("start", start), ("end", end)):
+        named[name] = pa.array(values, pa.int64())
     return pa.RecordBatch.from_arrays(list(named.values()), names=list(named))
 
 
@@ -137,7 +142,7 @@ def _cut(batches):
                     again = np.ones(len(digests), bool)
                     again[first] = np.isin(digests[first], seen)
                     seen = np.union1d(seen, digests)
-                    rows.append((id_, version, np.arange(number, number + len(digests), dtype=np.int32), digests, starts, ends, sizes, again))
+                    rows.append((id_, version, np.arange(number, number + len(digests)), digests, starts, ends, sizes, again))
                     number, held = number + len(digests), held + len(digests)
                     if held >= FLUSH:
                         yield _gathered(kind, rows)
@@ -165,17 +170,21 @@ def repeated_passages(
     plain = docs.select(F.col(id_column).alias("id"), F.col(text_column).cast("string").alias("text"))
     plain = plain.filter("id IS NOT NULL AND text IS NOT NULL").select("id", F.xxhash64("text").alias("version"), "text")
     kind = docs.schema[id_column].dataType.simpleString()
-    made = f"id {kind}, version long, unit int, h long, start long, end long, words long, again boolean"
+    made = f"id {kind}, version long, h long, place long, start long, end long"
     cut = plain.mapInArrow(_cut, made)
-    firsts = cut.groupBy("h").agg(F.min("id").alias("kept"), F.max("id").alias("last"), F.max("again").alias("within"))
+    again = F.col("place") % 2 == 1
+    firsts = cut.groupBy("h").agg(F.min("id").alias("kept"), F.max("id").alias("last"), F.max(again).alias("within"))
     firsts = firsts.filter("kept < last OR within").select("h", "kept")
-    repeats = cut.join(firsts, "h").filter("id > kept OR again").drop("h", "again").distinct()
-    document = Window.partitionBy("id", "version").orderBy("unit")
-    runs = repeats.withColumn("run", F.col("unit") - F.row_number().over(document)).groupBy("id", "version", "run")
-    whole = runs.agg(
+    repeats = cut.join(firsts, "h").filter((F.col("id") > F.col("kept")) | again).drop("h")
+    unit, words = F.shiftright("place", WORD_BITS), F.shiftright("place", 1).bitwiseAND(F.lit((1 << WORD_BITS - 1) - 1))
+    document = Window.partitionBy("id", "version").orderBy("place")
+    # Equal rows of an id give each unit as often as there are rows, one after the other; only the first counts.
+    fresh = F.coalesce(F.lag("place").over(document) != F.col("place"), F.lit(True))
+    numbered = repeats.withColumn("fresh", fresh).filter("fresh").withColumn("run", unit - F.row_number().over(document))
+    whole = numbered.groupBy("id", "version", "run").agg(
         F.min("start").alias("start"),
         F.max("end").alias("end"),
-        F.sum("words").alias("n_words"),
+        F.sum(words).alias("n_words"),
         F.sort_array(F.collect_set("kept")).alias("kept_ids"),
     )
     return whole.filter(F.col("n_words") >= min_words).drop("run")
