@@ -153,6 +153,15 @@ BINDINGS["search_large_page"] = (
        ORDER BY p_name NULLS LAST, p_partkey LIMIT 500 OFFSET 5""",
 )
 
+#: Far beyond what a top-k would keep: lines are found by counting ranges of their ship date, then of the other columns.
+BINDINGS["search_far_page"] = (
+    lambda spark, d: rows.search_rows(
+        table(spark, d, "lineitem"), "", ["l_orderkey", "l_partkey", "l_shipdate", "l_returnflag"], "l_returnflag", False, offset=55_000, limit=300
+    ),
+    """SELECT l_orderkey, l_partkey, l_shipdate, l_returnflag FROM lineitem
+       ORDER BY l_returnflag DESC NULLS LAST, l_orderkey, l_partkey, l_shipdate LIMIT 300 OFFSET 55000""",
+)
+
 BINDINGS["clean_case_lower"] = (
     lambda spark, d: cleaning.clean(dirty_customer(spark, d), "normalize_case", case_mode="lower").select("name_txt", "segment"),
     f"WITH {DIRTY} SELECT lower(name_txt) AS name_txt, lower(segment) AS segment FROM dirty",

@@ -92,13 +92,8 @@ BINDINGS["clean_all"] = (
 )
 
 
-def clean_log(spark, d):
-    before = dirty_customer(spark, d)
-    return cleaning.clean_log(before, cleaning.clean(before))
-
-
 BINDINGS["clean_log"] = (
-    clean_log,
+    lambda spark, d: cleaning.clean_with_log(dirty_customer(spark, d))[1],
     f"""WITH {DIRTY}, cleaned AS (SELECT {_ALL} FROM dirty)
         SELECT (SELECT count(*) FROM dirty) AS rows_before,
                (SELECT count(*) FROM (SELECT DISTINCT * FROM cleaned WHERE join_date IS NOT NULL)) AS rows_after,

@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions.coerce import parse_date, parse_number, strip, title_case, without
-from ..functions.columns import is_numeric, is_string, is_temporal, ref, string_columns
+from ..functions.columns import TEMP, is_numeric, is_string, is_temporal, ref, string_columns
 from ..functions.predicates import literal_number
 from .duplicates import drop_duplicates, duplicate_row_count
+from .ordered import durable
 
 # The steps in the order they run.
 ACTIONS = (
@@ -154,13 +156,17 @@ def _missing(df: DataFrame) -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias("rows"), total.alias("missing_cells"))
 
 
-def clean_log(before: DataFrame, after: DataFrame) -> DataFrame:
-    """One row of counts around a cleaning run, plus the columns it retyped."""
-    retyped = [
+def _retyped(before: DataFrame, after: DataFrame) -> str:
+    turned = [
         c for c in after.columns
-        if c in before.columns and is_string(before, c)
-        and (is_numeric(after, c) or is_temporal(after, c))
+        if c in before.columns and is_string(before, c) and (is_numeric(after, c) or is_temporal(after, c))
     ]
+    return ", ".join(turned)
+
+
+def clean_log(before: DataFrame, after: DataFrame) -> DataFrame:
+    """One row of counts around a cleaning run, plus the columns it retyped. Reads both tables;
+    :func:`clean_with_log` counts while it cleans."""
     b = _missing(before).select(F.struct("rows", "missing_cells").alias("s")).scalar()
     d = duplicate_row_count(before).scalar()
     return _missing(after).select(
@@ -169,5 +175,37 @@ def clean_log(before: DataFrame, after: DataFrame) -> DataFrame:
         b["missing_cells"].alias("missing_before"),
         F.col("missing_cells").alias("missing_after"),
         d.alias("duplicate_rows_before"),
-        F.lit(", ".join(retyped)).alias("retyped_columns"),
+        F.lit(_retyped(before, after)).alias("retyped_columns"),
+    )
+
+
+def _blank_cells(df: DataFrame) -> Column:
+    return reduce(lambda a, b: a + b, [ref(c).isNull().cast("bigint") for c in df.columns])
+
+
+def clean_with_log(df: DataFrame, actions: str | Sequence[str] = "all", **options) -> tuple[DataFrame, DataFrame]:
+    """The cleaned table, stored, and the log of its cleaning as in :func:`clean_log`; options are those of ``clean``.
+
+    Equal rows are brought together first, with their number, which tells the repeats. Rows, gaps and repeats before
+    are observed there and those after while the result is written, so the log reads nothing again. Runs these jobs
+    at once.
+    """
+    count = TEMP + "count"
+    together = df.groupBy(*[ref(c) for c in df.columns]).agg(F.count("*").alias(count))
+    before, after = Observation(), Observation()
+    n = ref(count)
+    seen = together.observe(
+        before,
+        F.coalesce(F.sum(n), F.lit(0)).alias("rows"),
+        F.coalesce(F.sum(n * _blank_cells(df)), F.lit(0)).alias("missing"),
+        F.coalesce(F.sum(n - 1), F.lit(0)).alias("repeats"),
     )
+    # Dealt out again, as some steps go by shares of the rows.
+    rows = seen.withColumn(count, F.explode(F.sequence(F.lit(1), n))).drop(count)
+    cleaned = clean(rows, actions, **options)
+    blanks = F.coalesce(F.sum(_blank_cells(cleaned)), F.lit(0))
+    stored = durable(cleaned.observe(after, F.count("*").alias("rows"), blanks.alias("missing")))
+    b, a = before.get, after.get
+    kinds = "rows_before long, rows_after long, missing_before long, missing_after long, duplicate_rows_before long, retyped_columns string"
+    line = (b["rows"], a["rows"], b["missing"], a["missing"], b["repeats"], _retyped(df, cleaned))
+    return stored, df.sparkSession.createDataFrame([line], kinds)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,13 +13,13 @@ from ..functions.columns import (
     TEMP,
     any_true,
     as_list,
+    data_type,
     is_sortable,
     order_keys,
     ref,
     require_columns,
 )
 from ..functions.predicates import combined_filter, criteria, equals, flag, predicate
-from .ordered import row_index
 
 
 def filter_rows(
@@ -221,6 +222,61 @@ def search_total(
     )
 
 
+#: Rows that are ordered for a page, at most: further ones are left out by counting ranges. Bounds that a pass counts
+#: rows between, and rows sampled to choose them.
+PAGE_ROWS, PAGE_BOUNDS, PAGE_SAMPLE = 50_000, 100, 1_000
+
+
+def _bounds(rows: DataFrame, key: str, n: int) -> list:
+    """Some values of a column, in order, that part its rows about evenly. Which are chosen changes no result."""
+    value, kind = ref(key), data_type(rows, key).typeName()
+    if kind in ("array", "struct", "interval", "void"):
+        return []
+    usable = value.isNotNull() & ~F.isnan(value) if kind in ("double", "float") else value.isNotNull()
+    if kind == "timestamp_ntz":
+        value = value.cast("string")  # a datetime would be taken for one with a zone
+    sampled = rows.select(value.alias("b")).filter(usable).sample(min(1.0, PAGE_SAMPLE / n), seed=1)
+    found = sorted({r.b for r in sampled.limit(2 * PAGE_SAMPLE).collect()})
+    return found[:: max(len(found) // PAGE_BOUNDS, 1)]
+
+
+def _page_of(rows: DataFrame, n: int, keys: Sequence[tuple[str, bool]], start: int, size: int) -> DataFrame:
+    """``size`` rows from place ``start`` on among the ``n`` rows, ordered by the (column, ascending) keys.
+
+    One pass counts the rows at and between some values of the first key. Only those that hold the page are looked at
+    further; where all have the same value, by the next key.
+    """
+    if not keys:
+        return rows.limit(size)  # all equal
+    key, up = keys[0]
+    bounds = _bounds(rows, key, n) if n > PAGE_ROWS else []
+    if not bounds:
+        order = [o for k, asc in keys for o in order_keys([k], asc)]
+        return rows.orderBy(*order).offset(start).limit(size)
+    value, last = ref(key), 2 * len(bounds) + 1
+    listed = F.array(*map(F.lit, bounds)).cast(f"array<{data_type(rows, key).simpleString()}>")
+    below, up_to = (F.size(F.filter(listed, test)) for test in (lambda b: b < value, lambda b: b <= value))
+    # Even: between two bounds; odd: at a bound. NULL comes last either way.
+    place = below + up_to if up else last - 1 - below - up_to
+    counted = rows.groupBy(F.when(value.isNull(), last).otherwise(place).alias("at")).agg(F.count("*").alias("n"))
+    parts, passed = [], 0
+    for at, held in sorted(map(tuple, counted.collect())):
+        first, end = max(start - passed, 0), min(start + size - passed, held)
+        passed += held
+        if first >= end:
+            continue
+        i, same = divmod(at if up or at == last else last - 1 - at, 2)
+        if at == last:
+            inside, rest = value.isNull(), keys[1:]
+        elif same:
+            inside, rest = value == listed[i], keys[1:]
+        else:
+            inside, rest = (value > listed[i - 1]) if i else value.isNotNull(), keys
+            inside = inside & (value < listed[i]) if i < len(bounds) else inside
+        parts.append(_page_of(rows.filter(inside), held, rest, first, end - first))
+    return reduce(DataFrame.unionByName, parts) if parts else rows.limit(0)
+
+
 def search_rows(
     df: DataFrame,
     search: str = "",
@@ -230,12 +286,14 @@ def search_rows(
     offset: int = 0,
     limit: int = 50,
     regex: bool = False,
-    deep: bool = False,
+    deep: bool | None = None,
 ) -> DataFrame:
     """One page of the sorted rows that contain the text in any shown column.
 
-    A page is a plain top-k, for which every task keeps all rows before it. With
-    ``deep`` the rows are numbered range by range instead, for pages far into the order.
+    A page near the beginning is a plain top-k, for which every task keeps all rows before it. For pages from
+    ``PAGE_ROWS`` rows on, or with ``deep``, passes that run while the plan is built count rows by ranges of the
+    order, each narrowing the range that holds the page by a factor of about ``PAGE_BOUNDS``, until no more than
+    ``PAGE_ROWS`` rows have to be ordered. Nothing is stored.
     """
     names = list(columns) if columns is not None else df.columns
     require_columns(df, names, sort_by)
@@ -243,14 +301,9 @@ def search_rows(
     found = search_filter(df.select(*[ref(c) for c in names]), search, names, regex)
     rest = [c for c in names if c != sort_by and is_sortable(found, c)]
     order = [*order_keys([sort_by] if sort_by else [], ascending), *order_keys(rest)]
-    if not deep:
+    far = offset + size > PAGE_ROWS if deep is None else deep
+    if not far:
         return found.orderBy(*order).offset(offset).limit(size)
-    position = TEMP + "position"
-    # Equal rows are interchangeable, but each needs a place of its own.
-    numbered = row_index(
-        found.withColumn(TEMP + "tie", F.monotonically_increasing_id()),
-        [*order, ref(TEMP + "tie").asc()],
-        position,
-    )
-    page = numbered.filter((ref(position) > offset) & (ref(position) <= offset + size))
-    return page.orderBy(ref(position)).select(*[ref(c) for c in names])
+    keys = [*([(sort_by, ascending)] if sort_by else []), *((c, True) for c in rest)]
+    page = _page_of(found, found.count(), keys, offset, size)
+    return page.orderBy(*order).select(*[ref(c) for c in names])

@@ -65,6 +65,16 @@ def test_all_steps_in_order(messy):
         c.clean(messy, ["polish"])
 
 
+@pytest.mark.parametrize("actions", ["all", ["trim_spaces", "fill_blanks"], "drop_blanks"])
+def test_a_log_kept_while_cleaning(messy, actions):
+    stored, log = c.clean_with_log(messy, actions, number_threshold=0.6)
+    after = c.clean(messy, actions, number_threshold=0.6)
+    assert rows(stored) == rows(after) and stored.columns == after.columns
+    assert tuple(log.first()) == tuple(c.clean_log(messy, after).first())
+    _, empty = c.clean_with_log(messy.limit(0), actions)
+    assert tuple(empty.first())[:5] == (0, 0, 0, 0, 0)
+
+
 def test_types_and_roles(messy):
     types = {r["column"]: (r.data_type, r.type_confidence) for r in p.detect_types(messy).collect()}
     assert types["mail"] == ("email", 0.9)

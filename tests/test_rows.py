@@ -1,5 +1,8 @@
 from __future__ import annotations
 
+import datetime as dt
+import random
+
 import pytest
 
 from tallyforge.operators import rows as r
@@ -79,6 +82,30 @@ def test_deep_page_keeps_equal_rows(spark):
     assert [x.x for x in r.search_rows(df, "", offset=3, limit=3, deep=True).collect()] == ["a", "a", "b"]
 
 
+@pytest.mark.parametrize("ascending", [True, False])
+@pytest.mark.parametrize("by", ["word", "x", "day", "flag", None])
+def test_far_pages_are_those_of_the_sorted_table(spark, monkeypatch, by, ascending):
+    monkeypatch.setattr(r, "PAGE_ROWS", 20)
+    monkeypatch.setattr(r, "PAGE_BOUNDS", 5)
+    rnd = random.Random(2)
+    data = []
+    for i in range(600):
+        hot = rnd.random() < 0.4
+        data.append((
+            "hot" if hot else rnd.choice([None, *"abcdefé"]), None if i % 9 == 0 else 7.0 if hot else float(rnd.randrange(-40, 40)),
+            None if i % 11 == 0 else dt.datetime(2024, 1, 1 + rnd.randrange(28), 5), rnd.choice([True, False, None]), 1 if hot else i % 50,
+        ))
+    df = spark.createDataFrame(data, "word string, x double, day timestamp_ntz, flag boolean, i int").repartition(4)
+    asked = []
+    page_of = r._page_of
+    monkeypatch.setattr(r, "_page_of", lambda rows, n, *rest: asked.append(n) or page_of(rows, n, *rest))
+    whole = [tuple(x) for x in r.search_rows(df, sort_by=by, ascending=ascending, limit=1000, deep=False).collect()]
+    for offset in (0, 37, 290, 590, 700):
+        got = [tuple(x) for x in r.search_rows(df, sort_by=by, ascending=ascending, offset=offset, limit=25).collect()]
+        assert got == whole[offset : offset + 25]
+    assert min(asked) <= 20
+
+
 def test_page_size_is_taken_as_asked(spark):
     df = spark.range(1000).withColumnRenamed("id", "x")
     assert r.search_rows(df, limit=500).count() == 500
