@@ -11,6 +11,9 @@ from ..functions.columns import (
     TEMP,
     any_true,
     as_list,
+    is_boolean,
+    is_numeric,
+    is_temporal,
     null_safe_equal,
     qualified,
     ref,
@@ -18,9 +21,34 @@ from ..functions.columns import (
 )
 
 
+#: Bytes of a key up to which it is shuffled as it is; a wider one only where its hash occurs twice.
+NARROW = 16
+
+HASH, COUNT = TEMP + "hash", TEMP + "count"
+
+
+def _is_narrow(df: DataFrame, keys: Sequence[str]) -> bool:
+    """Whether keys are numbers, dates and the like of ``NARROW`` bytes together."""
+    fixed = all(is_numeric(df, k) or is_temporal(df, k) or is_boolean(df, k) for k in keys)
+    return fixed and 8 * len(keys) <= NARROW
+
+
+def _suspected(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The rows of ``df`` whose keys may occur twice: all that do, and very few others.
+
+    Only a 64-bit hash of each row is shuffled to find them, and combined before; the rows themselves follow their
+    number. Keys that agree have the same hash, NULLs and all.
+    """
+    hashed = df.withColumn(HASH, F.xxhash64(*[ref(k) for k in keys]))
+    twice = hashed.groupBy(HASH).agg(F.count(F.lit(1)).alias(COUNT)).filter(ref(COUNT) > 1).select(HASH)
+    return hashed.join(twice, HASH, "left_semi").drop(HASH)
+
+
 def repeated_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Key groups with more than one row, and how many rows each has."""
-    counts = df.groupBy(*[ref(k) for k in keys]).agg(F.count(F.lit(1)).alias("rows"))
+    rows = df.select(*[ref(k) for k in keys])
+    suspects = rows if _is_narrow(df, keys) else _suspected(rows, keys)
+    counts = suspects.groupBy(*[ref(k) for k in keys]).agg(F.count(F.lit(1)).alias("rows"))
     return counts.filter(F.col("rows") > 1)
 
 
@@ -60,6 +88,5 @@ def drop_duplicates(df: DataFrame) -> DataFrame:
 
 def duplicate_row_count(df: DataFrame) -> DataFrame:
     """One row: how many rows repeat an earlier equal row."""
-    counts = df.groupBy(*[ref(c) for c in df.columns]).agg(F.count(F.lit(1)).alias(TEMP + "n"))
-    extra = F.coalesce(F.sum(F.col(TEMP + "n") - 1), F.lit(0)).cast("bigint")
-    return counts.agg(extra.alias("duplicate_rows"))
+    extra = F.coalesce(F.sum(F.col("rows") - 1), F.lit(0)).cast("bigint")
+    return repeated_keys(df, df.columns).agg(extra.alias("duplicate_rows"))

@@ -67,6 +67,23 @@ def test_duplicates_split_a_hot_key(tight):
     assert n == 10000 and "skew" in text.lower()
 
 
+def test_whole_rows_are_shuffled_only_where_their_hash_repeats(tight):
+    """Rows that occur once take part in a shuffle of hashes, and no further."""
+    rows = tight.range(0, 20000, 1, 8).selectExpr("id % 19990 k", "repeat(sha2(cast(id % 19990 as string), 256), 4) pad", "double(null) x")
+    found = duplicates.repeated_keys(rows, rows.columns)
+    assert {(r.k, r.x, r["rows"]) for r in found.collect()} == {(k, None, 2) for k in range(10)}
+    assert duplicates.duplicate_row_count(rows).first()[0] == 10
+    text = plan(found)
+    assert "LeftSemi" in text and text.index("LeftSemi") > text.index("partial_count")
+    narrow = plan(duplicates.repeated_keys(rows, ["k"]))
+    assert "LeftSemi" not in narrow
+
+
+def test_equal_rows_have_equal_hashes(spark):
+    odd = spark.createDataFrame([(0.0, None), (-0.0, None), (float("nan"), "a"), (float("nan"), "a"), (1.0, "")], "x double, s string")
+    assert {(str(r.x), r.s, r["rows"]) for r in duplicates.repeated_keys(odd, ["x", "s"]).collect()} == {("0.0", None, 2), ("nan", "a", 2)}
+
+
 def test_a_hot_group_spans_many_ranges(tight):
     rows = hot(tight, 4000).withColumn("v", F.monotonically_increasing_id())
     ranged, offsets = ordered._ranges(rows.withColumn("one", F.lit(1)), "one", [F.col("v").asc()], ["k"])
