@@ -382,17 +382,32 @@ def key_metrics(df: DataFrame, columns: Sequence[str] | None = None, accuracy: i
     if not names:
         raise ValueError("No numeric columns.")
     require_columns(df, names)
-    wide = df.select(*[to_number(df, n).alias(f"v{i}") for i, n in enumerate(names)])
+    figures = metrics_row(df, names, accuracy)
+    each = [F.struct(F.lit(n).alias("column"), *[ref(metric_name(k, i)).alias(k) for k in METRIC_KINDS]) for i, n in enumerate(names)]
+    return figures.select(F.inline(F.array(*each))).filter("n > 0").drop("n")
+
+
+METRIC_KINDS = ("total", "average", "median", "min", "max", "n")
+
+
+def metric_name(kind: str, place: int) -> str:
+    """The column of ``metrics_row`` with a figure of the column at a place."""
+    return f"{TEMP}{kind}{place}"
+
+
+def metrics_row(
+    df: DataFrame, names: Sequence[str], accuracy: int | None = None, aggs: Mapping[str, Column] | None = None
+) -> DataFrame:
+    """One row with the figures of ``METRIC_KINDS`` of every column and the aggregates ``aggs`` of ``df`` beside them."""
+    values = {metric_name("value", i): to_number(df, n) for i, n in enumerate(names)}
+    wide = df.withColumns(values) if values else df
     plain = {"total": F.sum, "average": F.avg, "min": F.min, "max": F.max, "n": F.count}
-    aggs = {f"{kind}{i}": make(f"v{i}") for i in range(len(names)) for kind, make in plain.items()}
+    aggs = dict(aggs or {}) | {metric_name(kind, i): make(v) for i, v in enumerate(values) for kind, make in plain.items()}
+    medians = {metric_name("median", i): v for i, v in enumerate(values)}
     if accuracy is not None:
-        aggs |= {f"median{i}": F.percentile_approx(f"v{i}", 0.5, accuracy).cast("double") for i in range(len(names))}
-        figures = wide.agg(*[c.alias(n) for n, c in aggs.items()])
-    else:
-        figures = exact_percentiles(wide, [(f"v{i}", 0.5, f"median{i}") for i in range(len(names))], aggs)
-    kinds = ("total", "average", "median", "min", "max", "n")
-    each = [F.struct(F.lit(n).alias("column"), *[F.col(f"{k}{i}").alias(k) for k in kinds]) for i, n in enumerate(names)]
-    return figures.select(F.inline(F.array(*each))).filter("n > 0").drop("n")
+        aggs |= {output: F.percentile_approx(v, 0.5, accuracy).cast("double") for output, v in medians.items()}
+        return wide.agg(*[c.alias(n) for n, c in aggs.items()])
+    return exact_percentiles(wide, [(v, 0.5, output) for output, v in medians.items()], aggs)
 
 
 def descriptive(df: DataFrame, measure: str, accuracy: int | None = None) -> DataFrame:

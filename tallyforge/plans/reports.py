@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.coerce import to_date, to_number
@@ -14,8 +14,9 @@ from ..functions.periods import period_start
 from ..operators.aggregate import (
     aggregate,
     descriptive,
-    key_metrics,
     kpis,
+    metric_name,
+    metrics_row,
     summarize,
     with_share,
 )
@@ -58,16 +59,25 @@ def _finding_rows(df: DataFrame, *findings: tuple) -> DataFrame:
     return df.select(F.inline(F.array(*entries))).filter(F.col("value").isNotNull())
 
 
-def table_size(df: DataFrame) -> DataFrame:
-    """One row: rows, columns, missing cells, share of missing cells."""
+def _size(df: DataFrame) -> dict[str, Column]:
+    """Aggregates for the number of rows and of missing cells."""
     blanks = [F.sum(ref(c).isNull().cast("bigint")) for c in df.columns]
     missing = reduce(lambda a, b: a + b, [F.coalesce(b, F.lit(0)) for b in blanks])
+    return {"rows": F.count(F.lit(1)), "missing_cells": missing}
+
+
+def _missing_share(df: DataFrame) -> Column:
     cells = F.col("rows") * len(df.columns)
-    return df.agg(F.count(F.lit(1)).alias("rows"), missing.alias("missing_cells")).select(
+    return F.round(F.coalesce(F.try_divide(100 * F.col("missing_cells"), cells), F.lit(0.0)), 2)
+
+
+def table_size(df: DataFrame) -> DataFrame:
+    """One row: rows, columns, missing cells, share of missing cells."""
+    return df.agg(*[c.alias(n) for n, c in _size(df).items()]).select(
         "rows",
         F.lit(len(df.columns)).cast("bigint").alias("columns"),
         "missing_cells",
-        F.round(F.coalesce(F.try_divide(100 * F.col("missing_cells"), cells), F.lit(0.0)), 2).alias("missing_pct"),
+        _missing_share(df).alias("missing_pct"),
     )
 
 
@@ -85,13 +95,22 @@ def analyze(
     """
     require_columns(df, measure, category, date)
     repeated, missing = F.col("duplicate_rows"), F.col("missing_cells")
+    names = numeric_columns(df)
+    names = names if measure in names else [*names, measure]
+    figures = [
+        (f"metric_{kind}", F.lit(name), ref(metric_name(kind, i)), "info")
+        for i, name in enumerate(names)
+        for kind in ("total", "average", "median", "min", "max")
+    ]
     parts = [
+        # Size and figures of all columns come from one row of aggregates.
         _finding_rows(
-            table_size(df),
+            metrics_row(df, names, accuracy, _size(df)),
             ("rows", None, F.col("rows"), "info"),
-            ("columns", None, F.col("columns"), "info"),
+            ("columns", None, F.lit(len(df.columns)), "info"),
             ("missing_cells", None, missing, F.when(missing > 0, "alert").otherwise("info")),
-            ("missing_pct", None, F.col("missing_pct"), "info"),
+            ("missing_pct", None, _missing_share(df), "info"),
+            *figures,
         ),
         _finding_rows(
             duplicate_row_count(df),
@@ -99,21 +118,6 @@ def analyze(
             ("clean_duplicates", None, F.when(repeated > 0, repeated), "recommendation"),
         ),
     ]
-    names = numeric_columns(df)
-    figures = key_metrics(df, names if measure in names else [*names, measure], accuracy=accuracy)
-    stats = F.array(
-        *[F.struct(F.lit(s).alias("stat"), F.col(s).alias("value"))
-          for s in ("total", "average", "median", "min", "max")]
-    )
-    long = figures.select("column", F.inline(stats))
-    parts.append(
-        long.select(
-            F.concat(F.lit("metric_"), "stat").alias("kind"),
-            F.col("column").alias("subject"),
-            "value",
-            F.lit("info").alias("severity"),
-        )
-    )
     if category is not None:
         sums = summarize(df, category, measure, {"total": "sum"}, sort=False)
         leader = with_share(sums, "total", "share").orderBy(
