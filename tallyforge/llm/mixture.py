@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, need
+from ..operators.ordered import durable, prefix_sum, row_index
+from .common import WORD, free_name, need
 
 #: Weights that sources get in turn, in the order of their names.
 WEIGHTS = (5, 2, 1)
@@ -17,30 +18,35 @@ SHARE, MOST = 1.5, 2.0
 
 SEED = "mix"
 
-#: Rows of the table of sources up to which it is sent to all tasks (a few megabytes); a larger one is joined.
-SMALL_TABLE = 50_000
-
 #: Hex digits of a digest that make a number from 0 to 1.
 DIGITS = 13
 
 
-def fill_targets(sizes: Sequence[int], weights: Sequence[float], share: float = SHARE, most: float = MOST) -> list[float]:
-    """Targets in proportion to the weights that add up to ``share`` of all sizes and stop at ``most`` times
-    a source's size; what is cut off goes to the others by weight.
+def source_targets(
+    sizes: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, most: float = MOST
+) -> DataFrame:
+    """(source, source_size, target) for sources and their sizes.
+
+    Targets in proportion to the weights add up to ``share`` of all sizes and stop at ``most`` times a source's size;
+    what is cut off goes to the others by weight. Weights go round in the order of the sources, NULL last.
 
-    Sources are capped in the order in which a rising level meets their caps.
+    As a level rises, sources meet their caps in the order of size by weight. The level at which the rest is used up
+    follows from running sums in that order, which are summed by ranges: any number of sources will do.
     """
-    order = sorted(range(len(sizes)), key=lambda i: (most * sizes[i] / weights[i], i))
-    left, open_weight, targets = share * sum(sizes), sum(weights), [0.0] * len(sizes)
-    for at, i in enumerate(order):
-        level = left / open_weight
-        if level * weights[i] <= most * sizes[i]:
-            for j in order[at:]:
-                targets[j] = level * weights[j]
-            break
-        targets[i] = float(most * sizes[i])
-        left, open_weight = left - targets[i], open_weight - weights[i]
-    return targets
+    placed = row_index(durable(sizes.select("source", "source_size")), [F.col("source").asc_nulls_last()], "place")
+    weight = F.element_at(F.array(*map(F.lit, map(float, weights))), ((F.col("place") - 1) % len(weights) + 1).cast("int"))
+    weighed = placed.withColumn("weight", weight).withColumn("capped_at", most * F.col("source_size") / F.col("weight"))
+    order = [F.col("capped_at").asc(), F.col("place").asc()]
+    ranked = prefix_sum(prefix_sum(weighed, "source_size", order, "sizes"), "weight", order, "weights")
+    ranked = durable(ranked)
+    total = ranked.agg(F.struct(F.sum("source_size").alias("size"), F.sum("weight").alias("weight")).alias("t")).scalar()
+    left = share * total["size"] - most * (F.col("sizes") - F.col("source_size"))
+    level = left / (total["weight"] - (F.col("weights") - F.col("weight")))
+    rank = F.struct("capped_at", "place")
+    first = ranked.withColumn("level", level).filter(F.col("level") * F.col("weight") <= most * F.col("source_size"))
+    first = first.agg(F.min(F.struct(rank.alias("rank"), "level")).alias("first")).scalar()
+    target = F.when(rank >= first["rank"], first["level"] * F.col("weight")).otherwise(most * F.col("source_size"))
+    return ranked.select("source", "source_size", target.cast("double").alias("target"))
 
 
 def word_count(text: Column) -> Column:
@@ -69,24 +75,19 @@ def mix_plan(
     rate is its target by its size; a document is taken floor(rate) times, and once more
     with a probability of the rest, decided by a digest of the seed and its id, so reruns
     agree and rows with the same id fare alike. Documents without words have size 0.
-    Columns of these four names are replaced. The driver gets one row per source.
+    Columns of these four names are replaced. Runs jobs while the plan is built; the driver gets no sources.
     """
     need(docs, id_column, text_column, source_column)
-    sizes = docs.groupBy(F.col(source_column).alias("s")).agg(F.sum(word_count(F.col(text_column))).alias("n")).collect()
-    sizes.sort(key=lambda r: (r.s is None, r.s or ""))
-    targets = fill_targets([r.n for r in sizes], [weights[i % len(weights)] for i in range(len(sizes))], share, most)
-    rows = [
-        (r.s, r.n, target, min(target / r.n, most) if r.n else 0.0) for r, target in zip(sizes, targets, strict=True)
-    ]
-    kind = docs.schema[source_column].dataType.simpleString()
-    table = docs.sparkSession.createDataFrame(rows, f"__source {kind}, source_size long, target double, __rate double")
-    if len(rows) <= SMALL_TABLE:
-        table = F.broadcast(table)
+    sizes = docs.groupBy(F.col(source_column).alias("source")).agg(F.sum(word_count(F.col(text_column))).alias("source_size"))
+    of, rate = free_name(docs, "__source"), free_name(docs, "__rate")
+    table = durable(source_targets(sizes, weights, share, most)).withColumnRenamed("source", of)
+    size, target = F.col("source_size"), F.col("target")
+    table = table.withColumn(rate, F.when(size > 0, F.least(target / size, F.lit(float(most)))).otherwise(0.0))
     names = [c for c in docs.columns if c not in ("size", "source_size", "target", "copies")]
     sized = docs.select(*names, word_count(F.col(text_column)).alias("size"))
-    rated = sized.join(table, F.col(source_column).eqNullSafe(F.col("__source")))
-    whole = F.floor("__rate")
-    more = chance(F.col(id_column), F.col(text_column), seed) < F.col("__rate") - whole
+    rated = sized.join(table, F.col(source_column).eqNullSafe(F.col(of)))
+    whole = F.floor(rate)
+    more = chance(F.col(id_column), F.col(text_column), seed) < F.col(rate) - whole
     copies = (whole + more.cast("int")).cast("long")
     return rated.select(*names, "size", "source_size", "target", copies.alias("copies"))
 
@@ -94,5 +95,5 @@ def mix_plan(
 def mix(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` that the mix takes, repeated; the options are those of ``mix_plan``."""
     plan = mix_plan(docs, **options).filter("copies > 0")
-    repeated = plan.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+    repeated = plan.withColumn(free_name(plan, "__copy"), F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
     return repeated.select(*docs.columns)

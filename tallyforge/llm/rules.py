@@ -15,6 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.ordered import durable
 from .common import BLANKS, need
 
 #: Rows of the sample on which rules are timed. It bears on the order of rules only.
@@ -119,27 +120,32 @@ class Measured:
 
 
 def measure_rules(
-    docs: DataFrame, rules: Sequence[Rule], text_column: str = "text", sample_rows: int = SAMPLE_ROWS
+    docs: DataFrame,
+    rules: Sequence[Rule],
+    text_column: str = "text",
+    sample_rows: int = SAMPLE_ROWS,
+    known: Mapping[str, Column] | None = None,
 ) -> list[Measured]:
     """Each rule's seconds and share of rejected rows on the first ``sample_rows`` rows, most rejections per second first.
 
-    A rule runs alone, twice; the faster run counts, less the time that any job takes. The
-    driver asks for that many answers and gets nothing else, so only the partitions that
-    hold these rows are read.
+    The sample is stored with the columns that ``docs`` has, and ``known`` measures are read from these as they will
+    be by the cascade. A rule runs alone, twice; the faster run counts, less the time that any job takes. Only the
+    partitions that hold the first rows are read, and the driver gets an answer for each.
     """
+    sample = durable(docs.limit(sample_rows))
 
     def timed(condition: Column) -> tuple[float, float]:
         runs, hits = [], []
         for _ in range(2):
             start = time.perf_counter()
-            hits = docs.select(F.coalesce(condition, F.lit(False)).alias("hit")).limit(sample_rows).collect()
+            hits = sample.select(F.coalesce(condition, F.lit(False)).alias("hit")).collect()
             runs.append(time.perf_counter() - start)
         return min(runs), sum(r.hit for r in hits) / max(len(hits), 1)
 
     idle, _ = timed(F.col(text_column).isNull())
-    known, found = measures(F.col(text_column)), []
+    look, found = measures(F.col(text_column)) | dict(known or {}), []
     for rule in rules:
-        seconds, share = timed(rule.fails(known))
+        seconds, share = timed(rule.fails(look))
         found.append(Measured(rule, max(seconds - idle, 0.0), share))
     return sorted(found, key=lambda m: -m.worth)
 
@@ -159,7 +165,7 @@ def cascade(
     Columns of these two names are replaced.
     """
     need(docs, text_column)
-    order = measure_rules(docs, rules, text_column, sample_rows)
+    order = measure_rules(docs, rules, text_column, sample_rows, known)
     look = measures(F.col(text_column)) | dict(known or {})
     failed = F.lit(None).cast("string")
     for found in reversed(order):

@@ -237,13 +237,27 @@ def test_line_dedup_of_nothing(nothing):
 # --- mixing ----------------------------------------------------------------------------
 
 
-def test_targets_fill_up():
-    assert mixture.fill_targets([100, 100, 100], [5, 2, 1]) == [200.0, pytest.approx(500 / 3), pytest.approx(250 / 3)]
-    assert mixture.fill_targets([1, 1000], [5, 2]) == [2.0, 1499.5]
-    assert mixture.fill_targets([0, 0], [5, 2]) == [0.0, 0.0]
-    assert mixture.fill_targets([], []) == []
-    targets = mixture.fill_targets([10, 20, 30, 40, 50], [5, 2, 1, 5, 2])
-    assert sum(targets) == pytest.approx(225) and all(t <= 2 * s for t, s in zip(targets, [10, 20, 30, 40, 50], strict=True))
+def filled_by_hand(sizes, weights, share=1.5, most=2.0):
+    """Targets by weight; whoever is over the cap gets the cap, until nobody is."""
+    capped, targets = set(), [0.0] * len(sizes)
+    while True:
+        left = share * sum(sizes) - sum(most * sizes[i] for i in capped)
+        free = [i for i in range(len(sizes)) if i not in capped]
+        total = sum(weights[i] for i in free)
+        targets = [most * sizes[i] if i in capped else left * weights[i] / total for i in range(len(sizes))]
+        over = {i for i in free if targets[i] > most * sizes[i] * (1 + 1e-12)}
+        if not over:
+            return targets
+        capped |= over
+
+
+@pytest.mark.parametrize("sizes", [[100, 100, 100], [1, 1000], [0, 0], [], [10, 20, 30, 40, 50], [(i * 7919) % 997 for i in range(300)]])
+def test_targets_fill_up(spark, sizes):
+    names = [f"s{i:03}" for i in range(len(sizes) - 1)] + [None] * bool(sizes)
+    table = spark.createDataFrame(list(zip(names, sizes)), "source string, source_size long").repartition(3)
+    got = {r.source: r.target for r in mixture.source_targets(table).collect()}
+    weights = [mixture.WEIGHTS[i % 3] for i in range(len(sizes))]
+    assert got == {n: pytest.approx(t) for n, t in zip(names, filled_by_hand(sizes, weights))}
 
 
 def test_mix_with_odd_rows(odd):
@@ -259,6 +273,11 @@ def test_mix_with_odd_rows(odd):
     assert by_id(mixture.mix_plan(odd).collect(), "doc_id", "copies") == by_id(plan, "doc_id", "copies")
 
 
+def test_mix_keeps_columns_named_like_its_own(spark):
+    docs = spark.createDataFrame([(1, "a b", "x", 7, 8, 9)], "doc_id long, text string, source string, __source int, __rate int, __copy int")
+    assert [tuple(r) for r in mixture.mix(docs).distinct().collect()] == [(1, "a b", "x", 7, 8, 9)]
+
+
 def test_mix_of_nothing(nothing):
     assert mixture.mix(nothing).collect() == []
 
@@ -382,6 +401,14 @@ def test_cascade_asks_for_rejections_per_second():
     assert order[1] > order[0] > order[2]
 
 
+def test_rules_are_timed_on_known_measures(spark):
+    docs = rules.with_measures(spark.createDataFrame([(i, "one two " * i) for i in range(30)], "doc_id long, text string"), ["n_words"])
+    seen = []
+    asked = rules.Rule("asked", lambda m: seen.append(str(m["n_words"])) or m["n_words"] < 10)
+    rules.measure_rules(docs, [asked], known={"n_words": F.col("n_words")})
+    assert seen == ["Column<'n_words'>"]
+
+
 def test_rules_of_nothing(nothing):
     assert rules.cascade(nothing).collect() == []
 
