@@ -18,15 +18,26 @@ TOKENIZER = "byte_bpe_50k.json"
 
 ROW = TEMP + "row"
 
+#: Rows of an Arrow batch. Spark's default of 10,000 is for short rows: of whole texts, a worker and the executor would
+#: hold tens of megabytes each at a time.
+BATCH_ROWS = 1_000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Have the session hand texts to Python workers in batches that take little memory."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the co-trained classifier finds good; it learns from the ``labels`` in ``sf_dir``."""
+    small_batches(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return cotrain.score(docs, cotrain.fit(docs, labels)).filter("kept").select(*docs.columns)
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that an earlier document holds."""
+    small_batches(spark)
     kept = linededup.drop_repeated_lines(docs)
     if "n_chars" in docs.columns:
         kept = kept.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
@@ -40,6 +51,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     their component has one, one for each component; texts without words are one component. ``docs`` is stored once
     with a number for each row, so rows go by themselves and never by an id that others share.
     """
+    small_batches(spark)
     numbered = durable(docs.withColumn(ROW, F.monotonically_increasing_id()))
     members = durable(simhash.near_duplicates(numbered, ROW).select(ROW, "component_id"))
     order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col(ROW).alias("row"))
@@ -57,6 +69,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Per document of the mix its id, source, text, token ids (little-endian unsigned 32-bit) and their number."""
+    small_batches(spark)
     coded = bpe.encode(docs, public_tokenizers.path(TOKENIZER))
     return coded.select("doc_id", "source", "text", "ids", (F.length("ids") / 4).cast("long").alias("n_tokens"))
 
