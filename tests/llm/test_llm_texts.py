@@ -697,3 +697,60 @@ def test_pipeline_drops_rows_not_ids(spark):
     docs = spark.createDataFrame([(i, t, "en", "a", 0) for i, t in rows], SCHEMA).repartition(3)
     kept = corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()
     assert by_id(kept, "doc_id", "text") == sorted([(1, a), (2, b), (3, c), (None, d), (5, None)], key=repr)
+
+
+@pytest.fixture(scope="module")
+def labelled(spark, tmp_path_factory):
+    """A folder with labels: long prose is good, a few shouted signs are bad."""
+    folder = tmp_path_factory.mktemp("labelled")
+    good = [(100 + i, prose(7000 + i, 80), "en", "a", 0) for i in range(40)]
+    bad = [(200 + i, "BUY $$$ NOW!!! " * 6 + str(i), "xx", "z", 0) for i in range(40)]
+    labels = [(r[0], 1, 0) for r in good] + [(r[0], 0, 0) for r in bad]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(str(folder / "labels.parquet"))
+    return str(folder), good, bad
+
+
+@pytest.mark.parametrize("stage", corpus_pipeline.STAGES, ids=lambda s: s[0])
+def test_stages_take_odd_rows_and_empty_tables(spark, odd, nothing, labelled, stage):
+    """Every stage but the last returns the columns it got; none fails on NULLs, repeats or clashing names."""
+    name, run = stage
+    folder, good, bad = labelled
+    docs = odd.unionByName(spark.createDataFrame(good + bad, SCHEMA), allowMissingColumns=True)
+    out = run(spark, docs, folder)
+    kept = out.collect()
+    assert run(spark, nothing, folder).collect() == []
+    if name == "bpe":
+        assert out.columns == ["doc_id", "source", "text", "ids", "n_tokens"]
+        assert len(kept) == docs.count() and all(r.n_tokens == 0 for r in kept if not r.text)
+        return
+    assert out.columns == docs.columns
+    ids = {r.doc_id for r in kept}
+    if name == "quality classifier":
+        assert {r[0] for r in good} <= ids and not {r[0] for r in bad} & ids
+    elif name == "line dedup":
+        assert len(kept) == docs.count() and all(r.n_chars == len(r.text) for r in kept if r.text)
+    elif name == "simhash near-dedup":
+        prints = [simhash.fingerprint((r.text or "").encode()) for r in kept]
+        assert len(set(prints)) == len(prints) and {r[0] for r in good} <= ids
+    else:
+        assert {r[0] for r in bad} <= ids
+
+
+def test_the_pipeline_is_its_stages(spark, labelled, tmp_path):
+    folder, good, bad = labelled
+    rows = [*good, *bad, (300, good[0][1], "en", "a", 0), (301, None, None, None, None)]
+    spark.createDataFrame(rows, SCHEMA).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.read.parquet(f"{folder}/labels.parquet").write.parquet(str(tmp_path / "labels.parquet"))
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    for _, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, str(tmp_path))
+    got = by_id(corpus_pipeline.run(spark, str(tmp_path)).collect(), "doc_id", "source", "text", "ids", "n_tokens")
+    assert got == by_id(docs.collect(), "doc_id", "source", "text", "ids", "n_tokens")
+    ids = {r[0] for r in got}
+    assert ids <= {r[0] for r in good} | {300, 301} and len(ids) > 30
+    # The copy lost the lines that it shares, so no more than those too short to count are left of it.
+    assert all(len(r[2] or "") < 100 for r in got if r[0] in (300, 301))
+    coder = Tokenizer.from_file(str(public_tokenizers.path("byte_bpe_50k.json")))
+    for _, _, text, coded, n in got:
+        want = coder.encode(text or "", add_special_tokens=False).ids
+        assert np.frombuffer(coded, "<u4").tolist() == want and n == len(want)
