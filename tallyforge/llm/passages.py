@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.ordered import durable
 from .common import PLAIN, SLICE, free_name, need
 
 #: Runs of fewer words are left: a few words in a row recur by chance.
@@ -163,8 +164,9 @@ def repeated_passages(
     or text give none and count for no other. Words are compared without case and ASCII punctuation; a passage is
     found but for a part of a unit at each end, if what is left has ``min_words`` words. Other columns are not read.
 
-    Units are cut twice, once to group digests and once to find those that repeat, so nothing is stored. 64 bits
-    stand for a unit: a run needs several in a row, so a chance hit removes nothing by itself.
+    Units are cut twice, once to group digests and once to find those that repeat, so only the digests that repeat
+    are stored, while the plan is built. 64 bits stand for a unit: a run needs several in a row, so a chance hit
+    removes nothing by itself.
     """
     need(docs, id_column, text_column)
     plain = docs.select(F.col(id_column).alias("id"), F.col(text_column).cast("string").alias("text"))
@@ -174,7 +176,8 @@ def repeated_passages(
     cut = plain.mapInArrow(_cut, made)
     again = F.col("place") % 2 == 1
     firsts = cut.groupBy("h").agg(F.min("id").alias("kept"), F.max("id").alias("last"), F.max(again).alias("within"))
-    firsts = firsts.filter("kept < last OR within").select("h", "kept")
+    # Stored, so that the join shuffles both sides by itself and a unit that very many texts hold can be split.
+    firsts = durable(firsts.filter("kept < last OR within").select("h", "kept"))
     repeats = cut.join(firsts, "h").filter((F.col("id") > F.col("kept")) | again).drop("h")
     unit, words = F.shiftright("place", WORD_BITS), F.shiftright("place", 1).bitwiseAND(F.lit((1 << WORD_BITS - 1) - 1))
     document = Window.partitionBy("id", "version").orderBy("place")
