@@ -69,10 +69,10 @@ def op3_simhash(spark: SparkSession, folder: str) -> DataFrame:
 
 def op4_licenses(spark: SparkSession, folder: str) -> DataFrame:
     found = licenses.scan_licenses(table(spark, folder, "documents").select("doc_id", "text"))
-    base, own = F.col("places.label"), F.col("lines.template")
+    base, own = F.col("places.label"), F.col("blocks.template")
     joined = F.array_join(F.array_sort(F.array_distinct(base)), ",")
     labels = F.array_join(F.array_sort(F.array_distinct(F.concat(base, own))), ",")
-    best = F.coalesce(F.array_max("lines.containment"), F.lit(0.0))
+    best = F.coalesce(F.array_max("blocks.containment"), F.lit(0.0))
     return found.select(
         "doc_id",
         "n_words",
@@ -85,7 +85,7 @@ def op4_licenses(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-TEMPLATE_ROWS = ", ".join(f"('{name}', '{text}')" for name, text in licenses.TEMPLATES.items())
+TEMPLATE_ROWS = ", ".join(f"('{name}', '{text}', {licenses.REQUIRED[name].split()})" for name, text in licenses.TEMPLATES.items())
 PHRASE_ROWS = ", ".join(f"({len(phrase.split())}, {phrase.split()}, '{label}')" for phrase, label in licenses.PHRASES.items())
 PLAIN_WORDS = r"regexp_extract_all({x}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
@@ -99,11 +99,33 @@ base AS (
   SELECT doc_id, count(*) AS n, min(pos) AS a, max(pos) AS b, string_agg(DISTINCT label, ',' ORDER BY label) AS labels
   FROM places GROUP BY doc_id),
 templates AS (
-  SELECT name, list_distinct({PLAIN_WORDS.format(x=LOWER_SQL.format(x="body"))}) AS tw FROM (VALUES {TEMPLATE_ROWS}) AS v(name, body)),
-lines AS (SELECT doc_id, list_distinct({PLAIN_WORDS.format(x="line")}) AS lw FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM low)),
+  SELECT name, list_distinct({PLAIN_WORDS.format(x=LOWER_SQL.format(x="body"))}) AS tw, must FROM (VALUES {TEMPLATE_ROWS}) AS v(name, body, must)),
+cut AS (SELECT doc_id, string_split(t, chr(10)) AS parts FROM low),
+lines AS (
+  SELECT doc_id, pos, list_distinct({PLAIN_WORDS.format(x="line")}) AS lw
+  FROM (SELECT doc_id, unnest(parts) AS line, generate_subscripts(parts, 1) AS pos FROM cut)),
+paragraphs AS (SELECT *, count(*) FILTER (WHERE len(lw) = 0) OVER (PARTITION BY doc_id ORDER BY pos) AS para FROM lines),
+shared AS (
+  SELECT doc_id, para, pos, name, must, tw, list_intersect(lw, list_concat(tw, must)) AS w1
+  FROM paragraphs, templates WHERE len(lw) > 0),
+wider AS (
+  SELECT *, list_concat(w1, coalesce(lag(w1) OVER near, [])) AS w2,
+         list_concat(w1, coalesce(lag(w1) OVER near, []), coalesce(lag(w1, 2) OVER near, [])) AS w3
+  FROM shared WINDOW near AS (PARTITION BY doc_id, para, name ORDER BY pos)),
+counted AS (
+  SELECT doc_id, para, pos, name, len(tw) AS size,
+         CASE WHEN list_has_all(w1, must) THEN len(list_intersect(tw, w1)) ELSE 0 END AS n1,
+         CASE WHEN list_has_all(w2, must) THEN len(list_intersect(tw, w2)) ELSE 0 END AS n2,
+         CASE WHEN list_has_all(w3, must) THEN len(list_intersect(tw, w3)) ELSE 0 END AS n3
+  FROM wider),
+seen AS (
+  SELECT doc_id, name, size, n1, n2, n3, n1 >= 0.8 * size AS s1, n2 >= 0.8 * size AS s2, n3 >= 0.8 * size AS s3,
+         coalesce(lag(n1) OVER near, 0) >= 0.8 * size AS b1, coalesce(lag(n2) OVER near, 0) >= 0.8 * size AS b2
+  FROM counted WINDOW near AS (PARTITION BY doc_id, para, name ORDER BY pos)),
 found AS (
-  SELECT doc_id, name, len(list_intersect(tw, lw)) / len(tw) AS share FROM lines, templates
-  WHERE len(list_intersect(tw, lw)) >= 0.8 * len(tw)),
+  SELECT doc_id, name, n1 / size AS share FROM seen WHERE s1
+  UNION ALL SELECT doc_id, name, n2 / size FROM seen WHERE s2 AND NOT s1 AND NOT b1
+  UNION ALL SELECT doc_id, name, n3 / size FROM seen WHERE s3 AND NOT s2 AND NOT b2),
 best AS (SELECT doc_id, max(share) AS share FROM found GROUP BY doc_id),
 named AS (
   SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels

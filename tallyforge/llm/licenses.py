@@ -1,11 +1,14 @@
-"""License scan: an exact set-similarity join of text lines with license templates.
-
-A line is found for a template if it contains at least ``THRESHOLD`` of the template's
-distinct words. Words are ordered by how often all documents use them, rarest first. A line
-that contains enough must contain one of the template's first (size - needed + 1) words
-(prefix filter), have at least as many known words as needed (length filter), and at every
-shared word have enough words left on both sides (positional filter). What passes is
-verified, so the result is that of comparing every line with every template.
+"""License scan: an exact set-similarity join of text blocks with license templates.
+
+A block is a run of one to ``MOST_LINES`` neighbouring lines that all have words, so a notice
+wrapped over lines is found and no block reaches over an empty line. It is found for a template
+if it contains at least ``THRESHOLD`` of the template's distinct words and all words that tell
+the template from its likes. Words are ordered by how often all documents use them, rarest
+first. A block that contains enough must contain one of the template's first (size - needed + 1)
+words (prefix filter), have at least as many known words as needed (length filter), and at every
+shared word have enough words left on both sides (positional filter). What passes is verified,
+so the result is that of comparing every block with every template. Of blocks within each
+other the smallest are reported, since every block around them contains the template too.
 """
 
 from __future__ import annotations
@@ -19,9 +22,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import PLAIN, need, texts, word_pieces
+from .common import PLAIN, SLICE, mapped, need, texts, word_pieces
 
 THRESHOLD = 0.8
+MOST_LINES = 3
 
 # Phrases that are looked for word by word, and their labels.
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
@@ -38,6 +42,18 @@ TEMPLATES = {
     "mpl-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0",
 }
 
+# Words without which a block is another license or another version of it.
+REQUIRED = {
+    "apache-2.0": "apache 2",
+    "bsd": "redistribution binary",
+    "cc-by-nc-4.0": "nc 4",
+    "cc-by-sa-4.0": "sa 4",
+    "gpl-3.0": "general public 3",
+    "mit": "mit",
+    "mit-text": "permission granted",
+    "mpl-2.0": "mozilla 2",
+}
+
 #: Templates go to every task, so their text is bounded.
 MOST_TEMPLATE_BYTES = 1 << 20
 
@@ -53,17 +69,20 @@ class Index:
     rank: dict[bytes, int]
     templates: dict[str, tuple[int, ...]]
     needed: dict[str, int]
+    required: dict[str, set[bytes]]
     prefixes: dict[bytes, tuple[str, ...]]
     phrases: tuple[tuple[tuple[bytes, ...], str], ...]
 
-    def matches(self, line: set[bytes]) -> Iterator[tuple[str, float]]:
-        """(template, containment) of the templates that a line's distinct words contain."""
-        candidates = {name for word in line & self.prefixes.keys() for name in self.prefixes[word]}
+    def matches(self, known: set[bytes]) -> Iterator[tuple[str, float]]:
+        """(template, containment) of the templates that a block's distinct known words contain."""
+        candidates = {name for word in known & self.prefixes.keys() for name in self.prefixes[word]}
         if not candidates:
             return
-        own = sorted(self.rank[word] for word in line & self.rank.keys())
+        own = sorted(self.rank[word] for word in known)
         for name in sorted(candidates):
             wanted, needed = self.templates[name], self.needed[name]
+            if not self.required[name] <= known:
+                continue
             if len(own) >= needed and (shared := _overlap(wanted, own, needed)) >= needed:
                 yield name, shared / len(wanted)
 
@@ -84,13 +103,18 @@ def _overlap(wanted: Sequence[int], own: Sequence[int], needed: int) -> int:
 
 
 def build_index(
-    templates: Mapping[str, str], phrases: Mapping[str, str], counts: Mapping[bytes, int], threshold: float
+    templates: Mapping[str, str],
+    phrases: Mapping[str, str],
+    counts: Mapping[bytes, int],
+    threshold: float,
+    required: Mapping[str, str] = REQUIRED,
 ) -> Index:
     """The index for the given counts of words in the corpus; equal counts are ordered by word."""
     sets = {name: set(words_of(text.encode())) for name, text in templates.items()}
     if not all(sets.values()) or not 0 < threshold <= 1:
         raise ValueError("Templates must have words, and the threshold must be above 0 and up to 1")
-    order = sorted(set().union(*sets.values()), key=lambda w: (counts.get(w, 0), w))
+    musts = {name: set(words_of(required.get(name, "").encode())) for name in sets}
+    order = sorted(set().union(*sets.values(), *musts.values()), key=lambda w: (counts.get(w, 0), w))
     rank = {word: i for i, word in enumerate(order)}
     ranked = {name: tuple(sorted(rank[w] for w in own)) for name, own in sets.items()}
     needed = {name: ceil(threshold * len(own) - 1e-9) for name, own in ranked.items()}
@@ -99,7 +123,7 @@ def build_index(
         for at in own[: len(own) - needed[name] + 1]:
             prefixes[order[at]] = (*prefixes.get(order[at], ()), name)
     split = tuple((tuple(words_of(phrase.encode())), label) for phrase, label in phrases.items())
-    return Index(rank, ranked, needed, prefixes, split)
+    return Index(rank, ranked, needed, musts, prefixes, split)
 
 
 def _places(words: Sequence[bytes], index: Index, start: int, skip: int) -> Iterator[tuple[str, int]]:
@@ -119,25 +143,45 @@ def _places(words: Sequence[bytes], index: Index, start: int, skip: int) -> Iter
                 yield label, start + at
 
 
-def scan(data: bytes, index: Index) -> tuple[int, list, list]:
-    """Number of words, phrases as (label, place), and lines found as (template, line, place, words, containment)."""
+def _blocks(data: bytes, index: Index, most_lines: int) -> Iterator[tuple[str, int, int, int, int, float]]:
+    """(template, first line, lines, first word, words, containment) of the smallest blocks found."""
+    # What the blocks of 1, 2, ... lines that end at the line before contain.
+    at, lines, before = 0, [], []
+    for number, line in enumerate(data.split(b"\n")):
+        n, known = 0, set()
+        for piece in word_pieces(line.translate(PLAIN)):
+            n += len(piece)
+            known.update(index.rank.keys() & piece)
+        if not n:
+            lines, before = [], []
+            continue
+        lines = [*lines, (number, at, known)][-most_lines:]
+        at += n
+        if not known:
+            before = [{}, *before][: len(lines)]
+            continue
+        here, union = [], set()
+        for first, word, words in reversed(lines):
+            union |= words
+            here.append(dict(index.matches(union)))
+            shorter = here[-2].keys() | before[len(here) - 2].keys() if len(here) > 1 else ()
+            for name, share in here[-1].items():
+                if name not in shorter:
+                    yield name, first, len(here), word, at - word, share
+        before = here
+
+
+def scan(data: bytes, index: Index, most_lines: int = MOST_LINES) -> tuple[int, list, list]:
+    """Number of words, phrases as (label, place), and blocks as ``_blocks`` gives them."""
     reach = max((len(p) for p, _ in index.phrases), default=1) - 1
-    places, found, total, carry, seen = [], [], 0, [], False
+    places, total, carry, seen = [], 0, [], False
     wanted = index.prefixes.keys()
     for piece in word_pieces(data.translate(PLAIN)):
         words = carry + piece
         places.extend(_places(words, index, total - len(carry), len(carry)))
         seen = seen or not wanted.isdisjoint(piece)
         total, carry = total + len(piece), words[len(words) - reach :] if reach else []
-    if seen:
-        at = 0
-        for number, line in enumerate(data.split(b"\n")):
-            n, distinct = 0, set()
-            for piece in word_pieces(line.translate(PLAIN)):
-                n += len(piece)
-                distinct.update(piece)
-            found.extend((name, number, at, n, share) for name, share in index.matches(distinct))
-            at += n
+    found = list(_blocks(data, index, most_lines)) if seen else []
     return total, sorted(places, key=lambda p: (p[1], p[0])), found
 
 
@@ -147,18 +191,21 @@ def word_counts(docs: DataFrame, words: set[bytes], text_column: str = "text") -
     def count(batches):
         sums: Counter[bytes] = Counter()
         for batch in batches:
-            for data in texts(batch.column(0)):
-                for piece in word_pieces(data.translate(PLAIN)):
-                    sums.update(w for w in piece if w in words)
+            for start in range(0, batch.num_rows, SLICE):
+                for data in texts(batch.column(0).slice(start, SLICE)):
+                    for piece in word_pieces(data.translate(PLAIN)):
+                        sums.update(w for w in piece if w in words)
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.binary()), pa.array(list(sums.values()), pa.int64())], names=["word", "n"])
 
     parts = docs.select(F.col(text_column).cast("string")).mapInArrow(count, "word binary, n long")
     return {bytes(w): n for w, n in parts.groupBy("word").agg(F.sum("n")).collect()}
 
 
+PLACE = ("label", "word")
+BLOCK = ("template", "line", "n_lines", "word", "n_words", "containment")
 SCANNED = (
     "n_words long, places array<struct<label:string,word:long>>, "
-    "lines array<struct<template:string,line:long,word:long,n_words:long,containment:double>>"
+    "blocks array<struct<template:string,line:long,n_lines:long,word:long,n_words:long,containment:double>>"
 )
 
 
@@ -168,32 +215,37 @@ def scan_licenses(
     phrases: Mapping[str, str] = PHRASES,
     threshold: float = THRESHOLD,
     text_column: str = "text",
+    required: Mapping[str, str] = REQUIRED,
+    most_lines: int = MOST_LINES,
 ) -> DataFrame:
-    """``docs`` with ``n_words``, ``places`` (phrases and the word they start at, from 0) and ``lines``.
+    """``docs`` with ``n_words``, ``places`` (phrases and the word they start at, from 0) and ``blocks``.
 
-    ``lines`` has every line whose words contain at least ``threshold`` of a template's, with
-    its number, first word, length in words and the share contained. A NULL or empty text
-    has no words and nothing is found. Columns of these three names are replaced.
+    ``blocks`` has every block of up to ``most_lines`` lines that contains at least ``threshold``
+    of a template's words and all words that ``required`` names for it, unless a smaller block in
+    it does: the number of its first line and of its lines, its first word, its length in words
+    and the share contained. A NULL or empty text has no words and nothing is found. Columns of
+    these three names are replaced. One job counts the templates' words when this is called.
     """
     need(docs, text_column)
+    if most_lines < 1:
+        raise ValueError("A block has at least one line")
     if sum(len(t.encode()) for t in (*templates.values(), *phrases)) > MOST_TEMPLATE_BYTES:
         raise ValueError(f"Templates of more than {MOST_TEMPLATE_BYTES} bytes")
     vocabulary = {word for text in templates.values() for word in words_of(text.encode())}
-    index = build_index(templates, phrases, word_counts(docs, vocabulary, text_column), threshold)
+    index = build_index(templates, phrases, word_counts(docs, vocabulary, text_column), threshold, required)
     place = pa.list_(pa.struct([("label", pa.string()), ("word", pa.int64())]))
-    line = pa.list_(pa.struct([("template", pa.string()), ("line", pa.int64()), ("word", pa.int64()), ("n_words", pa.int64()), ("containment", pa.float64())]))
+    block = pa.list_(pa.struct([("template", pa.string()), *((c, pa.int64()) for c in BLOCK[1:-1]), ("containment", pa.float64())]))
+
+    def looked(data: bytes | None) -> tuple[int, list[dict], list[dict]]:
+        total, places, found = scan(data or b"", index, most_lines)
+        return total, [dict(zip(PLACE, p, strict=True)) for p in places], [dict(zip(BLOCK, b, strict=True)) for b in found]
 
     @F.arrow_udf(returnType=SCANNED)
     def look(text: pa.Array) -> pa.Array:
-        rows = [scan(data, index) for data in texts(text)]
-        columns = [
-            pa.array([r[0] for r in rows], pa.int64()),
-            pa.array([[dict(zip(("label", "word"), p, strict=True)) for p in r[1]] for r in rows], place),
-            pa.array([[dict(zip(("template", "line", "word", "n_words", "containment"), f, strict=True)) for f in r[2]] for r in rows], line),
-        ]
-        return pa.StructArray.from_arrays(columns, names=["n_words", "places", "lines"])
-
-    made = ("n_words", "places", "lines")
+        columns = mapped(text.cast(pa.large_binary()), looked, pa.int64(), place, block)
+        return pa.StructArray.from_arrays(columns, names=["n_words", "places", "blocks"])
+
+    made = ("n_words", "places", "blocks")
     names = [c for c in docs.columns if c not in made]
     found = docs.select(*names, look(F.col(text_column).cast("string")).alias("__found"))
     return found.select(*names, *(f"__found.{c}" for c in made))

@@ -423,6 +423,10 @@ def test_licenses_against_all_pairs(spark, odd):
         "licensed under the apache license version 2 0 and the gnu general public license version 3",
         "all rights reserved all rights reserved",
         "released under the",
+        "a\nRedistribution and use in source and binary forms, with or without\nmodification, are permitted\n\nb",
+        "// This Source Code Form is subject to\n// the terms of the Mozilla Public\n// License, v. 2.0.\n// more",
+        "Released under\n\nthe MIT License",
+        "released\nunder\nthe MIT License released under the MIT license\nthe MIT License\nreleased under",
     ]
     rows = [(100 + i, t, None, None, 0) for i, t in enumerate(texts)]
     docs = odd.unionByName(spark.createDataFrame(rows, SCHEMA), allowMissingColumns=True)
@@ -442,17 +446,44 @@ def test_licenses_against_all_pairs(spark, odd):
             if b" ".join(words[i : i + len(phrase.split())]) == phrase.encode()
         ]
         assert r.n_words == len(words) and sorted((p.label, p.word) for p in r.places) == sorted(places)
+        lines = [licenses.words_of(line.encode()) for line in (text or "").split("\n")]
+        full = set()
+        for name, own in sets.items():
+            must = set(licenses.words_of(licenses.REQUIRED[name].encode()))
+            for a in range(len(lines)):
+                for b in range(a + 1, min(a + licenses.MOST_LINES, len(lines)) + 1):
+                    words = set().union(*lines[a:b])
+                    if all(lines[a:b]) and must <= words and len(own & words) >= 0.8 * len(own):
+                        full.add((name, a, b, len(own & words) / len(own)))
         want = {
-            (name, n, len(own & found) / len(own))
-            for n, line in enumerate((text or "").split("\n"))
-            for found in [set(licenses.words_of(line.encode()))]
-            for name, own in sets.items()
-            if len(own & found) >= 0.8 * len(own)
+            (name, a, b - a, sum(map(len, lines[:a])), sum(map(len, lines[a:b])), share)
+            for name, a, b, share in full
+            if not any(other == name and a <= c and d <= b and (c, d) != (a, b) for other, c, d, _ in full)
         }
-        assert {(x.template, x.line, x.containment) for x in r.lines} == want
+        assert {tuple(x) for x in r.blocks} == want and len(r.blocks) == len(want)
     assert [p.word for p in got[100][0].places] == [1, 4, 6, 8]
 
 
+@pytest.mark.parametrize(
+    ("text", "names"),
+    [
+        ("Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided", {"bsd"}),
+        ("This Source Code Form is subject to the terms of the Mozilla\nPublic License, v. 2.0.", {"mpl-2.0"}),
+        ("This Source Code Form is subject to the terms of the Mozilla\nPublic License, v. 1.1.", set()),
+        ("Licensed under CC BY-NC 4.0.", {"cc-by-nc-4.0"}),
+        ("Licensed under CC BY-NC 3.0.", set()),
+        ("Licensed under CC BY-SA 4.0.", {"cc-by-sa-4.0"}),
+        ("Licensed under CC BY 4.0.", set()),
+        ("Released under the terms of the BSD License", set()),
+        ("Licensed under the GNU General Public License, version 2", set()),
+        ("Licensed under the GNU General Public License,\nversion 3", {"gpl-3.0"}),
+    ],
+)
+def test_licenses_told_apart(text, names):
+    index = licenses.build_index(licenses.TEMPLATES, licenses.PHRASES, {}, licenses.THRESHOLD)
+    assert {block[0] for block in licenses.scan(text.encode(), index)[2]} == names
+
+
 def test_license_scan_in_pieces(monkeypatch):
     text = ("word " * 30 + "all rights reserved cc by ") * 20
     index = licenses.build_index(licenses.TEMPLATES, licenses.PHRASES, {}, 0.8)
