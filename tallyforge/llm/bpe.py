@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.ordered import durable
-from .common import mapped, need
+from .common import free_name, mapped, need
 
 #: Code points up to which a text is encoded in one go.
 LEAF = 1 << 15
@@ -200,13 +200,14 @@ def encode(
     made = ["ids", "decoded"] if round_trip else ["ids"]
     names = [c for c in docs.columns if c not in made]
     size = F.coalesce(F.length(text_column), F.lit(0))
-    short = docs.filter(size <= leaf).select(*names, _coded(path, round_trip)(F.col(text_column)).alias("__coded"))
-    long = docs.filter(size > leaf).select(*names, F.monotonically_increasing_id().alias("__row"))
+    coded, row, of = (free_name(docs, n) for n in ("__coded", "__row", "__of"))
+    short = docs.filter(size <= leaf).select(*names, _coded(path, round_trip)(F.col(text_column)).alias(coded))
+    long = docs.filter(size > leaf).select(*names, F.monotonically_increasing_id().alias(row))
     long = durable(long)
-    parts = long.select("__row", F.posexplode(_leaved(path, leaf)(F.col(text_column))).alias("__part", "__text"))
-    spread = parts.repartition("__row", "__part").select("__row", "__part", _coded(path, False)(F.col("__text"))["ids"].alias("__ids"))
-    ordered = spread.groupBy("__row").agg(F.sort_array(F.collect_list(F.struct("__part", "__ids"))).alias("__parts"))
-    tree = _concatenated(path, round_trip)(F.col("__parts.__ids"))
-    whole = ordered.select(F.col("__row").alias("__of"), tree.alias("__coded"))
-    joined = long.join(whole, F.col("__row") == F.col("__of")).select(*names, "__coded")
-    return short.unionByName(joined).select(*names, *(f"__coded.{c}" for c in made))
+    parts = long.select(F.col(row).alias("row"), F.posexplode(_leaved(path, leaf)(F.col(text_column))).alias("part", "text"))
+    spread = parts.repartition("row", "part").select("row", "part", _coded(path, False)(F.col("text"))["ids"].alias("ids"))
+    ordered = spread.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("part", "ids"))).alias("parts"))
+    tree = _concatenated(path, round_trip)(F.col("parts.ids"))
+    whole = ordered.select(F.col("row").alias(of), tree.alias(coded))
+    joined = long.join(whole, F.col(row) == F.col(of)).select(*names, coded)
+    return short.unionByName(joined).select(*names, *(f"{coded}.{c}" for c in made))

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.ordered import durable
-from .common import SLICE, need, texts, word_pieces
+from .common import SLICE, free_name, need, texts, word_pieces
 
 #: Numbers of features of the text view and of the page view; names are hashed into them.
 TEXT_SPACE, PAGE_SPACE = 1 << 14, 1 << 10
@@ -365,5 +365,6 @@ def score(
         nothing = [F.lit(None).cast("double").alias(c) for c in names]
         return docs.select(*rest, *nothing, F.lit(True).alias("kept"))
     found = judge(F.col(text_column), *(F.col(c).cast("string") for c in metadata), F.lit(""))
-    made = docs.select(*rest, found.alias("__found"))
-    return made.select(*rest, *(f"__found.{c}" for c in names), (F.col("__found.score") >= keep_from).alias("kept"))
+    own = free_name(docs, "__found")
+    made = docs.select(*rest, found.alias(own))
+    return made.select(*rest, *(f"{own}.{c}" for c in names), (F.col(f"{own}.score") >= keep_from).alias("kept"))

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import PLAIN, SLICE, mapped, need, texts, word_pieces
+from .common import PLAIN, SLICE, free_name, mapped, need, texts, word_pieces
 
 THRESHOLD = 0.8
 MOST_LINES = 3
@@ -247,5 +247,6 @@ def scan_licenses(
 
     made = ("n_words", "places", "blocks")
     names = [c for c in docs.columns if c not in made]
-    found = docs.select(*names, look(F.col(text_column).cast("string")).alias("__found"))
-    return found.select(*names, *(f"__found.{c}" for c in made))
+    found = free_name(docs, "__found")
+    looked_at = docs.select(*names, look(F.col(text_column).cast("string")).alias(found))
+    return looked_at.select(*names, *(f"{found}.{c}" for c in made))

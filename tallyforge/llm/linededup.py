@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.ordered import durable
-from .common import need, texts
+from .common import free_name, need, texts
 
 #: Keys shorter than this, in code points, are never dropped.
 MIN_LENGTH = 10
@@ -189,9 +189,9 @@ def drop_repeated_lines(
     need(docs, id_column, text_column)
     names = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
     plain = docs.select(F.col(id_column).alias("id"), F.col(text_column).cast("string").alias("text"))
-    drops = durable(repeated_lines(plain, min_length).groupBy("id").agg(F.collect_list("digest").alias("__drops")))
-    drops = drops.withColumnRenamed("id", "__id")
-    joined = docs.select(*names).join(drops, F.col(id_column) == F.col("__id"), "left")
-    made = joined.withColumn("__made", _remover(min_length)(F.col(text_column), F.col("__drops")))
-    kept = [F.col("__made.text").alias(c) if c == text_column else F.col(c) for c in names]
-    return made.select(*kept, "__made.n_lines", "__made.n_dropped")
+    drops = durable(repeated_lines(plain, min_length).groupBy("id").agg(F.collect_list("digest").alias("drops")))
+    of, gone, made = (free_name(docs, n) for n in ("__id", "__drops", "__made"))
+    joined = docs.select(*names).join(drops.toDF(of, gone), F.col(id_column) == F.col(of), "left")
+    done = joined.withColumn(made, _remover(min_length)(F.col(text_column), F.col(gone)))
+    kept = [F.col(f"{made}.text").alias(c) if c == text_column else F.col(c) for c in names]
+    return done.select(*kept, f"{made}.n_lines", f"{made}.n_dropped")

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.ordered import durable
-from .common import lower_ascii, need
+from .common import free_name, lower_ascii, need
 
 ALLOW, BLOCK = "allow", "block"
 
@@ -176,6 +176,7 @@ def judge_urls(
                     for k in keys
                 ]
     best = F.array_max(F.concat(*fits))
-    judged = split.select("*", best.alias("__best"))
-    verdict = F.coalesce("__best.verdict", F.lit(otherwise)).alias("verdict")
-    return judged.select(*names, "host", "path", F.col("__best.key").alias("rule"), verdict)
+    found = free_name(pages, "__best")
+    judged = split.select("*", best.alias(found))
+    verdict = F.coalesce(f"{found}.verdict", F.lit(otherwise)).alias("verdict")
+    return judged.select(*names, "host", "path", F.col(f"{found}.key").alias("rule"), verdict)

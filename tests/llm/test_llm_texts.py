@@ -49,6 +49,7 @@ CLASHES = (
     "fingerprint", "component_id", "n_lines", "n_dropped", "size", "target", "copies", "source_size", "ids", "decoded",
     "kept", "score", "failed_rule", "places", "lines", "n_words", "removed", "digest", "id", "fp", "h", "version", "unit",
     "word", "bucket", "host", "path", "rule", "verdict", "first", "key", "page", "y", "held", "count",
+    "blocks", "__found", "__id", "__drops", "__made", "__coded", "__row", "__of", "__best", "__source", "__rate", "__copy",
 )
 
 
