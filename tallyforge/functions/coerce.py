@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Sequence
+from itertools import groupby
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -74,7 +75,9 @@ def parse_number(column: Column) -> Column:
     """Strictly read number text; infinities become NULL."""
     cleaned = strip(column)
     parsed = F.when(cleaned.rlike(NUMBER_PATTERN), cleaned.try_cast("double"))
-    return F.when(F.abs(parsed) < F.lit(float("inf")), parsed)
+    # Most other texts are told by their first character.
+    maybe = F.instr(F.lit("0123456789+-."), F.substring(cleaned, 1, 1)) > 0
+    return F.when(maybe & (F.abs(parsed) < F.lit(float("inf"))), parsed)
 
 
 def finite(column: Column) -> Column:
@@ -126,20 +129,27 @@ def parse_date(column: Column, formats: Sequence[str] | None = None) -> Column:
     ISO text comes first, with a zone (read as UTC) or without, then a year and month.
 
     A text is handed to a parser only if its shape fits, since failing parsers are
-    slow. Month names may be in any case.
+    slow, and shapes that begin with a digit are tried only on texts that do. Month names
+    may be in any case.
     """
     cleaned = strip(column)
     month = F.concat(cleaned, F.lit("-01")).try_cast("timestamp_ntz")
     attempts = [
-        F.when(cleaned.rlike(ISO_DATE_PATTERN), cleaned.try_cast("timestamp_ntz")),
-        F.when(cleaned.rlike(MONTH_PATTERN), month),
-        _zoned(cleaned),
+        (True, F.when(cleaned.rlike(ISO_DATE_PATTERN), cleaned.try_cast("timestamp_ntz"))),
+        (True, F.when(cleaned.rlike(MONTH_PATTERN), month)),
+        (True, _zoned(cleaned)),
     ]
     for fmt in DATE_FORMATS if formats is None else formats:
         words = F.initcap(cleaned) if "MMM" in fmt else cleaned
         parsed = F.try_to_date(words, fmt).cast("timestamp_ntz")
-        attempts.append(F.when(cleaned.rlike(format_shape(fmt)), parsed))
-    return F.coalesce(*attempts)
+        shape = format_shape(fmt)
+        attempts.append((shape.startswith(r"^\d"), F.when(cleaned.rlike(shape), parsed)))
+    head = F.substring(cleaned, 1, 1)
+    runs = []
+    for digit_first, run in groupby(attempts, key=lambda a: a[0]):
+        found = F.coalesce(*[attempt for _, attempt in run])
+        runs.append(F.when(head.between("0", "9"), found) if digit_first else found)
+    return F.coalesce(*runs)
 
 
 def to_date(df: DataFrame, name: str, formats: Sequence[str] | None = None) -> Column:

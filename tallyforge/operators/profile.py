@@ -16,9 +16,11 @@ from collections.abc import Sequence
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.coerce import clean_number, parse_date, parse_number, strip, to_date, to_number, without
 from ..functions.columns import (
+    data_type,
     is_boolean,
     is_numeric,
     is_string,
@@ -92,89 +94,200 @@ def value_counts(df: DataFrame, columns: Sequence[str] | None = None) -> DataFra
 
 
 #: Buckets of values by hash whose smallest members are kept, and how many sample values a profile shows.
-BUCKETS, SAMPLES = 12, 5
+BUCKETS, SAMPLES = 6, 5
 
 #: Texts of more code points are counted by a digest of 128 bits and their length.
 LONG_TEXT = 64
 
+#: What the first pass counts in some columns.
+PLAIN_COUNTS = (
+    "n_boolean", "n_date", "n_timed", "n_email", "n_valid_email", "n_url", "n_phone", "n_loose", "n_unit", "n_whole", "n_number",
+    "n_plain", "n_negative", "blank_like", "n_spaced", "n_long",
+)
+
 #: Numbers of cells that are counted apart from the column's own: days of dates, and values without case and blanks.
 DAY_CELLS, LOW_CELLS = 1_000_000, 2_000_000
 
 
-def _cell(df: DataFrame, position: int, name: str) -> Column:
-    """A cell with its text, and its number or day where the type of the column says it is one."""
-    value = clean_number(df, name)
-    number = value if is_numeric(df, name) else F.lit(None)
-    day = value if is_temporal(df, name) else F.lit(None)
-    return F.struct(
-        F.lit(position).alias("position"), value.cast("string").alias("text"), number.cast("double").alias("typed"),
-        day.cast("timestamp_ntz").alias("typed_day"), F.lit(is_string(df, name)).alias("textual"),
-    )
+#: Columns that one aggregate of the first pass takes, each column by one. Spark compiles the code of some columns well, and
+#: runs that of very many several times slower.
+ABREAST = 4
 
+#: Values of numbers and dates are looked at for the bound of the first ones if their hash says so, one of so many.
+SHOWN = 8
 
-def _read_number(*marks: str) -> Column:
-    return F.coalesce("typed", F.when(F.col("textual"), parse_number(without(F.col("text"), marks))))
+#: The first characters of a text that may be a number under ``NUMBER_MARKS``.
+NUMBER_HEADS = "0123456789+-.,%$A"
 
 
-def _read_day(formats: Sequence[str] | None) -> Column:
-    return F.coalesce("typed_day", F.when(F.col("textual"), parse_date(F.col("text"), formats)))
+def _text(df: DataFrame, name: str) -> Column:
+    return clean_number(df, name).cast("string")
 
 
-def _plain_facts(df: DataFrame, formats: Sequence[str] | None) -> list[Row]:
-    """What the first pass tells, one row per column that has a row."""
-    is_text, v = F.col("textual"), F.col("text")
-    s = strip(v)
-    digits = F.length(F.regexp_replace(v, r"\D", ""))
-    cells = df.select(F.inline(F.array(*[_cell(df, i, c) for i, c in enumerate(df.columns)])))
-    tested = cells.select(
-        "position", "text", "textual",
-        s.alias("s"),
-        F.lower(s).isin(*BOOLEAN_WORDS).alias("boolean"),
-        _read_number(*NUMBER_MARKS).alias("loose"),
-        _read_number(",", "%").alias("num"),
-        _read_number(",").alias("plain"),
-        _read_number().alias("strict"),
-        _read_day(formats).alias("day"),
-        (is_text & s.rlike(EMAIL)).alias("email"),
-        (is_text & v.rlike(EMAIL)).alias("valid_email"),
-        (is_text & s.rlike(URL)).alias("url"),
-        (is_text & ~s.rlike(ISO_DATE) & s.rlike(PHONE) & digits.between(7, 15)).alias("phone"),
-        F.pmod(F.hash("text"), F.lit(BUCKETS)).alias("bucket"),
-    )
-    day, loose, num = F.col("day"), F.col("loose"), F.col("num")
+def _is_wordy(df: DataFrame, name: str) -> bool:
+    """Whether all that is known of a cell is its text."""
+    return _kind(df, name) in ("text", "other")
+
+
+def _smallest(value: Column, text: Column, of: int) -> Column:
+    bucket = F.pmod(F.hash(value), F.lit(BUCKETS * of))
+    return F.array(*[F.min(F.when(bucket == b, text)) for b in range(BUCKETS)])
+
+
+def _number_facts(num: Column) -> dict[str, Column]:
     edges = F.array(F.lit(0.5 - MARGIN), F.lit(0.5 + MARGIN))
-    iso = "yyyy-MM-dd'T'HH:mm:ss"
-    found = tested.groupBy("position").agg(
-        F.count("*").alias("rows"),
-        F.count("text").alias("non_null"),
-        F.count_if("boolean").alias("n_boolean"),
-        F.count("day").alias("n_date"),
-        F.count_if(day != F.date_trunc("day", day).cast("timestamp_ntz")).alias("n_timed"),
-        F.count_if("email").alias("n_email"),
-        F.count_if("valid_email").alias("n_valid_email"),
-        F.count_if("url").alias("n_url"),
-        F.count_if("phone").alias("n_phone"),
-        F.count("loose").alias("n_loose"),
-        F.count_if(loose.between(0, 1)).alias("n_unit"),
-        F.count_if(loose % 1 == 0).alias("n_whole"),
-        F.max(loose).alias("loose_max"),
-        F.count("num").alias("n_number"),
-        F.count("plain").alias("n_plain"),
-        F.count_if(F.col("strict") < 0).alias("n_negative"),
-        F.sum(num).alias("sum"),
-        F.avg(num).alias("average"),
-        F.min(num).alias("min"),
-        F.max(num).alias("max"),
-        F.stddev_samp(num).alias("std"),
-        F.percentile_approx(num, edges, SKETCH).alias("edges"),
-        F.date_format(F.min(day), iso).alias("min_date"),
-        F.date_format(F.max(day), iso).alias("max_date"),
-        F.datediff(F.max(day), F.min(day)).alias("date_range_days"),
-        F.count_if(F.col("s") == "").alias("blank_like"),
-        F.count_if(v != F.col("s")).alias("n_spaced"),
-        F.array(*[F.min(F.when(F.col("bucket") == b, v)) for b in range(BUCKETS)]).alias("smallest"),
+    return {
+        "sum": F.sum(num),
+        "average": F.avg(num),
+        "min": F.min(num),
+        "max": F.max(num),
+        "std": F.stddev_samp(num),
+        "edges": F.percentile_approx(num, edges, SKETCH),
+    }
+
+
+def _day_facts(day: Column, count) -> dict[str, Column]:
+    """Dates carry their number of days, as texts of years alone do not tell which comes first."""
+    ends = {}
+    for name, end in (("min_date", F.min(day)), ("max_date", F.max(day))):
+        at = F.struct(F.unix_date(end.cast("date")).alias("day"), F.date_format(end, "yyyy-MM-dd'T'HH:mm:ss").alias("text"))
+        ends[name] = F.when(end.isNotNull(), at)
+    return {"n_date": count(day.isNotNull()), "n_timed": count(day != F.date_trunc("day", day).cast("timestamp_ntz"))} | ends
+
+
+def _typed_facts(df: DataFrame, name: str) -> dict[str, Column]:
+    """The facts about a column of numbers, dates or truth values. What Spark prints for these has no blanks around it
+    and is no address, so that only its own tests are left."""
+    kind, value = _kind(df, name), clean_number(df, name)
+    facts = {"rows": F.count("*"), "non_null": F.count(value), "smallest": _smallest(value, _text(df, name), SHOWN)}
+    if kind == "boolean":
+        return facts | {"n_boolean": F.count(value)}
+    if kind == "temporal":
+        return facts | _day_facts(ref(name).cast("timestamp_ntz"), F.count_if)
+    # Only whole types print a bare 0 or 1.
+    whole = isinstance(data_type(df, name), T.IntegralType) or getattr(data_type(df, name), "scale", 1) == 0
+    num = value.cast("double")
+    return facts | _number_facts(num) | {
+        "n_boolean": F.count_if(value.isin(0, 1)) if whole else F.lit(0),
+        "n_loose": F.count(num),
+        "n_unit": F.count_if(num.between(0, 1)),
+        "n_whole": F.count_if(num % 1 == 0),
+        "loose_max": F.max(num),
+        "n_negative": F.count_if(num < 0),
+    }
+
+
+def _word_facts(v: Column, is_text: Column, count, formats: Sequence[str] | None) -> dict[str, Column]:
+    """The facts that texts tell; ``count`` counts the rows for which a test holds."""
+    s = strip(v)
+    maybe = is_text & (F.instr(F.lit(NUMBER_HEADS), F.substring(s, 1, 1)) > 0)
+    loose, num, plain, strict = (
+        F.when(maybe, parse_number(without(v, marks))) for marks in (NUMBER_MARKS, (",", "%"), (",",), ())
     )
-    return found.collect()
+    low = F.lower(s)
+    boolean, address = low.isin(*BOOLEAN_WORDS), is_text & F.contains(v, F.lit("@"))
+    digits = F.length(F.regexp_replace(v, r"\D", ""))
+    return _day_facts(F.when(is_text, parse_date(v, formats)), count) | {
+        "non_null": count(v.isNotNull()),
+        "n_boolean": count(boolean),
+        "words": F.collect_set(F.when(boolean, low)),
+        "n_email": count(address & s.rlike(EMAIL)),
+        "n_valid_email": count(address & v.rlike(EMAIL)),
+        "n_url": count(is_text & s.rlike(URL)),
+        "n_phone": count(is_text & s.rlike(PHONE) & ~s.rlike(ISO_DATE) & digits.between(7, 15)),
+        "n_loose": count(loose.isNotNull()),
+        "n_unit": count(loose.between(0, 1)),
+        "n_whole": count(loose % 1 == 0),
+        "loose_max": F.max(loose),
+        "n_number": count(num.isNotNull()),
+        "n_plain": count(plain.isNotNull()),
+        "n_negative": count(strict < 0),
+        "blank_like": count(s == ""),
+        "n_spaced": count(v != s),
+        "smallest": _smallest(v, v, 1),
+    }
+
+
+def _long(v: Column) -> Column:
+    return F.when(F.length(v) > LONG_TEXT, v)
+
+
+def _abreast(df: DataFrame, facts: dict[int, dict[str, Column]]) -> dict[int, dict]:
+    """The facts of each column, from one row of aggregates for some columns at a time."""
+    found, positions = {}, list(facts)
+    for start in range(0, len(positions), ABREAST):
+        some = positions[start : start + ABREAST]
+        row = df.agg(*[F.struct(*[c.alias(n) for n, c in facts[i].items()]).alias(f"c{i}") for i in some]).first()
+        found |= {i: row[f"c{i}"].asDict() for i in some}
+    return found
+
+
+def _short_word_facts(df: DataFrame, wordy: Sequence[int], formats: Sequence[str] | None) -> dict[int, dict]:
+    """The facts of texts up to ``LONG_TEXT``: equal ones are counted first, and each is then tested once."""
+    if not wordy:
+        return {}
+    names = [df.columns[i] for i in wordy]
+    cells = [
+        F.struct(F.lit(i).alias("position"), F.lit(is_string(df, c)).alias("textual"), _text(df, c).alias("text")) for i, c in zip(wordy, names)
+    ]
+    short = df.select(F.inline(F.array(*cells))).filter(F.length("text") <= LONG_TEXT)
+    groups = short.groupBy("position", "textual", "text").agg(F.count("*").alias("n"))
+    n = F.col("n")
+
+    def count(test: Column) -> Column:
+        return F.coalesce(F.sum(F.when(test, n)), F.lit(0))
+
+    facts = _word_facts(F.col("text"), F.col("textual"), count, formats)
+    found = groups.groupBy("position").agg(*[c.alias(name) for name, c in facts.items()]).collect()
+    return {r.position: r.asDict() for r in found}
+
+
+def _merged(a: dict, b: dict) -> dict:
+    """The facts of two parts of a column's values."""
+    out = a | {k: v for k, v in b.items() if a.get(k) is None}
+    for k in a.keys() & b.keys():
+        if a[k] is None or b[k] is None:
+            continue
+        if k in ("smallest", "words"):
+            out[k] = [*a[k], *b[k]]
+        elif k in ("loose_max", "max_date"):
+            out[k] = max(a[k], b[k])
+        else:
+            out[k] = min(a[k], b[k]) if k == "min_date" else a[k] + b[k]
+    return out
+
+
+def _plain_facts(df: DataFrame, formats: Sequence[str] | None) -> list[Row]:
+    """What the first pass tells, one row per column that has a row.
+
+    Typed columns and long texts are told row by row, short texts once for each value. Columns of text that hold
+    numbers are read once more for their figures.
+    """
+    wordy = [i for i, c in enumerate(df.columns) if _is_wordy(df, c)]
+    long = {i: _long(_text(df, df.columns[i])) for i in wordy}
+    sizes = {i: {"rows": F.count("*"), "n_long": F.count(v)} for i, v in long.items()}
+    found = _abreast(df, {i: sizes[i] if i in sizes else _typed_facts(df, c) for i, c in enumerate(df.columns)})
+    if not found or not found[0]["rows"]:
+        return []
+    tests = {i: _word_facts(v, F.lit(is_string(df, df.columns[i])), F.count_if, formats) for i, v in long.items() if found[i]["n_long"]}
+    for i, told in _abreast(df, tests).items():
+        found[i] |= told
+    for i, short in _short_word_facts(df, wordy, formats).items():
+        found[i] = _merged(found[i], short)
+    numbers = {i: _number_facts(to_number(df, df.columns[i], (",", "%"))) for i in wordy if found[i].get("n_number")}
+    for i, figures in _abreast(df, numbers).items():
+        found[i] |= figures
+    return [_plain_row(i, found[i]) for i in range(len(df.columns))]
+
+
+def _plain_row(position: int, found: dict) -> Row:
+    empty = dict.fromkeys(PLAIN_COUNTS, 0) | dict.fromkeys(("loose_max", "sum", "average", "min", "max", "std", "edges"))
+    row = empty | {"words": []} | found | {"position": position}
+    first, last = found.get("min_date"), found.get("max_date")
+    row |= {"min_date": first and first["text"], "max_date": last and last["text"], "date_range_days": first and last["day"] - first["day"]}
+    if "n_plain" not in found:  # a typed column reads as a number in one way only
+        row |= dict.fromkeys(("n_number", "n_plain"), row["n_loose"])
+    return Row(**row)
 
 
 def _digest(text: Column) -> Column:
@@ -197,53 +310,92 @@ def _median_brackets(df: DataFrame, plain: Sequence[Row]) -> dict[int, Bracket]:
     return brackets
 
 
+def _distinct_cells(df: DataFrame, plain: Sequence[Row], formats: Sequence[str] | None) -> DataFrame:
+    """(position, value) of each cell. Where a table has long texts, what has to be known of these comes with their
+    digests; it follows from the text, so it makes no further groups."""
+    some_long = any(r.n_long for r in plain)
+    cells = []
+    for r in plain:
+        name = df.columns[r.position]
+        text = _text(df, name)
+        fields = {"position": F.lit(r.position), "value": _digest(text) if r.n_long else text}
+        if some_long:
+            long = _long(text) if r.n_long else F.lit(None).cast("string")
+            is_text = is_string(df, name) and r.n_long
+            fields |= {
+                "long": long.isNotNull(),
+                "long_lower": _digest(F.lower(long)) if is_text else F.lit(None).cast("string"),
+                "long_low": _digest(F.lower(strip(long))) if _has_lows(r) else F.lit(None).cast("string"),
+                "long_day": parse_date(long, formats) if is_text and r.n_date else F.lit(None).cast("timestamp_ntz"),
+                "long_num": parse_number(without(long, (",", "%"))) if is_text and r.n_number else F.lit(None).cast("double"),
+                "long_sample": F.when(long <= _bound(r), long) if _bound(r) is not None else long,
+            }
+        cells.append(F.struct(*[c.alias(n) for n, c in fields.items()]))
+    return df.select(F.inline(F.array(*cells))).filter(F.col("value").isNotNull())
+
+
+def _bound(r: Row) -> str | None:
+    """A text that the first values in text order do not exceed."""
+    first = sorted({v for v in r.smallest if v is not None})
+    return first[SAMPLES - 1] if len(first) >= SAMPLES else None
+
+
+def _has_lows(r: Row) -> bool:
+    """Whether a column nearly holds truth values only, while some are other texts."""
+    return r.non_null > r.n_boolean > 0.95 * r.non_null
+
+
 def _distinct_facts(df: DataFrame, plain: Sequence[Row], formats: Sequence[str] | None) -> DataFrame:
     """What the second pass tells: (position, unique_count, n_case, sample_values, median)."""
     brackets = _median_brackets(df, plain)
-    bounds, cells = [], []
+    facts = []
     for r in plain:
-        name = df.columns[r.position]
-        first = sorted({v for v in r.smallest if v is not None})
-        bracket = brackets.get(r.position)
-        bounds.append((r.position, first[SAMPLES - 1] if len(first) >= SAMPLES else None, *((bracket.low, bracket.high) if bracket else (None, None))))
-        cells.append(_cell(df, r.position, name))
-        none, text = F.lit(None), clean_number(df, name).cast("string")
-        extra = []
-        if r.n_date:
-            day = to_date(df, name, formats).cast("timestamp_ntz")
-            extra.append((DAY_CELLS, day.cast("string")))
-        if r.n_boolean > 0.95 * r.non_null:
-            extra.append((LOW_CELLS, F.lower(strip(text))))
-        cells += [
-            F.struct(
-                F.lit(start + r.position).alias("position"), value.alias("text"), none.cast("double").alias("typed"),
-                none.cast("timestamp_ntz").alias("typed_day"), F.lit(False).alias("textual"),
-            )
-            for start, value in extra
-        ]
+        name, bracket = df.columns[r.position], brackets.get(r.position)
+        ends = (bracket.low, bracket.high) if bracket else (None, None)
+        textual = is_string(df, name)
+        dated = textual and r.n_date > 0
+        facts.append((r.position, textual, dated, _has_lows(r), data_type(df, name).typeName() == "float", _bound(r), *ends))
     spark = df.sparkSession
     # One row per column of the table.
-    bounds = F.broadcast(spark.createDataFrame(bounds, "position int, bound string, low double, high double"))
-    text = F.col("text")
-    kept = df.select(F.inline(F.array(*cells))).filter(text.isNotNull()).join(bounds, "position", "left")
-    keyed = kept.select(
-        "position", _digest(text).alias("value"), F.when(F.col("textual"), _digest(F.lower(text))).alias("lower"),
-        F.when(F.coalesce(text <= F.col("bound"), F.lit(True)) & (F.col("position") < DAY_CELLS), text).alias("sample"),
-        _read_number(",", "%").alias("num"), "low", "high",
-    )
-    # Sample, number and bracket follow from the value, so they make no further groups.
-    groups = keyed.groupBy("position", "lower", "value", "sample", "num", "low", "high").agg(F.count("*").alias("n"))
-
-    spelled = groups.groupBy("position", "lower").agg(F.count("*").alias("spellings"), F.sum("n").alias("n"))
+    kinds = "position int, textual boolean, dated boolean, lows boolean, single boolean, bound string, low double, high double"
+    facts = F.broadcast(spark.createDataFrame(facts, kinds))
+    cells = _distinct_cells(df, plain, formats)
+    groups = cells.groupBy(*cells.columns).agg(F.count("*").alias("n")).join(facts, "position")
+    value, bound = F.col("value"), F.col("bound")
+
+    def told(column: Column, of_long: str) -> Column:
+        """What follows from a short text, and from a long one came with its digest."""
+        return F.when(F.col("long"), F.col(of_long)).otherwise(column) if "long" in cells.columns else column
+
+    def when(test: str, column: Column, of_long: str) -> Column:
+        return F.when(F.col(test), told(column, of_long))
+
+    keys = [F.struct("position", when("textual", F.lower(value), "long_lower").alias("key"))]
+    if any(r.n_date and is_string(df, df.columns[r.position]) for r in plain):
+        day = when("dated", parse_date(value, formats), "long_day").cast("string")
+        keys.append(F.when(day.isNotNull(), F.struct((F.col("position") + DAY_CELLS).alias("position"), day.alias("key"))))
+    if any(map(_has_lows, plain)):
+        low = when("lows", F.lower(strip(value)), "long_low")
+        keys.append(F.when(low.isNotNull(), F.struct((F.col("position") + LOW_CELLS).alias("position"), low.alias("key"))))
+    keyed = groups.select("n", F.inline(F.array_compact(F.array(*keys)))) if len(keys) > 1 else groups.select("n", F.col("position"), keys[0]["key"].alias("key"))
+    spelled = keyed.groupBy("position", "key").agg(F.count("*").alias("spellings"), F.sum("n").alias("n"))
     counts = spelled.groupBy("position").agg(
-        F.sum("spellings").alias("unique_count"), F.count_if(F.expr("lower IS NOT NULL AND spellings > 1")).alias("n_case"), F.sum("n").alias("n")
-    )
+        F.sum(F.when(F.col("position") < DAY_CELLS, F.col("spellings")).otherwise(1)).alias("unique_count"),
+        F.count_if(F.expr("key IS NOT NULL AND spellings > 1")).alias("n_case"), F.sum("n").alias("n"),
+    )
+    sample = told(F.when(F.coalesce(value <= bound, F.lit(True)), value), "long_sample")
     place = F.row_number().over(Window.partitionBy("position").orderBy("sample"))
-    first = groups.filter(_counted("sample")).select("position", "sample", place.alias("place")).filter(F.col("place") <= SAMPLES)
+    shown = groups.withColumn("sample", sample).filter(_counted("sample"))
+    first = shown.select("position", "sample", place.alias("place")).filter(F.col("place") <= SAMPLES)
     samples = first.groupBy("position").agg(
         F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("place", "sample"))), lambda x: x["sample"]), " | ").alias("sample_values")
     )
-    return counts.join(samples, "position", "left").join(_medians(groups), "position", "left")
+    maybe = F.instr(F.lit(NUMBER_HEADS), F.substring(strip(value), 1, 1)) > 0
+    read = F.when(maybe, parse_number(without(value, (",", "%"))))
+    typed = F.when(F.col("single"), value.try_cast("float").cast("double")).otherwise(value.try_cast("double"))
+    num = F.when(F.col("low").isNotNull(), told(F.when(F.col("textual"), read).otherwise(typed), "long_num"))
+    medians = _medians(groups.withColumn("num", num))
+    return counts.join(samples, "position", "left").join(medians, "position", "left")
 
 
 def _counted(name: str) -> Column:
@@ -317,11 +469,16 @@ def column_facts(df: DataFrame, formats: Sequence[str] | None = None) -> DataFra
         if i in by_position:
             own = by_position[i].asDict()
             facts |= {k: v for k, v in own.items() if k in FACTS.names}
+            facts["low_values"] = len(set(own["words"])) if own["n_boolean"] > 0.95 * own["non_null"] else 0
             facts["null_count"] = own["rows"] - own["non_null"]
             if own["n_number"] and own["std"] is None:
                 facts["std"] = 0.0
         if i in distinct:
             facts |= {k: distinct[i][k] for k in ("unique_count", "n_case", "sample_values", "median")}
+            if is_temporal(df, name):  # a date or time has one text
+                facts["unique_dates"] = facts["unique_count"]
+            elif not _is_wordy(df, name) and by_position[i].n_boolean > 0.95 * by_position[i].non_null:
+                facts["low_values"] = facts["unique_count"]
         for start, output in ((DAY_CELLS, "unique_dates"), (LOW_CELLS, "low_values")):
             if start + i in distinct:
                 facts[output] = distinct[start + i].unique_count

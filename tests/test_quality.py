@@ -214,3 +214,39 @@ def test_capitalisation_is_checked_whatever_the_number_of_values(spark):
         df = spark.createDataFrame([(f"value {i}",) for i in range(n)] + [("VALUE 1",)], "t string")
         found = {(r.issue, r["count"]) for r in p.quality_issues(df).collect()}
         assert ("capitalization", 1) in found
+
+
+def test_a_profile_reads_typed_columns_without_parsing_text(spark, monkeypatch):
+    """Numbers, dates and truth values are what they are; before, each of their cells went through the tests of texts."""
+    df = spark.range(90).selectExpr("id n", "id / 4 x", "cast(id as decimal(9,0)) d", "timestamp_millis(id * 43200000) t", "id % 3 = 0 b")
+    for name in ("parse_number", "parse_date", "strip"):
+        monkeypatch.setattr(p, name, None)
+    got = p._plain_facts(df, None)
+    assert [(r.non_null, r.n_number, r.n_boolean, r.n_timed) for r in got] == [(90, 90, 2, 0), (90, 90, 0, 0), (90, 90, 2, 0), (90, 0, 0, 45), (90, 0, 90, 0)]
+
+
+def test_a_profile_tests_equal_short_texts_once(spark):
+    """Equal texts are combined before they are parsed; before, each cell was parsed where it was read."""
+    df = spark.range(3000).selectExpr("concat('v', id % 3) t")
+    seen = []
+    real = p._word_facts
+    p._word_facts = lambda v, *a: seen.append(v) or real(v, *a)
+    try:
+        facts = p._short_word_facts(df, [0], None)
+    finally:
+        p._word_facts = real
+    assert len(seen) == 1 and str(seen[0]) == "Column<'text'>" and facts[0]["non_null"] == 3000
+
+
+def test_long_and_short_texts_of_one_column(spark):
+    """What long texts say is told by rows and by digests, and added to what short ones say."""
+    number, word = "0" * 70, "w" * 80
+    values = [number + "5", number + "5", "2", " 9 ", "2024-01-02", "2024-01-02 00:00:00." + "0" * 60, word, word.upper(), "Yes", None]
+    df = spark.createDataFrame([(v,) for v in values], "t string")
+    got = p.column_facts(df).first()
+    assert (got.non_null, got.null_count, got.unique_count, got.n_case) == (9, 1, 8, 1)
+    assert (got.n_number, got["sum"], got.median, got["min"], got["max"]) == (4, 21.0, 5.0, 2.0, 9.0)
+    assert (got.n_spaced, got.n_boolean, got.n_plain) == (1, 1, 4)
+    assert got.sample_values.split(" | ")[:2] == [" 9 ", number + "5"]
+    mixed = spark.createDataFrame([("yes",)] * 60 + [("No ",)] * 30 + [("maybe",), (" MAYBE",), (word,), (None,)], "t string")
+    assert p.column_facts(mixed).first().low_values == 4
