@@ -101,7 +101,7 @@ LONG_TEXT = 64
 
 #: What the first pass counts in some columns.
 PLAIN_COUNTS = (
-    "n_boolean", "n_date", "n_timed", "n_email", "n_valid_email", "n_url", "n_phone", "n_loose", "n_unit", "n_whole", "n_number",
+    "non_null", "n_boolean", "n_date", "n_timed", "n_email", "n_valid_email", "n_url", "n_phone", "n_loose", "n_unit", "n_whole", "n_number",
     "n_plain", "n_negative", "blank_like", "n_spaced", "n_long",
 )
 
@@ -282,7 +282,7 @@ def _plain_facts(df: DataFrame, formats: Sequence[str] | None) -> list[Row]:
 
 def _plain_row(position: int, found: dict) -> Row:
     empty = dict.fromkeys(PLAIN_COUNTS, 0) | dict.fromkeys(("loose_max", "sum", "average", "min", "max", "std", "edges"))
-    row = empty | {"words": []} | found | {"position": position}
+    row = empty | {"words": [], "smallest": []} | found | {"position": position}
     first, last = found.get("min_date"), found.get("max_date")
     row |= {"min_date": first and first["text"], "max_date": last and last["text"], "date_range_days": first and last["day"] - first["day"]}
     if "n_plain" not in found:  # a typed column reads as a number in one way only

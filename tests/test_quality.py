@@ -250,3 +250,9 @@ def test_long_and_short_texts_of_one_column(spark):
     assert got.sample_values.split(" | ")[:2] == [" 9 ", number + "5"]
     mixed = spark.createDataFrame([("yes",)] * 60 + [("No ",)] * 30 + [("maybe",), (" MAYBE",), (word,), (None,)], "t string")
     assert p.column_facts(mixed).first().low_values == 4
+
+
+def test_a_profile_of_empty_columns(spark):
+    df = spark.createDataFrame([(None, None, None, None)] * 3, "t string, n int, d timestamp, a array<int>")
+    got = p.profile_columns(df).collect()
+    assert [(r.data_type, r.non_null, r.null_count, r.unique_count, r.sample_values) for r in got] == [("unknown", 0, 3, 0, None)] * 4
