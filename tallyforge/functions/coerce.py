@@ -164,7 +164,8 @@ def to_date(df: DataFrame, name: str, formats: Sequence[str] | None = None) -> C
 
 def title_case(column: Column) -> Column:
     """Capital after every non-letter, the rest lower (``O'Brien A-B 3Rd``)."""
-    words = F.split(F.lower(column), r"(?<=[^\p{L}])")
+    # Signs, digits and blanks of ASCII have no capitals, so no word begins at them.
+    words = F.split(F.lower(column), r"(?<=[^\p{L}])(?=[^\x00-@\[-`{-\x7F])")
     capital = F.transform(
         words, lambda w: F.concat(F.upper(F.substring(w, 1, 1)), w.substr(F.lit(2), F.length(w)))
     )

@@ -113,6 +113,12 @@ def drop_blanks(df: DataFrame) -> DataFrame:
     return df.na.drop("any")
 
 
+def _spread(df: DataFrame) -> DataFrame:
+    """The rows dealt out evenly. Reading texts costs far more than a shuffle, and a file of few row groups would
+    leave it to few tasks."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def clean(
     df: DataFrame,
     actions: str | Sequence[str] = "all",
@@ -129,7 +135,7 @@ def clean(
     unknown = wanted - set(ACTIONS)
     if unknown:
         raise ValueError(f"Unknown cleaning action: {sorted(unknown)[0]}")
-    out = df
+    out = _spread(df) if wanted & {"normalize_case", "numbers_as_text", "fix_dates"} else df
     if "trim_spaces" in wanted:
         out = trim_spaces(out)
     if "normalize_case" in wanted:

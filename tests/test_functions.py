@@ -142,3 +142,11 @@ def test_dates_with_zones_and_months(spark):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
     got = [str(r[0]) for r in df.orderBy("i").select(coerce.parse_date(F.col("t"))).collect()]
     assert got == ["2024-01-01 00:00:00", "2024-03-01 08:00:00", "2024-03-01 15:30:00", "2024-01-01 00:00:00", "None", "None"]
+
+
+def test_title_case_cuts_only_where_a_capital_may_follow(spark):
+    """Digits and signs of ASCII begin no word of their own; other signs that have capitals do."""
+    assert "(?=" in str(coerce.title_case(F.col("x")))
+    texts = {"customer#000000001": "Customer#000000001", "o'brien a-b 3rd": "O'Brien A-B 3Rd", "ⓐ ⅰⅰx.": "Ⓐ ⅠⅠX.", "": "", "  a ": "  A "}
+    df = spark.createDataFrame([(t,) for t in texts], "x string")
+    assert {r.x: r.t for r in df.withColumn("t", coerce.title_case(F.col("x"))).collect()} == texts

@@ -256,3 +256,11 @@ def test_a_profile_of_empty_columns(spark):
     df = spark.createDataFrame([(None, None, None, None)] * 3, "t string, n int, d timestamp, a array<int>")
     got = p.profile_columns(df).collect()
     assert [(r.data_type, r.non_null, r.null_count, r.unique_count, r.sample_values) for r in got] == [("unknown", 0, 3, 0, None)] * 4
+
+
+def test_cleaning_does_not_follow_the_files(spark):
+    """Rows that one task reads are cleaned by many."""
+    df = spark.range(0, 400, 1, 1).selectExpr("concat(' word ', id) t", "cast(id as string) n")
+    cleaned = c.clean(df, ["trim_spaces", "normalize_case", "numbers_as_text"])
+    assert "RoundRobinPartitioning" in plan(cleaned)
+    assert cleaned.count() == 400 and {(r.t, r.n) for r in cleaned.collect()} == {(f"Word {i}", float(i)) for i in range(400)}
