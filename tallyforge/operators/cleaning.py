@@ -127,15 +127,17 @@ def clean(
     number_threshold: float = 0.80,
     date_threshold: float = 0.60,
     formats: Sequence[str] | None = None,
+    spread: bool = True,
 ) -> DataFrame:
-    """The chosen steps (or all) in their fixed order."""
+    """The chosen steps (or all) in their fixed order. Rows are dealt out first if texts are read, unless ``spread`` is
+    false, for rows that a shuffle has dealt out already."""
     wanted = set(ACTIONS) if actions == "all" else {actions} if isinstance(actions, str) else set(actions)
     if "all" in wanted:
         wanted = set(ACTIONS)
     unknown = wanted - set(ACTIONS)
     if unknown:
         raise ValueError(f"Unknown cleaning action: {sorted(unknown)[0]}")
-    out = _spread(df) if wanted & {"normalize_case", "numbers_as_text", "fix_dates"} else df
+    out = _spread(df) if spread and wanted & {"normalize_case", "numbers_as_text", "fix_dates"} else df
     if "trim_spaces" in wanted:
         out = trim_spaces(out)
     if "normalize_case" in wanted:
@@ -208,7 +210,7 @@ def clean_with_log(df: DataFrame, actions: str | Sequence[str] = "all", **option
     )
     # Dealt out again, as some steps go by shares of the rows.
     rows = seen.withColumn(count, F.explode(F.sequence(F.lit(1), n))).drop(count)
-    cleaned = clean(rows, actions, **options)
+    cleaned = clean(rows, actions, **({"spread": False} | options))
     blanks = F.coalesce(F.sum(_blank_cells(cleaned)), F.lit(0))
     stored = durable(cleaned.observe(after, F.count("*").alias("rows"), blanks.alias("missing")))
     b, a = before.get, after.get
