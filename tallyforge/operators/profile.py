@@ -1,8 +1,8 @@
 """Column profiles, types, roles, quality issues and a health score.
 
 A profile takes two passes. The first counts, per column, what can be told from each cell
-by itself, brackets the medians, and takes the smallest values of a few buckets, which
-bound the first values in text order. The second counts distinct values: cells are combined
+by itself (short texts by value, each tested once), brackets the medians, and takes the
+smallest values of a few buckets, which bound the first values in text order. The second counts distinct values: cells are combined
 by value before the shuffle, and long texts travel as digests. Nothing is stored.
 
 What comes back has one row for each column of the table, which the driver holds. The
