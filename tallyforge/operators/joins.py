@@ -141,6 +141,31 @@ def _key_test(null_keys_match: bool) -> Column:
     return a.eqNullSafe(b) if null_keys_match else a == b
 
 
+def _distinct_keys(df: DataFrame, key: Column) -> DataFrame:
+    """The keys of a table as ``KEY``, once each.
+
+    They are grouped inside a struct, so that a join shuffles them once more. If it took
+    them as the aggregate leaves them, adaptive execution could not split a hot key of the
+    other side, and one task would hold the aggregate's table beside both sorts.
+    """
+    keys = df.select(F.struct(key.alias("v")).alias(KEY)).distinct()
+    return keys.select(ref(KEY).getField("v").alias(KEY))
+
+
+def _without_partner(rows: DataFrame, keys: DataFrame, null_keys_match: bool) -> DataFrame:
+    """Rows whose ``KEY`` is not among the distinct ``keys``.
+
+    Rows without a key would meet in one task. If they have no partner anyway they skip
+    the join, for which ``rows`` are read a second time.
+    """
+    test = _key_test(null_keys_match)
+    if null_keys_match:
+        return rows.alias("l").join(keys.alias("r"), test, "left_anti")
+    keyed = rows.filter(ref(KEY).isNotNull()).alias("l")
+    lone = keyed.join(keys.filter(ref(KEY).isNotNull()).alias("r"), test, "left_anti")
+    return lone.union(rows.filter(ref(KEY).isNull()))
+
+
 def reconcile(
     left: DataFrame,
     right: DataFrame,
@@ -172,7 +197,6 @@ def reconcile(
     a = left.toDF(*left_names).withColumn(KEY, key(left_names[left.columns.index(left_on)]))
     b = right.toDF(*right_names).withColumn(KEY, key(right_names[right.columns.index(right_on)]))
     right_names = [c for c in right_names if c != shared]
-    test = _key_test(null_keys_match)
 
     def part(joined: DataFrame, sides: str, merge: str) -> DataFrame:
         """The merged columns, NULL where they belong to a missing side."""
@@ -186,11 +210,10 @@ def reconcile(
     def unmatched(side: str) -> DataFrame:
         # The other side's distinct keys are enough to tell what has no partner.
         rows, other = (a, b) if side == "l" else (b, a)
-        names = (side, "r" if side == "l" else "l")
-        keys = other.select(ref(KEY)).distinct()
-        return rows.alias(names[0]).join(keys.alias(names[1]), test, "left_anti")
+        return _without_partner(rows, _distinct_keys(other, ref(KEY)), null_keys_match).alias(side)
 
-    out = part(a.alias("l").join(b.alias("r"), test, "inner"), "lr", "both")
+    pairs = a.alias("l").join(b.alias("r"), _key_test(null_keys_match), "inner")
+    out = part(pairs, "lr", "both")
     if how in ("left", "outer"):
         out = out.unionByName(part(unmatched("l"), "l", "left_only"))
     if how in ("right", "outer"):
@@ -298,9 +321,8 @@ def find_unmatched(
     def key(column: str) -> Column:
         return norm_text(ref(column)) if normalized else ref(column)
 
-    keys = right.select(key(other).alias(KEY)).distinct()
     keyed = left.withColumn(KEY, key(left_on))
-    return keyed.alias("l").join(keys.alias("r"), _key_test(null_keys_match), "left_anti").drop(KEY)
+    return _without_partner(keyed, _distinct_keys(right, key(other)), null_keys_match).drop(KEY)
 
 
 def match_normalized(

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -62,6 +63,39 @@ def test_reconcile_splits_a_hot_key(tight):
     assert n == 20000 and "skew" in text.lower() and "FullOuter" not in text
 
 
+def largest_part(df):
+    """Rows of the largest partition of a result, of which every column is read."""
+    marked = df.select(F.spark_partition_id().alias("p"), F.xxhash64(*df.columns).alias("h"))
+    parts = marked.groupBy("p").agg(F.count("h").alias("n"), F.bit_xor("h").alias("h"))
+    return parts.agg(F.max("n"), F.bit_xor("h")).first()[0]
+
+
+@pytest.mark.parametrize("hot_key", [None, 0])
+def test_rows_without_partner_are_spread(tight, hot_key):
+    """Half of the rows have no key, or one that the other side lacks."""
+    left = hot(tight, 20000).withColumn("k", F.when(F.col("k") != 0, F.col("k")).otherwise(F.lit(hot_key)))
+    right = tight.range(10000).select((F.col("id") + 10000).alias("k"), F.lit(1).alias("one"))
+    for out in (
+        joins.reconcile(left, right, "k", "k"),
+        joins.reconcile(right, left, "k", "k"),
+        joins.match_datasets(left, right, "k", "full"),
+        joins.find_unmatched(left, right, "k"),
+    ):
+        n, _ = final_plan(out)
+        assert n == (10000 if "one" not in out.columns else 20000)
+        assert largest_part(out) < 5000
+
+
+def test_merge_counts_keys_apart_from_the_join(tight):
+    """No task holds the aggregate of the keys beside the rows it sorts."""
+    left = tight.range(5000).select((F.col("id") * 3).alias("k"), F.lit(1).alias("one"))
+    right = tight.range(7000).select((F.col("id") * 3 + 6000).alias("k"), F.lit(2).alias("two"))
+    n, text = final_plan(joins.reconcile(left, right, "k", "k"))
+    final = re.sub(r"[^\w\n]", " ", text[: text.index("== Initial Plan ==")])
+    assert n == 9000 and final.count("SortMergeJoin") == 3
+    assert not re.search(r"Sort .*\n\s+\d* *HashAggregate", final)
+
+
 def test_duplicates_split_a_hot_key(tight):
     n, text = final_plan(duplicates.find_duplicates(hot(tight, 20000), "k"))
     assert n == 10000 and "skew" in text.lower()
